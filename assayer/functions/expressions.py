@@ -40,6 +40,9 @@ def text_list(values: list[str]) -> str:
 
 def column_type(df: DataFrame, name: str) -> T.DataType:
     """Type of a (possibly qualified) column; the analyzer rejects missing or ambiguous names."""
+    found = [f.dataType for f in df.schema if f.name == name]
+    if len(found) == 1:
+        return found[0]
     return df.select(F.col(name)).schema[0].dataType
 
 

@@ -28,6 +28,7 @@ INHERITED = {
     "workflow": ("owner", "editor", "viewer"),
     "lineage": ("owner", "viewer"),
 }
+RELATIONS = ("owner", "admin", "editor", "viewer", "member")
 TENANT_PREFIX = "tenant:"
 
 
@@ -74,33 +75,49 @@ def effective_permissions(tuples: DataFrame) -> DataFrame:
     return held.select("user", granted.alias("relation"), "object_type", "object_id").distinct()
 
 
+def _mask(object_type: Column, relation: Column, table: dict[str, dict[str, tuple]]) -> Column:
+    """The relations a lookup table names, as a bit set over RELATIONS."""
+    expr = F.lit(0)
+    for kind, relations in table.items():
+        for name, values in relations.items():
+            bits = sum(1 << RELATIONS.index(v) for v in values)
+            expr = F.when((object_type == kind) & (relation == name), F.lit(bits)).otherwise(expr)
+    return expr
+
+
 def batch_check(requests: DataFrame, tuples: DataFrame) -> DataFrame:
     """Requests (request_id, user, relation, object_type, object_id) with an ``allowed`` flag.
 
-    Each request is turned into the few tuples that would grant it and those are looked
-    up, so the cost follows the requests and not the size of all permissions.
+    A request asks for two facts: a granting relation on the object itself, or an inherited
+    one on its tenant. Both are looked up by (user, object) with the held relations as a
+    bit set, so the cost follows the requests and not the size of all permissions.
     """
-    holders = _lookup(_holders_of(), F.col("object_type"), F.col("relation"))
-    wanted = requests.select(
-        "request_id", "user", F.col("object_type"), F.col("object_id"), F.explode(holders).alias("held")
-    )
-    parents = _parents(tuples)
-    carried = F.lit(False)
-    for kind, relations in INHERITED.items():
-        carried = carried | ((F.col("object_type") == kind) & F.col("held").isin(*relations))
-    through = wanted.where(carried).join(parents, ["object_type", "object_id"]).select(
-        "request_id", "user", F.lit("tenant").alias("object_type"), F.col("tenant_id").alias("object_id"), "held"
+    holders = _holders_of()
+    carried = {
+        kind: {r: tuple(h for h in held_by if h in INHERITED[kind]) for r, held_by in holders[kind].items()}
+        for kind in INHERITED
+    }
+    keys = ["request_id", "user", "relation", "object_type", "object_id"]
+    place = lambda kind, key, need: F.struct(kind.alias("kind"), key.alias("key"), need.alias("need"))
+    asked = F.col("object_type"), F.col("relation")
+    places = F.array(
+        place(F.col("object_type"), F.col("object_id"), _mask(*asked, holders)),
+        place(F.lit("tenant"), F.col("tenant_id"), _mask(*asked, carried)),
     )
-    facts = tuples.where(F.col("relation") != "parent").select(
-        "user", F.col("relation").alias("held"), "object_type", "object_id"
+    candidates = (
+        requests.select(*keys)
+        .join(_parents(tuples), ["object_type", "object_id"], "left")
+        .select(*keys, F.explode(places).alias("p"))
+        .select(*keys, "p.*")
     )
-    granted = (
-        wanted.unionByName(through)
-        .join(facts, ["user", "held", "object_type", "object_id"], "left_semi")
-        .select("request_id", F.lit(True).alias("allowed"))
-        .distinct()
+    bit = F.lit(0)
+    for position, name in enumerate(RELATIONS):
+        bit = F.when(F.col("relation") == name, F.lit(1 << position)).otherwise(bit)
+    facts = tuples.groupBy("user", F.col("object_type").alias("kind"), F.col("object_id").alias("key")).agg(
+        F.bit_or(bit).alias("held")
     )
-    return requests.join(granted, "request_id", "left").withColumn("allowed", F.coalesce("allowed", F.lit(False)))
+    met = F.coalesce(F.col("held").bitwiseAND(F.col("need")), F.lit(0)) != 0
+    return candidates.join(facts, ["user", "kind", "key"], "left").groupBy(*keys).agg(F.bool_or(met).alias("allowed"))
 
 
 def list_objects(tuples: DataFrame, user: str, relation: str, object_type: str) -> DataFrame:

@@ -112,18 +112,30 @@ def dataset_edges(events: DataFrame) -> DataFrame:
 
 
 def run_states(events: DataFrame) -> DataFrame:
-    """Latest event type, start, end and duration of every run."""
-    order = F.lit(0)
+    """Latest event type, start, end and duration of every run.
+
+    Time and event type are packed into one number, later types winning at the same
+    instant, so that all aggregates are numeric and stay in hash aggregation.
+    """
+    kinds = F.array(F.lit(None).cast("string"), *[F.lit(k) for k in EVENT_TYPES])
+    code = F.lit(0)
     for position, kind in enumerate(EVENT_TYPES, start=1):
-        order = F.when(F.col("event_type") == kind, F.lit(position)).otherwise(order)
+        code = F.when(F.col("event_type") == kind, F.lit(position)).otherwise(code)
+    micros = F.unix_micros(F.col("event_time").cast("timestamp"))
     ended = F.col("event_type").isin(*TERMINAL_TYPES)
     runs = events.groupBy("run_id").agg(
-        F.max_by("event_type", F.struct(F.col("event_time"), order.alias("o"))).alias("state"),
+        F.max(micros * 8 + code).alias("_last"),
         F.min(F.when(F.col("event_type") == "START", F.col("event_time"))).alias("started_at"),
         F.max(F.when(ended, F.col("event_time"))).alias("ended_at"),
     )
     seconds = F.timestamp_diff("MICROSECOND", F.col("started_at"), F.col("ended_at")).cast("double") / 1e6
-    return runs.withColumn("duration_seconds", seconds)
+    return runs.select(
+        "run_id",
+        F.get(kinds, F.pmod(F.col("_last"), F.lit(8)).cast("int")).alias("state"),
+        "started_at",
+        "ended_at",
+        seconds.alias("duration_seconds"),
+    )
 
 
 def downstream(edges: DataFrame, roots: DataFrame, max_depth: int = 0) -> DataFrame:

@@ -6,12 +6,15 @@ import time
 from collections.abc import Iterable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.operators.checks import Verdict, check_type, status_of
 from assayer.plans.catalog import Catalog
+from assayer.session import run_dir
+from assayer.sources.sinks import write_results
 from assayer.specs import CheckSpec, SpecError
 
 # Checks per aggregate. Wider ones outgrow what Spark compiles into one method.
@@ -54,57 +57,54 @@ def select_checks(
     ]
 
 
-def _result(spec: CheckSpec, executed_at: Column, **values: Column) -> Column:
-    known = {
-        "check_id": F.lit(spec.id),
-        "check_name": F.lit(spec.name or spec.id),
-        "check_type": F.lit(spec.type),
-        "table_name": F.lit(spec.target),
-        "column_name": F.lit(spec.column),
-        "severity": F.lit(spec.severity),
-        "executed_at": executed_at,
-        "tenant_id": F.lit(spec.tenant_id),
-        "datasource_id": F.lit(spec.datasource_id),
-        "stored": F.lit(True),
-        **values,
-    }
-    return F.struct(
-        *[known.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in RESULT_FIELDS.items()]
-    )
-
-
-def _judged(spec: CheckSpec, report: dict[str, Column], verdict: Verdict, executed_at: Column) -> Column:
+def _constants(spark: SparkSession, specs: list[CheckSpec], fixed: dict[int, tuple[str, str | None]]) -> DataFrame:
+    """What is known of every check without reading data: one local row per check.
+
+    ``fixed`` holds the status and error of checks that are not run.
+    """
+    rows = []
+    for i, s in enumerate(specs):
+        status, error = fixed.get(i, (None, None))
+        message = "check is inactive" if status == "skipped" else error and f"check execution failed: {error}"
+        rows.append(
+            {
+                "idx": i, "check_id": s.id, "check_name": s.name or s.id, "check_type": s.type, "table_name": s.target,
+                "column_name": s.column, "severity": s.severity, "tenant_id": s.tenant_id, "datasource_id": s.datasource_id,
+                "stored": status != "skipped", "fixed_status": status, "fixed_error": error, "fixed_message": message,
+            }
+        )
+    text = [n for n in rows[0] if n not in ("idx", "stored")]
+    schema = pa.schema([("idx", pa.int32()), ("stored", pa.bool_()), *[(n, pa.string()) for n in text]])
+    return spark.createDataFrame(pa.Table.from_pylist(rows, schema))
+
+
+def _measured(idx: int, report: dict[str, str], spec: CheckSpec, verdict: Verdict) -> Column:
+    """The part of a result that depends on data. ``report`` maps metric names to columns."""
     status, error = status_of(spec, verdict)
-    details = [x for name, col in report.items() for x in (F.lit(name), col.cast("string"))]
-    values = {
-        "status": status,
-        "error": error,
-        "actual_value": verdict.actual,
-        "details": F.create_map(*details),
-    }
-    for name, col in (
+    none = F.lit(None)
+    details = ", ".join(f"'{name}', string(`{column}`)" for name, column in report.items())
+    values = [
+        ("idx", F.lit(idx)),
+        ("status", status),
+        ("actual_value", verdict.actual),
         ("expected_value", verdict.expected),
-        ("message", verdict.message),
         ("actual_text", verdict.actual_text),
         ("expected_text", verdict.expected_text),
-    ):
-        if col is not None:
-            values[name] = col
-    return _result(spec, executed_at, **values)
+        ("details", F.expr(f"map({details})")),
+        ("message", verdict.message),
+        ("error", error),
+    ]
+    return F.named_struct(*[x for name, col in values for x in (F.lit(name), none if col is None else col)])
 
 
-def _error(spec: CheckSpec, message: str, executed_at: Column) -> Column:
-    return _result(
-        spec,
-        executed_at,
-        status=F.lit("error"),
-        error=F.lit(message),
-        message=F.lit(f"check execution failed: {message}"),
-    )
+MEASURED = (
+    "array<struct<idx:int,status:string,actual_value:double,expected_value:double,actual_text:string,"
+    "expected_text:string,details:map<string,string>,message:string,error:string>>"
+)
 
 
 def _rows(frame: DataFrame, structs: list[Column]) -> DataFrame:
-    return frame.select(F.inline(F.array(*structs)))
+    return frame.select(F.inline(F.array(*structs).cast(MEASURED)))
 
 
 def suite(specs: Iterable[CheckSpec], catalog: Catalog, executed_at: str | None = None) -> DataFrame:
@@ -119,51 +119,82 @@ def suite(specs: Iterable[CheckSpec], catalog: Catalog, executed_at: str | None
     if not specs:
         raise SpecError("no checks given")
     spark, ctx = catalog.spark, catalog.context()
-    now = F.lit(executed_at).cast("timestamp") if executed_at else F.current_timestamp()
     parts: list[DataFrame] = []
-    fixed: list[Column] = []
-    by_target: dict[str, list[CheckSpec]] = {}
-    for spec in specs:
+    fixed: dict[int, tuple[str, str | None]] = {}
+    by_target: dict[str, list[_Planned]] = {}
+    for i, spec in enumerate(specs):
         if not spec.active:
-            fixed.append(
-                _result(spec, now, status=F.lit("skipped"), message=F.lit("check is inactive"), stored=F.lit(False))
-            )
+            fixed[i] = ("skipped", None)
             continue
         try:
             kind = check_type(spec.type)
             target = catalog.resolve(spec.target) if spec.target or spec.type != "custom_sql" else None
             kind.validate(spec, target)
             if kind.fused:
-                # Built once here as well, so that a bad check cannot spoil the shared plan.
-                status_of(spec, kind.judge(spec, _report(kind, spec, target, "")))
-                by_target.setdefault(spec.target, []).append(spec)
+                by_target.setdefault(spec.target, []).append(_Planned(i, spec, kind.aggregates(spec, target)))
             else:
                 metrics = kind.frame(spec, target, ctx)
-                report = kind.report(spec, {n: F.col(n) for n in metrics.columns})
-                parts.append(_rows(metrics, [_judged(spec, report, kind.judge(spec, report), now)]))
+                one = _Planned(i, spec, {n: None for n in metrics.columns}, prefix="")
+                parts.append(_rows(metrics.select(*one.report_columns()), [one.result()]))
         except (SpecError, PySparkException) as exc:
-            fixed.append(_error(spec, str(exc).splitlines()[0], now))
+            fixed[i] = ("error", str(exc).splitlines()[0])
     for name, members in by_target.items():
         target = catalog.resolve(name)
         for start in range(0, len(members), FUSE_LIMIT):
-            parts.append(_fused(members[start : start + FUSE_LIMIT], target, now))
-    if fixed:
-        parts.append(_rows(spark.range(1), fixed))
-    return reduce(DataFrame.union, parts)
+            group = members[start : start + FUSE_LIMIT]
+            metrics = target.agg(*[col.alias(n) for one in group for n, col in one.metric_columns()])
+            reports = metrics.select(*[col for one in group for col in one.report_columns()])
+            parts.append(_rows(reports, [one.result() for one in group]))
+    return _complete(spark, specs, fixed, parts, executed_at)
 
 
-def _report(kind, spec: CheckSpec, target: DataFrame, prefix: str) -> dict[str, Column]:
-    return kind.report(spec, {n: F.col(prefix + n) for n in kind.aggregates(spec, target)})
+class _Planned:
+    """One check on its way through a shared plan, its columns kept apart by a prefix."""
 
+    def __init__(self, idx: int, spec: CheckSpec, aggregates: dict, prefix: str | None = None):
+        self.idx, self.spec, self.kind, self.aggregates = idx, spec, check_type(spec.type), aggregates
+        self.prefix = f"m{idx}_" if prefix is None else prefix
+        self._report = self.kind.report(spec, {n: F.col(self.prefix + n) for n in aggregates})
+        # Built now, so that a bad threshold shows before the plans are merged.
+        columns = {n: F.col(self._name(n)) for n in self._report}
+        self._result = _measured(idx, {n: self._name(n) for n in self._report}, spec, self.kind.judge(spec, columns))
 
-def _fused(specs: list[CheckSpec], target: DataFrame, now: Column) -> DataFrame:
-    metrics, structs = [], []
-    for i, spec in enumerate(specs):
-        kind, prefix = check_type(spec.type), f"m{i}_"
-        metrics += [col.alias(prefix + name) for name, col in kind.aggregates(spec, target).items()]
-        report = _report(kind, spec, target, prefix)
-        structs.append(_judged(spec, report, kind.judge(spec, report), now))
-    return _rows(target.agg(*metrics), structs)
+    def _name(self, metric: str) -> str:
+        return f"r{self.idx}_{metric}"
+
+    def metric_columns(self) -> list[tuple[str, Column]]:
+        return [(self.prefix + n, col) for n, col in self.aggregates.items()]
+
+    def report_columns(self) -> list[Column]:
+        return [col.alias(self._name(n)) for n, col in self._report.items()]
+
+    def result(self) -> Column:
+        return self._result
+
+
+def _complete(
+    spark: SparkSession, specs: list[CheckSpec], fixed: dict, parts: list[DataFrame], executed_at: str | None
+) -> DataFrame:
+    """Measured rows joined to what is known of each check, plus the checks that did not run.
+
+    The constants are one row per check of a list that lives in the driver anyway, so
+    broadcasting them is bounded.
+    """
+    now = F.lit(executed_at).cast("timestamp") if executed_at else F.current_timestamp()
+    known = _constants(spark, specs, fixed)
+
+    def shaped(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+        columns = {**columns, "executed_at": now}
+        return df.select(*[columns.get(n, F.col(n)).cast(t).alias(n) for n, t in RESULT_FIELDS.items()])
+
+    out = []
+    if parts:
+        out.append(shaped(reduce(DataFrame.union, parts).join(F.broadcast(known), "idx"), {}))
+    if fixed:
+        unknown = dict.fromkeys(("actual_value", "expected_value", "actual_text", "expected_text", "details"), F.lit(None))
+        stated = {n: F.col(f"fixed_{n}") for n in ("status", "message", "error")}
+        out.append(shaped(known.where(F.col("fixed_status").isNotNull()), {**unknown, **stated}))
+    return reduce(DataFrame.union, out)
 
 
 def execute(
@@ -175,19 +206,17 @@ def execute(
     raises inside custom SQL), each check runs on its own so that only the broken one
     turns into an ``error`` row. A repeated run id replaces its rows.
     """
-    from assayer.sources.sinks import write_results
-
-    specs = list(specs)
-    started = time.time()
+    specs, started = list(specs), time.time()
     try:
         write_results(suite(specs, catalog, executed_at), path, run_id, started)
     except Exception:  # noqa: BLE001 - any engine failure switches to one check at a time
-        now = F.lit(executed_at).cast("timestamp") if executed_at else F.current_timestamp()
-        for i, spec in enumerate(specs):
-            began = time.time()
+        stage = run_dir(catalog.spark, "isolated")
+        for spec in specs:
+            rows = suite([spec], catalog, executed_at)
             try:
-                write_results(suite([spec], catalog, executed_at), path, run_id, began, append=i > 0)
+                rows.write.mode("append").parquet(stage)
             except Exception as exc:  # noqa: BLE001
-                row = _rows(catalog.spark.range(1), [_error(spec, str(exc).splitlines()[0], now)])
-                write_results(row, path, run_id, began, append=i > 0)
+                reason = {0: ("error", str(exc).splitlines()[0])}
+                _complete(catalog.spark, [spec], reason, [], executed_at).write.mode("append").parquet(stage)
+        write_results(catalog.spark.read.parquet(stage), path, run_id, started)
     return catalog.spark.read.parquet(path).where(F.col("run_id") == run_id)

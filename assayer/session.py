@@ -29,6 +29,8 @@ def local_session(cpus: int | str = 8, name: str = "assayer", **conf: str) -> Sp
         "spark.sql.shuffle.partitions": str(cpus),
         "spark.driver.memory": "8g",
         "spark.ui.showConsoleProgress": "false",
+        # Recording the Python call site of every Column operation dominates plan building.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
     }
     for key, value in settings.items():

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import time
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +23,8 @@ def replace_partitions(df: DataFrame, path: str, partition_by: list[str]) -> Non
     )
 
 
-def write_results(results: DataFrame, path: str, run_id: str, started: float, append: bool = False) -> None:
-    """Append the rows of one run, without skipped checks, partitioned by run.
+def write_results(results: DataFrame, path: str, run_id: str, started: float) -> None:
+    """Write the rows of one run, without skipped checks, in place of an earlier try of the run.
 
     Results are a handful of rows, so they are written as one file per run.
     """
@@ -37,17 +35,10 @@ def write_results(results: DataFrame, path: str, run_id: str, started: float, ap
         .withColumn("run_id", F.lit(run_id))
         .coalesce(1)
     )
-    if append:
-        append_table(table, path, ["run_id"])
-    else:
-        replace_partitions(table, path, ["run_id"])
+    replace_partitions(table, path, ["run_id"])
 
 
 def write_dated(df: DataFrame, path: str, time_column: str, tenant_column: str | None = None) -> None:
     """Append events or history under (tenant, date) folders, so that both prune."""
     dated = df.withColumn("event_date", F.to_date(F.col(time_column)))
     append_table(dated, path, [c for c in (tenant_column, "event_date") if c])
-
-
-def elapsed_ms(started: float) -> int:
-    return int((time.time() - started) * 1000)

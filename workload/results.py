@@ -1,7 +1,7 @@
 """Result, execution and alert queries over operational tables derived from the given ones.
 
 check results   one per event: the user is the check, the event type its status
-checks          one per customer: tenant = nation, severity from the market segment
+checks          one per customer: fifteen customers to a tenant, ten to a datasource
 executions      one per order: the customer is the schedule, its line items the requested checks
 schedules       one per customer, alerting two channels
 channels        one per supplier: type, minimum severity and settings follow from its keys
@@ -22,7 +22,7 @@ RESULTS_SQL = """
                 WHEN 'error' THEN 'failed' ELSE 'error' END AS status
     FROM events"""
 CHECKS_SQL = """
-    SELECT 'check-' || c_custkey AS check_id, 'tenant-' || c_nationkey AS tenant_id, 'ds-' || (c_custkey % 40) AS datasource_id,
+    SELECT 'check-' || c_custkey AS check_id, 'tenant-' || (c_custkey // 15) AS tenant_id, 'ds-' || (c_custkey // 10) AS datasource_id,
            c_acctbal > 0 AS active,
            CASE c_mktsegment WHEN 'MACHINERY' THEN 'critical' WHEN 'BUILDING' THEN 'high' WHEN 'AUTOMOBILE' THEN 'medium'
                 WHEN 'FURNITURE' THEN 'low' ELSE 'info' END AS severity
@@ -51,17 +51,17 @@ SUMMARY_SQL = f"""
         FROM ({RUN_RESULTS_SQL}) GROUP BY 1
     ) r ON q.execution_id = r.execution_id"""
 CHANNELS_SQL = """
-    SELECT 'ch-' || s_suppkey AS channel_id, 'tenant-' || s_nationkey AS tenant_id, s_acctbal > 0 AS active,
+    SELECT 'ch-' || s_suppkey AS channel_id, 'tenant-' || (s_suppkey // 2) AS tenant_id, s_acctbal > 0 AS active,
            ['email', 'slack', 'webhook', 'pagerduty', 'msteams', 'opsgenie', 'pigeon'][1 + s_suppkey % 7] AS channel_type,
            ['critical', 'high', 'medium', 'low', 'info', 'whatever'][1 + s_suppkey % 6] AS min_severity,
            CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE 'https://hooks.example.com/' || s_suppkey END AS setting
     FROM supplier"""
 ALERTS_SQL = f"""
     SELECT e.execution_id || ':' || ch AS alert_id, ch AS channel_id, e.execution_id, o_custkey AS schedule_id,
-           'tenant-' || c_nationkey AS tenant_id, 'Data Quality Check Failures - ' || c_name AS title,
+           'tenant-' || (o_custkey // 15) AS tenant_id, 'Data Quality Check Failures - ' || c_name AS title,
            failed_checks || ' of ' || total_checks || ' checks failed' AS message, max_failed_severity, o_orderdate AS started_at
     FROM (
-        SELECT s.*, o_custkey, o_orderdate, c_nationkey, c_name,
+        SELECT s.*, o_custkey, o_orderdate, c_name,
                UNNEST(['ch-' || (c_custkey % 10), 'ch-' || (c_custkey % 97)]) AS ch
         FROM ({SUMMARY_SQL}) s JOIN orders ON execution_id = o_orderkey JOIN customer ON o_custkey = c_custkey
         WHERE failed_checks > 0
@@ -80,6 +80,10 @@ def check_results(spark, sf_dir):
     )
 
 
+def tenant_of(key, size=15):
+    return F.concat(F.lit("tenant-"), F.floor(F.col(key) / size))
+
+
 def checks(spark, sf_dir):
     segment = F.col("c_mktsegment")
     severity = (
@@ -88,8 +92,8 @@ def checks(spark, sf_dir):
     )
     return table(spark, sf_dir, "customer").select(
         F.concat(F.lit("check-"), "c_custkey").alias("check_id"),
-        F.concat(F.lit("tenant-"), "c_nationkey").alias("tenant_id"),
-        F.concat(F.lit("ds-"), F.col("c_custkey") % 40).alias("datasource_id"),
+        tenant_of("c_custkey").alias("tenant_id"),
+        F.concat(F.lit("ds-"), F.floor(F.col("c_custkey") / 10)).alias("datasource_id"),
         (F.col("c_acctbal") > 0).alias("active"),
         severity.alias("severity"),
     )
@@ -121,7 +125,7 @@ def schedules(spark, sf_dir):
     channel = lambda n: F.concat(F.lit("ch-"), F.col("c_custkey") % n)
     return table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("schedule_id"), F.col("c_name").alias("name"),
-        F.concat(F.lit("tenant-"), "c_nationkey").alias("tenant_id"),
+        tenant_of("c_custkey").alias("tenant_id"),
         F.array(channel(10), channel(97)).alias("alert_channel_ids"),
     )
 
@@ -132,7 +136,7 @@ def channels(spark, sf_dir):
     setting = F.when(key % 5 == 0, "").otherwise(F.concat(F.lit("https://hooks.example.com/"), key))
     names = [name for name, _ in alerts.REQUIRED_SETTING.values()]
     return table(spark, sf_dir, "supplier").select(
-        F.concat(F.lit("ch-"), key).alias("channel_id"), F.concat(F.lit("tenant-"), "s_nationkey").alias("tenant_id"),
+        F.concat(F.lit("ch-"), key).alias("channel_id"), tenant_of("s_suppkey", 2).alias("tenant_id"),
         (F.col("s_acctbal") > 0).alias("active"),
         pick(["email", "slack", "webhook", "pagerduty", "msteams", "opsgenie", "pigeon"]).alias("type"),
         pick(["critical", "high", "medium", "low", "info", "whatever"]).alias("min_severity"),
@@ -205,9 +209,9 @@ def result_recent_active(spark, sf_dir):
     return results.recent_results(checks(spark, sf_dir), check_results(spark, sf_dir), 10, "result_id")
 
 
-@query("result_scoped", f"SELECT * FROM ({CHECKS_SQL}) WHERE tenant_id = 'tenant-7' AND datasource_id = 'ds-3'")
+@query("result_scoped", f"SELECT * FROM ({CHECKS_SQL}) WHERE tenant_id = 'tenant-7' AND datasource_id = 'ds-11'")
 def result_scoped(spark, sf_dir):
-    return results.scoped(checks(spark, sf_dir), "tenant-7", "ds-3")
+    return results.scoped(checks(spark, sf_dir), "tenant-7", "ds-11")
 
 
 # --------------------------------------------------------------------------- executions
@@ -221,8 +225,8 @@ def execution_summary(spark, sf_dir):
 @query(
     "execution_requested_checks",
     f"""
-    WITH s AS (SELECT c_custkey AS schedule_id, CASE WHEN c_custkey % 3 = 0 THEN 'ds-' || (c_custkey % 40) ELSE '' END AS datasource_id,
-                      CASE WHEN c_custkey % 2 = 0 THEN 'tenant-' || c_nationkey ELSE '' END AS tenant_id,
+    WITH s AS (SELECT c_custkey AS schedule_id, CASE WHEN c_custkey % 3 = 0 THEN 'ds-' || (c_custkey // 10) ELSE '' END AS datasource_id,
+                      CASE WHEN c_custkey % 2 = 0 THEN 'tenant-' || (c_custkey // 15) ELSE '' END AS tenant_id,
                       ['check-' || c_custkey, 'check-' || (c_custkey + 1), 'check-' || c_custkey] AS check_ids FROM customer)
     SELECT o_orderkey AS execution_id, s.schedule_id, UNNEST(check_ids) AS check_id
     FROM orders JOIN s ON o_custkey = s.schedule_id WHERE datasource_id = ''
@@ -237,8 +241,8 @@ def execution_requested_checks(spark, sf_dir):
     named = lambda k: F.concat(F.lit("check-"), k)
     plans = table(spark, sf_dir, "customer").select(
         key.alias("schedule_id"),
-        F.when(key % 3 == 0, F.concat(F.lit("ds-"), key % 40)).otherwise("").alias("datasource_id"),
-        F.when(key % 2 == 0, F.concat(F.lit("tenant-"), "c_nationkey")).otherwise("").alias("tenant_id"),
+        F.when(key % 3 == 0, F.concat(F.lit("ds-"), F.floor(key / 10))).otherwise("").alias("datasource_id"),
+        F.when(key % 2 == 0, tenant_of("c_custkey")).otherwise("").alias("tenant_id"),
         F.array(named(key), named(key + 1), named(key)).alias("check_ids"),
     )
     runs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("execution_id"), F.col("o_custkey").alias("schedule_id"))
