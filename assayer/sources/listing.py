@@ -48,10 +48,18 @@ def _any_case(extension: str) -> str:
     return "*." + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in extension)
 
 
-def row_counts(spark: SparkSession, path: str, recursive: bool = True, formats: tuple[str, ...] = COUNTED_FORMATS) -> DataFrame:
+def row_counts(
+    spark: SparkSession,
+    path: str,
+    recursive: bool = True,
+    formats: tuple[str, ...] = COUNTED_FORMATS,
+    csv_multiline: bool = False,
+) -> DataFrame:
     """Rows of every readable file under a path: one job for all files and formats.
 
-    No data columns are read. Files without rows are reported with 0.
+    No data columns are read. Files without rows are reported with 0. CSV files are split
+    by lines over many tasks; ``csv_multiline`` reads each in one task instead, which files
+    with line breaks inside quotes need.
     """
     parts = []
     for extension, kind in FILE_FORMATS.items():
@@ -64,7 +72,7 @@ def row_counts(spark: SparkSession, path: str, recursive: bool = True, formats:
         )
         # A fixed schema keeps text formats from being read once more for inference.
         if kind == "csv":
-            reader = reader.schema("first string").option("header", "true")
+            reader = reader.schema("first string").option("header", "true").option("multiLine", str(csv_multiline).lower())
         elif kind == "json":
             reader = reader.schema("first string").option("multiLine", "true")
         elif kind == "jsonl":
