@@ -14,6 +14,9 @@ PRODUCER = "assayer"
 SCHEMA_URL = "https://openlineage.io/spec/2-0-2/OpenLineage.json"
 ERROR_FACET_URL = "https://openlineage.io/spec/facets/1-0-0/ErrorMessageRunFacet.json"
 
+# Hops after which the visited nodes are written as one table again, so that plans of deep graphs stay small.
+COMPACT_EVERY = 16
+
 DATASETS = "array<struct<namespace:string,name:string,facets:string>>"
 
 
@@ -175,4 +178,6 @@ def _reach(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
         fresh = steps.join(reached, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth))
         frontier = _written(fresh, "frontier")
         reached = reached.unionByName(frontier)
+        if depth % COMPACT_EVERY == 0:
+            reached = _written(reached, "reached")
     return reached

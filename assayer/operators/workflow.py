@@ -13,7 +13,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,48 +119,46 @@ class Automaton:
     """A workflow as arrays: next state and acceptance per (event code, state)."""
 
     def __init__(self, workflow: Workflow):
-        self.workflow = workflow
         self.states = workflow.states
-        self.events = workflow.events
+        self.events = pa.array(workflow.events, pa.string())
         self.initial = self.states.index(workflow.initial)
         size = len(self.states)
         # One more row for events the workflow does not know: they are refused.
-        self.step = np.tile(np.arange(size, dtype=np.int16), (len(self.events) + 1, 1))
+        self.step = np.tile(np.arange(size), (len(self.events) + 1, 1))
         self.accepts = np.zeros((len(self.events) + 1, size), dtype=bool)
         for event, sources, target in workflow.transitions:
+            code = workflow.events.index(event)
             for source in sources:
-                self.step[self.events.index(event), self.states.index(source)] = self.states.index(target)
-                self.accepts[self.events.index(event), self.states.index(source)] = True
-
-    def codes(self, events: pd.Series) -> np.ndarray:
-        codes = pd.Categorical(events, categories=self.events).codes.astype(np.int64)
-        return np.where(codes < 0, len(self.events), codes)
-
-
-def _fold(machine: Automaton, codes: np.ndarray, starts: np.ndarray):
-    """State after, acceptances and first refusal per segment and start state.
-
-    ``starts`` are the first positions of the segments. Prefix compositions are built by
-    doubling, so the Python work is logarithmic in the number of events.
-    """
-    n, size = len(codes), len(machine.states)
-    segment_start = np.repeat(starts, np.diff(np.append(starts, n)))
-    position = np.arange(n)
-    after = machine.step[codes].astype(np.int64)
-    reach = 1
-    longest = int(np.max(np.diff(np.append(starts, n))))
-    while reach < longest:
-        rows = np.nonzero(position - reach >= segment_start)[0]
-        after[rows] = np.take_along_axis(after[rows], after[rows - reach], axis=1)
-        reach *= 2
-    before = np.empty_like(after)
-    before[1:] = after[:-1]
-    before[starts] = np.arange(size)
-    accepted = np.take_along_axis(machine.accepts[codes], before, axis=1)
-    counts = np.add.reduceat(accepted.astype(np.int64), starts, axis=0)
-    refused_at = np.minimum.reduceat(np.where(accepted, n, position[:, None]), starts, axis=0)
-    last = np.append(starts[1:], n) - 1
-    return after[last], counts, np.where(refused_at == n, -1, refused_at)
+                self.step[code, self.states.index(source)] = self.states.index(target)
+                self.accepts[code, self.states.index(source)] = True
+
+    def codes(self, events: pa.Array) -> np.ndarray:
+        known = pc.index_in(events, value_set=self.events)
+        return pc.fill_null(known, len(self.events)).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def fold(self, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """State after, acceptances and first refused position per segment and start state.
+
+        ``starts`` are the first positions of the segments. Prefix compositions are built
+        by doubling, so the Python work is logarithmic in the number of events.
+        """
+        n, size = len(codes), len(self.states)
+        lengths = np.diff(np.append(starts, n))
+        segment_start = np.repeat(starts, lengths)
+        position = np.arange(n)
+        after = self.step[codes]
+        reach = 1
+        while reach < lengths.max():
+            rows = np.nonzero(position - reach >= segment_start)[0]
+            after[rows] = np.take_along_axis(after[rows], after[rows - reach], axis=1)
+            reach *= 2
+        before = np.empty_like(after)
+        before[1:] = after[:-1]
+        before[starts] = np.arange(size)
+        accepted = np.take_along_axis(self.accepts[codes], before, axis=1)
+        counts = np.add.reduceat(accepted.astype(np.int64), starts, axis=0)
+        refused_at = np.minimum.reduceat(np.where(accepted, n, position[:, None]), starts, axis=0)
+        return after[starts + lengths - 1], counts, refused_at
 
 
 STRETCH = (
@@ -168,72 +167,66 @@ STRETCH = (
 )
 
 
-class _Stretch:
-    """What one task knows about one entity: the fold of consecutive events."""
-
-    __slots__ = ("entity", "first_ts", "first_id", "total", "state", "accepted", "refused")
-
-    def __init__(self, entity, first_ts, first_id, total, state, accepted, refused):
-        self.entity, self.first_ts, self.first_id, self.total = entity, first_ts, first_id, total
-        self.state, self.accepted, self.refused = state, accepted, refused
-
-    def then(self, later: _Stretch) -> _Stretch:
-        via = self.state
-        refused = [a if a is not None else later.refused[s] for a, s in zip(self.refused, via)]
-        return _Stretch(
-            self.entity, self.first_ts, self.first_id, self.total + later.total,
-            later.state[via], self.accepted + later.accepted[via], refused,
-        )
-
-
-def _stretches(machine: Automaton, pdf: pd.DataFrame) -> list[_Stretch]:
-    """Folds of a frame sorted by (entity, ts, event_id)."""
-    codes = machine.codes(pdf["event"])
-    entity = pdf["entity"].to_numpy(dtype=object)
-    change = np.append(True, entity[1:] != entity[:-1])
-    starts = np.nonzero(change)[0]
-    state, accepted, refused_at = _fold(machine, codes, starts)
-    sizes = np.diff(np.append(starts, len(pdf)))
-    names = np.append(pdf["event"].to_numpy(dtype=object), None)
-    refused = names[np.where(refused_at < 0, len(pdf), refused_at)]
-    ts, ids = pdf["ts"].to_numpy(), pdf["event_id"].to_numpy()
-    return [
-        _Stretch(entity[s], ts[s], ids[s], int(sizes[i]), state[i], accepted[i], list(refused[i]))
-        for i, s in enumerate(starts)
-    ]
-
-
-def _frame(stretches: list[_Stretch]) -> pd.DataFrame:
-    return pd.DataFrame(
+def _stretches(machine: Automaton, batch: pa.RecordBatch) -> pa.RecordBatch:
+    """One row per entity of a batch sorted by (entity, ts, event_id): the fold of its events."""
+    n = batch.num_rows
+    entity, event = batch.column("entity"), batch.column("event")
+    group = pc.fill_null(entity.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+    starts = np.nonzero(np.append(True, group[1:] != group[:-1]))[0]
+    state, accepted, refused_at = machine.fold(machine.codes(event), starts)
+    first = pa.array(starts)
+    flat = refused_at.ravel()
+    offsets = pa.array(np.arange(len(starts) + 1) * len(machine.states), pa.int32())
+    lists = lambda values: pa.ListArray.from_arrays(offsets, values)
+    return pa.RecordBatch.from_pydict(
         {
-            "entity": [s.entity for s in stretches],
-            "first_ts": pd.Series([s.first_ts for s in stretches], dtype="datetime64[us]"),
-            "first_id": [int(s.first_id) for s in stretches],
-            "total": [s.total for s in stretches],
-            "next_states": [s.state.astype(np.int32) for s in stretches],
-            "accepted": [s.accepted for s in stretches],
-            "refused": [s.refused for s in stretches],
+            "entity": entity.take(first),
+            "first_ts": batch.column("ts").take(first),
+            "first_id": batch.column("event_id").take(first),
+            "total": pa.array(np.diff(np.append(starts, n))),
+            "next_states": lists(pa.array(state.ravel(), pa.int32())),
+            "accepted": lists(pa.array(accepted.ravel())),
+            "refused": lists(event.take(pa.array(flat, mask=flat == n))),
         }
     )
 
 
+def _then(earlier: pa.RecordBatch, later: pa.RecordBatch) -> pa.RecordBatch:
+    """Two consecutive stretches of one entity as one."""
+    a, b = earlier.to_pylist()[0], later.to_pylist()[0]
+    via = a["next_states"]
+    joined = {
+        **a,
+        "total": a["total"] + b["total"],
+        "next_states": [b["next_states"][s] for s in via],
+        "accepted": [n + b["accepted"][s] for n, s in zip(a["accepted"], via)],
+        "refused": [r if r is not None else b["refused"][s] for r, s in zip(a["refused"], via)],
+    }
+    return pa.RecordBatch.from_pylist([joined], schema=earlier.schema)
+
+
 def _fold_partition(workflow: Workflow):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = Automaton(workflow)
-        open_stretch: _Stretch | None = None
-        for pdf in frames:
-            if not len(pdf):
+        held: pa.RecordBatch | None = None
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            found = _stretches(machine, pdf)
-            if open_stretch is not None and open_stretch.entity == found[0].entity:
-                found[0] = open_stretch.then(found[0])
-            elif open_stretch is not None:
-                found.insert(0, open_stretch)
-            open_stretch = found.pop()
-            if found:
-                yield _frame(found)
-        if open_stretch is not None:
-            yield _frame([open_stretch])
+            found = _stretches(machine, batch)
+            if held is not None and held.column("entity")[0] == found.column("entity")[0]:
+                head, found = _then(held, found.slice(0, 1)), found.slice(1)
+                if not found.num_rows:
+                    held = head
+                    continue
+                yield head
+            elif held is not None:
+                yield held
+            # The last entity may go on in the next batch.
+            held = found.slice(found.num_rows - 1)
+            if found.num_rows > 1:
+                yield found.slice(0, found.num_rows - 1)
+        if held is not None:
+            yield held
 
     return run
 
@@ -255,7 +248,7 @@ def replay(log: DataFrame, workflow: Workflow, partitions: int | None = None) ->
     )
     order = ["entity", "ts", "event_id"]
     spread = slim.repartitionByRange(partitions, *order) if partitions else slim.repartitionByRange(*order)
-    stretches = spread.sortWithinPartitions(*order).mapInPandas(_fold_partition(workflow), STRETCH)
+    stretches = spread.sortWithinPartitions(*order).mapInArrow(_fold_partition(workflow), STRETCH)
     return _chain(stretches, workflow)
 
 

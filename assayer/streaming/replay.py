@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from assayer.operators.workflow import Automaton, Workflow, _stretches
+from assayer.operators.workflow import Automaton, Workflow
 
 OUTPUT = "entity string, state string, accepted long, rejected long"
-STATE = "state int, accepted long, rejected long"
+STATE = "state int, accepted long, total long"
 
 
 def replay_stream(log: DataFrame, workflow: Workflow) -> DataFrame:
@@ -26,15 +28,14 @@ def replay_stream(log: DataFrame, workflow: Workflow) -> DataFrame:
 
     def advance(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         machine = Automaton(workflow)
-        state, accepted, rejected = held.get if held.exists else (machine.initial, 0, 0)
+        state, accepted, total = held.get if held.exists else (machine.initial, 0, 0)
         rows = pd.concat(list(frames)).sort_values(["ts", "event_id"], kind="stable")
-        stretch = _stretches(machine, rows)[0]
-        accepted += int(stretch.accepted[state])
-        rejected += stretch.total - int(stretch.accepted[state])
-        state = int(stretch.state[state])
-        held.update((state, accepted, rejected))
+        codes = machine.codes(pa.array(rows["event"], pa.string()))
+        after, counts, _ = machine.fold(codes, np.array([0]))
+        accepted, total, state = accepted + int(counts[0, state]), total + len(rows), int(after[0, state])
+        held.update((state, accepted, total))
         yield pd.DataFrame(
-            {"entity": [key[0]], "state": [machine.states[state]], "accepted": [accepted], "rejected": [rejected]}
+            {"entity": [key[0]], "state": [machine.states[state]], "accepted": [accepted], "rejected": [total - accepted]}
         )
 
     slim = log.select(F.col("entity").cast("string").alias("entity"), "event", "ts", "event_id")
