@@ -31,6 +31,7 @@ from assayer.functions.expressions import (
     zero_if_null,
 )
 from assayer.functions.formats import VALUE_FORMATS, matches_format
+from assayer.operators.skew import broadcastable
 from assayer.specs import CheckSpec, SpecError, THRESHOLD_OPERATORS
 
 
@@ -495,10 +496,12 @@ class Uniqueness(CheckType):
 class ReferentialIntegrity(CheckType):
     """Child keys that occur in a reference column.
 
-    Both sides are reduced to (key, child rows, reference rows) by one aggregation over
-    their union instead of a join: duplicate reference keys cannot fan out, a hot key
-    collapses before the shuffle, and neither side has to fit in memory. ``joined``
-    counts what a left join would return; ``child`` counts every child row once.
+    The reference is reduced to (key, rows) first, so duplicate reference keys never fan
+    out. When that is small by Spark's estimate the child rows are joined to it where they
+    are read and nothing of the child is shuffled. Otherwise both sides meet in one
+    aggregation over their union, where a hot key collapses before the shuffle and neither
+    side has to fit in memory. ``joined`` counts what a left join would return; ``child``
+    counts every child row once.
     """
 
     name = "referential_integrity"
@@ -519,22 +522,23 @@ class ReferentialIntegrity(CheckType):
         if isinstance(child_type, T.StringType) != isinstance(ref_type, T.StringType):
             raise SpecError(f"cannot compare {child_type.simpleString()} with {ref_type.simpleString()}")
         one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-        children = target.select(F.col(spec.column).alias("key"), one.alias("c"), none.alias("r"))
-        keys = reference.select(F.col(p.reference_column).alias("key"), none.alias("c"), one.alias("r"))
-        groups = (
-            children.union(keys.where(F.col("key").isNotNull()))
-            .groupBy("key")
-            .agg(F.sum("c").alias("c"), F.sum("r").alias("r"))
-        )
+        children = target.select(F.col(spec.column).alias("key"))
+        keys = reference.select(F.col(p.reference_column).alias("key")).where(F.col("key").isNotNull())
+        if broadcastable(keys):
+            counts = keys.groupBy("key").agg(count_rows().alias("found"))
+            pairs = children.join(counts, "key", "left").select(one.alias("c"), F.coalesce("found", none).alias("r"))
+        else:
+            both = children.select("key", one.alias("c"), none.alias("r")).union(
+                keys.select("key", none.alias("c"), one.alias("r"))
+            )
+            pairs = both.groupBy("key").agg(F.sum("c").alias("c"), F.sum("r").alias("r"))
         if p.count_mode == "joined":
             total = F.sum(F.col("c") * F.greatest(F.col("r"), one))
             matched = F.sum(F.col("c") * F.col("r"))
         else:
             total = F.sum("c")
             matched = F.sum(F.when(F.col("r") > 0, F.col("c")).otherwise(none))
-        return groups.agg(
-            zero_if_null(total).alias("total_count"), zero_if_null(matched).alias("matched_count")
-        )
+        return pairs.agg(zero_if_null(total).alias("total_count"), zero_if_null(matched).alias("matched_count"))
 
     def report(self, spec, m):
         return {

@@ -13,6 +13,18 @@ from assayer.specs import SpecError
 MAP_SIDE_TOP_K = 1000
 
 
+def broadcastable(df: DataFrame) -> bool:
+    """Whether Spark's own size estimate puts a frame under its broadcast threshold.
+
+    Unknown sizes count as too large, and so does everything when broadcasting is off.
+    """
+    if not hasattr(df, "_jdf"):  # a remote session shows no estimates
+        return False
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size <= limit
+
+
 def hot_keys(df: DataFrame, keys: list[str], share: float) -> DataFrame:
     """Keys holding at least ``share`` of the rows: never more than 1/share of them."""
     if not 0 < share <= 1:

@@ -151,7 +151,9 @@ def test_set_values_take_the_column_type(catalog):
     assert quoted.first().valid_count == 0
 
 
-def test_referential_counts_match_a_left_join(spark, people):
+@pytest.mark.parametrize("threshold", ["10MB", "-1"])
+def test_referential_counts_match_a_left_join(spark, people, threshold):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     keys = spark.createDataFrame([(1,), (2,), (2,), (7,), (None,)], "k bigint")
     tables = Catalog(spark, {"people": people, "keys": keys})
     joined = people.join(keys, people.id == keys.k, "left")
@@ -161,6 +163,7 @@ def test_referential_counts_match_a_left_join(spark, people):
         spec("referential_integrity", column="id", reference_table="keys", reference_column="k", count_mode="child"), people, tables.context()
     ).first()
     assert (child.total_count, child.matched_count, child.orphan_count) == (4, 3, 1)
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_referential_errors(catalog):

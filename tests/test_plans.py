@@ -36,10 +36,23 @@ def test_distinct_checks_do_not_expand(spark):
     assert "Expand" not in plan and "CartesianProduct" not in plan
 
 
-def test_referential_check_has_no_join(spark):
-    plan = plan_of(QUERIES["check_referential_fan_out"](spark, DATA))
-    assert "Join" not in plan
-    assert plan.count("Exchange hashpartitioning") == 1
+def test_referential_check_never_shuffles_a_child_with_a_small_reference(spark):
+    plan = plan_of(QUERIES["check_referential_clean"](spark, DATA))
+    assert "BroadcastHashJoin" in plan
+    assert plan.count("Exchange hashpartitioning") == 1  # the reference keys
+
+
+def test_large_referential_check_is_one_aggregation(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(QUERIES["check_referential_fan_out"](spark, DATA))
+        row = QUERIES["check_referential_fan_out"](spark, DATA).first()
+        child = QUERIES["check_referential_child_mode"](spark, DATA).first()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert (row.total_count, row.matched_count) == (60257, 60000)
+    assert (child.total_count, child.matched_count) == (15000, 14743)
 
 
 def test_filters_and_columns_reach_the_scan(spark):

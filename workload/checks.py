@@ -436,9 +436,6 @@ def suite_sequential(spark, sf_dir):
     return out
 
 
-EDGE_VIEW_SQL = "(SELECT * FROM lineitem WHERE l_quantity < 0)"
-
-
 @query(
     "suite_empty_table",
     """
