@@ -87,19 +87,35 @@ def _plain(value) -> str:
     return str(value)
 
 
+def _ntz_epoch() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
+def epoch_micros(col: Column, data_type: T.DataType) -> Column:
+    """Microseconds since 1970 in UTC; values without zone count as UTC."""
+    if isinstance(data_type, T.TimestampType):
+        return F.unix_micros(col)
+    return F.timestamp_diff("MICROSECOND", _ntz_epoch(), col.cast("timestamp_ntz"))
+
+
+def as_instant(col: Column, data_type: T.DataType) -> Column:
+    """A date or timestamp as an instant, whatever the session's time zone."""
+    return col if isinstance(data_type, T.TimestampType) else F.timestamp_micros(epoch_micros(col, data_type))
+
+
 def utc_instant(col: Column, data_type: T.DataType) -> Column:
-    """A timestamp column as a zone-free UTC value. Zone-free input already counts as UTC."""
-    if isinstance(data_type, T.TimestampNTZType):
-        return col
-    if isinstance(data_type, T.DateType):
+    """A date or timestamp as a zone-free UTC value, whatever the session's time zone."""
+    if not isinstance(data_type, T.TimestampType):
         return col.cast("timestamp_ntz")
-    return F.convert_timezone(None, F.lit("UTC"), col.cast("timestamp_ntz"))
+    seconds = F.unix_micros(col).cast("decimal(20,0)") / F.lit(1000000).cast("decimal(7,0)")
+    zero = F.lit(0)
+    return _ntz_epoch() + F.make_dt_interval(zero, zero, zero, seconds.cast("decimal(18,6)"))
 
 
 def utc_now(as_of: str | None) -> Column:
     if as_of:
         return F.lit(as_of).cast("timestamp_ntz")
-    return F.convert_timezone(None, F.lit("UTC"), F.current_timestamp().cast("timestamp_ntz"))
+    return utc_instant(F.current_timestamp(), T.TimestampType())
 
 
 def hours_between(start: Column, end: Column) -> Column:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assayer.functions import severity as sev
+from assayer.functions.expressions import as_instant, utc_instant
 from assayer.operators.skew import top_k
 
 # Public endpoints of the two hosted services.
@@ -45,7 +47,7 @@ def failure_alerts(executions: DataFrame, schedules: DataFrame, severity: str =
         F.create_map(
             F.lit("summary"), summary, F.lit("schedule"), F.col("schedule"), F.lit("executed_at"), F.col("started_at").cast("string")
         ).alias("details"),
-        F.col("started_at").cast("timestamp").alias("timestamp"),
+        as_instant(F.col("started_at"), executions.schema["started_at"].dataType).alias("timestamp"),
     ).withColumn("alert_id", F.concat_ws(":", "execution_id", "channel_id"))
 
 
@@ -177,7 +179,7 @@ def _email() -> Column:
 
 
 def _rfc3339() -> Column:
-    return F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ssXXX")
+    return F.date_format(utc_instant(F.col("timestamp"), T.TimestampType()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 def deliveries(routed: DataFrame) -> DataFrame:

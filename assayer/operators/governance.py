@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from assayer.functions.expressions import utc_instant, utc_now
+from assayer.functions.expressions import as_instant, utc_now
 from assayer.specs import SpecError
 
 # Rules of the standard policy templates.
@@ -72,15 +73,20 @@ def contains_personal_data(col: Column) -> Column:
     return col.rlike(EMAIL_PATTERN)
 
 
+def _retention_bound(df: DataFrame, column: str, days: int, as_of: str | None) -> Column:
+    """The oldest moment to keep, in the column's own type, so that the filter reaches the scan."""
+    bound = utc_now(as_of) - F.make_dt_interval(F.lit(days))
+    is_instant = isinstance(df.schema[column].dataType, T.TimestampType)
+    return as_instant(bound, T.TimestampNTZType()) if is_instant else bound
+
+
 def within_retention(df: DataFrame, column: str, days: int, as_of: str | None = None) -> DataFrame:
     """Rows young enough to keep. The bound is a constant, so it prunes files and row groups."""
-    bound = utc_now(as_of) - F.make_dt_interval(F.lit(days))
-    return df.where(utc_instant(F.col(column), df.schema[column].dataType) >= bound)
+    return df.where(F.col(column) >= _retention_bound(df, column, days, as_of))
 
 
 def past_retention(df: DataFrame, column: str, days: int, as_of: str | None = None) -> DataFrame:
-    bound = utc_now(as_of) - F.make_dt_interval(F.lit(days))
-    return df.where(utc_instant(F.col(column), df.schema[column].dataType) < bound)
+    return df.where(F.col(column) < _retention_bound(df, column, days, as_of))
 
 
 def _glob(pattern: Column) -> Column:

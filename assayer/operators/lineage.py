@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayer.functions.expressions import epoch_micros
 from assayer.session import run_dir
 
 EVENT_TYPES = ("START", "RUNNING", "COMPLETE", "FAIL", "ABORT")
@@ -124,7 +125,7 @@ def run_states(events: DataFrame) -> DataFrame:
     code = F.lit(0)
     for position, kind in enumerate(EVENT_TYPES, start=1):
         code = F.when(F.col("event_type") == kind, F.lit(position)).otherwise(code)
-    micros = F.unix_micros(F.col("event_time").cast("timestamp"))
+    micros = epoch_micros(F.col("event_time"), events.schema["event_time"].dataType)
     ended = F.col("event_type").isin(*TERMINAL_TYPES)
     runs = events.groupBy("run_id").agg(
         F.max(micros * 8 + code).alias("_last"),

@@ -298,3 +298,23 @@ def test_specs_from_json():
     assert check.parameters.limit("max_null_percentage") is None and check.active
     with pytest.raises(SpecError):
         CheckSpec.from_dict({"id": "x", "type": "row_count", "tabel": "users"})
+
+
+def test_moments_do_not_depend_on_the_session_time_zone(spark):
+    from assayer.functions.expressions import as_instant, epoch_micros, utc_instant
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    zoned, plain = T.TimestampType(), T.TimestampNTZType()
+    # The hour that New York has twice in autumn.
+    moments = ["2023-11-05 05:30:00", "2023-11-05 06:30:00", "1969-07-20 20:17:40.5"]
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        table = spark.createDataFrame([(m,) for m in moments], "m string").select(F.col("m").cast("timestamp_ntz").alias("n"))
+        there = table.select("n", as_instant(F.col("n"), plain).alias("t"))
+        back = there.select("n", utc_instant(F.col("t"), zoned).alias("b"), epoch_micros(F.col("t"), zoned).alias("x"), epoch_micros(F.col("n"), plain).alias("y"))
+        got = back.collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert all(r.n == r.b and r.x == r.y for r in got)
+    assert len({r.x for r in got}) == 3

@@ -10,7 +10,9 @@ channels        one per supplier: type, minimum severity and settings follow fro
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from assayer.functions.expressions import utc_instant
 from assayer.operators import alerts, executions, results
 from workload.base import query, table
 
@@ -369,7 +371,7 @@ HISTORY_SQL = f"""
 
 def _history(spark, sf_dir):
     routed = alerts.route(failure_alerts(spark, sf_dir, "max_failed"), channels(spark, sf_dir))
-    return alerts.alert_history(alerts.deliveries(routed), F.col("timestamp").cast("timestamp_ntz"))
+    return alerts.alert_history(alerts.deliveries(routed), utc_instant(F.col("timestamp"), T.TimestampType()))
 
 
 @query(

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from assayer.functions.expressions import as_instant, utc_instant
 from assayer.operators import workflow
 from assayer.session import run_dir
 from assayer.streaming import microbatch, replay, windows
@@ -57,11 +59,11 @@ def stream_suite(spark, sf_dir):
 
 def _windowed(spark, sf_dir, name: str, slide: str | None, lateness: str):
     out, state = run_dir(spark, name), run_dir(spark, f"{name}_state")
-    events = stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    events = stream(spark, sf_dir, "events").withColumn("ts", as_instant(F.col("ts"), T.TimestampNTZType()))
     metrics = windows.windowed_checks(events, CHECKS, "ts", "1 day", slide, lateness)
     windows.write_windows(metrics, out, state).awaitTermination()
     return spark.read.schema(metrics.schema).parquet(out).withColumns(
-        {c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")}
+        {c: utc_instant(F.col(c), T.TimestampType()) for c in ("window_start", "window_end")}
     )
 
 
