@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.errors import AnalysisException
@@ -30,12 +31,12 @@ class Catalog:
 
     def add_table(self, name: str, table: Table) -> None:
         self._tables[name] = table
-        self._frames.pop(name, None)
+        self._frames.clear()
 
     def add_view(self, view: ViewSpec) -> None:
         for name in {view.id, view.view_name}:
             self._views[name] = view
-            self._frames.pop(name, None)
+            self._frames.clear()
 
     def table_names(self) -> list[str]:
         return sorted(self._tables)
@@ -67,19 +68,27 @@ class Catalog:
         return frame
 
     def sql(self, text: str) -> DataFrame:
-        """Spark SQL over the catalog. Names the text mentions are registered as it asks for them."""
-        wanted: set[str] = set()
-        while True:
+        """Spark SQL over the catalog: its names win over what the session already knows.
+
+        Every catalog name that occurs in the text is bound before analysis, so a view left
+        behind by another catalog is never read. A name that only looks like a table (a
+        column, a word) may fail to bind without harm.
+        """
+        for name in {*self._tables, *self._views}:
+            if not re.search(rf"(?<!\w){re.escape(name)}(?!\w)", text):
+                continue
             try:
-                return self.spark.sql(text)
-            except AnalysisException as exc:
-                if exc.getCondition() != "TABLE_OR_VIEW_NOT_FOUND":
-                    raise
-                name = exc.getMessageParameters()["relationName"].replace("`", "")
-                if name in wanted or "." in name or not (name in self._views or name in self._tables):
-                    raise
-                wanted.add(name)
                 self.resolve(name).createOrReplaceTempView(name)
+            except SpecError:
+                self.spark.catalog.dropTempView(name)
+        try:
+            return self.spark.sql(text)
+        except AnalysisException as exc:
+            if exc.getCondition() == "TABLE_OR_VIEW_NOT_FOUND":
+                missing = exc.getMessageParameters()["relationName"].replace("`", "")
+                if missing in self._views or missing in self._tables:
+                    self.resolve(missing)  # says why it cannot be read
+            raise
 
     def register(self) -> None:
         """Register every table and view as a temporary view."""

@@ -146,3 +146,15 @@ def test_query_count_and_schema_of_views(catalog):
         catalog.query_view("off")
     with pytest.raises(SpecError, match="not found"):
         catalog.query_view("none")
+
+
+def test_catalogs_of_one_session_do_not_mix(spark):
+    small, large = Catalog(spark, {"numbers": spark.range(3)}), Catalog(spark, {"numbers": spark.range(30)})
+    for catalog, n in ((small, 3), (large, 30), (small, 3)):
+        assert view(catalog, sql="SELECT COUNT(*) AS n FROM numbers").first().n == n
+        assert catalog.sql("SELECT COUNT(*) AS numbers FROM numbers AS n").first()[0] == n
+
+
+def test_a_view_may_share_its_name_with_a_column(catalog):
+    catalog.add_view(ViewSpec("name", ViewDefinition(sql="SELECT name FROM people WHERE name IS NOT NULL")))
+    assert catalog.query_view("name").count() == 2
