@@ -5,8 +5,7 @@ import pytest
 import __spark_entry__ as contract
 from tests.conftest import SMALL
 from tools.verify import connect, rows_of
-
-ORACLES = contract.oracle_sql()
+from workload import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -14,9 +13,9 @@ def duck():
     return connect(SMALL)
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, duck, name):
-    frame = contract.queries()[name](spark, SMALL)
+    frame = QUERIES[name](spark, SMALL)
     got = [tuple(r) for r in frame.collect()]
     if name not in ORACLES:
         assert got
@@ -32,4 +31,5 @@ def test_entry(spark):
 
 
 def test_only_file_details_lack_a_counterpart():
-    assert set(contract.queries()) - set(ORACLES) == {"file_details", "files_freshness"}
+    assert set(QUERIES) - set(ORACLES) == {"file_details", "files_freshness"}
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql())
