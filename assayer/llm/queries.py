@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import decontaminate, mixing, quality, secrets, sql, urls
+from assayer.llm import decontaminate, mixing, near, quality, secrets, sql, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,6 +46,11 @@ def host_reputation(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), labels)
 
 
+@query("op6_near_duplicates")
+def near_duplicates(spark, sf_dir):
+    return near.classes(table(spark, sf_dir, "documents"))
+
+
 @query("op8_secret_scan", sql.SECRETS)
 def secret_scan(spark, sf_dir):
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
