@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import decontaminate, mixing, near, quality, secrets, sql, urls
+from assayer.llm import chat, decontaminate, lm, mixing, near, phrases, quality, secrets, sql, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,12 +33,25 @@ def mix_sources(spark, sf_dir):
     return mixing.mix_table(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op2_format_chats", sql.CHATS)
+def format_chats(spark, sf_dir):
+    said = r"\### Assistant: </turn> ok"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    return chat.read_back(chat.format_chats(rows.unionByName(extra)))
+
+
 @query("op3_quality_cascade", sql.QUALITY)
 def quality_cascade(spark, sf_dir):
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return quality.measure(table(spark, sf_dir, "documents")).select(*columns)
 
 
+@query("op4_language_model")
+def language_model(spark, sf_dir):
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 @query("op5_host_reputation", sql.URLS)
 def host_reputation(spark, sf_dir):
     """Pages labelled by the row of ``labels`` with their id: bad if toxic or of low quality."""
@@ -51,6 +64,12 @@ def near_duplicates(spark, sf_dir):
     return near.classes(table(spark, sf_dir, "documents"))
 
 
+@query("op7_warc_round_trip", sql.ARCHIVE)
+def warc_round_trip(spark, sf_dir):
+    """Written as whole-file streams, normalised to members, read back by the index."""
+    return warc.resolved(warc.normalise(warc.write(table(spark, sf_dir, "pages"))))
+
+
 @query("op8_secret_scan", sql.SECRETS)
 def secret_scan(spark, sf_dir):
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -70,3 +89,8 @@ def decontamination(spark, sf_dir):
     found = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     items = F.array_join(F.array_sort("items"), ",")
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op10_phrase_dedup", sql.PHRASES)
+def phrase_dedup(spark, sf_dir):
+    return phrases.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from assayer.llm import decontaminate, secrets, urls
+from assayer.llm import chat, decontaminate, phrases, secrets, urls, warc
 from assayer.llm.text import WORD
 
 
@@ -118,3 +118,40 @@ named AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) A
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
     sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN hit USING (rid) LEFT JOIN named USING (rid)"""
+
+
+def _escaped(column: str) -> str:
+    out = f"replace({column}, '\\', '\\\\')"
+    for control in chat.CONTROL:
+        out = f"replace({out}, '{control}', '\\{control}')"
+    return out
+
+
+_MARKED = sum(map(len, chat.MARKS))
+CHATS = f"""
+WITH rows_ AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations
+    UNION ALL SELECT -7, i, r, '\\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, r))
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, role, t)) AS turns_sha256,
+    coalesce(sum(length(t)) FILTER (role = '{chat.TRAINED}'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(t, '' ORDER BY turn NULLS FIRST, role, t) FILTER (role = '{chat.TRAINED}'), '')) AS loss_sha256,
+    sum({_MARKED} + length(replace({_escaped('role')}, ':', '\\:')) + length({_escaped('t')}))::BIGINT AS formatted_chars
+FROM rows_ GROUP BY conv_id"""
+
+ARCHIVE = f"""
+WITH payloads AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS bytes, sha256(coalesce(html, '')) AS digest FROM pages),
+firsts AS (SELECT digest, min(page_id) AS first_ FROM payloads WHERE bytes >= {warc.MIN_REVISIT} GROUP BY digest)
+SELECT page_id, bytes::BIGINT AS payload_bytes, payloads.digest AS payload_digest, CASE WHEN page_id > first_ THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN page_id > first_ THEN first_ END AS refers_to FROM payloads LEFT JOIN firsts USING (digest)"""
+
+_S = phrases.SIZE
+PHRASES = f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), {_text(WORD)}) AS ws FROM documents),
+windows AS (SELECT rid, doc_id, i, array_to_string(ws[i:i + {_S - 1}], ' ') AS g FROM docs, generate_series(1, len(ws) - {_S - 1}) s(i)),
+late AS (SELECT rid, i FROM (SELECT rid, i, doc_id, min(doc_id) OVER (PARTITION BY g) AS first_ FROM windows) WHERE first_ < doc_id),
+gone AS (SELECT DISTINCT rid, i + j AS p FROM late, generate_series(0, {_S - 1}) s(j)),
+each AS (SELECT rid, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM docs),
+left_ AS (SELECT rid, string_agg(w, ' ' ORDER BY p) AS kept FROM each ANTI JOIN gone USING (rid, p) GROUP BY rid),
+removed AS (SELECT rid, count(*) AS n FROM gone GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs LEFT JOIN left_ USING (rid) LEFT JOIN removed USING (rid)"""
