@@ -109,7 +109,7 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
 
 def signatures(counted: list[tuple[np.ndarray, np.ndarray]], size: int = COMPONENTS) -> np.ndarray:
     """One row of ``size`` uint32 per bag; all zeros for empty bags."""
-    lengths = np.array([len(h) for h, _ in counted])
+    lengths = np.array([len(h) for h, _ in counted], dtype=np.int64)
     hashes = np.concatenate([h for h, _ in counted]) if counted else np.empty(0, np.uint64)
     weights = np.concatenate([c for _, c in counted]) if counted else np.empty(0, np.int64)
     owner = np.repeat(np.arange(len(counted)), lengths)

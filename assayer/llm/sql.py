@@ -141,8 +141,8 @@ FROM rows_ GROUP BY conv_id"""
 ARCHIVE = f"""
 WITH payloads AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS bytes, sha256(coalesce(html, '')) AS digest FROM pages),
 firsts AS (SELECT digest, min(page_id) AS first_ FROM payloads WHERE bytes >= {warc.MIN_REVISIT} GROUP BY digest)
-SELECT page_id, bytes::BIGINT AS payload_bytes, payloads.digest AS payload_digest, CASE WHEN page_id > first_ THEN 'revisit' ELSE 'response' END AS record_type,
-    CASE WHEN page_id > first_ THEN first_ END AS refers_to FROM payloads LEFT JOIN firsts USING (digest)"""
+SELECT page_id, bytes::BIGINT AS payload_bytes, payloads.digest AS payload_digest, CASE WHEN coalesce(page_id, 9223372036854775807) > first_ THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN coalesce(page_id, 9223372036854775807) > first_ THEN first_ END AS refers_to FROM payloads LEFT JOIN firsts USING (digest)"""
 
 _S = phrases.SIZE
 PHRASES = f"""
