@@ -46,6 +46,25 @@ def column_type(df: DataFrame, name: str) -> T.DataType:
     return df.select(F.col(name)).schema[0].dataType
 
 
+def number_literal(value, data_type: T.DataType) -> Column:
+    """A number to compare with a numeric column, without rounding either side."""
+    if isinstance(data_type, (T.IntegralType, T.DecimalType)):
+        exact = Decimal(str(value))
+        if exact.is_finite():
+            return _decimal(exact)
+    return F.lit(float(value))
+
+
+def _decimal(exact: Decimal) -> Column:
+    """A literal with the digits it has, so that comparing widens the column instead of rounding the value."""
+    _, digits, exponent = exact.as_tuple()
+    scale = max(0, -exponent)
+    precision = max(len(digits) + max(0, exponent), scale, 1)
+    if precision > 38:
+        raise SpecError(f"number {exact} has more than 38 digits")
+    return F.lit(format(exact, "f")).cast(f"decimal({precision},{scale})")
+
+
 def typed_literal(value, data_type: T.DataType) -> Column:
     """A literal of the column's type, rejected here when the value does not convert.
 
@@ -58,7 +77,9 @@ def typed_literal(value, data_type: T.DataType) -> Column:
         return F.lit(value if isinstance(value, str) else _plain(value))
     if not isinstance(value, str):
         if isinstance(value, (dt.date, dt.datetime)) or isinstance(data_type, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-            return F.lit(str(value)).cast(data_type)
+            return _moment(str(value), data_type)
+        if isinstance(value, float) and isinstance(data_type, T.DecimalType):
+            return number_literal(value, data_type)
         return F.lit(value)
     text = value.strip()
     try:
@@ -67,20 +88,35 @@ def typed_literal(value, data_type: T.DataType) -> Column:
             if abs(number) >= 2**63:
                 raise ValueError(text)
             return F.lit(number)
+        if isinstance(data_type, T.DecimalType):
+            return _decimal(Decimal(text))
         if isinstance(data_type, T.FractionalType):
             Decimal(text)
         elif isinstance(data_type, T.BooleanType):
             if text.lower() not in ("true", "false", "t", "f", "1", "0", "y", "n", "yes", "no"):
                 raise ValueError(text)
-        elif isinstance(data_type, T.DateType):
-            dt.date.fromisoformat(text)
-        elif isinstance(data_type, (T.TimestampType, T.TimestampNTZType)):
-            dt.datetime.fromisoformat(text)
+        elif isinstance(data_type, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+            return _moment(text, data_type)
     except (ValueError, InvalidOperation) as exc:
         raise SpecError(f"value {value!r} is not a {data_type.simpleString()}") from exc
     return F.lit(text).cast(data_type)
 
 
+def _moment(text: str, data_type: T.DataType) -> Column:
+    """A date or timestamp literal that keeps its time of day and its offset.
+
+    Against a date column a value with a time of day stays a timestamp, and the column widens.
+    Zone-free columns are UTC, so a value with an offset is moved to UTC first.
+    """
+    moment = dt.datetime.fromisoformat(text)
+    if isinstance(data_type, T.TimestampType):
+        return F.lit(text).cast("timestamp")
+    if moment.tzinfo is not None:
+        moment = moment.astimezone(dt.timezone.utc).replace(tzinfo=None)
+    whole_day = moment.time() == dt.time()
+    return F.lit(str(moment)).cast("date" if isinstance(data_type, T.DateType) and whole_day else "timestamp_ntz")
+
+
 def _plain(value) -> str:
     if isinstance(value, bool):
         return "true" if value else "false"

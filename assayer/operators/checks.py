@@ -19,10 +19,10 @@ from pyspark.sql import types as T
 
 from assayer.functions.expressions import (
     all_of,
-    any_of,
     column_type,
     count_rows,
     hours_between,
+    number_literal,
     pct,
     text_list,
     typed_literal,
@@ -31,7 +31,7 @@ from assayer.functions.expressions import (
     zero_if_null,
 )
 from assayer.functions.formats import VALUE_FORMATS, matches_format
-from assayer.operators.skew import broadcastable
+from assayer.operators.volume import GRAINS, by_bucket
 from assayer.specs import CheckSpec, SpecError, THRESHOLD_OPERATORS
 
 
@@ -56,7 +56,7 @@ class Context:
 
     spark: SparkSession
     resolve: Callable[[str], DataFrame]
-    sql: Callable[[str], DataFrame]
+    sql: Callable[..., DataFrame]
 
 
 class CheckType:
@@ -68,6 +68,9 @@ class CheckType:
     # True when only the schema is read.
     schema_only = False
 
+    def shares_scan(self, spec: CheckSpec) -> bool:
+        return self.fused
+
     def validate(self, spec: CheckSpec, target: DataFrame) -> None:
         """Raise SpecError when the spec cannot run on the target."""
 
@@ -98,7 +101,7 @@ def check_type(name: str) -> CheckType:
     try:
         return _REGISTRY[name]
     except KeyError:
-        raise SpecError(f"unsupported check type: {name}") from None
+        raise SpecError(f"no check type is named {name!r}") from None
 
 
 def check_types() -> list[str]:
@@ -159,7 +162,7 @@ def status_of(spec: CheckSpec, v: Verdict) -> tuple[Column, Column]:
 
 def _required_column(spec: CheckSpec, target: DataFrame) -> str:
     if not spec.column:
-        raise SpecError(f"column not specified for {spec.type} check")
+        raise SpecError(f"{spec.type} needs a column")
     _known(target, spec.column)
     return spec.column
 
@@ -250,7 +253,7 @@ class Freshness(CheckType):
     def validate(self, spec, target):
         column = spec.parameters.timestamp_column
         if not column:
-            raise SpecError("timestamp column not specified for freshness check")
+            raise SpecError("freshness needs parameters.timestamp_column")
         data_type = _known(target, column)
         if not isinstance(data_type, (T.TimestampType, T.TimestampNTZType, T.DateType)):
             raise SpecError(f"column {column!r} is not a timestamp")
@@ -289,6 +292,8 @@ class ValueCheck(CheckType):
         col = F.col(spec.column)
         if not isinstance(_known(target, spec.column), T.NumericType):
             col = col.cast("double") if isinstance(_known(target, spec.column), T.BooleanType) else col.try_cast("double")
+        elif self.function is F.sum and isinstance(_known(target, spec.column), T.IntegralType):
+            col = col.cast("decimal(38,0)")  # a sum of longs can be larger than a long
         return {"actual_value": self.function(col).cast("double")}
 
     def judge(self, spec, r):
@@ -348,10 +353,10 @@ class Regex(_MatchShare):
     def validate(self, spec, target):
         _required_column(spec, target)
         if not spec.parameters.pattern:
-            raise SpecError("regex pattern not specified")
+            raise SpecError("regex needs parameters.pattern")
         problem = _compile_error(spec.parameters.pattern)
         if problem:
-            raise SpecError(f"invalid regex pattern: {problem}")
+            raise SpecError(f"the pattern does not compile: {problem}")
 
     def condition(self, spec, target):
         return F.col(spec.column).cast("string").rlike(spec.parameters.pattern)
@@ -379,10 +384,10 @@ class Range(_MatchShare):
 
     def condition(self, spec, target):
         p = spec.parameters
-        col = F.col(spec.column)
-        if isinstance(_known(target, spec.column), T.StringType):
+        col, data_type = F.col(spec.column), _known(target, spec.column)
+        if isinstance(data_type, T.StringType):
             col = col.try_cast("double")
-        return col.between(F.lit(float(p.expected_min or 0)), F.lit(float(p.expected_max or 0)))
+        return col.between(number_literal(p.expected_min or 0, data_type), number_literal(p.expected_max or 0, data_type))
 
 
 class SetMembership(_MatchShare):
@@ -392,7 +397,7 @@ class SetMembership(_MatchShare):
     def validate(self, spec, target):
         column = _required_column(spec, target)
         if not spec.parameters.allowed_values:
-            raise SpecError("allowed values not specified for set membership check")
+            raise SpecError("set_membership needs parameters.allowed_values")
         data_type = _known(target, column)
         for value in spec.parameters.allowed_values:
             typed_literal(value, data_type)
@@ -403,12 +408,43 @@ class SetMembership(_MatchShare):
 
 
 class Volume(CheckType):
+    """Rows against an expected number, of the whole table or, with a grain, of every time bucket."""
+
     name = "volume"
 
+    def shares_scan(self, spec):
+        return not spec.parameters.grain
+
+    def validate(self, spec, target):
+        p = spec.parameters
+        if not p.grain:
+            return
+        if p.grain not in GRAINS:
+            raise SpecError(f"unknown grain {p.grain!r}")
+        if not p.timestamp_column or not p.expected_volume:
+            raise SpecError("volume by grain needs parameters.timestamp_column and expected_volume")
+        if not isinstance(_known(target, p.timestamp_column), (T.TimestampType, T.TimestampNTZType, T.DateType)):
+            raise SpecError(f"column {p.timestamp_column!r} is not a timestamp")
+
     def aggregates(self, spec, target):
         return {"row_count": count_rows()}
 
+    def frame(self, spec, target, ctx):
+        p = spec.parameters
+        if not p.grain:
+            return super().frame(spec, target, ctx)
+        buckets = by_bucket(target, p.timestamp_column, p.grain, p.expected_volume, p.volume_tolerance)
+        return buckets.agg(
+            zero_if_null(F.sum("row_count")).alias("row_count"),
+            count_rows().alias("bucket_count"),
+            F.count_if(F.col("status") == "failed").alias("failed_buckets"),
+            F.count_if(F.col("row_count") == 0).alias("empty_buckets"),
+            F.max("deviation_percentage").alias("deviation_percentage"),
+        )
+
     def report(self, spec, m):
+        if "bucket_count" in m:
+            return dict(m)
         expected = spec.parameters.expected_volume
         if not expected:
             return {**m, "deviation_percentage": F.lit(0.0)}
@@ -418,6 +454,16 @@ class Volume(CheckType):
     def judge(self, spec, r):
         p = spec.parameters
         n = r["row_count"].cast("double")
+        if "bucket_count" in r:
+            worst = r["deviation_percentage"]
+            return Verdict(
+                actual=r["failed_buckets"].cast("double"),
+                percentage=worst,
+                expected=F.lit(0.0),
+                fails=(r["failed_buckets"] > 0) | (r["bucket_count"] == 0),
+                warns=None if spec.warn_threshold is None else worst > F.lit(float(spec.warn_threshold)),
+                message=F.format_string("%d of %d buckets off", r["failed_buckets"], r["bucket_count"]),
+            )
         if not p.expected_volume:
             return Verdict(actual=n, fails=F.lit(False), message=F.format_string("volume %d", r["row_count"]))
         expected = float(p.expected_volume)
@@ -435,16 +481,9 @@ class Volume(CheckType):
 # --------------------------------------------------------------------------- keyed checks
 
 
-# Texts up to this many bytes are compared as they are, longer ones by their SHA-256.
-DIGEST_ABOVE = 64
-
-
-def _compact_key(col: Column, data_type: T.DataType) -> list[Column]:
-    """Grouping columns for a key. Long texts travel as 256-bit digests instead of whole."""
-    if not isinstance(data_type, T.StringType):
-        return [col]
-    short = F.octet_length(col) <= DIGEST_ABOVE
-    return [F.when(short, col), F.when(~short, F.sha2(col, 256))]
+def _compact_key(col: Column, data_type: T.DataType) -> Column:
+    """Grouping column for a key. Texts of any length travel as 256-bit digests."""
+    return F.unhex(F.sha2(col, 256)) if isinstance(data_type, T.StringType) else col
 
 
 class Uniqueness(CheckType):
@@ -459,18 +498,15 @@ class Uniqueness(CheckType):
 
     def validate(self, spec, target):
         if not self.keys(spec):
-            raise SpecError("column not specified for uniqueness check")
+            raise SpecError("uniqueness needs a column or parameters.unique_columns")
         for name in self.keys(spec):
             _known(target, name)
 
     def frame(self, spec, target, ctx):
-        parts, known = [], []
-        for i, name in enumerate(self.keys(spec)):
-            key = [c.alias(f"k{i}_{j}") for j, c in enumerate(_compact_key(F.col(name), _known(target, name)))]
-            parts += key
-            known.append(any_of([F.col(f"k{i}_{j}").isNotNull() for j in range(len(key))]))
+        names = self.keys(spec)
+        parts = [_compact_key(F.col(name), _known(target, name)).alias(f"k{i}") for i, name in enumerate(names)]
         groups = target.groupBy(*parts).agg(count_rows().alias("n"))
-        complete = all_of(known)
+        complete = all_of([F.col(f"k{i}").isNotNull() for i in range(len(names))])
         return groups.agg(
             zero_if_null(F.sum("n")).alias("total_count"),
             F.count_if(complete).alias("unique_count"),
@@ -496,12 +532,11 @@ class Uniqueness(CheckType):
 class ReferentialIntegrity(CheckType):
     """Child keys that occur in a reference column.
 
-    The reference is reduced to (key, rows) first, so duplicate reference keys never fan
-    out. When that is small by Spark's estimate the child rows are joined to it where they
-    are read and nothing of the child is shuffled. Otherwise both sides meet in one
-    aggregation over their union, where a hot key collapses before the shuffle and neither
-    side has to fit in memory. ``joined`` counts what a left join would return; ``child``
-    counts every child row once.
+    Both sides meet in one aggregation over their union: no join, so duplicate reference keys
+    never fan out, a hot key collapses before the shuffle, and neither side has to fit in
+    memory, whatever their sizes. ``joined`` counts what a left join would return; ``child``
+    counts every child row once. Products are decimals, so that hot keys cannot overflow; a
+    count above what a long can hold is NULL, its percentage is still right.
     """
 
     name = "referential_integrity"
@@ -511,7 +546,7 @@ class ReferentialIntegrity(CheckType):
         p = spec.parameters
         _required_column(spec, target)
         if not p.reference_table or not p.reference_column:
-            raise SpecError("reference table/column not specified")
+            raise SpecError("referential_integrity needs parameters.reference_table and reference_column")
         if p.count_mode not in ("joined", "child"):
             raise SpecError(f"unknown count_mode {p.count_mode!r}")
 
@@ -524,27 +559,25 @@ class ReferentialIntegrity(CheckType):
         one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
         children = target.select(F.col(spec.column).alias("key"))
         keys = reference.select(F.col(p.reference_column).alias("key")).where(F.col("key").isNotNull())
-        if broadcastable(keys):
-            counts = keys.groupBy("key").agg(count_rows().alias("found"))
-            pairs = children.join(counts, "key", "left").select(one.alias("c"), F.coalesce("found", none).alias("r"))
-        else:
-            both = children.select("key", one.alias("c"), none.alias("r")).union(
-                keys.select("key", none.alias("c"), one.alias("r"))
-            )
-            pairs = both.groupBy("key").agg(F.sum("c").alias("c"), F.sum("r").alias("r"))
+        both = children.select("key", one.alias("c"), none.alias("r")).union(keys.select("key", none.alias("c"), one.alias("r")))
+        pairs = both.groupBy("key").agg(F.sum("c").alias("c"), F.sum("r").alias("r"))
+        wide = lambda name: F.col(name).cast("decimal(19,0)")
         if p.count_mode == "joined":
-            total = F.sum(F.col("c") * F.greatest(F.col("r"), one))
-            matched = F.sum(F.col("c") * F.col("r"))
+            total = F.sum(wide("c") * F.greatest(wide("r"), F.lit(1).cast("decimal(19,0)")))
+            matched = F.sum(wide("c") * wide("r"))
         else:
-            total = F.sum("c")
-            matched = F.sum(F.when(F.col("r") > 0, F.col("c")).otherwise(none))
-        return pairs.agg(zero_if_null(total).alias("total_count"), zero_if_null(matched).alias("matched_count"))
+            total = F.sum(wide("c"))
+            matched = F.sum(F.when(F.col("r") > 0, wide("c")).otherwise(none))
+        zero = lambda c: F.coalesce(c, F.lit(0)).cast("decimal(38,0)")
+        return pairs.agg(zero(total).alias("total_count"), zero(matched).alias("matched_count"))
 
     def report(self, spec, m):
+        total, matched = m["total_count"], m["matched_count"]
         return {
-            **m,
-            "orphan_count": m["total_count"] - m["matched_count"],
-            "integrity_percentage": pct(m["matched_count"], m["total_count"]),
+            "total_count": total.try_cast("bigint"),
+            "matched_count": matched.try_cast("bigint"),
+            "orphan_count": (total - matched).try_cast("bigint"),
+            "integrity_percentage": pct(matched, total),
         }
 
     def judge(self, spec, r):
@@ -698,7 +731,7 @@ class ColumnType(CheckType):
     def validate(self, spec, target):
         _required_column(spec, target)
         if not spec.parameters.expected_schema or not spec.parameters.expected_schema[0].data_type:
-            raise SpecError("expected type not specified for column_type check")
+            raise SpecError("column_type needs a type in parameters.expected_schema")
 
     def frame(self, spec, target, ctx):
         return _one_row(
@@ -728,23 +761,20 @@ class CustomSQL(CheckType):
 
     def validate(self, spec, target):
         if not spec.parameters.custom_sql:
-            raise SpecError("custom SQL not specified")
+            raise SpecError("custom_sql needs parameters.custom_sql")
 
     def frame(self, spec, target, ctx):
-        if spec.view_id and target is not None:
-            target.createOrReplaceTempView("_view")
+        own = {"_view": target} if spec.view_id and target is not None else {}
         try:
-            rows = ctx.sql(spec.parameters.custom_sql)
+            rows = ctx.sql(spec.parameters.custom_sql, own)
         except PySparkException as exc:
-            raise SpecError(f"custom SQL failed: {exc.getCondition()}") from exc
+            raise SpecError(f"the query cannot be analysed: {exc.getCondition()}") from exc
         # Renamed by position, so repeated or odd column names do no harm.
         first = rows.toDF(*[f"c{i}" for i in range(len(rows.columns))])
         value = F.col("c0").cast("string")
-        if spec.parameters.count_rows:
-            counted = rows.select(F.lit(1).alias("one")).agg(count_rows().alias("row_count"))
-            head = first.limit(1).agg(F.first(value).alias("actual_text"))
-            return head.select("actual_text", counted.scalar().alias("row_count"))
-        return first.limit(1).agg(F.first(value).alias("actual_text"), count_rows().alias("row_count"))
+        # Row ids ascend with the partitions, so the smallest is the first row of a sorted query.
+        numbered = first.select(value.alias("value"), F.monotonically_increasing_id().alias("id"))
+        return numbered.agg(F.min_by("value", "id").alias("actual_text"), count_rows().alias("row_count"))
 
     def report(self, spec, m):
         return {"actual_text": m["actual_text"], "row_found": m["row_count"] > 0, "row_count": m["row_count"]}
@@ -757,11 +787,10 @@ class CustomSQL(CheckType):
                 actual=number,
                 fails=~r["row_found"],
                 actual_text=r["actual_text"],
-                message=F.when(r["row_found"], "custom SQL returned rows").otherwise("custom SQL returned no results"),
+                message=F.when(r["row_found"], "the query found rows").otherwise("the query found nothing"),
             )
-        same = r["actual_text"] == F.lit(expected)
         wanted = F.lit(expected).try_cast("double")
-        same = F.coalesce(same, F.lit(False)) | F.coalesce(number == wanted, F.lit(False))
+        same = F.coalesce(r["actual_text"] == F.lit(expected), F.lit(False))
         return Verdict(
             actual=number,
             expected=wanted,

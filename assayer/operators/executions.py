@@ -14,31 +14,39 @@ COUNTED = ("passed", "failed", "warning", "error", "skipped")
 def execution_summary(requests: DataFrame, results: DataFrame, keys: tuple[str, ...] = ("execution_id",)) -> DataFrame:
     """Requested checks and results per status, and the execution status.
 
-    Every requested check counts toward the total; one without a result counts as an
-    error. Requests and results meet in one aggregation over their union rather than in
-    a join, so a large execution is combined before the shuffle.
+    Every requested check counts toward the total; a request without a result of its check counts as
+    an error, however many results a retry left for another check. Requests and results meet in
+    one aggregation over their union rather than in a join, first by check, then by execution,
+    so a large execution is combined before the shuffle.
     """
     columns = [F.col(k) for k in keys]
     severity = F.col("severity") if "severity" in results.columns else F.lit(None).cast("string")
-    asked = requests.select(*columns, F.lit(1).alias("asked"), F.lit(None).cast("string").alias("status"), F.lit(None).cast("int").alias("rank"))
+    check = F.col("check_id")
+    asked = requests.select(*columns, check, F.lit(1).alias("asked"), F.lit(None).cast("string").alias("status"), F.lit(None).cast("int").alias("rank"))
     failed_rank = F.when(F.col("status") == "failed", rank(severity))
-    got = results.select(*columns, F.lit(0).alias("asked"), F.col("status"), failed_rank.alias("rank"))
-    tally = (
+    got = results.select(*columns, check, F.lit(0).alias("asked"), F.col("status"), failed_rank.alias("rank"))
+    by_check = (
         asked.union(got)
-        .groupBy(*keys)
+        .groupBy(*keys, "check_id")
         .agg(
-            F.sum("asked").alias("total_checks"),
-            F.count_if(F.col("asked") == 0).alias("_results"),
-            *[F.count_if(F.col("status") == s).alias(f"{s}_checks") for s in COUNTED],
-            F.max("rank").alias("_rank"),
+            F.sum("asked").alias("asked"),
+            F.count_if(F.col("asked") == 0).alias("got"),
+            *[F.count_if(F.col("status") == s).alias(s) for s in COUNTED],
+            F.max("rank").alias("rank"),
         )
     )
-    lost = F.greatest(F.col("total_checks") - F.col("_results"), F.lit(0).cast("bigint"))
+    lost = F.greatest(F.col("asked") - F.col("got"), F.lit(0).cast("bigint"))
+    tally = by_check.groupBy(*keys).agg(
+        F.sum("asked").alias("total_checks"),
+        F.sum(lost).alias("_lost"),
+        *[F.sum(s).alias(f"{s}_checks") for s in COUNTED],
+        F.max("rank").alias("_rank"),
+    )
     return (
-        tally.withColumn("error_checks", F.col("error_checks") + lost)
+        tally.withColumn("error_checks", F.col("error_checks") + F.col("_lost"))
         .withColumn("max_failed_severity", from_rank(F.col("_rank")))
         .withColumn("status", execution_status(F.col("error_checks")))
-        .drop("_results", "_rank")
+        .drop("_lost", "_rank")
     )
 
 

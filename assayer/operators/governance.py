@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,11 +10,8 @@ from pyspark.sql import types as T
 from assayer.functions.expressions import as_instant, utc_now
 from assayer.specs import SpecError
 
-# Rules of the standard policy templates.
+# Rules of the standard quality policy.
 QUALITY_RULES = {"completeness_threshold": 0.95, "accuracy_threshold": 0.98, "consistency_checks": True}
-PRIVACY_RULES = {"mask_pii": True, "encrypt_at_rest": True, "retention_days": 90}
-ACCESS_RULES = {"allow_read": True, "allow_write": False}
-COMPLIANCE_RULES = {"audit_required": True, "lineage_tracking": True}
 
 # Personal data in free text.
 EMAIL_PATTERN = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
@@ -24,22 +22,33 @@ ACCURACY_CHECKS = ("regex", "format", "range", "set_membership")
 def quality_gate(results: DataFrame, policies: DataFrame) -> DataFrame:
     """Allow or refuse each dataset by the quality policy of its tenant.
 
-    Completeness is the worst non-null share, accuracy the worst share of valid values,
-    consistency that all referential checks passed. A measure without checks does not refuse.
+    The last result of every check counts. Completeness is the worst non-null share, accuracy the
+    worst share of valid values, consistency that all referential checks passed. A measure without
+    checks does not refuse, but one whose check ended in an error does: it is not known. Datasets
+    without an active policy are allowed, with NULL as their policy.
     """
     kind, share = F.col("check_type"), F.col("actual_value") / 100.0
+    judged = kind.isin("null_check", "referential_integrity", *ACCURACY_CHECKS)
+    if "executed_at" in results.columns:
+        fields = ["table_name", "check_type", "actual_value", "status"]
+        latest = F.max_by(F.struct(*fields), F.struct("executed_at", "status")).alias("r")
+        results = results.groupBy("tenant_id", "check_id").agg(latest).select("tenant_id", "r.*")
     measured = results.groupBy("tenant_id", F.col("table_name").alias("dataset")).agg(
         F.min(F.when(kind == "null_check", F.lit(1.0) - share)).alias("completeness"),
         F.min(F.when(kind.isin(*ACCURACY_CHECKS), share)).alias("accuracy"),
         F.min(F.when(kind == "referential_integrity", F.col("status") == "passed")).alias("consistent"),
+        F.count_if(judged & (F.col("status") == "error")).alias("errors"),
     )
     ok = (
         F.coalesce(F.col("completeness") >= F.col("completeness_threshold"), F.lit(True))
         & F.coalesce(F.col("accuracy") >= F.col("accuracy_threshold"), F.lit(True))
         & (~F.col("consistency_checks") | F.coalesce(F.col("consistent"), F.lit(True)))
+        & (F.col("errors") == 0)
     )
-    return measured.join(policies.where("active"), "tenant_id").select(
-        "tenant_id", "dataset", "completeness", "accuracy", "consistent", ok.alias("allowed")
+    allowed = F.when(F.col("_policed"), ok).otherwise(F.lit(True))
+    policed = policies.where("active").withColumn("_policed", F.lit(True))
+    return measured.join(policed, "tenant_id", "left").select(
+        "tenant_id", "dataset", "completeness", "accuracy", "consistent", allowed.alias("allowed")
     )
 
 
@@ -100,7 +109,8 @@ def access_decisions(requests: DataFrame, policies: DataFrame, rules: DataFrame
 
     An unknown policy is an error and denied; an inactive one denies; an active one without
     rules allows. With rules (policy_id, effect, actions, resources, field, operator, value)
-    a matching deny wins, then a matching allow, and no match denies.
+    a matching deny wins, then a matching allow, and no match denies. A pattern that does not
+    compile matches nothing if it would allow, and everything if it would deny.
     """
     known = requests.join(
         policies.select("policy_id", F.col("active").alias("_active")), "policy_id", "left"
@@ -108,6 +118,7 @@ def access_decisions(requests: DataFrame, policies: DataFrame, rules: DataFrame
     if rules is None:
         verdicts = known.withColumn("_rules", F.lit(0)).withColumn("_deny", F.lit(False)).withColumn("_allow", F.lit(False))
     else:
+        rules = _sound(rules)
         fits = known.select("request_id", "policy_id", "action", "resource", "subject", "context").join(rules, "policy_id")
         matched = _rule_matches()
         tally = fits.groupBy("request_id").agg(
@@ -130,6 +141,20 @@ def access_decisions(requests: DataFrame, policies: DataFrame, rules: DataFrame
     )
 
 
+def _sound(rules: DataFrame) -> DataFrame:
+    """Rules with ``_sound``: whether their pattern compiles. The distinct patterns are tried on the driver, in the engine's own dialect."""
+    patterns = rules.where("operator = 'matches' and value is not null").select("value").distinct()
+    compiles = rules.sparkSession.sparkContext._jvm.java.util.regex.Pattern.compile
+    broken = []
+    for row in patterns.toLocalIterator():
+        try:
+            compiles(row["value"])
+        except Py4JJavaError:
+            broken.append(row["value"])
+    bad = F.col("value").isin(broken) if broken else F.lit(False)
+    return rules.withColumn("_sound", ~F.coalesce(bad, F.lit(False)))
+
+
 def _rule_matches() -> Column:
     action_ok = (F.size("actions") == 0) | F.array_contains("actions", F.lit("*")) | F.array_contains(F.col("actions"), F.col("action"))
     resource_ok = (F.size("resources") == 0) | F.exists(
@@ -139,9 +164,11 @@ def _rule_matches() -> Column:
     test = (
         F.when(F.col("operator") == "equals", actual == F.col("value"))
         .when(F.col("operator") == "contains", F.contains(actual, F.col("value")))
-        .when(F.col("operator") == "matches", F.regexp(actual, F.col("value")))
+        .when((F.col("operator") == "matches") & F.col("_sound"), F.regexp(actual, F.col("value")))
         .otherwise(F.lit(False))
     )
+    broken_deny = (F.col("operator") == "matches") & ~F.col("_sound") & (F.col("effect") == "deny")
+    test = F.when(broken_deny, F.lit(True)).otherwise(test)
     condition_ok = F.col("field").isNull() | F.coalesce(test, F.lit(False))
     return F.coalesce(action_ok & resource_ok & condition_ok, F.lit(False))
 
@@ -149,12 +176,13 @@ def _rule_matches() -> Column:
 def compliance_gaps(datasets: DataFrame, policies: DataFrame, lineage: DataFrame, audits: DataFrame) -> DataFrame:
     """Datasets (tenant_id, dataset) that miss what their tenant's frameworks demand.
 
-    ``lineage`` and ``audits`` list the datasets that have it. One row per gap.
+    ``lineage`` and ``audits`` list the datasets (tenant_id, dataset) that have it. One row per gap.
     """
     bound = datasets.join(
         policies.where("active").select("tenant_id", "framework", "audit_required", "lineage_tracking"), "tenant_id"
     )
-    no_lineage = bound.where("lineage_tracking").join(lineage.select("dataset"), "dataset", "left_anti")
-    no_audit = bound.where("audit_required").join(audits.select("dataset"), "dataset", "left_anti")
+    own = ["tenant_id", "dataset"]
+    no_lineage = bound.where("lineage_tracking").join(lineage.select(*own), own, "left_anti")
+    no_audit = bound.where("audit_required").join(audits.select(*own), own, "left_anti")
     row = lambda df, gap: df.select("tenant_id", "framework", "dataset", F.lit(gap).alias("gap"))
     return row(no_lineage, "lineage").union(row(no_audit, "audit"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions.expressions import epoch_micros
-from assayer.session import run_dir
+from assayer.session import removed, run_dir
 
 EVENT_TYPES = ("START", "RUNNING", "COMPLETE", "FAIL", "ABORT")
 TERMINAL_TYPES = ("COMPLETE", "FAIL", "ABORT")
@@ -102,17 +102,26 @@ def check_run_events(results: DataFrame, namespace: str) -> DataFrame:
     return normalize_events(events.select("e.*", "run_id", "job_name", "inputs"), namespace)
 
 
-def dataset_edges(events: DataFrame) -> DataFrame:
-    """Distinct (source dataset, job, target dataset) triples. A job without inputs has a NULL source."""
+def dataset_edges(events: DataFrame, distinct: bool = True) -> DataFrame:
+    """(source dataset, job, target dataset) triples. A job without inputs has a NULL source.
+
+    ``downstream`` and ``upstream`` make edges distinct themselves; ``distinct=False`` saves one shuffle there.
+    """
     pairs = events.select(
         "job_namespace", "job_name", F.explode_outer("inputs").alias("i"), "outputs"
     ).select("job_namespace", "job_name", "i", F.explode("outputs").alias("o"))
-    return pairs.select(
-        F.concat_ws("/", "i.namespace", "i.name").alias("_source"),
-        F.col("i").isNull().alias("_none"),
-        F.concat_ws("/", "job_namespace", "job_name").alias("job"),
-        F.concat_ws("/", "o.namespace", "o.name").alias("target"),
-    ).select(F.when(~F.col("_none"), F.col("_source")).alias("source"), "job", "target").distinct()
+    edges = pairs.select(
+        F.when(F.col("i").isNotNull(), node("i.namespace", "i.name")).alias("source"),
+        node("job_namespace", "job_name").alias("job"),
+        node("o.namespace", "o.name").alias("target"),
+    )
+    return edges.distinct() if distinct else edges
+
+
+def node(namespace: str, name: str) -> Column:
+    """A dataset or job as one text. Slashes and backslashes inside the namespace, which is often a URI,
+    are escaped, so that two different pairs never become one node."""
+    return F.concat_ws("/", F.regexp_replace(F.col(namespace), r"([/\\])", r"\\$1"), F.col(name))
 
 
 def run_states(events: DataFrame) -> DataFrame:
@@ -168,10 +177,12 @@ def _reach(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
     written sizes let Spark choose between broadcasting a small frontier and a shuffle join
     with skew splitting. Nodes already reached are left out, so cycles end.
     """
+    # Projected before the one distinct: several jobs between two datasets are one edge here.
     known = _written(edges.where(F.col("a").isNotNull() & F.col("b").isNotNull()).distinct(), "edges")
     first = roots.select(F.col("node").alias("root"), F.col("node"), F.lit(0).alias("depth")).distinct()
     frontier = _written(first, "frontier")
     reached = frontier
+    stages = [known, frontier]
     depth = 0
     while not frontier.isEmpty() and (max_depth <= 0 or depth < max_depth):
         depth += 1
@@ -179,6 +190,12 @@ def _reach(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
         fresh = steps.join(reached, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth))
         frontier = _written(fresh, "frontier")
         reached = reached.unionByName(frontier)
-        if depth % COMPACT_EVERY == 0:
+        stages.append(frontier)
+        if depth % COMPACT_EVERY == 0:  # shapes the plan only
             reached = _written(reached, "reached")
-    return reached
+            stages.append(reached)
+    whole = _written(reached, "reached")
+    for stage in stages:
+        for path in {name.rsplit("/", 1)[0] for name in stage.inputFiles()}:
+            removed(stage.sparkSession, path)
+    return whole

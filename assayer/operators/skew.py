@@ -4,35 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assayer.functions.expressions import all_of, count_rows
 from assayer.specs import SpecError
 
-# Largest k for which Spark limits each map task to k rows per group before the shuffle
-# (spark.sql.optimizer.windowGroupLimitThreshold).
-MAP_SIDE_TOP_K = 1000
-
-
-def broadcastable(df: DataFrame) -> bool:
-    """Whether Spark's own size estimate puts a frame under its broadcast threshold.
+def hot_keys(df: DataFrame, keys: list[str], share: float) -> DataFrame:
+    """Keys holding at least ``share`` of the rows: never more than 1/share of them.
 
-    Unknown sizes count as too large, and so does everything when broadcasting is off.
+    The rows are counted when this is called, once; the few keys found come back as a local table.
     """
-    if not hasattr(df, "_jdf"):  # a remote session shows no estimates
-        return False
-    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size <= limit
-
-
-def hot_keys(df: DataFrame, keys: list[str], share: float) -> DataFrame:
-    """Keys holding at least ``share`` of the rows: never more than 1/share of them."""
     if not 0 < share <= 1:
         raise SpecError("skew share must be in (0, 1]")
-    counts = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(count_rows().alias("_n"))
-    total = df.select(F.lit(1).alias("one")).agg(count_rows().alias("_t"))
-    hot = counts.where(F.col("_n") >= F.lit(share) * total.scalar())
-    return hot.drop("_n").where(all_of([F.col(f"_k{i}").isNotNull() for i in range(len(keys))]))
+    names = [f"_k{i}" for i in range(len(keys))]
+    counts = df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(count_rows().alias("_n"))
+    total = counts.agg(F.sum("_n").alias("_t")).scalar()
+    known = all_of([F.col(n).isNotNull() for n in names])
+    hot = counts.where(known & (F.col("_n") >= F.lit(share) * total)).drop("_n")
+    return df.sparkSession.createDataFrame(hot.collect(), hot.schema)
+
+
+def _hashable(data_type: T.DataType) -> bool:
+    """Maps cannot be hashed, nor what holds them."""
+    if isinstance(data_type, T.StructType):
+        return all(_hashable(f.dataType) for f in data_type)
+    if isinstance(data_type, T.ArrayType):
+        return _hashable(data_type.elementType)
+    return not isinstance(data_type, (T.MapType, T.VariantType))
 
 
 def salted_join(
@@ -60,9 +58,12 @@ def salted_join(
         same = all_of([F.col(k) == F.col(f"_k{i}") for i, k in enumerate(keys)])
         return df.join(F.broadcast(hot), same, "left")
 
-    # Hashing all columns and the input partition spreads equal copies too, and a retried
-    # task computes the same salt again.
-    spread = F.pmod(F.xxhash64(F.struct("*"), F.spark_partition_id()), F.lit(salts))
+    # The values and the input partition, so that copies spread too and a retried task computes
+    # the same salt again. Maps cannot be hashed, and names a join repeats cannot be told apart.
+    hashed = [F.col(k) for k in left_keys]
+    once = [f for f in left.schema if _hashable(f.dataType) and left.columns.count(f.name) == 1]
+    hashed += [F.col(f"`{f.name}`") for f in once]
+    spread = F.pmod(F.xxhash64(*hashed, F.spark_partition_id()), F.lit(salts))
     salted_left = (
         marked(left.withColumn("_lspread", spread), left_keys)
         .withColumn("_lsalt", F.when(F.col("_hot"), F.col("_lspread")).otherwise(zero))
@@ -81,15 +82,13 @@ def salted_join(
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     """The first k rows of every group in the given order.
 
-    Up to MAP_SIDE_TOP_K Spark keeps at most k rows per group in each map task. Beyond it
-    the same is done by a first pass over salted groups, so a hot group is never sorted
-    whole in one task.
+    A first pass takes the first k of every group and input partition, so a group with most of
+    the rows is not sorted whole in one task; the second one takes the first k of those.
     """
     if k < 1:
         return df.limit(0)
-    if k > MAP_SIDE_TOP_K:
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(F.struct("*"), F.spark_partition_id()), F.lit(256)))
-        first = Window.partitionBy(*keys, "_salt").orderBy(*order)
-        df = salted.withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= k).drop("_rn", "_salt")
+    salted = df.withColumn("_salt", F.spark_partition_id())
+    first = Window.partitionBy(*keys, "_salt").orderBy(*order)
+    df = salted.withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= k).drop("_rn", "_salt")
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(window)).where(F.col("_rn") <= k).drop("_rn")

@@ -67,28 +67,45 @@ class Catalog:
         self._frames[name] = frame
         return frame
 
-    def sql(self, text: str) -> DataFrame:
+    def sql(self, text: str, extra: Mapping[str, DataFrame] | None = None) -> DataFrame:
         """Spark SQL over the catalog: its names win over what the session already knows.
 
-        Every catalog name that occurs in the text is bound before analysis, so a view left
-        behind by another catalog is never read. A name that only looks like a table (a
-        column, a word) may fail to bind without harm.
+        Every catalog name that occurs in the text, in any case as Spark reads names, is bound
+        for the time of analysis, so a view left behind by another catalog is never read. What
+        the session had under these names is put back afterwards. A name that only looks like a
+        table (a column, a word) may fail to bind without harm.
         """
-        for name in {*self._tables, *self._views}:
-            if not re.search(rf"(?<!\w){re.escape(name)}(?!\w)", text):
-                continue
-            try:
-                self.resolve(name).createOrReplaceTempView(name)
-            except SpecError:
-                self.spark.catalog.dropTempView(name)
+        had: dict[str, DataFrame | None] = {}
+        broken: dict[str, SpecError] = {}
         try:
+            for name in [*self._tables, *self._views, *(extra or {})]:
+                if "." in name or not re.search(rf"(?<!\w){re.escape(name)}(?!\w)", text, re.IGNORECASE):
+                    continue
+                if name.lower() not in had:
+                    had[name.lower()] = self.spark.table(name) if self._is_temporary(name) else None
+                try:
+                    frame = (extra or {}).get(name)
+                    (self.resolve(name) if frame is None else frame).createOrReplaceTempView(name)
+                except SpecError as exc:
+                    broken[name.lower()] = exc
+                    self.spark.catalog.dropTempView(name)
             return self.spark.sql(text)
         except AnalysisException as exc:
             if exc.getCondition() == "TABLE_OR_VIEW_NOT_FOUND":
-                missing = exc.getMessageParameters()["relationName"].replace("`", "")
-                if missing in self._views or missing in self._tables:
-                    self.resolve(missing)  # says why it cannot be read
+                missing = exc.getMessageParameters()["relationName"].replace("`", "").lower()
+                if missing in broken:
+                    raise broken[missing] from exc  # says why it cannot be read
             raise
+        finally:
+            for name, frame in had.items():
+                if frame is None:
+                    self.spark.catalog.dropTempView(name)
+                else:
+                    frame.createOrReplaceTempView(name)
+
+    def _is_temporary(self, name: str) -> bool:
+        found = self.spark.sql("SHOW VIEWS LIKE '" + name.lower().replace("'", "") + "'").where("isTemporary")
+        return not found.isEmpty()
 
     def register(self) -> None:
         """Register every table and view as a temporary view."""

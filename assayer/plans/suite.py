@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from assayer.operators.checks import Verdict, check_type, status_of
 from assayer.plans.catalog import Catalog
-from assayer.session import run_dir
-from assayer.sources.sinks import write_results
+from assayer.session import removed, run_dir
+from assayer.sources.sinks import read_results, write_results
 from assayer.specs import CheckSpec, SpecError
 
 # Checks per aggregate. Wider ones outgrow what the JVM compiles well: 64 checks over 12 million
@@ -43,14 +43,21 @@ RESULT_FIELDS = {
 }
 
 
+#: Type of a listed check that does not exist.
+MISSING = "missing"
+
+
 def select_checks(
     specs: Iterable[CheckSpec], tenant_id: str = "", datasource_id: str = "", check_ids: Iterable[str] = ()
 ) -> list[CheckSpec]:
-    """Checks of a datasource (or all, when it is empty), else the listed ones, in list order."""
+    """Checks of a datasource (or all, when it is empty), else the listed ones, in list order.
+
+    A listed id without a check stays in the list; its result is an ``error`` row.
+    """
     specs = list(specs)
     if check_ids and not datasource_id:
         by_id = {s.id: s for s in specs}
-        return [by_id[i] for i in check_ids if i in by_id]
+        return [by_id.get(i) or CheckSpec(i, MISSING, tenant_id=tenant_id) for i in check_ids]
     return [
         s
         for s in specs
@@ -128,11 +135,14 @@ def suite(specs: Iterable[CheckSpec], catalog: Catalog, executed_at: str | None
         if not spec.active:
             fixed[i] = ("skipped", None)
             continue
+        if spec.type == MISSING:
+            fixed[i] = ("error", "check not found")
+            continue
         try:
             kind = check_type(spec.type)
             target = catalog.resolve(spec.target) if spec.target or spec.type != "custom_sql" else None
             kind.validate(spec, target)
-            if kind.fused:
+            if kind.shares_scan(spec):
                 by_target.setdefault(spec.target, []).append(_Planned(i, spec, kind.aggregates(spec, target)))
             else:
                 metrics = kind.frame(spec, target, ctx)
@@ -206,21 +216,39 @@ def execute(
 ) -> DataFrame:
     """Run a suite and keep its results as a table under ``path``; returns the rows of this run.
 
-    The fused job is tried first. When it breaks at run time (a corrupt file, a cast that
-    raises inside custom SQL), each check runs on its own so that only the broken one
-    turns into an ``error`` row. A repeated run id replaces its rows.
+    The suite runs as one job. When that breaks on the data (a corrupt file, a cast that raises
+    inside custom SQL), the checks are halved until the broken ones are alone, and only those
+    turn into ``error`` rows. Errors while writing the results are raised. A repeated run id
+    replaces its rows.
     """
     specs, started = list(specs), time.time()
+    stage = run_dir(catalog.spark, "suite")
+    try:
+        _stored(specs, catalog, executed_at, stage)
+        rows = catalog.spark.read.schema(_result_schema()).parquet(stage)
+        write_results(rows, path, run_id, started)
+    finally:
+        removed(catalog.spark, stage)
+    return read_results(catalog.spark, path, _result_schema(), run_id)
+
+
+def _result_schema() -> str:
+    return ", ".join(f"{n} {t}" for n, t in RESULT_FIELDS.items())
+
+
+def _stored(specs: list[CheckSpec], catalog: Catalog, executed_at: str | None, stage: str) -> None:
+    """Append the results of the checks to the stage, halving them where the job breaks."""
+    part = run_dir(catalog.spark, "part")
     try:
-        write_results(suite(specs, catalog, executed_at), path, run_id, started)
-    except Exception:  # noqa: BLE001 - any engine failure switches to one check at a time
-        stage = run_dir(catalog.spark, "isolated")
-        for spec in specs:
-            rows = suite([spec], catalog, executed_at)
-            try:
-                rows.write.mode("append").parquet(stage)
-            except Exception as exc:  # noqa: BLE001
-                reason = {0: ("error", str(exc).splitlines()[0])}
-                _complete(catalog.spark, [spec], reason, [], executed_at).write.mode("append").parquet(stage)
-        write_results(catalog.spark.read.parquet(stage), path, run_id, started)
-    return catalog.spark.read.parquet(path).where(F.col("run_id") == run_id)
+        suite(specs, catalog, executed_at).write.parquet(part)
+    except PySparkException as exc:
+        if len(specs) > 1:
+            middle = len(specs) // 2
+            _stored(specs[:middle], catalog, executed_at, stage)
+            _stored(specs[middle:], catalog, executed_at, stage)
+            return
+        reason = {0: ("error", str(exc).splitlines()[0])}
+        _complete(catalog.spark, specs, reason, [], executed_at).write.mode("append").parquet(stage)
+        return
+    catalog.spark.read.schema(_result_schema()).parquet(part).coalesce(1).write.mode("append").parquet(stage)
+    removed(catalog.spark, part)

@@ -68,6 +68,12 @@ def shared_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``run_dir`` named, on whatever file system it lies."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def run_dir(spark: SparkSession, label: str) -> str:
     """A fresh sub-folder of the shared folder for the output of one run."""
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -38,6 +38,13 @@ def write_results(results: DataFrame, path: str, run_id: str, started: float) ->
     replace_partitions(table, path, ["run_id"])
 
 
+def read_results(spark: SparkSession, path: str, fields: str, run_id: str | None = None) -> DataFrame:
+    """Stored results with their types stated, so that a run id like 01 stays the text it is."""
+    kept = ", ".join(f for f in fields.split(", ") if not f.startswith("stored "))
+    rows = spark.read.schema(f"{kept}, started_at timestamp, run_id string").parquet(path)
+    return rows if run_id is None else rows.where(F.col("run_id") == run_id)
+
+
 def write_dated(df: DataFrame, path: str, time_column: str, tenant_column: str | None = None) -> None:
     """Append events or history under (tenant, date) folders, so that both prune."""
     dated = df.withColumn("event_date", F.to_date(F.col(time_column)))

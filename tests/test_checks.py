@@ -209,7 +209,7 @@ def test_type_aliases():
 
 @pytest.mark.parametrize(
     "sql, expected, want",
-    [("SELECT COUNT(*) FROM people", "4", "passed"), ("SELECT COUNT(*) FROM people", "4.0", "passed"), ("SELECT 'a'", "b", "failed"),
+    [("SELECT COUNT(*) FROM people", "4", "passed"), ("SELECT COUNT(*) FROM people", "4.0", "failed"), ("SELECT 'a'", "b", "failed"),
      ("SELECT id FROM people WHERE id > 9", "1", "failed"), ("SELECT * FROM people", None, "passed"), ("SELECT * FROM nobody", None, "failed"),
      ("SELECT * FROM missing_table", None, "error"), ("SELECT nothing FROM people", None, "error"), ("", None, "error")],
 )
@@ -287,7 +287,7 @@ def test_select_checks():
     checks = [CheckSpec("a", "row_count", datasource_id="d1", tenant_id="t1"), CheckSpec("b", "row_count", datasource_id="d2", active=False)]
     assert [c.id for c in select_checks(checks, datasource_id="d2")] == ["b"]
     assert [c.id for c in select_checks(checks, tenant_id="t1")] == ["a"]
-    assert [c.id for c in select_checks(checks, check_ids=["b", "a", "b", "zzz"])] == ["b", "a", "b"]
+    assert [c.id for c in select_checks(checks, check_ids=["b", "a", "b", "zzz"])] == ["b", "a", "b", "zzz"]
 
 
 def test_specs_from_json():

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assayer.plans.suite import suite
+from assayer.plans.suite import select_checks, suite
 from assayer.operators import distribution, volume
 from assayer.operators.checks import measure
-from assayer.specs import ColumnInfo, Threshold
+from assayer.specs import ColumnInfo, Threshold, ViewDefinition, ViewSpec
 from workload.base import DOCUMENT_LABELS, catalog, check, query, spec, table
 
 
@@ -359,7 +359,8 @@ def distribution_report(spark, sf_dir):
 @query(
     "volume_by_day",
     """
-    WITH b AS (SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS bucket, COUNT(*) AS n FROM events GROUP BY 1)
+    WITH c AS (SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS bucket, COUNT(*) AS n FROM events GROUP BY 1),
+    b AS (SELECT bucket, COALESCE(n, 0) AS n FROM (SELECT UNNEST(generate_series(MIN(bucket), MAX(bucket), INTERVAL 1 DAY)) AS bucket FROM c) LEFT JOIN c USING (bucket))
     SELECT bucket, n AS row_count, ABS(CAST(n AS DOUBLE) - 330) / 330 * 100 AS deviation_percentage,
            CASE WHEN ABS(CAST(n AS DOUBLE) - 330) > 16.5 THEN 'failed' ELSE 'passed' END AS status
     FROM b
@@ -465,3 +466,56 @@ def suite_empty_table(spark, sf_dir):
         spec("fresh", "freshness", "no_lines", timestamp_column="l_shipdate", max_age_hours=1.0),
     ]
     return suite(specs, catalog(spark, sf_dir, empty)).select("check_id", "actual_value", "status")
+
+
+# --------------------------------------------------------------------------- cases the plain tables do not have
+
+GAPPY_EVENTS = ViewSpec("gappy_events", ViewDefinition(sql="SELECT * FROM events WHERE date_trunc('DAY', ts) <> TIMESTAMP_NTZ '2024-01-10 00:00:00'"))
+check(
+    "check_volume_daily",
+    spec("v", "volume", view_id="gappy_events", timestamp_column="ts", grain="day", expected_volume=330, volume_tolerance=50.0),
+    """
+    WITH g AS (SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS d FROM events WHERE date_trunc('day', ts) <> TIMESTAMP '2024-01-10'),
+    c AS (SELECT d, COUNT(*) AS n FROM g GROUP BY 1),
+    b AS (SELECT d, COALESCE(n, 0) AS n FROM (SELECT UNNEST(generate_series(MIN(d), MAX(d), INTERVAL 1 DAY)) AS d FROM c) LEFT JOIN c USING (d))
+    SELECT CAST(SUM(n) AS BIGINT) AS row_count, COUNT(*) AS bucket_count, COUNT(*) FILTER (WHERE ABS(n - 330) > 165) AS failed_buckets,
+           COUNT(*) FILTER (WHERE n = 0) AS empty_buckets, MAX(ABS(CAST(n AS DOUBLE) - 330) / 330 * 100) AS deviation_percentage,
+           CASE WHEN COUNT(*) FILTER (WHERE ABS(n - 330) > 165) > 0 THEN 'failed' ELSE 'passed' END AS status FROM b
+    """,
+    views=(GAPPY_EVENTS,),
+)
+check(
+    "check_custom_sql_count",
+    spec("n", "custom_sql", custom_sql="SELECT l_orderkey FROM lineitem WHERE l_quantity > 10 ORDER BY l_orderkey DESC", expected_value="0"),
+    """SELECT CAST(MAX(l_orderkey) AS VARCHAR) AS actual_text, COUNT(*) > 0 AS row_found, COUNT(*) AS row_count, 'failed' AS status
+       FROM lineitem WHERE l_quantity > 10""",
+)
+# Prices as decimals, keys above what a double can tell apart.
+EXACT = ViewSpec("exact", ViewDefinition(sql="SELECT CAST(o_totalprice AS DECIMAL(12,2)) AS price, 9007199254740992 + o_orderkey AS big, o_orderdate FROM orders"))
+_PRICED = "(SELECT CAST(o_totalprice AS DECIMAL(12,2)) AS price, 9007199254740992 + o_orderkey AS big FROM orders)"
+check(
+    "check_range_big_keys",
+    spec("r", "range", view_id="exact", column="big", expected_min=9007199254740992, expected_max=9007199254740993),
+    match_sql(_PRICED, "big BETWEEN 9007199254740992 AND 9007199254740993", "in_range_count", "out_of_range_count", "in_range_percentage"),
+    views=(EXACT,),
+)
+check(
+    "check_set_decimal",
+    spec("s", "set_membership", view_id="exact", column="price", allowed_values=["1000.005", "2000.00", "3e3"]),
+    match_sql(_PRICED, "price IN (1000.005, 2000.00, 3000)", "valid_count", "invalid_count", "valid_percentage"),
+    views=(EXACT,),
+)
+check(
+    "check_sum_big_keys",
+    spec("b", "sum_value", view_id="exact", column="big"),
+    f"SELECT CAST(SUM(CAST(big AS DECIMAL(38,0))) AS DOUBLE) AS actual_value, 'passed' AS status FROM {_PRICED}",
+    views=(EXACT,),
+)
+
+
+@query("suite_unknown_ids", """
+    SELECT 'gone' AS check_id, 'error' AS status, 'check not found' AS error
+    UNION ALL SELECT 'rows', CASE WHEN COUNT(*) < 1000 THEN 'failed' ELSE 'passed' END, NULL FROM lineitem""")
+def suite_unknown_ids(spark, sf_dir):
+    listed = select_checks(SUITE, check_ids=["gone", "rows"])
+    return suite(listed, catalog(spark, sf_dir)).select("check_id", "status", "error")

@@ -170,26 +170,30 @@ def access_decisions_with_rules(spark, sf_dir):
 @query(
     "policy_compliance_gaps",
     """
-    WITH d AS (SELECT 'tenant-' || c_nationkey AS tenant_id, 'customer/' || c_custkey AS dataset, c_custkey FROM customer),
+    WITH d AS (SELECT 'tenant-' || c_nationkey AS tenant_id, 'customer/' || c_custkey % 40 AS dataset FROM customer),
+    f AS (SELECT 'tenant-' || o_custkey % 25 AS tenant_id, 'customer/' || o_custkey % 40 AS dataset FROM orders WHERE o_orderstatus = 'F'),
+    a AS (SELECT 'tenant-' || user_id % 25 AS tenant_id, 'customer/' || user_id % 40 AS dataset FROM events WHERE event_type = 'view'),
     p AS (SELECT 'tenant-' || n_nationkey AS tenant_id, r_name AS framework, n_nationkey % 2 = 0 AS audit_required, n_nationkey % 3 > 0 AS lineage_tracking
           FROM nation JOIN region ON n_regionkey = r_regionkey)
     SELECT tenant_id, framework, dataset, 'lineage' AS gap FROM d JOIN p USING (tenant_id)
-    WHERE lineage_tracking AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')
+    WHERE lineage_tracking AND (tenant_id, dataset) NOT IN (SELECT (tenant_id, dataset) FROM f)
     UNION ALL
     SELECT tenant_id, framework, dataset, 'audit' FROM d JOIN p USING (tenant_id)
-    WHERE audit_required AND c_custkey NOT IN (SELECT user_id FROM events)
+    WHERE audit_required AND (tenant_id, dataset) NOT IN (SELECT (tenant_id, dataset) FROM a)
     """,
 )
 def policy_compliance_gaps(spark, sf_dir):
-    named = lambda key: F.concat(F.lit("customer/"), key)
+    # Forty names, so that tenants share them.
+    named = lambda key: F.concat(F.lit("customer/"), F.col(key) % 40)
     tenant = lambda key: F.concat(F.lit("tenant-"), key)
     datasets = table(spark, sf_dir, "customer").select(tenant("c_nationkey").alias("tenant_id"), named("c_custkey").alias("dataset"))
     frameworks = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(
         tenant("n_nationkey").alias("tenant_id"), F.col("r_name").alias("framework"), F.lit(True).alias("active"),
         (F.col("n_nationkey") % 2 == 0).alias("audit_required"), (F.col("n_nationkey") % 3 > 0).alias("lineage_tracking"),
     )
-    lineage = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(named("o_custkey").alias("dataset"))
-    audits = table(spark, sf_dir, "events").select(named("user_id").alias("dataset"))
+    own = lambda key: (F.concat(F.lit("tenant-"), F.col(key) % 25).alias("tenant_id"), named(key).alias("dataset"))
+    lineage = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(*own("o_custkey"))
+    audits = table(spark, sf_dir, "events").where("event_type = 'view'").select(*own("user_id"))
     return governance.compliance_gaps(datasets, frameworks, lineage, audits)
 
 

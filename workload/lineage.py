@@ -55,18 +55,22 @@ def run_events(spark, sf_dir) -> DataFrame:
     )
 
 
+LOADED_SQL = """(SELECT 'nation' AS t, n_nationkey AS k, 'region' AS up, n_regionkey AS p FROM nation
+    UNION ALL SELECT 'customer', c_custkey, 'nation', c_nationkey FROM customer
+    UNION ALL SELECT 'orders', o_orderkey, 'customer', o_custkey FROM orders)"""
+
+
 @query(
     "lineage_events",
-    """
-    SELECT 'COMPLETE' AS event_type, 'orders-' || o_orderkey AS run_id, 'load_orders' AS job_name,
-           CASE WHEN o_orderkey % 2 = 0 THEN 'warehouse' ELSE 'default' END AS job_namespace, '{}' AS run_facets,
+    f"""
+    SELECT 'COMPLETE' AS event_type, t || '-' || k AS run_id, 'load_' || t AS job_name,
+           CASE WHEN k % 2 = 0 THEN 'warehouse' ELSE 'default' END AS job_namespace, '{{}}' AS run_facets,
            'assayer' AS producer, 'https://openlineage.io/spec/2-0-2/OpenLineage.json' AS schema_url,
-           'customer/' || o_custkey AS input FROM orders
+           up || '/' || p AS input FROM {LOADED_SQL}
     """,
 )
 def lineage_events(spark, sf_dir):
-    events = load_events(spark, sf_dir).where("job_name = 'load_orders'")
-    rows = lineage.normalize_events(events, "default")
+    rows = lineage.normalize_events(load_events(spark, sf_dir), "default")
     return rows.select(
         "event_type", "run_id", "job_name", "job_namespace", "run_facets", "producer", "schema_url",
         F.concat_ws("/", F.col("inputs")[0]["namespace"], F.col("inputs")[0]["name"]).alias("input"),
@@ -93,11 +97,11 @@ def lineage_fail_events(spark, sf_dir):
 
 @query(
     "lineage_facets",
-    """SELECT 'orders-' || o_orderkey AS run_id, CAST(o_custkey AS VARCHAR) AS owner,
-              CASE WHEN o_orderkey % 2 = 0 THEN 'warehouse' ELSE 'default' END AS job_namespace FROM orders""",
+    f"""SELECT t || '-' || k AS run_id, CAST(p AS VARCHAR) AS owner,
+              CASE WHEN k % 2 = 0 THEN 'warehouse' ELSE 'default' END AS job_namespace FROM {LOADED_SQL}""",
 )
 def lineage_facets(spark, sf_dir):
-    events = lineage.normalize_events(load_events(spark, sf_dir).where("job_name = 'load_orders'"), "default")
+    events = lineage.normalize_events(load_events(spark, sf_dir), "default")
     marked = lineage.with_facet(events, "run_facets", "ownership", F.to_json(F.struct(F.col("inputs")[0]["name"].alias("owner"))))
     marked = lineage.with_facet(marked, "run_facets", "scope", F.to_json(F.struct(F.col("job_namespace").alias("name"))))
     read = lambda path: F.get_json_object("run_facets", path)
@@ -140,7 +144,7 @@ def lineage_run_states(spark, sf_dir):
 )
 def lineage_downstream(spark, sf_dir):
     roots = table(spark, sf_dir, "region").select(F.concat(F.lit("region/"), "r_regionkey").alias("node"))
-    return lineage.downstream(lineage.dataset_edges(load_events(spark, sf_dir)), roots)
+    return lineage.downstream(lineage.dataset_edges(load_events(spark, sf_dir), distinct=False), roots)
 
 
 @query(
@@ -149,15 +153,15 @@ def lineage_downstream(spark, sf_dir):
     WITH RECURSIVE edges AS ({EDGES_SQL}),
     reach(root, node, depth) AS (
         SELECT 'order/' || o_orderkey, 'order/' || o_orderkey, 0 FROM orders WHERE o_totalprice > 450000
-        UNION ALL SELECT root, source, depth + 1 FROM reach JOIN edges ON node = target WHERE depth < 2
+        UNION ALL SELECT root, source, depth + 1 FROM reach JOIN edges ON node = target
     )
     SELECT root, node, MIN(depth) AS depth FROM reach GROUP BY 1, 2
     """,
 )
 def lineage_upstream(spark, sf_dir):
-    """Root causes of expensive orders, two steps up."""
+    """Root causes of expensive orders, up to the regions."""
     roots = table(spark, sf_dir, "orders").where("o_totalprice > 450000").select(F.concat(F.lit("order/"), "o_orderkey").alias("node"))
-    return lineage.upstream(lineage.dataset_edges(load_events(spark, sf_dir)), roots, max_depth=2)
+    return lineage.upstream(lineage.dataset_edges(load_events(spark, sf_dir), distinct=False), roots)
 
 
 @query(

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from assayer.functions.expressions import utc_instant
 from assayer.operators import alerts, executions, results
+from assayer.operators.skew import top_k
 from workload.base import query, table
 
 # --------------------------------------------------------------------------- derived tables
@@ -35,15 +36,20 @@ RUN_RESULTS_SQL = """
            CASE WHEN l_returnflag = 'A' THEN 'passed' WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 'failed'
                 WHEN l_returnflag = 'R' THEN 'warning' WHEN l_linestatus = 'F' THEN 'skipped' ELSE 'error' END AS status,
            CASE l_linenumber WHEN 1 THEN 'critical' WHEN 2 THEN 'high' WHEN 3 THEN 'medium' WHEN 4 THEN 'low' ELSE 'info' END AS severity
-    FROM lineitem WHERE l_discount > 0"""
+    FROM lineitem, (VALUES (0.0), (0.06)) tries(t) WHERE l_discount > 0 AND l_tax >= t"""
+LOST_SQL = f"""
+    SELECT execution_id, SUM(asked)::BIGINT AS total_checks, SUM(GREATEST(asked - got, 0))::BIGINT AS lost
+    FROM (SELECT execution_id, check_id, SUM(a) AS asked, SUM(g) AS got
+          FROM (SELECT execution_id, check_id, 1 AS a, 0 AS g FROM ({REQUESTS_SQL})
+                UNION ALL SELECT execution_id, check_id, 0, 1 FROM ({RUN_RESULTS_SQL})) GROUP BY 1, 2) GROUP BY 1"""
 SUMMARY_SQL = f"""
     SELECT q.execution_id, total_checks, COALESCE(passed, 0) AS passed_checks, COALESCE(failed, 0) AS failed_checks,
-           COALESCE(warning, 0) AS warning_checks, COALESCE(error, 0) + total_checks - COALESCE(got, 0) AS error_checks,
+           COALESCE(warning, 0) AS warning_checks, COALESCE(error, 0) + lost AS error_checks,
            COALESCE(skipped, 0) AS skipped_checks, worst,
            CASE worst WHEN 5 THEN 'critical' WHEN 4 THEN 'high' WHEN 3 THEN 'medium' WHEN 2 THEN 'low' WHEN 1 THEN 'info' END
                AS max_failed_severity,
-           CASE WHEN COALESCE(error, 0) + total_checks - COALESCE(got, 0) > 0 THEN 'partial' ELSE 'completed' END AS status
-    FROM (SELECT execution_id, COUNT(*) AS total_checks FROM ({REQUESTS_SQL}) GROUP BY 1) q
+           CASE WHEN COALESCE(error, 0) + lost > 0 THEN 'partial' ELSE 'completed' END AS status
+    FROM ({LOST_SQL}) q
     LEFT JOIN (
         SELECT execution_id, COUNT(*) AS got, COUNT(*) FILTER (WHERE status = 'passed') AS passed,
                COUNT(*) FILTER (WHERE status = 'failed') AS failed, COUNT(*) FILTER (WHERE status = 'warning') AS warning,
@@ -114,7 +120,9 @@ def run_results(spark, sf_dir):
     severity = (
         F.when(number == 1, "critical").when(number == 2, "high").when(number == 3, "medium").when(number == 4, "low").otherwise("info")
     )
-    return table(spark, sf_dir, "lineitem").where("l_discount > 0").select(
+    # High taxes are tried twice, so that retries leave more than one result of a check.
+    tries = F.explode(F.when(F.col("l_tax") >= 0.06, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return table(spark, sf_dir, "lineitem").where("l_discount > 0").withColumn("try", tries).select(
         F.col("l_orderkey").alias("execution_id"), F.col("l_partkey").alias("check_id"), status.alias("status"), severity.alias("severity")
     )
 
@@ -388,3 +396,18 @@ def alert_history(spark, sf_dir):
 )
 def alert_history_channel(spark, sf_dir):
     return alerts.last_alerts(_history(spark, sf_dir).distinct(), 20, "ch-4")
+
+
+# --------------------------------------------------------------------------- limits above the usual
+
+
+@query(
+    "result_history_full",
+    f"""SELECT * FROM (SELECT check_id, executed_at, result_id, status FROM ({RESULTS_SQL}) r)
+        QUALIFY ROW_NUMBER() OVER (PARTITION BY status ORDER BY executed_at DESC, result_id DESC) <= 1500""",
+)
+def result_history_full(spark, sf_dir):
+    """The last 1500 results of every status, of a table that carries a map as stored results do."""
+    rows = check_results(spark, sf_dir).withColumn("details", F.create_map(F.lit("status"), F.col("status")))
+    kept = top_k(rows, ["status"], [F.col("executed_at").desc(), F.col("result_id").desc()], 1500)
+    return kept.select("check_id", "executed_at", "result_id", F.col("details")["status"].alias("status"))
