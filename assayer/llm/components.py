@@ -32,8 +32,7 @@ def components(links: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = kept(_stars(both, True), "stars")
-        edges = kept(_stars(large, False), "stars")
+        edges = kept(_stars(_stars(both, True), False), "stars")
         state = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if (state["n"], state["s"]) == before:
             break

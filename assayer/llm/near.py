@@ -11,10 +11,12 @@ value. Points are only drawn until every component has one, so a text costs abou
 Two texts agree in a component with the probability of their weighted Jaccard.
 
 Links. Equal bags are one node. Bands of a few components make buckets. In each bucket every node is
-paired with the smallest node of the bucket, not with all others; pairs are verified on the bags
-themselves, and connected nodes become classes. Pairs of one bucket that are still in different classes
-are then compared by signature in blocks, those that look similar are verified too, and classes are
-joined again, so that no link between different texts is lost to the choice of the pivot.
+paired with the smallest node of the bucket, not with all others; pairs whose signatures agree are
+verified on the bags themselves. Where a bucket of three or more had a pair that was refused, links
+between its other nodes may exist: the bags of such a bucket are compared with each other exactly, by
+products of incidence matrices, in blocks of bounded size, and every block returns no more than the
+links that connect it. So no link between different texts is lost to the choice of the pivot, and no
+pairs are emitted beyond a forest. Connected nodes are classes.
 
 NULL texts, and texts without words, are each a class of their own. The class id is the smallest doc_id
 of the class (NULL if all its ids are NULL). Repeated rows are in one class and keep their rows.
@@ -41,8 +43,10 @@ COMPONENTS = BANDS * ROWS
 ESTIMATE = 0.55
 #: Texts of one vectorised step.
 STEP_CHARS = 2_000_000
-#: Members of a bucket compared with each other in one task.
-CROSS_BLOCK = 2000
+#: Nodes and shingles of one block of a bucket; two blocks are compared in one task.
+BLOCK_NODES, BLOCK_UNITS = 1000, 500_000
+#: Shingles of one matrix product.
+COLUMNS = 2048
 
 _U = np.uint64
 _GOLD, _M1, _M2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -173,7 +177,7 @@ def _schema(text: str) -> pa.Schema:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = _schema("doc_id long, node binary, sig binary, bands array<long>, body binary")
+    schema = _schema("doc_id long, node binary, units long, sig binary, bands array<long>, body binary")
     squeeze = zstandard.ZstdCompressor(level=3)
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1).to_pylist()
@@ -194,6 +198,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [
                     ids.slice(start, stop - start).cast(pa.int64()),
                     pa.array(nodes, pa.binary()),
+                    pa.array([int(c.sum()) for _, c in counted], pa.int64()),
                     pa.array([s.tobytes() for s in signed], pa.binary()),
                     pa.array(list(banded.view(np.int64)), pa.list_(pa.int64())),
                     pa.array([squeeze.compress((t or "").encode("utf-8")) for t in texts[start:stop]], pa.binary()),
@@ -219,24 +224,60 @@ def _verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([pa.array([x for x, k in zip(a, mask, strict=True) if k], pa.binary()), pa.array([x for x, k in zip(b, mask, strict=True) if k], pa.binary())], schema=schema)
 
 
-def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a[:, None, :] == b[None, :, :]).sum(axis=2)
+def similar(counted: list[tuple[np.ndarray, np.ndarray]], rows: np.ndarray, columns: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Pairs (row, column) of bags at least ``least`` similar, from exact counts of common shingles.
 
-
-def _crossed(table: pa.Table) -> pa.Table:
-    """Pairs of one bucket block in different classes whose signatures agree often enough."""
-    nodes, classes, side = table.column("node").to_pylist(), table.column("class").to_pylist(), np.array(table.column("side").to_pylist())
-    sigs = np.array([np.frombuffer(s, dtype=np.uint32) for s in table.column("sig").to_pylist()])
-    numbers: dict[bytes, int] = {}
-    kinds = np.array([numbers.setdefault(c, len(numbers)) for c in classes])
-    least, out = int(ESTIMATE * COMPONENTS), []
+    A shingle that occurs c times is c entries (shingle, 1) ... (shingle, c), so that common entries are
+    the sum of minima. Entries that only one bag has are left out of the products.
+    """
+    totals = np.array([c.sum() for _, c in counted], dtype=np.float64)
+    owner = np.repeat(np.arange(len(counted)), [int(c.sum()) for _, c in counted])
+    keys = [np.repeat(h, c) for h, c in counted]
+    level = [np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c) for _, c in counted]
+    entries = mixed(np.concatenate(keys) ^ mixed(np.concatenate(level).astype(np.uint64)))
+    _, number, times = np.unique(entries, return_inverse=True, return_counts=True)
+    shared = times[number] > 1
+    owner, number = owner[shared], np.unique(number[shared], return_inverse=True)[1]
+    order = np.argsort(number, kind="stable")
+    owner, number = owner[order], number[order]
+    place = np.full((2, len(counted)), -1)
+    place[0, rows], place[1, columns] = np.arange(len(rows)), np.arange(len(columns))
+    common = np.zeros((len(rows), len(columns)), dtype=np.float32)
+    width = int(number[-1]) + 1 if len(number) else 0
+    for begin in range(0, width, COLUMNS):
+        low, high = np.searchsorted(number, [begin, begin + COLUMNS])
+        part = []
+        for side, size in ((0, len(rows)), (1, len(columns))):
+            matrix, at = np.zeros((size, COLUMNS), dtype=np.float32), place[side, owner[low:high]]
+            matrix[at[at >= 0], number[low:high][at >= 0] - begin] = 1
+            part.append(matrix)
+        common += part[0] @ part[1].T
+    union = totals[rows][:, None] + totals[columns][None, :] - common
+    found = np.nonzero((common >= least * union - 1e-9) & (union > 0))
+    return [(int(rows[i]), int(columns[j])) for i, j in zip(*found, strict=True)]
+
+
+def _forest(table: pa.Table, least: float) -> pa.Table:
+    """Links that connect the similar nodes of one pair of blocks of a bucket."""
+    expand = zstandard.ZstdDecompressor()
+    nodes, side = table.column("node").to_pylist(), np.array(table.column("side").to_pylist())
+    counted = bags([expand.decompress(x).decode("utf-8") for x in table.column("body").to_pylist()])
     left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # side 2: a block with itself
-    for start in range(0, len(left), 64):
-        rows = left[start : start + 64]
-        like = (_agree(sigs[rows], sigs[right]) >= least) & (kinds[rows][:, None] != kinds[right][None, :])
-        out.extend((rows[i], right[j]) for i, j in zip(*np.nonzero(like), strict=True))
-    pairs = sorted({(min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for i, j in out})
-    return pa.table({"a": pa.array([p[0] for p in pairs], pa.binary()), "b": pa.array([p[1] for p in pairs], pa.binary())})
+    parent = list(range(len(nodes)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    links = []
+    for i, j in similar(counted, left, right, least) if len(left) and len(right) else []:
+        a, b = find(i), find(j)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            links.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+    return pa.table({"a": pa.array([p[0] for p in links], pa.binary()), "b": pa.array([p[1] for p in links], pa.binary())})
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -262,37 +303,39 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     ``link_count`` counts the verified links of the text to different texts, which are those that were
     needed to connect the class; texts of a class are not compared all with all.
     """
-    signed = kept(docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_signed, "doc_id long, node binary, sig binary, bands array<long>, body binary"), "near-signatures")
-    slim = signed.where("node is not null").groupBy("node").agg(F.min("sig").alias("sig"))
-    banded = kept(signed.where("node is not null").select("node", F.explode("bands").alias("bucket")).distinct(), "near-buckets")
-    pivots = kept(banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1"), "near-pivots")
-    paired = banded.join(pivots, "bucket").where("node <> pivot").groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("bands"))
-    stars = kept(_estimated(paired.select("a", "b"), slim), "near-stars")
-    members = stars.select(F.col("a").alias("node")).union(stars.select(F.col("b").alias("node"))).distinct()
-    chosen = signed.join(members, "node", "left_semi").groupBy("node").agg(F.min("body").alias("body"))
+    fields = "doc_id long, node binary, units long, sig binary, bands array<long>, body binary"
+    signed = kept(docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_signed, fields), "near-signatures")
+    once = F.struct("units", "sig", "bands")
+    nodes = kept(signed.where("node is not null").groupBy("node").agg(F.min(once).alias("n")).select("node", "n.*"), "near-nodes")
+    banded = nodes.select("node", "units", F.explode("bands").alias("bucket"))
+    counted = banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n"), F.sum("units").alias("total"))
+    buckets = kept(banded.join(counted.where("n > 1"), "bucket"), "near-buckets")
+    pairs = buckets.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    stars = kept(_estimated(pairs, nodes), "near-stars")
+    members = buckets.select("node").distinct()
+    chosen = signed.select("node", "body").join(members, "node", "left_semi").groupBy("node").agg(F.min("body").alias("body"))
     bodies = kept(chosen, "near-bodies")
     links = _links(stars, bodies, least)
-    labels = kept(components(links), "near-classes")
 
-    # Buckets that still hold several classes: compare across classes only.
-    crowded = banded.join(pivots.select("bucket"), "bucket").join(labels.withColumnRenamed("label", "class"), "node", "left").withColumn("class", F.coalesce("class", "node"))
-    several = kept(crowded.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high"), "near-crowded")
-    blocks = F.ceil(F.col("n") / CROSS_BLOCK)
-    placed = crowded.join(several.select("bucket", "n"), "bucket").join(slim, "node").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    # Block i meets blocks j >= i: its members are side 0 of (i, j), side 1 of (j, i), both in (i, i).
-    meets = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j"), F.when(F.col("block") == j, 2).when(F.col("block") < j, 0).otherwise(1).alias("side")))
-    dealt = placed.withColumn("m", F.explode(meets)).select("bucket", "m.i", "m.j", "m.side", "node", "class", "sig")
-    crossed = dealt.groupBy("bucket", "i", "j").applyInArrow(_crossed, "a binary, b binary").distinct()
-    rest = kept(crossed.join(stars, ["a", "b"], "left_anti"), "near-rest")
-    more = rest.select(F.col("a").alias("node")).union(rest.select(F.col("b").alias("node"))).distinct()
-    extra = signed.join(more, "node", "left_semi").groupBy("node").agg(F.min("body").alias("body"))
-    links = links.unionByName(_links(rest, kept(extra, "near-bodies"), least))
+    refused = buckets.where("n > 2 and node <> pivot").join(links, (F.col("pivot") == F.col("a")) & (F.col("node") == F.col("b")), "left_anti")
+    crowded = buckets.join(refused.select("bucket").distinct(), "bucket", "left_semi").join(bodies, "node")
+    count = F.greatest(F.ceil(F.col("n") / BLOCK_NODES), F.ceil(F.col("total") / BLOCK_UNITS))
+    placed = crowded.withColumn("blocks", count).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    # Block i meets blocks j >= i: its nodes are side 0 of (i, j), side 1 of (j, i), both in (i, i).
+    meets = F.transform(
+        F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1),
+        lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j"), F.when(F.col("block") == j, 2).when(F.col("block") < j, 0).otherwise(1).alias("side")),
+    )
+    dealt = placed.withColumn("m", F.explode(meets)).select("bucket", "m.i", "m.j", "m.side", "node", "body")
+    more = kept(dealt.groupBy("bucket", "i", "j").applyInArrow(lambda t: _forest(t, least), "a binary, b binary"), "near-links")
+    links = links.unionByName(more).distinct()
     labels = kept(components(links), "near-classes")
 
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("link_count"))
     named = signed.select("doc_id", "node").join(labels, "node", "left").join(degree, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    sized = kept(named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")), "near-sizes")
-    own = named.join(sized, "label", "left")
+    named = kept(named, "near-labels")
+    sized = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    own = named.join(kept(sized, "near-sizes"), "label", "left")
     links_of = F.coalesce("link_count", F.lit(0)).cast("bigint")
     alone = F.col("label").isNull()
     return own.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.lit(1).cast("bigint")).otherwise(F.col("class_size")).alias("class_size"), links_of.alias("link_count"))

@@ -65,17 +65,33 @@ def test_classes_equal_brute_force(spark, monkeypatch):
     want = brute(docs)
     assert got(spark.createDataFrame(docs, SCHEMA + "").repartition(3)) == want
     extra = spark.createDataFrame([(*d, 1, b"x") for d in docs], SCHEMA + ", bucket int, node binary")
-    monkeypatch.setattr(near, "CROSS_BLOCK", 3)
+    monkeypatch.setattr(near, "BLOCK_NODES", 3)
     assert got(extra) == want
 
 
 def test_pairs_missed_by_the_pivot_are_found(spark, monkeypatch):
-    """With one wide band everything shares a bucket, so only the cross comparison can tell the classes."""
-    monkeypatch.setattr(near, "CROSS_BLOCK", 4)
-    docs = [(i, f"{'x' if i % 2 else 'y'} " + " ".join(f"{'x' if i % 2 else 'y'}{k}" for k in range(60)) + f" end{i}") for i in range(14)]
+    """Variants of one text, some of which are only similar to each other; blocks of a bucket are tiny."""
+    monkeypatch.setattr(near, "BLOCK_NODES", 4)
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(120)]
+    docs = []
+    for i in range(40):
+        text = list(base)
+        for _ in range(i % 5 + 1):
+            text[rng.randrange(len(text))] = f"x{rng.randrange(10**6)}"
+        docs.append((i, " ".join(text)))
     assert got(spark.createDataFrame(docs, SCHEMA)) == brute(docs)
 
 
+def test_similar_pairs_are_exact():
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.randrange(0, 40))) for _ in range(60)]
+    counted = near.bags(texts)
+    rows, columns = np.arange(0, 60, 2), np.arange(60)
+    want = {(i, j) for i in rows.tolist() for j in columns.tolist() if near.weighted_jaccard(counted[i], counted[j]) >= 0.3}
+    assert set(near.similar(counted, rows, columns, 0.3)) == want
+
+
 def test_signatures_are_unbiased():
     rng = random.Random(1)
     texts, words = [], [f"w{i}" for i in range(3000)]
