@@ -5,36 +5,41 @@ often a word occurs, who has a phrase first) runs in three steps: every block se
 holds of the shard's keys, already reduced within the block; a shard answers every block in the order
 of what the block sent; the block applies the answers to its documents. A key that is everywhere so
 costs one entry per block, not one per document. Blocks are written once, so a lost task finds the same
-documents in the same order again.
+documents in the same order again. Their texts are one compressed value, which is also what moves when
+answers are brought to the blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from assayer.session import run_dir
 
-#: Characters of a block; a longer document is a block of its own.
-BLOCK_CHARS = 3_000_000
+#: Bytes of the texts of a block; a longer document is a block of its own.
+BLOCK_BYTES = 3_000_000
 #: Shards there are at least, and shards per block beyond.
 LEAST_SHARDS, BLOCKS_PER_SHARD = 64, 4
-BLOCK = "block bigint, doc_ids array<bigint>, texts array<string>"
-_BLOCK = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("texts", pa.list_(pa.string()))])
+BLOCK = "block bigint, doc_ids array<bigint>, sizes array<int>, body binary"
+_BLOCK = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("body", pa.binary())])
 
 
 def _packed(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
     number, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
+    squeeze = zstandard.ZstdCompressor(level=5)
 
     def row():
-        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([texts], pa.list_(pa.string()))], schema=_BLOCK)
+        columns = ([number], [ids], [[len(t) for t in texts]], [squeeze.compress(b"".join(texts))])
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _BLOCK, strict=True)], schema=_BLOCK)
 
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            text = text or ""
+            text = (text or "").encode("utf-8")
             if ids and size + len(text) > limit:
                 yield row()
                 number, ids, texts, size = number + 1, [], [], 0
@@ -45,11 +50,17 @@ def _packed(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Record
         yield row()
 
 
-def pack(docs: DataFrame, limit: int = BLOCK_CHARS) -> DataFrame:
+def _opened(doc_ids: pa.Scalar, sizes: pa.Scalar, body: pa.Scalar) -> tuple[list[int | None], list[bytes]]:
+    whole = zstandard.ZstdDecompressor().decompress(body.as_py())
+    ends = np.cumsum(sizes.as_py()).tolist()
+    return doc_ids.as_py(), [whole[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def pack(docs: DataFrame, limit: int = BLOCK_BYTES) -> DataFrame:
     """The documents (doc_id, text) as a written table of blocks; NULL texts become empty."""
     path = run_dir(docs.sparkSession, "blocks")
     rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text")
-    rows.mapInArrow(lambda batches: _packed(batches, limit), BLOCK).write.option("compression", "zstd").parquet(path)
+    rows.mapInArrow(lambda batches: _packed(batches, limit), BLOCK).write.parquet(path)
     return docs.sparkSession.read.schema(BLOCK).parquet(path)
 
 
@@ -58,17 +69,18 @@ def shard_count(blocks: DataFrame) -> int:
     return max(LEAST_SHARDS, blocks.count() // BLOCKS_PER_SHARD)
 
 
-def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int | None], list[str]]]:
+def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int | None], list[bytes]]]:
+    """Blocks as (block, doc_ids, texts in UTF-8)."""
     for batch in batches:
         for i in range(batch.num_rows):
-            yield batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
+            yield batch.column(0)[i].as_py(), *_opened(batch.column(1)[i], batch.column(2)[i], batch.column(3)[i])
 
 
 def answered(blocks: DataFrame, answers: DataFrame, apply: Callable[[int, list, list, pa.Table], pa.Table], schema: str) -> DataFrame:
     """Every block together with the answers to it: ``apply(block, doc_ids, texts, answers)`` makes its rows."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        parts = [apply(left.column("block")[i].as_py(), left.column("doc_ids")[i].as_py(), left.column("texts")[i].as_py(), right) for i in range(left.num_rows)]
+        parts = [apply(left.column("block")[i].as_py(), *_opened(left.column("doc_ids")[i], left.column("sizes")[i], left.column("body")[i]), right) for i in range(left.num_rows)]
         return pa.concat_tables(parts)
 
     cogrouped = blocks.groupBy("block").cogroup(answers.groupBy("block"))

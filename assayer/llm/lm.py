@@ -76,8 +76,8 @@ class Tokens:
     training: np.ndarray  # for every document
 
 
-def tokens_of(doc_ids: list[int | None], texts: list[str]) -> Tokens:
-    split = [[*t.encode("utf-8").lower().split(), END] for t in texts]
+def tokens_of(doc_ids: list[int | None], texts: list[bytes]) -> Tokens:
+    split = [[*t.lower().split(), END] for t in texts]
     lengths = np.array([len(s) for s in split], dtype=np.int64)
     ids = _Ids()
     numbers = np.fromiter((ids[w] for s in split for w in s), dtype=np.int64, count=int(lengths.sum()))

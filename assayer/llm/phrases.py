@@ -4,14 +4,14 @@ A window is SIZE consecutive words. A word goes if a window that covers it also
 with a smaller id. Which windows recur is settled by sharded Aho-Corasick automata:
 
 1. Every window has an anchor, the smallest hash among its runs of ANCHOR words. Equal windows have
-   equal anchors, and neighbouring windows mostly share theirs. A block sends each shard the stretches
-   of text whose windows have their anchor there, each window once, with the id of the block's first
-   document that has it.
-2. A shard keeps the anchors that came from two blocks or more, confirms which of their windows recur
-   word by word, compiles automata of those phrases with the smallest id as their value, a bounded
-   number at a time, and streams the stretches through them to find every occurrence. It answers each
-   block with one bit per window: an earlier document has it.
-3. The block removes the words of those windows, and of those its own earlier documents have.
+   equal anchors, and neighbouring windows mostly share theirs. A block sends each shard its distinct
+   anchors; the shard tells it which of them other blocks have too.
+2. Of the anchors that recur, the block sends the shard the stretches of text whose windows have them,
+   each window once, with the id of the block's first document that has it.
+3. The shard confirms which windows recur word by word, compiles automata of those phrases with the
+   smallest id as their value, a bounded number at a time, and streams the stretches through them to
+   find every occurrence. It answers each block with one bit per window: an earlier document has it.
+4. The block removes the words of those windows, and of those its own earlier documents have.
 
 So a phrase that is in a third of all documents reaches its shard once per block. A single automaton of
 all phrases would need about 70 nodes per window; sharding by anchor lets every stretch meet only the
@@ -32,8 +32,10 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from assayer.llm.blocks import answered, blocks_of, pack, shard_count
+from assayer.llm.text import kept
 
 SIZE = 13
 ANCHOR = 5
@@ -43,8 +45,10 @@ LAST = np.iinfo(np.int64).max
 
 _U = np.uint64
 _STEP, _OTHER = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
-MESSAGE = "shard int, block bigint, anchors binary, firsts binary, counts binary, text binary"
-_MESSAGE = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("anchors", pa.binary()), ("firsts", pa.binary()), ("counts", pa.binary()), ("text", pa.binary())])
+SENT = "shard int, block bigint, anchors binary"
+_SENT = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("anchors", pa.binary())])
+STRETCHES = "shard int, block bigint, anchors binary, firsts binary, text binary"
+_STRETCHES = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("anchors", pa.binary()), ("firsts", pa.binary()), ("text", pa.binary())])
 ANSWER = "block bigint, shard int, bits binary"
 _ANSWER = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("bits", pa.binary())])
 
@@ -92,19 +96,33 @@ class Windows:
     anchors: np.ndarray  # of every run
 
 
-def windows_of(doc_ids: list[int | None], texts: list[str], size: int = SIZE, anchor: int = ANCHOR) -> Windows:
-    ids = np.array([LAST if d is None else d for d in doc_ids], dtype=np.int64)
-    order = np.argsort(ids, kind="stable")
-    split = [texts[i].encode("utf-8").split() for i in order]
+def numbered(texts: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """The words of all texts as numbers, what the numbers stand for, and the words of every text."""
+    split = [t.split() for t in texts]
     lengths = np.array([len(s) for s in split], dtype=np.int64)
     numbers = _Ids()
     tokens = np.fromiter((numbers[w] for s in split for w in s), dtype=np.int64, count=int(lengths.sum()))
-    vocabulary = list(numbers)
+    return tokens, list(numbers), lengths
+
+
+def placed(tokens: np.ndarray, vocabulary: list[bytes], lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words, where texts end, where windows start, and the text of every word."""
     digests = np.fromiter(map(xxhash.xxh64_intdigest, vocabulary), dtype=np.uint64, count=len(vocabulary))
-    hashes, ends = digests[tokens], np.cumsum(lengths)
-    document = np.repeat(np.arange(len(lengths)), lengths)
+    ends, document = np.cumsum(lengths), np.repeat(np.arange(len(lengths)), lengths)
     n = max(0, len(tokens) - size + 1)
-    starts = np.flatnonzero(np.arange(n) + size <= ends[document[:n]])
+    return digests[tokens], ends, np.flatnonzero(np.arange(n) + size <= ends[document[:n]]), document
+
+
+def anchors_of(hashes: np.ndarray, size: int, anchor: int) -> np.ndarray:
+    """The anchor of the window at every place, were there one."""
+    return _least(_rolled(hashes, anchor, _STEP), size - anchor + 1)
+
+
+def windows_of(doc_ids: list[int | None], texts: list[bytes], size: int = SIZE, anchor: int = ANCHOR) -> Windows:
+    ids = np.array([LAST if d is None else d for d in doc_ids], dtype=np.int64)
+    order = np.argsort(ids, kind="stable")
+    tokens, vocabulary, lengths = numbered([texts[i] for i in order])
+    hashes, ends, starts, document = placed(tokens, vocabulary, lengths, size)
     owner = document[starts]
     if not len(starts):
         none = np.empty(0, np.int64)
@@ -118,35 +136,76 @@ def windows_of(doc_ids: list[int | None], texts: list[str], size: int = SIZE, an
         _, at, back = np.unique(rows, axis=0, return_index=True, return_inverse=True)
         first = at[back.reshape(-1)]
     fresh = np.flatnonzero(first == np.arange(len(first)))
-    least = _least(_rolled(hashes, anchor, _STEP), size - anchor + 1)[starts[fresh]]
+    least = anchors_of(hashes, size, anchor)[starts[fresh]]
     breaks = np.flatnonzero((np.diff(starts[fresh]) != 1) | (np.diff(least) != 0)) + 1
     begin = np.concatenate([[0], breaks])
     runs = np.stack([begin, np.concatenate([breaks, [len(fresh)]])], axis=1)
     return Windows(order, ids[order], ends, tokens, vocabulary, starts, owner, first, runs, fresh, least[begin])
 
 
-def _by_shard(w: Windows, shards: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Runs of every shard in the order they are sent; the answers come in the same order."""
-    shard = (w.anchors % _U(shards)).astype(np.int64)
+def _by_shard(anchors: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Places of every shard's anchors in the order they are sent; the answers come in the same order."""
+    shard = (anchors % _U(shards)).astype(np.int64)
     order = np.argsort(shard, kind="stable")
     edges = np.searchsorted(shard[order], np.arange(shards + 1))
     for s in np.unique(shard):
         yield int(s), order[edges[s] : edges[s + 1]]
 
 
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def _flags(bits: bytes, count: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(bits, np.uint8), count=count).astype(bool)
+
+
 def _sent(batches: Iterator[pa.RecordBatch], shards: int, size: int) -> Iterator[pa.RecordBatch]:
-    squeeze = zstandard.ZstdCompressor(level=3)
-    for block, doc_ids, texts in blocks_of(batches):
-        w = windows_of(doc_ids, texts, size)
-        words, tokens = w.vocabulary, w.tokens.tolist()
-        rows: list[list] = [[] for _ in _MESSAGE]
-        for shard, runs in _by_shard(w, shards):
+    """The distinct anchors of every block, the upper six bytes of each."""
+    for block, _, texts in blocks_of(batches):
+        hashes, _, starts, _ = placed(*numbered(texts), size)
+        own = np.unique(anchors_of(hashes, size, ANCHOR)[starts]) if len(starts) else np.empty(0, np.uint64)
+        short = own.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6]
+        yield _batch([(shard, block, short[at].tobytes()) for shard, at in _by_shard(own, shards)], _SENT)
+
+
+def _met(table: pa.Table) -> pa.Table:
+    """For every block that sent anchors to this shard, a bit per anchor: another block has it too."""
+    sent = [np.frombuffer(x, np.uint8).reshape(-1, 6) for x in table.column("anchors").to_pylist()]
+    every = np.zeros((sum(map(len, sent)), 8), dtype=np.uint8)
+    every[:, 2:] = np.concatenate(sent)
+    _, number, times = np.unique(every.view(">u8").reshape(-1).astype(np.uint64), return_inverse=True, return_counts=True)
+    again = np.split(times[number] > 1, np.cumsum([len(x) for x in sent])[:-1])
+    bits = [np.packbits(x).tobytes() for x in again]
+    return pa.table([table.column("block"), table.column("shard"), pa.array(bits, pa.binary())], schema=_ANSWER)
+
+
+def _recurring(w: Windows, bits: dict[int, bytes], shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Runs whose anchors other blocks have too, by shard, in the order they are sent."""
+    own, back = np.unique(w.anchors, return_inverse=True)
+    again = np.zeros(len(own), dtype=bool)
+    for shard, at in _by_shard(own, shards):
+        if shard in bits:
+            again[at] = _flags(bits[shard], len(at))
+    runs = np.flatnonzero(again[back]) if len(own) else np.empty(0, np.int64)
+    for shard, at in _by_shard(w.anchors[runs], shards):
+        yield shard, runs[at]
+
+
+def _stretched(shards: int, size: int):
+    def apply(block: int, doc_ids: list, texts: list, answers: pa.Table) -> pa.Table:
+        squeeze, w = zstandard.ZstdCompressor(level=5), windows_of(doc_ids, texts, size)
+        told = dict(zip(answers.column("shard").to_pylist(), answers.column("bits").to_pylist(), strict=True))
+        words, tokens, rows = w.vocabulary, w.tokens.tolist(), []
+        for shard, runs in _recurring(w, told, shards):
             begin, end = w.fresh[w.runs[runs, 0]], w.fresh[w.runs[runs, 1] - 1]
-            texts_ = [b" ".join([words[t] for t in tokens[a : b + size]]) for a, b in zip(w.starts[begin].tolist(), w.starts[end].tolist(), strict=True)]
-            values = (shard, block, w.anchors[runs].tobytes(), w.ids[w.owner[begin]].tobytes(), (w.runs[runs, 1] - w.runs[runs, 0]).astype(np.int32).tobytes(), squeeze.compress(b"\n".join(texts_)))
-            for column, value in zip(rows, values, strict=True):
-                column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _MESSAGE, strict=True)], schema=_MESSAGE)
+            stretches = [b" ".join([words[t] for t in tokens[a : b + size]]) for a, b in zip(w.starts[begin].tolist(), w.starts[end].tolist(), strict=True)]
+            firsts = np.diff(w.ids[w.owner[begin]], prepend=0)
+            rows.append((shard, block, w.anchors[runs].tobytes(), squeeze.compress(firsts.tobytes()), squeeze.compress(b"\n".join(stretches))))
+        return pa.Table.from_batches([_batch(rows, _STRETCHES)])
+
+    return apply
 
 
 def _phrases(stretch: str, size: int) -> list[str]:
@@ -159,26 +218,20 @@ def _phrases(stretch: str, size: int) -> list[str]:
 
 def _settled(table: pa.Table, size: int, phrases: int) -> pa.Table:
     """Bits for every block that sent something to this shard: an earlier document has the window."""
-    n = table.num_rows
+    n, expand = table.num_rows, zstandard.ZstdDecompressor()
     anchors = [np.frombuffer(x, np.uint64) for x in table.column("anchors").to_pylist()]
-    firsts = [np.frombuffer(x, np.int64) for x in table.column("firsts").to_pylist()]
-    counts = [np.frombuffer(x, np.int32) for x in table.column("counts").to_pylist()]
+    firsts = [np.cumsum(np.frombuffer(expand.decompress(x), np.int64)) for x in table.column("firsts").to_pylist()]
+    # Bytes as characters one to one, so phrases match at word borders whatever the language.
+    stretches = [expand.decompress(x).decode("latin-1").split("\n") for x in table.column("text").to_pylist()]
+    counts = [[t.count(" ") + 2 - size for t in texts] for texts in stretches]
     sizes = [len(a) for a in anchors]
     row = np.repeat(np.arange(n), sizes)
     entry = np.concatenate([np.arange(k) for k in sizes])
     every, all_first = np.concatenate(anchors), np.concatenate(firsts)
     order = np.lexsort((all_first, every))
-    edges = np.flatnonzero(np.concatenate([[True], np.diff(every[order]) != 0]))
-    low, high = np.minimum.reduceat(row[order], edges), np.maximum.reduceat(row[order], edges)
     group = np.cumsum(np.concatenate([[0], (np.diff(every[order]) != 0).astype(np.int64)]))
-    recurs = (low != high)[group]
-    order, group = order[recurs], group[recurs]
-    offsets = [np.concatenate([[0], np.cumsum(c)]) for c in counts]
+    offsets = [np.concatenate([[0], np.cumsum(c)]).astype(np.int64) for c in counts]
     bits = [np.zeros(int(o[-1]), dtype=np.uint8) for o in offsets]
-    # Blanks around every stretch, and bytes as characters one to one, so phrases match at word borders.
-    needed, expand, stretches = set(row[order].tolist()), zstandard.ZstdDecompressor(), {}
-    for r in needed:
-        stretches[r] = expand.decompress(table.column("text")[r].as_py()).decode("latin-1").split("\n")
 
     def settle(members: list[int]) -> None:
         seen: dict[str, int] = {}
@@ -214,36 +267,36 @@ def _settled(table: pa.Table, size: int, phrases: int) -> pa.Table:
             settle(members[begin : i + 1])
             begin, held = i + 1, 0
     some = [r for r in range(n) if bits[r].any()]
-    return pa.table([table.column("block").take(pa.array(some, pa.int64())), table.column("shard").take(pa.array(some, pa.int64())), pa.array([np.packbits(bits[r]).tobytes() for r in some], pa.binary())], schema=_ANSWER)
+    blocks, shards = table.column("block").to_pylist(), table.column("shard").to_pylist()
+    return pa.Table.from_batches([_batch([(blocks[r], shards[r], np.packbits(bits[r]).tobytes()) for r in some], _ANSWER)])
 
 
 RESULT = "doc_id bigint, n_words bigint, n_removed bigint, kept string"
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
 
-def removal(doc_ids: list[int | None], texts: list[str], answers: dict[int, bytes], shards: int, size: int) -> tuple[Windows, np.ndarray]:
+def removal(w: Windows, met: dict[int, bytes], answers: dict[int, bytes], shards: int, size: int) -> np.ndarray:
     """Which words of a block go, given the answers of the shards."""
-    w = windows_of(doc_ids, texts, size)
     earlier = np.zeros(len(w.starts), dtype=bool)
-    for shard, runs in _by_shard(w, shards):
+    for shard, runs in _recurring(w, met, shards):
         if shard in answers:
-            spans = w.runs[runs]
-            total = int((spans[:, 1] - spans[:, 0]).sum())
-            flags = np.unpackbits(np.frombuffer(answers[shard], np.uint8), count=total).astype(bool)
-            sent = np.concatenate([np.arange(a, b) for a, b in spans])
-            earlier[w.fresh[sent]] = flags
+            sent = np.concatenate([np.arange(a, b) for a, b in w.runs[runs]])
+            earlier[w.fresh[sent]] = _flags(answers[shard], len(sent))
     own = w.ids[w.owner]
     gone = w.starts[earlier[w.first] | (own > own[w.first])] if len(w.starts) else w.starts
     change = np.zeros(len(w.tokens) + 1, dtype=np.int64)
     np.add.at(change, gone, 1)
     np.add.at(change, gone + size, -1)
-    return w, np.cumsum(change[:-1]) > 0
+    return np.cumsum(change[:-1]) > 0
 
 
 def _applied(shards: int, size: int):
     def apply(block: int, doc_ids: list, texts: list, answers: pa.Table) -> pa.Table:
-        told = dict(zip(answers.column("shard").to_pylist(), answers.column("bits").to_pylist(), strict=True))
-        w, gone = removal(doc_ids, texts, told, shards, size)
+        told: tuple[dict[int, bytes], dict[int, bytes]] = ({}, {})
+        for shard, bits, last in zip(*(answers.column(c).to_pylist() for c in ("shard", "bits", "last")), strict=True):
+            told[last][shard] = bits
+        w = windows_of(doc_ids, texts, size)
+        gone = removal(w, *told, shards, size)
         rows, begin = [None] * len(doc_ids), 0
         for place, end in zip(w.order.tolist(), w.ends.tolist(), strict=True):
             own = gone[begin:end]
@@ -259,6 +312,9 @@ def dedup(docs: DataFrame, size: int = SIZE, phrases: int = PHRASES) -> DataFram
     """One row per document row: doc_id, n_words, n_removed and the kept words joined by one blank."""
     blocks = pack(docs.select("doc_id", "text"))
     shards = shard_count(blocks)
-    sent = blocks.mapInArrow(lambda batches: _sent(batches, shards, size), MESSAGE)
-    answers = sent.groupBy("shard").applyInArrow(lambda table: _settled(table, size, phrases), ANSWER)
-    return answered(blocks, answers, _applied(shards, size), RESULT)
+    sent = blocks.mapInArrow(lambda batches: _sent(batches, shards, size), SENT)
+    met = kept(sent.groupBy("shard").applyInArrow(_met, ANSWER), "phrase-anchors")
+    stretches = answered(blocks, met, _stretched(shards, size), STRETCHES)
+    settled = kept(stretches.groupBy("shard").applyInArrow(lambda table: _settled(table, size, phrases), ANSWER), "phrase-answers")
+    both = met.withColumn("last", F.lit(0)).unionByName(settled.withColumn("last", F.lit(1)))
+    return answered(blocks, both, _applied(shards, size), RESULT)

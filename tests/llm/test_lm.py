@@ -65,7 +65,7 @@ def test_probabilities_sum_to_one():
     known = {**dict(heads), **tails}
     total = 0.0
     for w, c in known.items():
-        t = lm.tokens_of([1], [f"h3 {w.decode()}" if w else "h3"])
+        t = lm.tokens_of([1], [b"h3 " + w])
         counts = np.array([known.get(x, 0) for x in t.vocabulary])
         total += 10 ** lm.log10_of(model, t, counts)[1]
     # What is left is one unseen word per tail class.

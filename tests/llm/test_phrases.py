@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from assayer.llm import blocks, phrases
+from assayer.llm import phrases
 from tests.conftest import SMALL
 
 SCHEMA = "doc_id bigint, text string"
@@ -51,8 +51,7 @@ def made():
 
 
 def test_equals_brute_force(spark, made, monkeypatch):
-    monkeypatch.setattr(blocks, "BLOCK_CHARS", 700)
-    frame = spark.createDataFrame(made, SCHEMA).repartition(3).withColumnRenamed("text", "text")
+    frame = spark.createDataFrame(made, SCHEMA).repartition(3)
     packed = phrases.pack(frame, 700)
     assert packed.count() > 10
     monkeypatch.setattr(phrases, "pack", lambda docs: packed)
