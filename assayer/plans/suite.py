@@ -221,6 +221,12 @@ def execute(
     turn into ``error`` rows. Errors while writing the results are raised. A repeated run id
     replaces its rows.
     """
+    store(specs, catalog, path, run_id, executed_at)
+    return read_results(catalog.spark, path, _result_schema(), run_id)
+
+
+def store(specs: Iterable[CheckSpec], catalog: Catalog, path: str, run_id: str, executed_at: str | None = None) -> None:
+    """``execute`` without reading the result table, which keeps old runs."""
     specs, started = list(specs), time.time()
     stage = run_dir(catalog.spark, "suite")
     try:
@@ -229,7 +235,6 @@ def execute(
         write_results(rows, path, run_id, started)
     finally:
         removed(catalog.spark, stage)
-    return read_results(catalog.spark, path, _result_schema(), run_id)
 
 
 def _result_schema() -> str:

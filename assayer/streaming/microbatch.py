@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from assayer.plans.catalog import Catalog
-from assayer.plans.suite import execute
+from assayer.plans.suite import store
 from assayer.specs import CheckSpec
 
 
@@ -35,7 +35,7 @@ def run_on_stream(
         local = Catalog(batch.sparkSession, {**tables, table: batch}, catalog.view_specs())
         batch.persist()
         try:
-            execute(specs, local, path, f"batch-{batch_id}", executed_at)
+            store(specs, local, path, f"batch-{batch_id}", executed_at)
         finally:
             batch.unpersist()
 

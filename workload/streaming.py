@@ -13,9 +13,22 @@ from workload.base import catalog, query, spec, table
 from workload.workflow import EVENT_LOG_SQL, event_log, replay_sql
 
 
-def stream(spark, sf_dir, name):
-    schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", 1).parquet(sf_dir)
+DAYS = 8
+PART_SQL = f"date_diff('day', (SELECT MIN(ts)::DATE FROM events), ts::DATE) // {DAYS}"
+
+
+def in_batches(spark, sf_dir, start):
+    """Run a streaming query over events in the order of time, one micro-batch per span of DAYS days.
+
+    Every span is written to the stream's folder, then the query is started on it, runs to its end and
+    stops, so that state, late rows and restarts from the checkpoint all take part.
+    """
+    events, root = table(spark, sf_dir, "events"), run_dir(spark, "events")
+    first, last = events.agg(F.min(F.to_date("ts")), F.max(F.to_date("ts"))).first()
+    part = F.floor(F.date_diff(F.to_date("ts"), F.lit(first)) / DAYS)
+    for number in range((last - first).days // DAYS + 1):
+        events.where(part == number).write.mode("append").parquet(root)
+        start(spark.readStream.schema(events.schema).parquet(root)).awaitTermination()
 
 
 CHECKS = [
@@ -38,11 +51,12 @@ METRICS_SQL = """
 
 @query(
     "stream_suite",
-    """
-    SELECT 'rows' AS check_id, 'passed' AS status, CAST(COUNT(*) AS DOUBLE) AS actual_value FROM events
+    f"""
+    WITH e AS (SELECT *, {PART_SQL} AS part FROM events)
+    SELECT 'rows' AS check_id, 'passed' AS status, CAST(COUNT(*) AS DOUBLE) AS actual_value FROM e GROUP BY part
     UNION ALL SELECT 'users', CASE WHEN COUNT(c_custkey) = COUNT(*) THEN 'passed' ELSE 'failed' END, CAST(COUNT(c_custkey) AS DOUBLE) / COUNT(*) * 100
-        FROM events LEFT JOIN customer ON user_id = c_custkey
-    UNION ALL SELECT 'ids', 'passed', CAST(COUNT(DISTINCT event_id) AS DOUBLE) / COUNT(*) * 100 FROM events
+        FROM e LEFT JOIN customer ON user_id = c_custkey GROUP BY part
+    UNION ALL SELECT 'ids', 'passed', CAST(COUNT(DISTINCT event_id) AS DOUBLE) / COUNT(*) * 100 FROM e GROUP BY part
     """,
 )
 def stream_suite(spark, sf_dir):
@@ -52,17 +66,22 @@ def stream_suite(spark, sf_dir):
         spec("users", "referential_integrity", "events", "user_id", reference_table="customer", reference_column="c_custkey"),
         spec("ids", "uniqueness", "events", "event_id"),
     ]
-    running = microbatch.run_on_stream(stream(spark, sf_dir, "events"), "events", specs, catalog(spark, sf_dir), out, state)
-    running.awaitTermination()
+    in_batches(spark, sf_dir, lambda events: microbatch.run_on_stream(events, "events", specs, catalog(spark, sf_dir), out, state))
     return spark.read.parquet(out).select("check_id", "status", "actual_value")
 
 
 def _windowed(spark, sf_dir, name: str, slide: str | None, lateness: str):
     out, state = run_dir(spark, name), run_dir(spark, f"{name}_state")
-    events = stream(spark, sf_dir, "events").withColumn("ts", as_instant(F.col("ts"), T.TimestampNTZType()))
-    metrics = windows.windowed_checks(events, CHECKS, "ts", "1 day", slide, lateness)
-    windows.write_windows(metrics, out, state).awaitTermination()
-    return spark.read.schema(metrics.schema).parquet(out).withColumns(
+    schemas = []
+
+    def start(events):
+        timed = events.withColumn("ts", as_instant(F.col("ts"), T.TimestampNTZType()))
+        metrics = windows.windowed_checks(timed, CHECKS, "ts", "1 day", slide, lateness)
+        schemas.append(metrics.schema)
+        return windows.write_windows(metrics, out, state)
+
+    in_batches(spark, sf_dir, start)
+    return spark.read.schema(schemas[-1]).parquet(out).withColumns(
         {c: utc_instant(F.col(c), T.TimestampType()) for c in ("window_start", "window_end")}
     )
 
@@ -104,15 +123,15 @@ def windowed_checks_batch(spark, sf_dir):
 def stream_replay(spark, sf_dir):
     """Latest state per entity; every micro-batch appends the entities it touched."""
     out, state = run_dir(spark, "stream_replay"), run_dir(spark, "stream_replay_state")
-    log = event_log(spark, sf_dir, stream(spark, sf_dir, "events"))
 
     def keep(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    running = (
-        replay.replay_stream(log, workflow.DATA_QUALITY).writeStream.outputMode("update").foreachBatch(keep)
-        .option("checkpointLocation", state).trigger(availableNow=True).start()
-    )
-    running.awaitTermination()
+    def start(events):
+        log = event_log(spark, sf_dir, events)
+        states = replay.replay_stream(log, workflow.DATA_QUALITY).writeStream.outputMode("update").foreachBatch(keep)
+        return states.option("checkpointLocation", state).trigger(availableNow=True).start()
+
+    in_batches(spark, sf_dir, start)
     rows = spark.read.parquet(out)
     return rows.groupBy("entity").agg(F.max_by(F.struct("state", "accepted", "rejected"), "batch").alias("s")).select("entity", "s.*")
