@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -149,7 +150,7 @@ def _sound(rules: DataFrame) -> DataFrame:
     for row in patterns.toLocalIterator():
         try:
             compiles(row["value"])
-        except Py4JJavaError:
+        except (Py4JJavaError, PySparkException):
             broken.append(row["value"])
     bad = F.col("value").isin(broken) if broken else F.lit(False)
     return rules.withColumn("_sound", ~F.coalesce(bad, F.lit(False)))
