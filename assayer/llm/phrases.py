@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -101,7 +102,7 @@ def numbered(texts: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     split = [t.split() for t in texts]
     lengths = np.array([len(s) for s in split], dtype=np.int64)
     numbers = _Ids()
-    tokens = np.fromiter((numbers[w] for s in split for w in s), dtype=np.int64, count=int(lengths.sum()))
+    tokens = np.fromiter(map(numbers.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(lengths.sum()))
     return tokens, list(numbers), lengths
 
 
@@ -165,7 +166,10 @@ def _sent(batches: Iterator[pa.RecordBatch], shards: int, size: int) -> Iterator
     """The distinct anchors of every block, the upper six bytes of each."""
     for block, _, texts in blocks_of(batches):
         hashes, _, starts, _ = placed(*numbered(texts), size)
-        own = np.unique(anchors_of(hashes, size, ANCHOR)[starts]) if len(starts) else np.empty(0, np.uint64)
+        own = np.empty(0, np.uint64)
+        if len(starts):
+            every = anchors_of(hashes, size, ANCHOR)[starts]
+            own = np.unique(every[np.concatenate([[True], every[1:] != every[:-1]])])  # neighbours mostly share theirs
         short = own.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6]
         yield _batch([(shard, block, short[at].tobytes()) for shard, at in _by_shard(own, shards)], _SENT)
 
@@ -208,12 +212,13 @@ def _stretched(shards: int, size: int):
     return apply
 
 
-def _phrases(stretch: str, size: int) -> list[str]:
-    """The windows of a stretch, each with a blank at both ends."""
-    blanks = [0]
-    while (at := stretch.find(" ", blanks[-1] + 1)) >= 0:
-        blanks.append(at)
-    return [stretch[a : b + 1] for a, b in zip(blanks, blanks[size:], strict=False)]
+class _Letters(dict):
+    """Words to one character each, so that an automaton has a node per word of a phrase."""
+
+    def __missing__(self, word: bytes) -> str:
+        number = len(self)
+        letter = self[word] = chr(number if number < 0xD800 else number + 0x800)
+        return letter
 
 
 def _settled(table: pa.Table, size: int, phrases: int) -> pa.Table:
@@ -221,9 +226,8 @@ def _settled(table: pa.Table, size: int, phrases: int) -> pa.Table:
     n, expand = table.num_rows, zstandard.ZstdDecompressor()
     anchors = [np.frombuffer(x, np.uint64) for x in table.column("anchors").to_pylist()]
     firsts = [np.cumsum(np.frombuffer(expand.decompress(x), np.int64)) for x in table.column("firsts").to_pylist()]
-    # Bytes as characters one to one, so phrases match at word borders whatever the language.
-    stretches = [expand.decompress(x).decode("latin-1").split("\n") for x in table.column("text").to_pylist()]
-    counts = [[t.count(" ") + 2 - size for t in texts] for texts in stretches]
+    stretches = [expand.decompress(x).split(b"\n") for x in table.column("text").to_pylist()]
+    counts = [[t.count(b" ") + 2 - size for t in texts] for texts in stretches]
     sizes = [len(a) for a in anchors]
     row = np.repeat(np.arange(n), sizes)
     entry = np.concatenate([np.arange(k) for k in sizes])
@@ -234,30 +238,33 @@ def _settled(table: pa.Table, size: int, phrases: int) -> pa.Table:
     bits = [np.zeros(int(o[-1]), dtype=np.uint8) for o in offsets]
 
     def settle(members: list[int]) -> None:
+        letters, whose = _Letters(), {}
+        for m in members:  # by anchor, then by id: the first to bring a stretch or a phrase has the smallest id
+            whose.setdefault(stretches[row[m]][entry[m]], []).append(m)
         seen: dict[str, int] = {}
         confirmed: dict[str, int] = {}
-        texts = []
-        for m in members:  # by anchor, then by id: the first to bring a phrase has the smallest id
-            text = f" {stretches[row[m]][entry[m]]} "
-            texts.append(text)
-            who = int(all_first[m])
-            for phrase in _phrases(text, size):
-                if phrase in seen:
-                    confirmed[phrase] = seen[phrase]
-                else:
-                    seen[phrase] = who
+        spelled = []
+        for stretch, owners in whose.items():
+            text, who = "".join(map(letters.__getitem__, stretch.split(b" "))), int(all_first[owners[0]])
+            spelled.append((text, owners))
+            for i in range(len(text) - size + 1):
+                phrase = text[i : i + size]
+                first = seen.setdefault(phrase, who)
+                if first != who or len(owners) > 1:
+                    confirmed[phrase] = first
         if not confirmed:
             return
         automaton = ahocorasick.Automaton()
         for phrase, who in confirmed.items():
-            automaton.add_word(phrase, (who, len(phrase)))
+            automaton.add_word(phrase, who)
         automaton.make_automaton()
-        for m, text in zip(members, texts, strict=True):
-            own = int(all_first[m])
-            hits = [end - length + 1 for end, (who, length) in automaton.iter(text) if who < own]
-            if hits:
-                places = np.cumsum(np.frombuffer(text.encode("latin-1"), np.uint8) == 32) - 1
-                bits[row[m]][offsets[row[m]][entry[m]] + places[hits]] = 1
+        for text, owners in spelled:
+            found = [(end - size + 1, who) for end, who in automaton.iter(text)]
+            for m in owners:
+                own, begin = int(all_first[m]), offsets[row[m]][entry[m]]
+                for place, who in found:
+                    if who < own:
+                        bits[row[m]][begin + place] = 1
 
     begin, held = 0, 0
     members = order.tolist()
