@@ -182,8 +182,18 @@ def _rfc3339() -> Column:
     return F.date_format(utc_instant(F.col("timestamp"), T.TimestampType()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
+def _headers() -> Column:
+    """HTTP headers of a delivery. Those of a webhook's own setting (JSON text) win."""
+    json = F.create_map(F.lit("Content-Type"), F.lit("application/json"))
+    own = F.coalesce(F.from_json(_setting("webhook_headers"), "map<string,string>"), F.create_map().cast("map<string,string>"))
+    kept = F.map_filter(json, lambda k, _: ~F.map_contains_key(own, k))
+    key = F.create_map(F.lit("Authorization"), F.concat(F.lit("GenieKey "), _setting("opsgenie_api_key")))
+    none = F.lit(None).cast("map<string,string>")
+    return _by_type({"webhook": F.map_concat(kept, own), "opsgenie": F.map_concat(json, key), "email": none}, json)
+
+
 def deliveries(routed: DataFrame) -> DataFrame:
-    """One row per delivery: where it goes and what it says, ready for any transport.
+    """One row per delivery: where it goes, with which headers, and what it says, ready for any transport.
 
     A channel without its required setting, or of an unknown type, gives a ``failed`` row
     with the reason instead.
@@ -234,6 +244,7 @@ def deliveries(routed: DataFrame) -> DataFrame:
         "error",
         F.when(ok, target).alias("target"),
         F.when(ok, method).alias("method"),
+        F.when(ok, _headers()).alias("headers"),
         F.when(ok, payload).alias("payload"),
         "timestamp",
     )

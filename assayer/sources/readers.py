@@ -208,27 +208,51 @@ def tables_query(source: SourceSpec) -> str:
             "SELECT table_schema, table_name, table_type FROM information_schema.tables "
             f"WHERE table_schema NOT IN ({hidden})"
         )
+    if source.type == "snowflake":
+        return "SELECT table_schema, table_name, table_type FROM information_schema.tables WHERE table_schema <> 'INFORMATION_SCHEMA'"
+    if source.type == "bigquery":
+        return f"SELECT table_schema, table_name, table_type FROM `{_dataset(source)}`.INFORMATION_SCHEMA.TABLES"
     raise SpecError(f"no catalog query for {source.type}")
 
 
-def columns_query(source: SourceSpec, table: str) -> str:
-    """Query for the columns of a table, in their order."""
-    name = table.replace("'", "''")
+def _dataset(source: SourceSpec) -> str:
+    if not source.database:
+        raise SpecError("bigquery catalogs belong to a dataset: set database")
+    return source.database.replace("`", "")
+
+
+def columns_query(source: SourceSpec, table: str, schema: str = "") -> str:
+    """Query for the columns of a table, in their order.
+
+    Without a schema, equally named tables of all schemas answer; give one wherever that can happen.
+    """
+    name, owner = table.replace("'", "''"), schema.replace("'", "''")
+    within = f" AND table_schema = '{owner}'" if owner else ""
+    if source.type == "snowflake":
+        return (
+            "SELECT column_name, data_type, is_nullable, column_default, ordinal_position FROM information_schema.columns "
+            f"WHERE table_name = '{name}'{within} ORDER BY ordinal_position"
+        )
+    if source.type == "bigquery":
+        return (
+            "SELECT column_name, data_type, is_nullable, column_default, ordinal_position "
+            f"FROM `{owner.replace('`', '') or _dataset(source)}`.INFORMATION_SCHEMA.COLUMNS WHERE table_name = '{name}'"
+        )
     if source.type == "oracle":
         return (
             "SELECT column_name, data_type, nullable AS is_nullable, data_default AS column_default, column_id AS ordinal_position "
-            f"FROM all_tab_columns WHERE table_name = '{name.upper()}'"
+            f"FROM all_tab_columns WHERE table_name = '{name.upper()}'" + (f" AND owner = '{owner.upper()}'" if owner else "")
         )
     if source.type == "clickhouse":
         return (
             "SELECT name AS column_name, type AS data_type, default_expression AS column_default, position AS ordinal_position "
-            f"FROM system.columns WHERE database = currentDatabase() AND table = '{name}'"
+            f"FROM system.columns WHERE database = " + (f"'{owner}'" if owner else "currentDatabase()") + f" AND table = '{name}'"
         )
     if source.type in _STANDARD:
         extra = ", column_key" if source.type == "mysql" else ""
         return (
             f"SELECT column_name, data_type, is_nullable, column_default, ordinal_position{extra} "
-            f"FROM information_schema.columns WHERE table_name = '{name}'"
+            f"FROM information_schema.columns WHERE table_name = '{name}'{within}"
         )
     raise SpecError(f"no catalog query for {source.type}")
 
@@ -237,8 +261,8 @@ def list_database_tables(spark: SparkSession, source: SourceSpec) -> DataFrame:
     return spark.read.format("jdbc").options(**jdbc_options(source, query=tables_query(source))).load()
 
 
-def list_database_columns(spark: SparkSession, source: SourceSpec, table: str) -> DataFrame:
-    return spark.read.format("jdbc").options(**jdbc_options(source, query=columns_query(source, table))).load()
+def list_database_columns(spark: SparkSession, source: SourceSpec, table: str, schema: str = "") -> DataFrame:
+    return spark.read.format("jdbc").options(**jdbc_options(source, query=columns_query(source, table, schema))).load()
 
 
 def list_session_tables(spark: SparkSession) -> DataFrame:

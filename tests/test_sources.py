@@ -147,3 +147,14 @@ def test_dated_sink_and_session_tables(spark, people, tmp_path):
     people.createOrReplaceTempView("people_view")
     assert ("people_view", "view") in rows(readers.list_session_tables(spark), "name", "type")
     assert load(spark, SourceSpec("s", "local", path=DATA), "nation.parquet").count() == 25
+
+
+def test_catalog_queries_can_name_a_schema():
+    own = readers.columns_query(SourceSpec("s", "postgres"), "t", "it's")
+    assert "table_schema = 'it''s'" in own
+    assert "owner = 'HR'" in readers.columns_query(SourceSpec("s", "oracle"), "t", "hr")
+    assert "database = 'd'" in readers.columns_query(SourceSpec("s", "clickhouse"), "t", "d")
+    assert "information_schema.tables" in readers.tables_query(SourceSpec("s", "snowflake"))
+    assert "`d`.INFORMATION_SCHEMA.COLUMNS" in readers.columns_query(SourceSpec("s", "bigquery", database="d"), "t")
+    with pytest.raises(SpecError):
+        readers.tables_query(SourceSpec("s", "bigquery"))

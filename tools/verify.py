@@ -48,7 +48,7 @@ def main():
     args = sys.argv[1:]
     sf_dir = args[0] if args else "/root/testdata/sf0.01"
     names = args[1:] or list(QUERIES)
-    spark, db = local_session(8), connect(sf_dir)
+    spark, db = local_session(int(os.environ.get("VERIFY_CPUS", "8"))), connect(sf_dir)
     bad = []
     for name in names:
         began = time.time()

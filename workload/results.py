@@ -325,12 +325,17 @@ COLOR_SQL = """CASE severity WHEN 'critical' THEN '#FF0000' WHEN 'high' THEN '#F
     f"""SELECT alert_id, channel_id, channel_type, CASE WHEN {ERROR_SQL} IS NULL THEN 'ready' ELSE 'failed' END AS status,
                {ERROR_SQL} AS error,
                CASE WHEN {ERROR_SQL} IS NULL THEN CASE channel_type WHEN 'pagerduty' THEN 'https://events.pagerduty.com/v2/enqueue'
-                    WHEN 'opsgenie' THEN 'https://api.opsgenie.com/v2/alerts' ELSE setting END END AS target
+                    WHEN 'opsgenie' THEN 'https://api.opsgenie.com/v2/alerts' ELSE setting END END AS target,
+               CASE WHEN {ERROR_SQL} IS NULL AND channel_type <> 'email' THEN 'application/json' END AS content_type,
+               CASE WHEN {ERROR_SQL} IS NULL AND channel_type = 'opsgenie' THEN 'GenieKey ' || setting END AS "authorization"
         FROM ({ROUTED_SQL})""",
 )
 def alert_deliveries(spark, sf_dir):
     routed = alerts.route(failure_alerts(spark, sf_dir, "max_failed"), channels(spark, sf_dir))
-    return alerts.deliveries(routed).select("alert_id", "channel_id", "channel_type", "status", "error", "target")
+    return alerts.deliveries(routed).select(
+        "alert_id", "channel_id", "channel_type", "status", "error", "target",
+        F.col("headers")["Content-Type"].alias("content_type"), F.col("headers")["Authorization"].alias("authorization"),
+    )
 
 
 @query(
@@ -351,24 +356,27 @@ def alert_payload_teams(spark, sf_dir):
     f"""SELECT alert_id, channel_type,
             CASE channel_type WHEN 'slack' THEN '*' || title || '*' || chr(10) || message WHEN 'opsgenie' THEN title
                  WHEN 'pagerduty' THEN title WHEN 'webhook' THEN title ELSE title END AS headline,
+            CASE channel_type WHEN 'slack' THEN 'Severity' WHEN 'opsgenie' THEN message WHEN 'pagerduty' THEN message WHEN 'webhook' THEN message
+                 WHEN 'email' THEN message END AS body,
             CASE channel_type WHEN 'slack' THEN {COLOR_SQL}
                  WHEN 'opsgenie' THEN CASE severity WHEN 'critical' THEN 'P1' WHEN 'high' THEN 'P2' WHEN 'medium' THEN 'P3' WHEN 'low' THEN 'P4' ELSE 'P5' END
                  WHEN 'pagerduty' THEN CASE severity WHEN 'critical' THEN 'critical' WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'info' END
                  WHEN 'webhook' THEN severity END AS level
-        FROM ({ROUTED_SQL}) WHERE channel_type IN ('slack', 'opsgenie', 'pagerduty', 'webhook') AND setting <> ''""",
+        FROM ({ROUTED_SQL}) WHERE channel_type IN ('slack', 'opsgenie', 'pagerduty', 'webhook', 'email') AND setting <> ''""",
 )
 def alert_payload_fields(spark, sf_dir):
     routed = alerts.route(failure_alerts(spark, sf_dir, "max_failed"), channels(spark, sf_dir))
-    sent = alerts.deliveries(routed.where(F.col("channel_type").isin("slack", "opsgenie", "pagerduty", "webhook")))
+    sent = alerts.deliveries(routed.where(F.col("channel_type").isin("slack", "opsgenie", "pagerduty", "webhook", "email")))
     read = lambda path: F.get_json_object("payload", path)
-    by = lambda slack, ops, pager, hook: (
+    by = lambda slack, ops, pager, hook, mail: (
         F.when(F.col("channel_type") == "slack", read(slack)).when(F.col("channel_type") == "opsgenie", read(ops))
-        .when(F.col("channel_type") == "pagerduty", read(pager)).otherwise(read(hook))
+        .when(F.col("channel_type") == "pagerduty", read(pager)).when(F.col("channel_type") == "email", read(mail)).otherwise(read(hook))
     )
     return sent.where("status = 'ready'").select(
         "alert_id", "channel_type",
-        by("$.text", "$.message", "$.payload.summary", "$.title").alias("headline"),
-        by("$.attachments[0].color", "$.priority", "$.payload.severity", "$.severity").alias("level"),
+        by("$.text", "$.message", "$.payload.summary", "$.title", "$.subject").alias("headline"),
+        by("$.attachments[0].fields[0].title", "$.description", "$.payload.custom_details.message", "$.message", "$.body").alias("body"),
+        by("$.attachments[0].color", "$.priority", "$.payload.severity", "$.severity", "$.level").alias("level"),
     )
 
 
