@@ -7,8 +7,8 @@ into head classes by frequency, all others into tail classes by their ending. Th
     P(token | before) = P(class | before) * P(token | class, before)
 
 The first factor is a softmax over classes, the second one over the tokens of a head class, both with
-weights for hashed features of what stands before: the last token, the one before it (a skip), and both
-(a trigram). A token of a tail class has its smoothed share of the class's count instead, so that unseen
+weights for hashed features of what stands before: the last token (a bigram) and the one before it, whatever
+stands between (a skip). A token of a tail class has its smoothed share of the class's count instead, so that unseen
 tokens have a probability too. Weights start at the counts and are trained by gradient steps: in each
 round every task starts from the same weights, goes through its blocks once in mini-batches, and sends
 how far it moved each row of weights; rows are averaged by how often they were used. The rounds part the
@@ -24,6 +24,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +39,10 @@ from assayer.llm.text import kept
 END = b""
 HELD_OUT_OF = 10
 SMOOTH = 0.1
-HEAD_CLASSES, TAIL_CLASSES, WIDTH = 16, 16, 32
+HEAD_CLASSES, TAIL_CLASSES, WIDTH = 8, 8, 32
 HEADS, CLASSES = HEAD_CLASSES * WIDTH, HEAD_CLASSES + TAIL_CLASSES
-FEATURES, TABLE = 3, 1 << 14
-ROUNDS, BATCH, RATE = 2, 8192, 0.3
+TABLE = 1 << 14
+ROUNDS, BATCH, RATE = 2, 16384, 0.5
 #: Blocks learned from by one task of a round at least; its weights are sent once.
 BLOCKS_PER_TASK = 16
 #: Rows of weights sent together.
@@ -80,7 +81,7 @@ def tokens_of(doc_ids: list[int | None], texts: list[bytes]) -> Tokens:
     split = [[*t.lower().split(), END] for t in texts]
     lengths = np.array([len(s) for s in split], dtype=np.int64)
     ids = _Ids()
-    numbers = np.fromiter((ids[w] for s in split for w in s), dtype=np.int64, count=int(lengths.sum()))
+    numbers = np.fromiter(map(ids.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(lengths.sum()))
     vocabulary = list(ids)
     digests = np.fromiter(map(xxhash.xxh64_intdigest, vocabulary), dtype=np.uint64, count=len(vocabulary))
     return Tokens(numbers, vocabulary, digests, lengths, np.array([not held_out(d) for d in doc_ids], dtype=bool))
@@ -108,8 +109,19 @@ def _sent(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _MESSAGE, strict=True)], schema=_MESSAGE)
 
 
+class _Tails(dict):
+    """Endings to tail classes."""
+
+    def __missing__(self, ending: bytes) -> int:
+        found = self[ending] = xxhash.xxh32_intdigest(ending) % TAIL_CLASSES
+        return found
+
+
+_tails = _Tails()
+
+
 def tail_class(word: bytes) -> int:
-    return xxhash.xxh32_intdigest(word[-2:]) % TAIL_CLASSES
+    return _tails[word[-2:]]
 
 
 def _summed(table: pa.Table) -> pa.Table:
@@ -160,7 +172,7 @@ class Model:
         return cls({w: i for i, (w, _) in enumerate(heads)}, tokens, types, n, v, np.log(class_counts + 1).astype(np.float32), np.log(own + SMOOTH).astype(np.float32), zeros(CLASSES), zeros(WIDTH))
 
 
-_MARKS = [_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)]
+_MARKS = [_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -170,7 +182,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def features(t: Tokens) -> np.ndarray:
-    """Hashes of the features of every token: the last token, the one before it, and both."""
+    """Hashes of the features of every token: the last token, and the one before it."""
     hashes = t.digests[t.numbers]
     starts = np.cumsum(t.lengths) - t.lengths
     one, two = np.empty_like(hashes), np.empty_like(hashes)
@@ -178,13 +190,13 @@ def features(t: Tokens) -> np.ndarray:
     begin = _U(1)
     one[starts], two[starts] = begin, begin
     two[(starts + 1)[t.lengths > 1]] = begin
-    return np.stack([_mixed(one ^ _MARKS[0]), _mixed(two ^ _MARKS[1]), _mixed(one * _MARKS[2] ^ _mixed(two))], axis=1)
+    return np.stack([_mixed(one ^ _MARKS[0]), _mixed(two ^ _MARKS[1])], axis=1)
 
 
 def _places(model: Model, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
     """Class of every word of the vocabulary, and its place in it (-1 in a tail class)."""
-    heads = np.array([model.heads.get(w, -1) for w in t.vocabulary])
-    tails = np.array([0 if h >= 0 else tail_class(w) for w, h in zip(t.vocabulary, heads.tolist(), strict=True)])
+    heads = np.fromiter((model.heads.get(w, -1) for w in t.vocabulary), dtype=np.int64, count=len(t.vocabulary))
+    tails = np.fromiter((_tails[w[-2:]] for w in t.vocabulary), dtype=np.int64, count=len(t.vocabulary))
     return np.where(heads >= 0, heads // WIDTH, HEAD_CLASSES + tails), np.where(heads >= 0, heads % WIDTH, -1)
 
 
@@ -205,15 +217,16 @@ def _rows(hashes: np.ndarray, classes: np.ndarray | None = None) -> np.ndarray:
 
 
 def _learn(bias: np.ndarray, weights: np.ndarray, used: np.ndarray, rows: np.ndarray, target: np.ndarray) -> None:
-    """One gradient step of a mini-batch; a row moves by its summed gradient over the root of its uses."""
+    """One gradient step of a mini-batch, scaled by how often a row is used as its curvature grows with that."""
     slope = np.exp(_softmax(bias, weights, rows))
     slope[np.arange(len(target)), target] -= 1
-    flat = rows.reshape(-1)
-    order = np.argsort(flat, kind="stable")
-    touched, begin, times = np.unique(flat[order], return_index=True, return_counts=True)
-    summed = np.add.reduceat(slope[order // rows.shape[1]], begin, axis=0)
-    weights[touched] -= (RATE / np.sqrt(times)).astype(np.float32)[:, None] * summed
-    used[touched] += times
+    flat = np.concatenate([rows[:, k] for k in range(rows.shape[1])])
+    times = np.bincount(flat, minlength=TABLE)
+    scale = RATE / (0.25 * times + 1)
+    for c in range(weights.shape[1]):
+        column = np.ascontiguousarray(slope[:, c])
+        weights[:, c] -= scale * np.bincount(flat, np.concatenate([column] * rows.shape[1]), TABLE)
+    used += times
 
 
 def _trained(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
