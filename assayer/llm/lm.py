@@ -1,18 +1,19 @@
 """Language-model scores: a hashed maximum-entropy model with a class-factored softmax.
 
 Tokens are the words of a text with A-Z in lower case, and one end per text. Exact counts of all training
-tokens come from all documents by way of shards (see ``blocks``). The HEADS most frequent tokens are dealt
-into head classes by frequency, all others into tail classes by their ending. The model is
+tokens come from all documents by way of shards (see ``blocks``). The most frequent tokens are heads, dealt
+into head classes by frequency; all others go into tail classes by their ending. Below a class stands a tree
+of nodes with WIDTH branches: a head is a leaf of its own, a tail token goes by its hash to a bucket. The model is
 
-    P(token | before) = P(class | before) * P(token | class, before)
+    P(token | before) = P(class | before) * P(branch | node, before) * ... * P(token | bucket)
 
-The first factor is a softmax over classes, the second one over the tokens of a head class, both with
-weights for hashed features of what stands before: the last token (a bigram) and the one before it, whatever
-stands between (a skip). A token of a tail class has its smoothed share of the class's count instead, so that unseen
-tokens have a probability too. Weights start at the counts and are trained by gradient steps: in each
-round every task starts from the same weights, goes through its blocks once in mini-batches, and sends
-how far it moved each row of weights; rows are averaged by how often they were used. The rounds part the
-training documents between them, so each is learned from once.
+All factors but the last are softmaxes with weights for hashed features of what stands before: the last token
+(a bigram), the one before it, whatever stands between (a skip), and both (a trigram). Within its bucket a tail
+token has its smoothed share of the bucket's count, so that unseen tokens have a probability too. Heads, depth of
+the trees and rows of weights grow with the counted vocabulary (see ``Shape``). Weights start at the counts and
+are trained by gradient steps: in each round every task starts from the same weights, goes through its blocks
+once in mini-batches, and sends how far it moved each row of weights; rows are averaged by how often they were
+used, chunk by chunk. The rounds part the training documents between them, so each is learned from once.
 
 NULL and empty texts are one end token. A NULL id counts as the empty text, whose remainder is 0: held
 out. Repeated rows are learned from and scored one by one. An empty table gives no rows. Scores depend
@@ -39,21 +40,26 @@ from assayer.llm.text import kept
 END = b""
 HELD_OUT_OF = 10
 SMOOTH = 0.1
-HEAD_CLASSES, TAIL_CLASSES, WIDTH = 8, 8, 32
+HEAD_CLASSES, TAIL_CLASSES, WIDTH = 16, 16, 32
+#: Heads and rows of weights there are at least.
 HEADS, CLASSES = HEAD_CLASSES * WIDTH, HEAD_CLASSES + TAIL_CLASSES
 TABLE = 1 << 14
+#: Buckets are counted at this depth and summed to the depth of the model. Heads one shard names at most.
+DEEPEST, NAMED = 4, HEAD_CLASSES * WIDTH**2
+#: Tail words a bucket has on average at most.
+BUCKET = 256
 ROUNDS, BATCH, RATE = 2, 16384, 0.5
-#: Blocks learned from by one task of a round at least; its weights are sent once.
-BLOCKS_PER_TASK = 16
+#: Blocks learned from by one task of a round at least, for tables of up to TASK_TABLE rows; its weights are sent once.
+BLOCKS_PER_TASK, TASK_TABLE = 16, 1 << 16
 #: Rows of weights sent together.
 CHUNK = 256
 
 _U = np.uint64
 MESSAGE = "shard int, block bigint, words binary, counts binary"
 _MESSAGE = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("words", pa.binary()), ("counts", pa.binary())])
-ANSWER = "block bigint, shard int, counts binary, heads array<struct<word:binary,n:bigint>>, totals array<bigint>"
+ANSWER = "block bigint, shard int, counts binary, heads array<struct<word:binary,n:bigint>>, totals binary"
 _HEADS = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
-_ANSWER = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("counts", pa.binary()), ("heads", _HEADS), ("totals", pa.list_(pa.int64()))])
+_ANSWER = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("counts", pa.binary()), ("heads", _HEADS), ("totals", pa.binary())])
 RESULT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 _RESULT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
@@ -124,6 +130,38 @@ def tail_class(word: bytes) -> int:
     return _tails[word[-2:]]
 
 
+@dataclass(frozen=True)
+class Shape:
+    """Sizes of a model: at least sqrt(vocabulary) heads and 32 times as many rows, BUCKET tail words a bucket."""
+
+    head_depth: int = 1
+    tail_depth: int = 0
+    table: int = TABLE
+
+    @classmethod
+    def of(cls, types: int) -> Shape:
+        head_depth, tail_depth, table = 1, 0, TABLE
+        while (HEAD_CLASSES * WIDTH**head_depth) ** 2 < types and head_depth < 2:  # 2 reaches 2 ** 28 types, see NAMED
+            head_depth += 1
+        while TAIL_CLASSES * WIDTH**tail_depth * BUCKET < types and tail_depth < DEEPEST:
+            tail_depth += 1
+        while table * table < 1024 * types:
+            table *= 2
+        return cls(head_depth, tail_depth, table)
+
+    @property
+    def heads(self) -> int:
+        return HEAD_CLASSES * WIDTH**self.head_depth
+
+
+_BITS = WIDTH.bit_length() - 1
+
+
+def _buckets(tails: np.ndarray, digests: np.ndarray) -> np.ndarray:
+    """Buckets at the greatest depth; the upper bits of the hash, as the lower ones choose the shard."""
+    return (tails << (_BITS * DEEPEST)) | (digests >> _U(64 - _BITS * DEEPEST)).astype(np.int64)
+
+
 def _summed(table: pa.Table) -> pa.Table:
     """Training counts of a shard's words for every block that sent them; the first answer also has what the model needs."""
     expand = zstandard.ZstdDecompressor()
@@ -135,44 +173,76 @@ def _summed(table: pa.Table) -> pa.Table:
             total[w] = total.get(w, 0) + c
     seen = [(w, c) for w, c in total.items() if c]
     seen.sort(key=lambda x: (-x[1], x[0]))
-    sums = [0] * (2 * TAIL_CLASSES)  # tokens, then types of every tail class, as if no word were a head
-    for w, c in seen:
-        k = tail_class(w)
-        sums[k] += c
-        sums[TAIL_CLASSES + k] += 1
+    # tokens and types of every bucket, as if no word were a head
+    tails = np.fromiter((tail_class(w) for w, _ in seen), dtype=np.int64, count=len(seen))
+    digests = np.fromiter((xxhash.xxh64_intdigest(w) for w, _ in seen), dtype=np.uint64, count=len(seen))
+    totals = np.stack([_buckets(tails, digests), np.fromiter((c for _, c in seen), dtype=np.int64, count=len(seen))], axis=1).tobytes()
     n = table.num_rows
     answers = [np.fromiter(map(total.__getitem__, words), dtype=np.int64, count=len(words)).tobytes() for words in lists]
-    heads = [[{"word": w, "n": c} for w, c in seen[:HEADS]], *[None] * (n - 1)]
-    return pa.table([table.column("block"), table.column("shard"), pa.array(answers, pa.binary()), pa.array(heads, _HEADS), pa.array([sums, *[None] * (n - 1)], pa.list_(pa.int64()))], schema=_ANSWER)
+    heads = [[{"word": w, "n": c} for w, c in seen[:NAMED]], *[None] * (n - 1)]
+    return pa.table([table.column("block"), table.column("shard"), pa.array(answers, pa.binary()), pa.array(heads, _HEADS), pa.array([totals, *[None] * (n - 1)], pa.binary())], schema=_ANSWER)
+
+
+TOTALS = "bucket bigint, tokens bigint, types bigint"
+
+
+def _at_depth(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
+    """A shard's tokens and types of every bucket of this depth."""
+    for batch in batches:
+        for x in batch.column(0).to_pylist():
+            words = np.frombuffer(x, np.int64).reshape(-1, 2)
+            own, back = np.unique(words[:, 0] >> (_BITS * (DEEPEST - depth)), return_inverse=True)
+            tokens = np.bincount(back, words[:, 1], len(own)).astype(np.int64)  # exact below 2 ** 53
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(tokens), pa.array(np.bincount(back, minlength=len(own)).astype(np.int64))], names=["bucket", "tokens", "types"])
+
+
+def totals_of(answers: DataFrame, depth: int) -> np.ndarray:
+    """Tokens, then types of every bucket of this depth."""
+    some = answers.where("totals IS NOT NULL").select("totals").mapInArrow(lambda batches: _at_depth(batches, depth), TOTALS)
+    table = some.groupBy("bucket").agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).toArrow()
+    out = np.zeros((2, TAIL_CLASSES * WIDTH**depth), dtype=np.int64)
+    out[:, table.column("bucket").to_numpy()] = table.column("tokens").to_numpy(), table.column("types").to_numpy()
+    return out.reshape(-1)
 
 
 @dataclass
 class Model:
     heads: dict[bytes, int]
-    tail_tokens: np.ndarray
+    shape: Shape
+    tail_tokens: np.ndarray  # of every bucket
     tail_types: np.ndarray
     train_tokens: int
     train_types: int
     class_bias: np.ndarray
-    head_bias: np.ndarray
+    inner_bias: np.ndarray  # of every node of the trees: those of the heads level by level, then those of the tails
     class_weights: np.ndarray
-    head_weights: np.ndarray
+    head_weights: np.ndarray  # of all nodes of the trees
 
     @classmethod
-    def of_counts(cls, heads: list[tuple[bytes, int]], sums: list[int]) -> Model:
-        tokens, types = np.array(sums[:TAIL_CLASSES], dtype=np.float64), np.array(sums[TAIL_CLASSES:], dtype=np.float64)
+    def of_counts(cls, heads: list[tuple[bytes, int]], sums: list[int], shape: Shape = Shape()) -> Model:  # noqa: B008
+        tokens, types = (np.array(x, dtype=np.float64) for x in np.array(sums).reshape(2, -1))
         n, v = int(tokens.sum()), int(types.sum())
-        for w, c in heads:
-            tokens[tail_class(w)] -= c
-            types[tail_class(w)] -= 1
-        own = np.zeros((HEAD_CLASSES, WIDTH))
-        own.reshape(-1)[: len(heads)] = [c for _, c in heads]
-        class_counts = np.concatenate([own.sum(axis=1), tokens])
-        zeros = lambda width: np.zeros((TABLE, width), dtype=np.float32)
-        return cls({w: i for i, (w, _) in enumerate(heads)}, tokens, types, n, v, np.log(class_counts + 1).astype(np.float32), np.log(own + SMOOTH).astype(np.float32), zeros(CLASSES), zeros(WIDTH))
+        buckets = buckets_of([w for w, _ in heads], shape)
+        np.subtract.at(tokens, buckets, [c for _, c in heads])
+        np.subtract.at(types, buckets, 1)
+        own = np.zeros(shape.heads)
+        own[: len(heads)] = [c for _, c in heads]
+        class_counts = np.concatenate([own.reshape(HEAD_CLASSES, -1).sum(axis=1), tokens.reshape(TAIL_CLASSES, -1).sum(axis=1)])
+        levels = [own.reshape(HEAD_CLASSES * WIDTH**j, WIDTH, -1).sum(axis=2) + SMOOTH for j in range(shape.head_depth)]
+        levels += [(tokens + SMOOTH * (types + 1)).reshape(TAIL_CLASSES * WIDTH**j, WIDTH, -1).sum(axis=2) for j in range(shape.tail_depth)]
+        zeros = lambda width: np.zeros((shape.table, width), dtype=np.float32)
+        return cls({w: i for i, (w, _) in enumerate(heads)}, shape, tokens, types, n, v, np.log(class_counts + 1).astype(np.float32), np.log(np.concatenate(levels)).astype(np.float32), zeros(CLASSES), zeros(WIDTH))
+
 
+def buckets_of(words: list[bytes], shape: Shape, digests: np.ndarray | None = None) -> np.ndarray:
+    """The bucket of every word, were it no head."""
+    if digests is None:
+        digests = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+    tails = np.fromiter((_tails[w[-2:]] for w in words), dtype=np.int64, count=len(words))
+    return _buckets(tails, digests) >> (_BITS * (DEEPEST - shape.tail_depth))
 
-_MARKS = [_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)]
+
+_MARKS = [_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -182,7 +252,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def features(t: Tokens) -> np.ndarray:
-    """Hashes of the features of every token: the last token, and the one before it."""
+    """Hashes of the features of every token: the last token, the one before it, and both."""
     hashes = t.digests[t.numbers]
     starts = np.cumsum(t.lengths) - t.lengths
     one, two = np.empty_like(hashes), np.empty_like(hashes)
@@ -190,52 +260,71 @@ def features(t: Tokens) -> np.ndarray:
     begin = _U(1)
     one[starts], two[starts] = begin, begin
     two[(starts + 1)[t.lengths > 1]] = begin
-    return np.stack([_mixed(one ^ _MARKS[0]), _mixed(two ^ _MARKS[1])], axis=1)
+    return np.stack([_mixed(one ^ _MARKS[0]), _mixed(two ^ _MARKS[1]), _mixed(one * _MARKS[2] ^ _mixed(two))], axis=1)
 
 
-def _places(model: Model, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
-    """Class of every word of the vocabulary, and its place in it (-1 in a tail class)."""
+def _places(model: Model, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every word of the vocabulary: its class, the nodes below it and the branches taken there (-1 below its depth), its bucket (-1 for heads)."""
+    shape = model.shape
     heads = np.fromiter((model.heads.get(w, -1) for w in t.vocabulary), dtype=np.int64, count=len(t.vocabulary))
-    tails = np.fromiter((_tails[w[-2:]] for w in t.vocabulary), dtype=np.int64, count=len(t.vocabulary))
-    return np.where(heads >= 0, heads // WIDTH, HEAD_CLASSES + tails), np.where(heads >= 0, heads % WIDTH, -1)
-
-
-def _softmax(bias: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Log-probabilities."""
+    buckets, head = buckets_of(t.vocabulary, shape, t.digests), heads >= 0
+    nodes = np.full((max(shape.head_depth, shape.tail_depth), len(heads)), -1, dtype=np.int64)
+    branches, before = nodes.copy(), 0
+    for which, numbers, depth, classes in ((head, heads, shape.head_depth, HEAD_CLASSES), (~head, buckets, shape.tail_depth, TAIL_CLASSES)):
+        for j in range(depth):
+            at = numbers[which] >> (_BITS * (depth - 1 - j))
+            nodes[j, which], branches[j, which] = before + (at >> _BITS), at & (WIDTH - 1)
+            before += classes * WIDTH**j
+    classes = np.where(head, heads >> (_BITS * shape.head_depth), HEAD_CLASSES + (buckets >> (_BITS * shape.tail_depth)))
+    return classes, nodes, branches, np.where(head, -1, buckets)
+
+
+def _logits(bias: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Their greatest is 0."""
     logits = bias + weights[rows[:, 0]]
     for k in range(1, rows.shape[1]):
         logits += weights[rows[:, k]]
     logits -= logits.max(axis=1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
     return logits
 
 
-def _rows(hashes: np.ndarray, classes: np.ndarray | None = None) -> np.ndarray:
-    if classes is not None:
-        hashes = _mixed(hashes ^ _mixed(classes.astype(np.uint64) + _U(77))[:, None])
-    return (hashes & _U(TABLE - 1)).astype(np.int64)
+def _log_of(bias: np.ndarray, weights: np.ndarray, rows: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log-probabilities of the targets."""
+    logits = _logits(bias, weights, rows)
+    return logits[np.arange(len(target)), target].astype(np.float64) - np.log(np.exp(logits).sum(axis=1))
+
+
+def _rows(hashes: np.ndarray, table: int, nodes: np.ndarray | None = None) -> np.ndarray:
+    if nodes is not None:
+        hashes = _mixed(hashes ^ _mixed(nodes.astype(np.uint64) + _U(77))[:, None])
+    return (hashes & _U(table - 1)).astype(np.int64)
 
 
 def _learn(bias: np.ndarray, weights: np.ndarray, used: np.ndarray, rows: np.ndarray, target: np.ndarray) -> None:
     """One gradient step of a mini-batch, scaled by how often a row is used as its curvature grows with that."""
-    slope = np.exp(_softmax(bias, weights, rows))
+    slope = _logits(bias, weights, rows)
+    np.exp(slope, out=slope)
+    slope /= slope.sum(axis=1, keepdims=True)
     slope[np.arange(len(target)), target] -= 1
-    flat = np.concatenate([rows[:, k] for k in range(rows.shape[1])])
-    times = np.bincount(flat, minlength=TABLE)
-    scale = RATE / (0.25 * times + 1)
-    for c in range(weights.shape[1]):
-        column = np.ascontiguousarray(slope[:, c])
-        weights[:, c] -= scale * np.bincount(flat, np.concatenate([column] * rows.shape[1]), TABLE)
-    used += times
+    flat = rows.T.reshape(-1)
+    times = np.bincount(flat, minlength=len(weights))
+    touched = np.flatnonzero(times)
+    compact = np.empty(len(weights), dtype=np.int64)
+    compact[touched] = np.arange(len(touched))
+    at, columns = compact[flat], np.ascontiguousarray(slope.T, dtype=np.float64)
+    moved = np.stack([np.bincount(at, np.tile(column, rows.shape[1]), len(touched)) for column in columns], axis=1)
+    weights[touched] -= (RATE / (0.25 * times[touched] + 1))[:, None] * moved
+    used[touched] += times[touched]
 
 
 def _trained(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     """How far this task's blocks move the weights, times the uses of every row, and the uses."""
     tables = [model.class_weights.copy(), model.head_weights.copy()]
-    used = [np.zeros(TABLE, dtype=np.float32), np.zeros(TABLE, dtype=np.float32)]
+    size = model.shape.table
+    used = [np.zeros(size, dtype=np.float32), np.zeros(size, dtype=np.float32)]
     for _, doc_ids, texts in blocks_of(batches):
         t = tokens_of(doc_ids, texts)
-        classes, places = _places(model, t)
+        classes, nodes, branches, _ = _places(model, t)
         own = np.flatnonzero(np.repeat(t.training, t.lengths))
         hashes, numbers = features(t)[own], t.numbers[own]
         parts = max(1, len(own) // BATCH)
@@ -243,17 +332,22 @@ def _trained(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Rec
             h, n = hashes[part::parts], numbers[part::parts]
             if not len(n):
                 continue
-            k, place = classes[n], places[n]
-            _learn(model.class_bias, tables[0], used[0], _rows(h), k)
-            head = place >= 0
-            if head.any():
-                _learn(model.head_bias[k[head]], tables[1], used[1], _rows(h[head], k[head]), place[head])
+            _learn(model.class_bias, tables[0], used[0], _rows(h, size), classes[n])
+            for level, branch in zip(nodes, branches, strict=True):
+                inner = np.flatnonzero(level[n] >= 0)
+                if len(inner):
+                    node = level[n[inner]]
+                    _learn(model.inner_bias[node], tables[1], used[1], _rows(h[inner], size, node), branch[n[inner]])
     if not any(u.any() for u in used):
         return
     for number, (before, after, uses) in enumerate(zip([model.class_weights, model.head_weights], tables, used, strict=True)):
-        moved = np.concatenate([(after - before) * uses[:, None], uses[:, None]], axis=1).astype(np.float32)
-        chunks = [moved[i : i + CHUNK].tobytes() for i in range(0, TABLE, CHUNK)]
-        yield pa.RecordBatch.from_arrays([pa.array([number * len(chunks) + i for i in range(len(chunks))], pa.int32()), pa.array(chunks, pa.binary())], names=["chunk", "moved"])
+        places, chunks = [], []
+        for i in range(0, size, CHUNK):
+            some, weight = slice(i, i + CHUNK), uses[i : i + CHUNK, None]
+            if weight.any():
+                places.append(number * (size // CHUNK) + i // CHUNK)
+                chunks.append(np.concatenate([(after[some] - before[some]) * weight, weight], axis=1).astype(np.float32).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(places, pa.int32()), pa.array(chunks, pa.binary())], names=["chunk", "moved"])
 
 
 def _added(table: pa.Table) -> pa.Table:
@@ -263,40 +357,43 @@ def _added(table: pa.Table) -> pa.Table:
 
 def fit(blocks: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
     """The model after ``rounds`` rounds of distributed steps. The driver gets one table of weights per round."""
-    context, tasks = blocks.sparkSession.sparkContext, max(1, blocks.count() // BLOCKS_PER_TASK)
+    per_table = model.shape.table // CHUNK
+    per_task = BLOCKS_PER_TASK * max(1, model.shape.table // TASK_TABLE)
+    context, tasks = blocks.sparkSession.sparkContext, max(1, blocks.count() // per_task)
+    salts = max(1, round(tasks**0.5))
     for r in range(rounds):
         shared = context.broadcast(model)
         own = blocks.where(F.pmod(F.xxhash64("block"), F.lit(rounds)) == r).coalesce(tasks)
         moves = own.mapInArrow(lambda batches: _trained(batches, shared.value), "chunk int, moved binary")  # noqa: B023
-        salted = moves.withColumn("salt", F.spark_partition_id() % 64)
+        salted = moves.withColumn("salt", F.spark_partition_id() % salts)
         once = salted.groupBy("chunk", "salt").applyInArrow(lambda key, t: _added(t.select(["chunk", "moved"])), "chunk int, moved binary")
-        sums = once.groupBy("chunk").applyInArrow(_added, "chunk int, moved binary").collect()
-        moved = {row["chunk"]: np.frombuffer(row["moved"], np.float32) for row in sums}
-        per_table = TABLE // CHUNK
-        for number, (name, width) in enumerate((("class_weights", CLASSES), ("head_weights", WIDTH))):
-            parts = [moved.get(number * per_table + i, np.zeros(CHUNK * (width + 1), np.float32)).reshape(CHUNK, width + 1) for i in range(per_table)]
-            whole = np.concatenate(parts)
-            setattr(model, name, getattr(model, name) + whole[:, :-1] / np.maximum(whole[:, -1:], 1))
+        sums = once.groupBy("chunk").applyInArrow(_added, "chunk int, moved binary").toArrow()
+        model.class_weights, model.head_weights = model.class_weights.copy(), model.head_weights.copy()
+        for chunk, moved in zip(sums.column("chunk").to_pylist(), sums.column("moved"), strict=True):
+            number, i = divmod(chunk, per_table)
+            table = (model.class_weights, model.head_weights)[number]
+            whole = np.frombuffer(moved.as_py(), np.float32).reshape(CHUNK, -1)
+            table[i * CHUNK : (i + 1) * CHUNK] += whole[:, :-1] / np.maximum(whole[:, -1:], 1)
         shared.unpersist()
     return model
 
 
 def log10_of(model: Model, t: Tokens, counts: np.ndarray) -> np.ndarray:
     """The model's log10 probability of every token, given the training counts of the vocabulary."""
-    classes, places = _places(model, t)
-    tail = np.maximum(classes - HEAD_CLASSES, 0)
-    share = (counts + SMOOTH) / (model.tail_tokens[tail] + SMOOTH * (model.tail_types[tail] + 1))
-    out, hashes = np.empty(len(t.numbers)), features(t)
+    classes, nodes, branches, buckets = _places(model, t)
+    tail = np.maximum(buckets, 0)
+    share = np.log((counts + SMOOTH) / (model.tail_tokens[tail] + SMOOTH * (model.tail_types[tail] + 1)))
+    share[buckets < 0] = 0
+    out, hashes, size = np.empty(len(t.numbers)), features(t), model.shape.table
     for begin in range(0, len(out), BATCH):
         part = slice(begin, begin + BATCH)
-        n = t.numbers[part]
-        k, place, h = classes[n], places[n], hashes[part]
-        score = _softmax(model.class_bias, model.class_weights, _rows(h))[np.arange(len(n)), k].astype(np.float64)
-        head = place >= 0
-        if head.any():
-            inside = _softmax(model.head_bias[k[head]], model.head_weights, _rows(h[head], k[head]))
-            score[head] += inside[np.arange(len(inside)), place[head]]
-        score[~head] += np.log(share[n[~head]])
+        n, h = t.numbers[part], hashes[part]
+        score = _log_of(model.class_bias, model.class_weights, _rows(h, size), classes[n]) + share[n]
+        for level, branch in zip(nodes, branches, strict=True):
+            inner = np.flatnonzero(level[n] >= 0)
+            if len(inner):
+                node = level[n[inner]]
+                score[inner] += _log_of(model.inner_bias[node], model.head_weights, _rows(h[inner], size, node), branch[n[inner]])
         out[part] = score / np.log(10)
     return out
 
@@ -323,12 +420,12 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     shards = shard_count(blocks)
     sent = blocks.mapInArrow(lambda batches: _sent(batches, shards), MESSAGE)
     answers = kept(sent.groupBy("shard").applyInArrow(_summed, ANSWER), "lm-counts")
-    ranked = answers.select(F.explode("heads").alias("h")).select("h.word", "h.n").orderBy(F.col("n").desc(), "word").limit(HEADS).collect()
+    shape = Shape.of(int(totals_of(answers, 0)[TAIL_CLASSES:].sum()))
+    ranked = answers.select(F.explode("heads").alias("h")).select("h.word", "h.n").orderBy(F.col("n").desc(), "word").limit(shape.heads).collect()
     heads = [(bytes(r["word"]), r["n"]) for r in ranked]
     if END not in dict(heads):  # the end is always told apart
         end = answers.select(F.explode("heads").alias("h")).where(F.length("h.word") == 0).select("h.n").collect()
-        heads = [*heads[: HEADS - 1], *[(END, r["n"]) for r in end]]
-    sums = dict(answers.select(F.posexplode("totals").alias("i", "n")).groupBy("i").agg(F.sum("n")).collect())
-    model = fit(blocks, Model.of_counts(heads, [sums.get(i, 0) for i in range(2 * TAIL_CLASSES)]), rounds)
+        heads = [*heads[: shape.heads - 1], *[(END, r["n"]) for r in end]]
+    model = fit(blocks, Model.of_counts(heads, totals_of(answers, shape.tail_depth), shape), rounds)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return answered(blocks, answers.select("block", "shard", "counts"), _scored(shared, shards), RESULT)

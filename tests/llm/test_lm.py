@@ -70,3 +70,37 @@ def test_probabilities_sum_to_one():
         total += 10 ** lm.log10_of(model, t, counts)[1]
     # What is left is one unseen word per tail class.
     assert total == pytest.approx(1.0, abs=0.02) and total < 1
+
+
+def test_sizes_grow_with_the_vocabulary():
+    small, large = lm.Shape.of(400), lm.Shape.of(5_000_000)
+    assert small.heads == 512 and small.table == 1 << 14
+    assert large.heads > 2000 and large.table > small.table and large.tail_depth > small.tail_depth
+
+
+def test_trigrams_and_contexts_of_tail_words_are_learned():
+    """After "x a" comes t1, after "y a" comes t2; both are tail words with one ending, and only both words before tell which."""
+    assert lm.features(lm.tokens_of([1], [b"x a t"])).shape[1] == 3
+    words = [b"t%dzz" % i for i in range(64)]
+    shape = lm.Shape(1, 1)
+    first, second = next((a, b) for a in words for b in words if lm.buckets_of([a], shape) != lm.buckets_of([b], shape))
+    known = {b"": 1, b"x": 400, b"y": 400, b"a": 800}
+    tails = {first: 400, second: 400}
+    tokens, types = np.zeros((2, lm.TAIL_CLASSES * lm.WIDTH))
+    for w, c in {**known, **tails}.items():
+        np.add.at(tokens, lm.buckets_of([w], shape), c)
+        np.add.at(types, lm.buckets_of([w], shape), 1)
+    model = lm.Model.of_counts(list(known.items()), np.concatenate([tokens, types]), shape)
+    text = (b"x a " + first + b" y a " + second + b" ") * 400
+    t = lm.tokens_of([1], [text])
+    classes, nodes, branches, _ = lm._places(model, t)
+    h, used = lm.features(t), np.zeros(lm.TABLE)
+    for _ in range(40):
+        lm._learn(model.class_bias, model.class_weights, used, lm._rows(h, lm.TABLE), classes[t.numbers])
+        inner = np.flatnonzero(nodes[0][t.numbers] >= 0)
+        node = nodes[0][t.numbers[inner]]
+        lm._learn(model.inner_bias[node], model.head_weights, used, lm._rows(h[inner], lm.TABLE, node), branches[0][t.numbers[inner]])
+    counts = lambda t: np.array([{**known, **tails}.get(w, 0) for w in t.vocabulary])
+    score = lambda text: lm.log10_of(model, u := lm.tokens_of([1], [text]), counts(u))[2]
+    assert score(b"x a " + first) > score(b"y a " + first) + 0.5
+    assert score(b"y a " + second) > score(b"x a " + second) + 0.5
