@@ -4,7 +4,9 @@ Candidates are long runs of key characters. Over each, a window of WINDOW charac
 counts of its characters and the sum of c * log2(c) are kept up to date as one character enters and
 one leaves, which gives the window's Shannon entropy. A candidate is a secret from its first to its
 last window above the limit of its character class (hex, upper case and digits, mixed), unless an
-allow-list pattern fits it. Spans are code points, end exclusive.
+allow-list pattern fits it. A slug, a counting string or a marked example within a candidate silences
+itself only: what is left of the candidate without these, and without the words before it, is scanned on
+its own. Spans are code points, end exclusive.
 
 NULL texts are empty and have no spans. Texts of any length are scanned whole; positions follow from
 the lengths of the pieces between matches. Repeated rows are scanned one by one.
@@ -33,6 +35,16 @@ ALLOWED = (
     r"0123456789|abcdefghij|ABCDEFGHIJ",
     r"EXAMPLE|example",
 )
+#: Patterns of ALLOWED that fit the whole candidate; the others may stand beside a secret.
+WHOLE = 3
+# The slug pattern without its open end: fits the same candidates, but needs no stack for long ones.
+PARTLY = tuple(p.replace("{3,}", "{3}") for p in ALLOWED[WHOLE:])
+#: What is blanked within a candidate, by length.
+MARKS = {"0123456789|abcdefghij|ABCDEFGHIJ": 10, "EXAMPLE|example": 7}
+#: Keys of manuals end like this.
+MARKED = r"[A-Za-z0-9+]EXAMPLE(KEY)?$"
+#: Words and separators before the random part, as in key names and paths.
+HEAD = r"^(?:(?:[A-Z]?[a-z]{2,}|[A-Z]{2,})?[/_=-])++"
 
 
 def either_case(word: str) -> str:
@@ -132,7 +144,7 @@ def random_part(candidate: Column) -> Column:
 def entropy_spans(text: Column) -> Column:
     """Spans of candidates that look random, unsorted."""
     placed = _spans(text, CANDIDATE, 3)
-    suspects = F.filter(placed, lambda s: ~_any_of(s["hit"], ALLOWED))
+    suspects = F.filter(placed, lambda s: ~_any_of(s["hit"], (*ALLOWED[:WHOLE], *PARTLY)))
 
     def cut(s):
         def span(p):
@@ -141,10 +153,26 @@ def entropy_spans(text: Column) -> Column:
 
         return bound(random_part(s["hit"]), span)
 
-    found = F.filter(F.transform(suspects, cut), lambda s: s.isNotNull())
+    beside = F.filter(placed, lambda s: ~_any_of(s["hit"], (*ALLOWED[:WHOLE], MARKED)) & _any_of(s["hit"], PARTLY))
+    parts = F.filter(F.flatten(F.transform(beside, _rests)), lambda s: (F.length(s["hit"]) >= WINDOW) & ~_any_of(s["hit"], ALLOWED[:WHOLE]))
+    found = F.filter(F.transform(F.concat(suspects, parts), cut), lambda s: s.isNotNull())
     return F.when(whole(text).rlike("[0-9]") & whole(text).rlike(CANDIDATE), found).otherwise(_none())
 
 
+def _rests(s: Column) -> Column:
+    """What is left of a candidate without marks, and without the words before it."""
+    blanked = s["hit"]
+    for pattern, length in MARKS.items():
+        blanked = F.regexp_replace(blanked, pattern, " " * length)
+
+    def rest(run):
+        head = F.length(F.regexp_extract(run["hit"], HEAD, 0))
+        hit = F.substr(run["hit"], head + 1)
+        return F.struct((s["start"] + run["start"] + head).alias("start"), s["rank"].alias("rank"), (s["start"] + run["end"]).alias("end"), hit.alias("hit"))
+
+    return F.transform(_spans(blanked, CANDIDATE, 3), rest)
+
+
 def _any_of(value: Column, patterns: tuple[str, ...]) -> Column:
     out = F.lit(False)
     for p in patterns:
