@@ -5,9 +5,11 @@ with a smaller id. Which windows recur is settled by sharded Aho-Corasick automa
 
 1. Every window has an anchor, the smallest hash among its runs of ANCHOR words. Equal windows have
    equal anchors, and neighbouring windows mostly share theirs. A block sends each shard its distinct
-   anchors; the shard tells it which of them other blocks have too.
+   anchors with how many windows have them; the shard tells it which of them other blocks have too, and
+   which are hot, with more windows than one automaton takes.
 2. Of the anchors that recur, the block sends the shard the stretches of text whose windows have them,
-   each window once, with the id of the block's first document that has it.
+   each window once, with the id of the block's first document that has it. Windows of hot anchors go one
+   by one, each to a shard chosen by the hash of the whole window, so that no group is beyond a bound.
 3. The shard confirms which windows recur word by word, compiles automata of those phrases with the
    smallest id as their value, a bounded number at a time, and streams the stretches through them to
    find every occurrence. It answers each block with one bit per window: an earlier document has it.
@@ -42,6 +44,8 @@ SIZE = 13
 ANCHOR = 5
 #: Phrases compiled into one automaton.
 PHRASES = 20_000
+#: Windows of one anchor in one block that are not counted further: the anchor is hot.
+MANY = 255
 LAST = np.iinfo(np.int64).max
 
 _U = np.uint64
@@ -95,6 +99,7 @@ class Windows:
     runs: np.ndarray  # (from, to) among ``fresh``: stretches of first windows with one anchor
     fresh: np.ndarray  # indexes of first windows, ascending
     anchors: np.ndarray  # of every run
+    wholes: np.ndarray  # hashes of first windows
 
 
 def numbered(texts: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
@@ -127,7 +132,7 @@ def windows_of(doc_ids: list[int | None], texts: list[bytes], size: int = SIZE,
     owner = document[starts]
     if not len(starts):
         none = np.empty(0, np.int64)
-        return Windows(order, ids[order], ends, tokens, vocabulary, starts, owner, none, none.reshape(0, 2), none, none.astype(np.uint64))
+        return Windows(order, ids[order], ends, tokens, vocabulary, starts, owner, none, none.reshape(0, 2), none, *[none.astype(np.uint64)] * 2)
     whole = _rolled(hashes, size, _OTHER)[starts]
     _, at, back = np.unique(whole, return_index=True, return_inverse=True)
     first = at[back]
@@ -141,7 +146,7 @@ def windows_of(doc_ids: list[int | None], texts: list[bytes], size: int = SIZE,
     breaks = np.flatnonzero((np.diff(starts[fresh]) != 1) | (np.diff(least) != 0)) + 1
     begin = np.concatenate([[0], breaks])
     runs = np.stack([begin, np.concatenate([breaks, [len(fresh)]])], axis=1)
-    return Windows(order, ids[order], ends, tokens, vocabulary, starts, owner, first, runs, fresh, least[begin])
+    return Windows(order, ids[order], ends, tokens, vocabulary, starts, owner, first, runs, fresh, least[begin], whole[fresh])
 
 
 def _by_shard(anchors: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -163,38 +168,49 @@ def _flags(bits: bytes, count: int) -> np.ndarray:
 
 
 def _sent(batches: Iterator[pa.RecordBatch], shards: int, size: int) -> Iterator[pa.RecordBatch]:
-    """The distinct anchors of every block, the upper six bytes of each."""
+    """The distinct anchors of every block, the upper six bytes of each, and the windows that have it, up to MANY."""
     for block, _, texts in blocks_of(batches):
         hashes, _, starts, _ = placed(*numbered(texts), size)
-        own = np.empty(0, np.uint64)
+        own, times = np.empty(0, np.uint64), np.empty(0, np.int64)
         if len(starts):
             every = anchors_of(hashes, size, ANCHOR)[starts]
-            own = np.unique(every[np.concatenate([[True], every[1:] != every[:-1]])])  # neighbours mostly share theirs
-        short = own.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6]
+            begin = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))  # neighbours mostly share theirs
+            own, back = np.unique(every[begin], return_inverse=True)
+            times = np.bincount(back, np.diff(begin, append=len(every)))
+        short = own.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :7].copy()
+        short[:, 6] = np.minimum(times, MANY)
         yield _batch([(shard, block, short[at].tobytes()) for shard, at in _by_shard(own, shards)], _SENT)
 
 
-def _met(table: pa.Table) -> pa.Table:
-    """For every block that sent anchors to this shard, a bit per anchor: another block has it too."""
-    sent = [np.frombuffer(x, np.uint8).reshape(-1, 6) for x in table.column("anchors").to_pylist()]
-    every = np.zeros((sum(map(len, sent)), 8), dtype=np.uint8)
-    every[:, 2:] = np.concatenate(sent)
+def _met(table: pa.Table, most: int) -> pa.Table:
+    """For every block that sent anchors to this shard, a bit per anchor: another block has it too; then another: over ``most`` windows have it."""
+    sent = [np.frombuffer(x, np.uint8).reshape(-1, 7) for x in table.column("anchors").to_pylist()]
+    all_sent = np.concatenate(sent)
+    every = np.zeros((len(all_sent), 8), dtype=np.uint8)
+    every[:, 2:] = all_sent[:, :6]
     _, number, times = np.unique(every.view(">u8").reshape(-1).astype(np.uint64), return_inverse=True, return_counts=True)
-    again = np.split(times[number] > 1, np.cumsum([len(x) for x in sent])[:-1])
-    bits = [np.packbits(x).tobytes() for x in again]
+    windows = np.bincount(number, np.where(all_sent[:, 6] == MANY, most + 1, all_sent[:, 6]))
+    cuts = np.cumsum([len(x) for x in sent])[:-1]
+    bits = [np.packbits(np.concatenate(x)).tobytes() for x in zip(np.split(times[number] > 1, cuts), np.split(windows[number] > most, cuts), strict=True)]
     return pa.table([table.column("block"), table.column("shard"), pa.array(bits, pa.binary())], schema=_ANSWER)
 
 
-def _recurring(w: Windows, bits: dict[int, bytes], shards: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Runs whose anchors other blocks have too, by shard, in the order they are sent."""
+def _recurring(w: Windows, bits: dict[int, bytes], shards: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Runs whose anchors other blocks have too, by shard, in the order they are sent, and what groups them: (shard, runs, keys).
+
+    Runs of hot anchors are cut into windows and go to shards of their own, numbered from ``shards``."""
     own, back = np.unique(w.anchors, return_inverse=True)
-    again = np.zeros(len(own), dtype=bool)
+    again, hot = np.zeros(len(own), dtype=bool), np.zeros(len(own), dtype=bool)
     for shard, at in _by_shard(own, shards):
         if shard in bits:
-            again[at] = _flags(bits[shard], len(at))
-    runs = np.flatnonzero(again[back]) if len(own) else np.empty(0, np.int64)
-    for shard, at in _by_shard(w.anchors[runs], shards):
-        yield shard, runs[at]
+            again[at], hot[at] = _flags(bits[shard], 2 * len(at)).reshape(2, -1)
+    cold = np.flatnonzero((again & ~hot)[back]) if len(own) else np.empty(0, np.int64)
+    for shard, at in _by_shard(w.anchors[cold], shards):
+        yield shard, w.runs[cold[at]], w.anchors[cold[at]]
+    split = w.runs[(again & hot)[back]] if len(own) else w.runs
+    single = np.concatenate([np.arange(a, b) for a, b in split]) if len(split) else np.empty(0, np.int64)
+    for shard, at in _by_shard(w.wholes[single], shards):
+        yield shards + shard, np.stack([single[at], single[at] + 1], axis=1), w.wholes[single[at]]
 
 
 def _stretched(shards: int, size: int):
@@ -202,11 +218,11 @@ def _stretched(shards: int, size: int):
         squeeze, w = zstandard.ZstdCompressor(level=5), windows_of(doc_ids, texts, size)
         told = dict(zip(answers.column("shard").to_pylist(), answers.column("bits").to_pylist(), strict=True))
         words, tokens, rows = w.vocabulary, w.tokens.tolist(), []
-        for shard, runs in _recurring(w, told, shards):
-            begin, end = w.fresh[w.runs[runs, 0]], w.fresh[w.runs[runs, 1] - 1]
+        for shard, runs, keys in _recurring(w, told, shards):
+            begin, end = w.fresh[runs[:, 0]], w.fresh[runs[:, 1] - 1]
             stretches = [b" ".join([words[t] for t in tokens[a : b + size]]) for a, b in zip(w.starts[begin].tolist(), w.starts[end].tolist(), strict=True)]
             firsts = np.diff(w.ids[w.owner[begin]], prepend=0)
-            rows.append((shard, block, w.anchors[runs].tobytes(), squeeze.compress(firsts.tobytes()), squeeze.compress(b"\n".join(stretches))))
+            rows.append((shard, block, keys.tobytes(), squeeze.compress(firsts.tobytes()), squeeze.compress(b"\n".join(stretches))))
         return pa.Table.from_batches([_batch(rows, _STRETCHES)])
 
     return apply
@@ -285,9 +301,9 @@ _RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_remove
 def removal(w: Windows, met: dict[int, bytes], answers: dict[int, bytes], shards: int, size: int) -> np.ndarray:
     """Which words of a block go, given the answers of the shards."""
     earlier = np.zeros(len(w.starts), dtype=bool)
-    for shard, runs in _recurring(w, met, shards):
+    for shard, runs, _ in _recurring(w, met, shards):
         if shard in answers:
-            sent = np.concatenate([np.arange(a, b) for a, b in w.runs[runs]])
+            sent = np.concatenate([np.arange(a, b) for a, b in runs])
             earlier[w.fresh[sent]] = _flags(answers[shard], len(sent))
     own = w.ids[w.owner]
     gone = w.starts[earlier[w.first] | (own > own[w.first])] if len(w.starts) else w.starts
@@ -320,7 +336,7 @@ def dedup(docs: DataFrame, size: int = SIZE, phrases: int = PHRASES) -> DataFram
     blocks = pack(docs.select("doc_id", "text"))
     shards = shard_count(blocks)
     sent = blocks.mapInArrow(lambda batches: _sent(batches, shards, size), SENT)
-    met = kept(sent.groupBy("shard").applyInArrow(_met, ANSWER), "phrase-anchors")
+    met = kept(sent.groupBy("shard").applyInArrow(lambda table: _met(table, phrases), ANSWER), "phrase-anchors")
     stretches = answered(blocks, met, _stretched(shards, size), STRETCHES)
     settled = kept(stretches.groupBy("shard").applyInArrow(lambda table: _settled(table, size, phrases), ANSWER), "phrase-answers")
     both = met.withColumn("last", F.lit(0)).unionByName(settled.withColumn("last", F.lit(1)))

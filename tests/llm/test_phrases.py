@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from assayer.llm import phrases
@@ -71,3 +73,36 @@ def test_empty_and_extra_columns(spark):
     assert phrases.dedup(empty).collect() == []
     one = spark.createDataFrame([(1, "a b", 3, 4, "x")], SCHEMA + ", block bigint, shard int, n_words string")
     assert [tuple(r) for r in phrases.dedup(one).collect()] == [(1, 2, 0, "a b")]
+
+
+def hot_documents(n=60):
+    """A common run of words with other words around it; every third document repeats an earlier one's surroundings."""
+    around = [[f"a{i}x{j}" for j in range(16)] for i in range(n)]
+    return [(i, " ".join(around[i - 2 * (i % 3 == 2)][:8] + "these five words come often".split() + around[i - 2 * (i % 3 == 2)][8:])) for i in range(n)]
+
+
+def test_hot_anchor_equals_brute_force(spark, monkeypatch):
+    docs = hot_documents()
+    frame = spark.createDataFrame(docs, SCHEMA).repartition(3)
+    packed = phrases.pack(frame, 700)
+    monkeypatch.setattr(phrases, "pack", lambda docs: packed)
+    want = brute(docs)
+    assert sum(r[2] for r in want) > 300
+    assert ordered(phrases.dedup(frame, phrases=5).collect()) == ordered(want)
+
+
+def test_hot_anchor_is_split():
+    texts = [t.encode() for _, t in hot_documents()]
+    w, shards = phrases.windows_of(list(range(60)), texts), 64
+    hot = {s: np.packbits(np.ones(2 * len(at), dtype=bool)).tobytes() for s, at in phrases._by_shard(np.unique(w.anchors), shards)}
+    sent = list(phrases._recurring(w, hot, shards))
+    assert sum(len(runs) for _, runs, _ in sent) == len(w.fresh)
+    assert max(len(runs) for _, runs, _ in sent) < len(w.fresh) / 10  # no group has more than its share
+    assert all((runs[:, 1] - runs[:, 0] == 1).all() for _, runs, _ in sent)
+
+
+def test_anchor_with_many_windows_is_hot():
+    sent = np.array([[1] * 6 + [9], [2] * 6 + [1]], dtype=np.uint8).tobytes()
+    table = pa.table([pa.array([0, 0], pa.int32()), pa.array([1, 2], pa.int64()), pa.array([sent, sent], pa.binary())], schema=phrases._SENT)
+    for bits in phrases._met(table, 10).column("bits").to_pylist():
+        assert phrases._flags(bits, 4).tolist() == [True, True, True, False]
