@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import chat, decontaminate, lm, mixing, near, phrases, quality, secrets, sql, urls, warc
+from assayer.llm import audit, chat, decontaminate, lm, mixing, near, phrases, quality, secrets, sql, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -94,3 +94,8 @@ def decontamination(spark, sf_dir):
 @query("op10_phrase_dedup", sql.PHRASES)
 def phrase_dedup(spark, sf_dir):
     return phrases.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op12_filter_audit", sql.AUDIT)
+def filter_audit(spark, sf_dir):
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

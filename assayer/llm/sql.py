@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from assayer.llm import chat, decontaminate, phrases, secrets, urls, warc
+from assayer.llm import audit, chat, decontaminate, phrases, secrets, urls, warc
 from assayer.llm.text import WORD
 
 
@@ -155,3 +155,27 @@ left_ AS (SELECT rid, string_agg(w, ' ' ORDER BY p) AS kept FROM each ANTI JOIN
 removed AS (SELECT rid, count(*) AS n FROM gone GROUP BY rid)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM docs LEFT JOIN left_ USING (rid) LEFT JOIN removed USING (rid)"""
+
+#: Filters by the position of their letter in an order; a document falls at the first letter it fails.
+AUDIT = f"""
+WITH texts AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {_text(WORD)}) AS ws FROM documents),
+firsts AS (SELECT t, min(doc_id) AS first_ FROM texts GROUP BY t),
+known AS (SELECT doc_id, coalesce(max((quality = 1)::INT), 0) AS good, coalesce(max((toxic = 1)::INT), 0) AS toxic FROM labels GROUP BY doc_id),
+failed AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(ws) < {audit.LEAST_WORDS} THEN 'A' ELSE '' END
+    || CASE WHEN 100 * len(list_distinct(ws)) < {audit.LEAST_DISTINCT} * len(ws) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > {audit.MOST_UPPER} * length(t) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(t, '[{audit.SYMBOLS}]') THEN 'D' ELSE '' END
+    || CASE WHEN texts.doc_id > first_ THEN 'E' ELSE '' END AS fails
+    FROM texts JOIN firsts USING (t) LEFT JOIN known ON texts.doc_id = known.doc_id),
+cells AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failed GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM letters a, letters b, letters c, letters d, letters e
+    WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+falls AS (SELECT *, coalesce(list_min(list_transform(string_split(fails, ''), lambda x: CASE WHEN x = '' THEN 9 ELSE strpos(o, x) END)), 9) AS falls_at FROM cells, orders),
+steps AS (SELECT part, o, step, substr(o, step::INT, 1) AS own, coalesce(sum(n) FILTER (falls_at > step), 0) AS kept, coalesce(sum(n) FILTER (falls_at = step), 0) AS removed,
+    coalesce(sum(n) FILTER (falls_at < step AND contains(fails, substr(o, step::INT, 1))), 0) AS redundant, coalesce(sum(n) FILTER (fails = substr(o, step::INT, 1)), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (falls_at = step), 0) AS good_lost, coalesce(sum(toxic) FILTER (falls_at = step), 0) AS toxic_lost
+    FROM falls, generate_series(1, 5) s(step) GROUP BY part, o, step)
+SELECT part, o AS filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+    good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM steps"""

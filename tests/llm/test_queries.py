@@ -39,7 +39,7 @@ def test_empty_tables(spark, empty_dir, name):
 
 
 def test_one_query_per_operator():
-    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_on_empty_tables(spark, empty_dir):
