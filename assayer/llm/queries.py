@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import audit, chat, decontaminate, lm, mixing, near, phrases, quality, secrets, sql, urls, warc
+from assayer.llm import audit, chat, decontaminate, licenses, lm, mixing, near, phrases, quality, secrets, sql, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -99,3 +99,8 @@ def phrase_dedup(spark, sf_dir):
 @query("op12_filter_audit", sql.AUDIT)
 def filter_audit(spark, sf_dir):
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_license_scan")
+def license_scan(spark, sf_dir):
+    return licenses.report(table(spark, sf_dir, "documents"))
