@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayer.llm.text import UPPER
+from assayer.llm.text import UPPER, kept
 
 FILTERS = "ABCDE"
 LEAST_WORDS, LEAST_DISTINCT, MOST_UPPER, SYMBOLS = 200, 50, 3, "#$%&*|"
@@ -114,7 +114,8 @@ def _audited(cells: pa.Table) -> pa.Table:
 def cells(docs: DataFrame, labels: DataFrame, part: str = "lang") -> DataFrame:
     """Counts by part and failure bits: part, bits, n, good, toxic. At most 32 rows a part."""
     rows = docs.select(F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    light = rows.mapInArrow(_light, LIGHT).groupBy("digest", "bits", "part", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    # Written, as rows with and without an id go different ways and the texts are to be read once.
+    light = kept(rows.mapInArrow(_light, LIGHT).groupBy("digest", "bits", "part", "doc_id").agg(F.count(F.lit(1)).alias("n")), "audit-light")
     is_one = lambda c: F.coalesce(F.max(F.col(c) == 1), F.lit(False))
     known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(is_one("quality").alias("good"), is_one("toxic").alias("toxic"))
     named = light.where("doc_id is not null").join(known, "doc_id", "left")
