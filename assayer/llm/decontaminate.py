@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.text import bound, covered, fingerprint, kept, lower_ascii, matches, whole
+from assayer.llm.text import bound, covered, fingerprint, free, kept, lower_ascii, matches, whole
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
@@ -128,8 +128,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", size
     The text between kept words stays as it is; the characters after a removed word go with it.
     """
     found = hits(docs.select("doc_id", "text"), benchmark, size, block)
-    mine = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (fingerprint(F.col("text")) == F.col("_print"))
-    renamed = found.select(F.col("doc_id").alias("_doc_id"), F.col("print").alias("_print"), F.col("spans").alias("_spans"))
+    its_id, its_print, its_spans = (free(docs, name) for name in ("hit_doc_id", "hit_print", "hit_spans"))
+    mine = F.col("doc_id").eqNullSafe(F.col(its_id)) & (fingerprint(F.col("text")) == F.col(its_print))
+    renamed = found.select(F.col("doc_id").alias(its_id), F.col("print").alias(its_print), F.col("spans").alias(its_spans))
     if remove == "documents":
         return docs.join(renamed, mine, "left_anti")
     if remove != "spans":
@@ -137,8 +138,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", size
     # Case does not change what is a word, so the words of the text itself stand at the same places.
     cased = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     own, gaps = matches(F.col("text"), cased), F.split(whole(F.col("text")), cased, -1)
-    hit = lambda i: F.exists("_spans", lambda s: (s["start"] <= i) & (i < s["start"] + s["len"]))
+    hit = lambda i: F.exists(its_spans, lambda s: (s["start"] <= i) & (i < s["start"] + s["len"]))
     parts = bound(gaps, lambda g: F.transform(own, lambda w, i: F.when(hit(i), F.lit("")).otherwise(F.concat(w, F.get(g, i + 1)))))
     rebuilt = F.concat(F.get(gaps, F.lit(0)), F.array_join(parts, ""))
     joined = docs.join(renamed, mine, "left")
-    return joined.withColumn("text", F.when(F.col("_spans").isNotNull(), rebuilt).otherwise(F.col("text"))).drop("_doc_id", "_print", "_spans")
+    return joined.withColumn("text", F.when(F.col(its_spans).isNotNull(), rebuilt).otherwise(F.col("text"))).drop(its_id, its_print, its_spans)

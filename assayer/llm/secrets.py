@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.text import bound, matches, whole
+from assayer.llm.text import bound, free, matches, whole
 
 KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
@@ -208,5 +208,6 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """Documents with their secrets replaced; all columns stay as they are but for the text."""
-    found = scan(docs, text, "_base_spans", "_secret_spans")
-    return found.withColumn(text, redacted(F.col(text), F.col("_secret_spans"))).drop("_base_spans", "_secret_spans")
+    base, spans = free(docs, "base_spans"), free(docs, "secret_spans")
+    found = scan(docs, text, base, spans)
+    return found.withColumn(text, redacted(F.col(text), F.col(spans))).drop(base, spans)

@@ -40,6 +40,14 @@ def chars_among(text: Column, chars: str) -> Column:
     return F.length(whole(text)) - chars_outside(text, chars)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """The name, or a longer one that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fingerprint(*columns: Column) -> Column:
     return F.xxhash64(*columns)
 
