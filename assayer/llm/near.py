@@ -12,14 +12,16 @@ Two texts agree in a component with the probability of their weighted Jaccard.
 
 Links. Equal bags are one node. Bands of a few components make buckets. In each bucket every node is
 paired with the smallest node of the bucket, not with all others; pairs whose signatures agree are
-verified on the bags themselves. Where a bucket of three or more had a pair that was refused, links
-between its other nodes may exist: the bags of such a bucket are compared with each other exactly, by
+verified on the bags themselves. Where a bucket of three or more had a pair that was refused, the refused
+nodes may have links to its other nodes: their bags are compared with all bags of the bucket exactly, by
 products of incidence matrices, in blocks of bounded size, and every block returns no more than the
 links that connect it. So no link between different texts is lost to the choice of the pivot, and no
 pairs are emitted beyond a forest. Connected nodes are classes.
 
 NULL texts, and texts without words, are each a class of their own. The class id is the smallest doc_id
-of the class (NULL if all its ids are NULL). Repeated rows are in one class and keep their rows.
+of the class (NULL if all its ids are NULL). Repeated rows are in one class and keep their rows. Texts are
+read whole; the work and memory of a text grow with its words. Columns other than id and text are not
+looked at.
 """
 
 from __future__ import annotations
@@ -30,11 +32,12 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm.components import components
-from assayer.llm.text import kept
+from assayer.llm.text import fingerprint, free, kept
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 4
@@ -177,7 +180,8 @@ def _schema(text: str) -> pa.Schema:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = _schema("doc_id long, node binary, units long, sig binary, bands array<long>, body binary")
+    schema = _schema("row long, doc_id long, print long, node binary, units long, sig binary, bands array<long>, body binary")
+    row = TaskContext.get().partitionId() << 40
     squeeze = zstandard.ZstdCompressor(level=3)
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1).to_pylist()
@@ -196,7 +200,9 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             nodes = [xxhash.xxh128_digest(h.tobytes() + c.astype(np.int64).tobytes()) if len(h) else None for h, c in counted]
             yield pa.RecordBatch.from_arrays(
                 [
+                    pa.array(range(row, row + stop - start), pa.int64()),
                     ids.slice(start, stop - start).cast(pa.int64()),
+                    batch.column(2).slice(start, stop - start),
                     pa.array(nodes, pa.binary()),
                     pa.array([int(c.sum()) for _, c in counted], pa.int64()),
                     pa.array([s.tobytes() for s in signed], pa.binary()),
@@ -205,6 +211,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ],
                 schema=schema,
             )
+            row += stop - start
             start = stop
 
 
@@ -225,10 +232,11 @@ def _verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Re
 
 
 def similar(counted: list[tuple[np.ndarray, np.ndarray]], rows: np.ndarray, columns: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Pairs (row, column) of bags at least ``least`` similar, from exact counts of common shingles.
+    """Pairs (row, column) of different bags at least ``least`` similar, from exact counts of common shingles.
 
     A shingle that occurs c times is c entries (shingle, 1) ... (shingle, c), so that common entries are
-    the sum of minima. Entries that only one bag has are left out of the products.
+    the sum of minima. Entries that only one bag has are left out of the products. A bag that is row and
+    column is not paired with itself.
     """
     totals = np.array([c.sum() for _, c in counted], dtype=np.float64)
     owner = np.repeat(np.arange(len(counted)), [int(c.sum()) for _, c in counted])
@@ -253,17 +261,19 @@ def similar(counted: list[tuple[np.ndarray, np.ndarray]], rows: np.ndarray, colu
             part.append(matrix)
         common += part[0] @ part[1].T
     union = totals[rows][:, None] + totals[columns][None, :] - common
-    found = np.nonzero((common >= least * union - 1e-9) & (union > 0))
+    found = np.nonzero((common >= least * union - 1e-9) & (union > 0) & (rows[:, None] != columns[None, :]))
     return [(int(rows[i]), int(columns[j])) for i, j in zip(*found, strict=True)]
 
 
 def _forest(table: pa.Table, least: float) -> pa.Table:
-    """Links that connect the similar nodes of one pair of blocks of a bucket."""
+    """Links that connect the similar nodes of a block of refused nodes (side 0) and a block of all nodes (side 1) of a bucket."""
     expand = zstandard.ZstdDecompressor()
     nodes, side = table.column("node").to_pylist(), np.array(table.column("side").to_pylist())
-    counted = bags([expand.decompress(x).decode("utf-8") for x in table.column("body").to_pylist()])
-    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # side 2: a block with itself
-    parent = list(range(len(nodes)))
+    numbers = {n: i for i, n in enumerate(dict.fromkeys(nodes))}
+    bodies = dict(zip(nodes, table.column("body").to_pylist(), strict=True))
+    counted = bags([expand.decompress(bodies[n]).decode("utf-8") for n in numbers])
+    of_side = [np.array([numbers[n] for n, s in zip(nodes, side, strict=True) if s == k], dtype=np.int64) for k in (0, 1)]
+    names, parent = list(numbers), list(range(len(numbers)))
 
     def find(x: int) -> int:
         while parent[x] != x:
@@ -272,11 +282,11 @@ def _forest(table: pa.Table, least: float) -> pa.Table:
         return x
 
     links = []
-    for i, j in similar(counted, left, right, least) if len(left) and len(right) else []:
+    for i, j in similar(counted, *of_side, least) if len(of_side[0]) and len(of_side[1]) else []:
         a, b = find(i), find(j)
         if a != b:
             parent[max(a, b)] = min(a, b)
-            links.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+            links.append((min(names[i], names[j]), max(names[i], names[j])))
     return pa.table({"a": pa.array([p[0] for p in links], pa.binary()), "b": pa.array([p[1] for p in links], pa.binary())})
 
 
@@ -297,54 +307,82 @@ def _links(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return kept(both.mapInArrow(lambda batches: _verified(batches, least), "a binary, b binary"), "near-links")
 
 
-def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """One row per document row: doc_id, class_id, class_size (document rows) and link_count of its text.
+def _crowded(buckets: DataFrame, links: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Blocks of buckets in which the pivot refused a node: rows (bucket, i, j, side, node, body).
 
-    ``link_count`` counts the verified links of the text to different texts, which are those that were
-    needed to connect the class; texts of a class are not compared all with all.
+    Only refused nodes can have links that are not found yet; those the pivot accepted are connected
+    through it. So blocks i of refused nodes (side 0) meet blocks j of all nodes (side 1).
     """
-    fields = "doc_id long, node binary, units long, sig binary, bands array<long>, body binary"
-    signed = kept(docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_signed, fields), "near-signatures")
-    once = F.struct("units", "sig", "bands")
+    blocks = lambda n, total: F.greatest(F.ceil(F.col(n) / BLOCK_NODES), F.ceil(F.col(total) / BLOCK_UNITS))
+    refused = buckets.where("n > 2 and node <> pivot").join(links, (F.col("pivot") == F.col("a")) & (F.col("node") == F.col("b")), "left_anti")
+    refused = kept(refused.select("bucket", "node", "units"), "near-refused")
+    sizes = refused.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_refused"), F.sum("units").alias("refused_total"))
+    marked = buckets.join(sizes, "bucket").join(refused.select("bucket", "node", F.lit(True).alias("refused")), ["bucket", "node"], "left").join(bodies, "node")
+    placed = marked.withColumn("rows", blocks("n_refused", "refused_total")).withColumn("columns", blocks("n", "total"))
+    at = lambda count: F.pmod(F.xxhash64("node"), F.col(count))
+    upto = lambda count: F.sequence(F.lit(0).cast("bigint"), F.col(count) - 1)
+    as_column = F.transform(upto("rows"), lambda i: F.struct(i.alias("i"), at("columns").alias("j"), F.lit(1).alias("side")))
+    as_row = F.transform(upto("columns"), lambda j: F.struct(at("rows").alias("i"), j.alias("j"), F.lit(0).alias("side")))
+    meets = F.when(F.col("refused"), F.concat(as_column, as_row)).otherwise(as_column)
+    return placed.select("bucket", "node", "body", F.explode(meets).alias("m")).select("bucket", "m.i", "m.j", "m.side", "node", "body")
+
+
+def _labelled(docs: DataFrame, least: float) -> DataFrame:
+    """Rows (doc_id, print, label, link_count), a row per document; no label where a text has no words."""
+    fields = "row long, doc_id long, print long, node binary, units long, sig binary, bands array<long>, body binary"
+    rows = docs.select(F.col("doc_id").cast("bigint"), "text", fingerprint(F.col("text")).alias("print"))
+    signed = kept(rows.mapInArrow(_signed, fields), "near-signatures")
+    once = F.struct("row", "units", "sig", "bands")
     nodes = kept(signed.where("node is not null").groupBy("node").agg(F.min(once).alias("n")).select("node", "n.*"), "near-nodes")
     banded = nodes.select("node", "units", F.explode("bands").alias("bucket"))
     counted = banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n"), F.sum("units").alias("total"))
     buckets = kept(banded.join(counted.where("n > 1"), "bucket"), "near-buckets")
     pairs = buckets.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     stars = kept(_estimated(pairs, nodes), "near-stars")
-    members = buckets.select("node").distinct()
-    chosen = signed.select("node", "body").join(members, "node", "left_semi").groupBy("node").agg(F.min("body").alias("body"))
-    bodies = kept(chosen, "near-bodies")
+    # A node's body is that of one of its rows: rows are found by their own number, so copies do not meet.
+    members = nodes.select("row", "node").join(buckets.select("node").distinct(), "node", "left_semi")
+    bodies = kept(signed.select("row", "body").join(members, "row").select("node", "body"), "near-bodies")
     links = _links(stars, bodies, least)
-
-    refused = buckets.where("n > 2 and node <> pivot").join(links, (F.col("pivot") == F.col("a")) & (F.col("node") == F.col("b")), "left_anti")
-    crowded = buckets.join(refused.select("bucket").distinct(), "bucket", "left_semi").join(bodies, "node")
-    count = F.greatest(F.ceil(F.col("n") / BLOCK_NODES), F.ceil(F.col("total") / BLOCK_UNITS))
-    placed = crowded.withColumn("blocks", count).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    # Block i meets blocks j >= i: its nodes are side 0 of (i, j), side 1 of (j, i), both in (i, i).
-    meets = F.transform(
-        F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1),
-        lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j"), F.when(F.col("block") == j, 2).when(F.col("block") < j, 0).otherwise(1).alias("side")),
-    )
-    dealt = placed.withColumn("m", F.explode(meets)).select("bucket", "m.i", "m.j", "m.side", "node", "body")
-    more = kept(dealt.groupBy("bucket", "i", "j").applyInArrow(lambda t: _forest(t, least), "a binary, b binary"), "near-links")
-    links = links.unionByName(more).distinct()
+    more = _crowded(buckets, links, bodies).groupBy("bucket", "i", "j").applyInArrow(lambda t: _forest(t, least), "a binary, b binary")
+    links = links.unionByName(kept(more, "near-links")).distinct()
     labels = kept(components(links), "near-classes")
-
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("link_count"))
-    named = signed.select("doc_id", "node").join(labels, "node", "left").join(degree, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = kept(named, "near-labels")
+    named = signed.select("doc_id", "print", "node").join(labels, "node", "left").join(degree, "node", "left")
+    links_of = F.coalesce("link_count", F.lit(0)).cast("bigint")
+    return kept(named.select("doc_id", "print", F.coalesce("label", "node").alias("label"), links_of.alias("link_count")), "near-labels")
+
+
+def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """One row per document row: doc_id, class_id, class_size (document rows) and link_count of its text.
+
+    ``link_count`` counts the verified links of the text to different texts, which are those that were
+    needed to connect the class; texts of a class are not compared all with all.
+    """
+    named = _labelled(docs, least)
     sized = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     own = named.join(kept(sized, "near-sizes"), "label", "left")
-    links_of = F.coalesce("link_count", F.lit(0)).cast("bigint")
     alone = F.col("label").isNull()
-    return own.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.lit(1).cast("bigint")).otherwise(F.col("class_size")).alias("class_size"), links_of.alias("link_count"))
+    return own.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.lit(1).cast("bigint")).otherwise(F.col("class_size")).alias("class_size"), "link_count")
 
 
 def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """One document of each class, that with the smallest id. All columns stay.
+    """One document row of each class, that with the smallest id (NULL last; among its texts the smallest fingerprint).
 
-    Rows without an id are kept; rows that share the smallest id of a class are kept together.
+    Rows are told apart by id and text, so an id on two texts loses only the text that is a copy. Of rows
+    equal in id and text one stays, the smallest by a hash of its columns. All columns stay, whatever their
+    names. Texts without words are classes of their own and all stay.
     """
-    gone = classes(docs, least).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    its_id, its_print, its_row = (free(docs, name) for name in ("near_id", "near_print", "near_row"))
+    named = _labelled(docs, least).where("label is not null").groupBy("label", "doc_id", "print").agg(F.count(F.lit(1)).alias("n"))
+    first = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "print")).alias("first"))
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("print") == F.col("first.print"))
+    judged = kept(named.join(first, "label").select(F.col("doc_id").alias(its_id), F.col("print").alias(its_print), "n", is_first.alias("stays")), "near-judged")
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(its_id)) & (fingerprint(F.col("text")) == F.col(its_print))
+    ties = judged.where("stays and n > 1").select(its_id, its_print)
+    gone = judged.where("not stays or n > 1").select(its_id, its_print)
+    single = docs.join(gone, same, "left_anti")
+    if ties.isEmpty():
+        return single
+    row = F.struct(F.xxhash64(*[F.col(c).cast("string") for c in docs.columns]).alias("hash"), F.struct(*docs.columns).alias("row"))
+    one = docs.join(ties, same).groupBy(its_id, its_print).agg(F.min(row).alias(its_row))
+    return single.unionByName(one.select(f"{its_row}.row.*"))

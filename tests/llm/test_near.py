@@ -5,6 +5,8 @@ from collections import defaultdict
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from assayer.llm import near
 from assayer.llm.components import components
 
@@ -88,7 +90,7 @@ def test_similar_pairs_are_exact():
     texts = [" ".join(rng.choice("abc") for _ in range(rng.randrange(0, 40))) for _ in range(60)]
     counted = near.bags(texts)
     rows, columns = np.arange(0, 60, 2), np.arange(60)
-    want = {(i, j) for i in rows.tolist() for j in columns.tolist() if near.weighted_jaccard(counted[i], counted[j]) >= 0.3}
+    want = {(i, j) for i in rows.tolist() for j in columns.tolist() if i != j and near.weighted_jaccard(counted[i], counted[j]) >= 0.3}
     assert set(near.similar(counted, rows, columns, 0.3)) == want
 
 
@@ -134,3 +136,48 @@ def test_keep_one(spark, corner_dir):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     first = {d for d, c, _ in brute(rows) if d is not None and d == c}
     assert {r.doc_id for r in kept.collect()} - {None} == first
+    # A row a class: those with the words of a class once, those without words all.
+    left = [r.text for r in kept.collect()]
+    assert len([t for t in left if not (t or "").split()]) == len([t for _, t in rows if not (t or "").split()])
+    worded = [r for r in rows if (r[1] or "").split()]
+    assert len([t for t in left if (t or "").split()]) == len(set(brute_labels([t for _, t in worded])))
+
+
+def brute_labels(texts):
+    """Classes of texts, whatever their ids."""
+    found = brute(list(enumerate(texts)))
+    return [c for _, c, _ in found]
+
+
+def test_keep_one_by_id_and_text(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    close = long + " tail"
+    rows = [(1, long, "a"), (5, close, "b"), (5, "a text of its own that nobody else has at all", "c"), (None, long, "d"), (6, "same words here again and again", "e"), (6, "same words here again and again", "f")]
+    rows += [(None, "copies without an id are one class as well", None)] * 3 + [(7, None, "g"), (7, "", "h"), (7, "", "h")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, near_id string")
+    for name in ("_gone", "near_print", "near_row", "n", "label", "print", "row", "stays"):
+        docs = docs.withColumn(name, F.lit(name))
+    out = near.keep_one(docs)
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    want = [(1, long), (5, rows[2][1]), (6, rows[4][1]), (None, rows[6][1]), (7, None), (7, ""), (7, "")]
+    assert got == sorted(want, key=str)
+
+
+def test_crowded_buckets_lose_no_link(spark, monkeypatch):
+    """Families that share a bucket: refused nodes are compared with all, in blocks of two nodes."""
+    monkeypatch.setattr(near, "BLOCK_NODES", 2)
+    rng = random.Random(9)
+    common = [f"c{i}" for i in range(60)]
+    families = [common + [f"f{k}_{i}" for i in range(40)] for k in range(4)]
+    texts = []
+    for family in families:
+        for _ in range(5):
+            own = list(family)
+            for _ in range(2):
+                own[rng.randrange(len(own))] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(own))
+    rows = list(enumerate(texts))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.class_id, r.class_size) for r in near.classes(frame).collect())
+    assert got == sorted(brute(rows))
