@@ -1,18 +1,20 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
-A unit (a document, or equal rows of one) should be taken ``target / source_size`` times. The whole
-part is taken outright. The fractional parts of a source are rounded against each other: two units
-swap probability mass, weighted by their words so that the source's total stays as it is, until one
-of them is 0 or 1. Chunks of units are folded that way; each leaves one undecided unit, and these are
-folded again, level by level, until one per source is left, which a last draw decides. The words of
-a source so miss its target by less than one unit, and every unit keeps its expected share.
+A document should be taken ``target / source_size`` times; of equal rows, which are one unit, all of them
+together. The whole part of that is taken outright. The fractional parts of a source, each below one
+document, are rounded against each other: two units swap probability mass, weighted by their words so that
+the source's total stays as it is, until one of them is 0 or 1. Chunks of units are folded that way; each
+leaves one undecided unit, and these are folded again, level by level, until one per source is left, which
+a last draw decides. The words of a source so miss its target by less than one document, and every unit
+keeps its expected share.
 
 Chunks have a bounded expected length, so a source with most of the rows is spread over many tasks.
 All draws depend on the documents and the seed alone: reruns agree.
 
 NULL sources are one source, last in order. Units without words (NULL or empty text) are taken 0
-words. Rows equal in source, id, size and text are one unit and are taken equally often. An empty
-table gives an empty result. The number of sources is that of a mixture's recipe: their weights are
+words. Rows equal in source, id, size and text are one unit; its copies are dealt over its rows, so that
+two rows differ by one at most. Texts are counted whole. Other columns of any name stay as they are; one
+named like the result's column of copies is replaced. An empty table gives an empty result. The number of sources is that of a mixture's recipe: their weights are
 laid out by one window over one row per source.
 """
 
@@ -23,12 +25,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayer.llm.text import fingerprint, kept, unit_draw, words
+from assayer.llm.text import fingerprint, free, kept, unit_draw, words
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
 #: Expected units of a chunk.
 CHUNK = 48
+#: Equal rows that are numbered in one task, expected.
+ROWS_PER_GROUP = 100_000
 KEYS = ["source", "doc_id", "size", "print"]
 
 
@@ -113,18 +117,21 @@ def rounded(units: DataFrame, seed: int = 0, chunk: int = CHUNK) -> DataFrame:
 
 
 def plan(units: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP, seed: int = 0) -> DataFrame:
-    """Times each unit is taken: units (source, doc_id, size, print, rows) with source_size, target and copies."""
+    """Times each unit is taken: units (source, doc_id, size, print, rows) with source_size, target, and the copies of
+    every one of its rows (``each``) and of how many rows one more (``extra``)."""
     shares = kept(targets(units.select("source", (F.col("size") * F.col("rows")).alias("size")), weights, cap), "mixing-targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rated = units.join(shares.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "weight").withColumn("rate", rate)
-    rated = rated.withColumn("whole", F.floor("rate")).withColumn("p", F.col("rate") - F.floor("rate"))
-    open_ = rated.where("p > 0 and size > 0").select(*KEYS, (F.col("size") * F.col("rows")).cast("double").alias("w"), "p")
+    wanted = (F.col("rate") - F.floor("rate")) * F.col("rows")
+    rated = rated.withColumn("whole", F.floor("rate") * F.col("rows") + F.floor(wanted)).withColumn("p", wanted - F.floor(wanted))
+    open_ = rated.where("p > 0 and size > 0").select(*KEYS, F.col("size").cast("double").alias("w"), "p")
     bits = rounded(open_, seed)
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in KEYS]
     bits = bits.select(*[F.col(k).alias(f"_{k}") for k in KEYS], "bit")
     on = same[0] & same[1] & same[2] & same[3]
     copies = F.when(F.col("size") > 0, F.col("whole") + F.coalesce("bit", F.lit(0))).otherwise(0)
-    return rated.join(bits, on, "left").select(*KEYS, "rows", "source_size", "target", copies.cast("bigint").alias("copies"))
+    taken = rated.join(bits, on, "left").select(*KEYS, "rows", "source_size", "target", copies.cast("bigint").alias("copies"))
+    return taken.select(*KEYS, "rows", "source_size", "target", F.expr("copies div rows").alias("each"), F.expr("copies % rows").alias("extra"))
 
 
 def units_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -136,17 +143,34 @@ def units_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
 def mix_table(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP, seed: int = 0) -> DataFrame:
     """One row per document row: doc_id, source, size, source_size, target, taken and copies."""
     planned = plan(units_of(docs), weights, cap, seed)
-    each = planned.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("rows"))))
-    return each.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    rows = planned.withColumn("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("rows"))))
+    copies = F.col("each") + (F.col("row") <= F.col("extra")).cast("bigint")
+    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+
+
+def _numbered(rows: DataFrame, unit: str, row: str, group: str) -> DataFrame:
+    """(row, number): the rows of each unit numbered from 1, ``group`` holding rows of one task each."""
+    light = rows.select(F.col(unit).alias("u"), F.col(row).alias("r"), F.col(group).alias("g"))
+    before = F.sum("n").over(Window.partitionBy("u").orderBy("g").rowsBetween(Window.unboundedPreceding, -1))
+    groups = light.groupBy("u", "g").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(before, F.lit(0)))
+    inside = F.row_number().over(Window.partitionBy("u", "g").orderBy("r"))
+    return light.withColumn("inside", inside).join(groups, ["u", "g"]).select("r", (F.col("inside") + F.col("before")).alias("number"))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP, seed: int = 0, copies: str = "copies") -> DataFrame:
     """The mixed corpus: each document with the number of times it is taken, those taken 0 times left out."""
-    planned = plan(units_of(docs), weights, cap, seed).where("copies > 0").select(*[F.col(k).alias(f"_mix_{k}") for k in KEYS], F.col("copies").alias("_mix_copies"))
-    mine = [F.col("source"), F.col("doc_id").cast("bigint"), F.size(words(F.col("text"))).cast("bigint"), fingerprint(F.col("text"))]
-    on = None
-    for k, c in zip(KEYS, mine, strict=True):
-        if k != "size":
-            same = c.eqNullSafe(F.col(f"_mix_{k}"))
-            on = same if on is None else on & same
-    return docs.drop(copies).join(planned, on).withColumn(copies, F.col("_mix_copies")).drop(*[f"_mix_{k}" for k in KEYS], "_mix_copies")
+    docs = docs.drop(copies)
+    n = {k: free(docs, f"mix_{k}") for k in ("source", "doc_id", "print", "rows", "each", "extra", "unit", "row", "group", "number")}
+    planned = plan(units_of(docs), weights, cap, seed).where("each > 0 or extra > 0").withColumn("unit", F.monotonically_increasing_id())
+    planned = kept(planned.select(*[F.col(k).alias(n[k]) for k in ("source", "doc_id", "print", "rows", "each", "extra", "unit")]), "mixing-plan")
+    on = F.col("source").eqNullSafe(F.col(n["source"])) & F.col("doc_id").cast("bigint").eqNullSafe(F.col(n["doc_id"])) & (fingerprint(F.col("text")) == F.col(n["print"]))
+    even = docs.join(planned.where(F.col(n["extra"]) == 0), on).withColumn(copies, F.col(n["each"])).select(*docs.columns, copies)
+    uneven = planned.where(F.col(n["extra"]) > 0)
+    if uneven.isEmpty():
+        return even
+    # Only rows of units whose copies do not divide by their rows are numbered; they are written, which fixes the numbers.
+    tied = docs.join(uneven, on).withColumn(n["row"], F.monotonically_increasing_id())
+    tied = kept(tied.withColumn(n["group"], F.pmod(F.xxhash64(n["row"]), F.ceil(F.col(n["rows"]) / ROWS_PER_GROUP))), "mixing-tied")
+    numbers = _numbered(tied, n["unit"], n["row"], n["group"]).select(F.col("r").alias(n["row"]), F.col("number").alias(n["number"]))
+    dealt = F.col(n["each"]) + (F.col(n["number"]) <= F.col(n["extra"])).cast("bigint")
+    return even.unionByName(tied.join(numbers, n["row"]).withColumn(copies, dealt).where(F.col(copies) > 0).select(*docs.columns, copies))

@@ -6,7 +6,9 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-DOCUMENTS = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64()), ("words", pa.int32()), ("hash", pa.string()), ("size", pa.string()), ("rate", pa.string()), ("node", pa.string())])
+#: Names that operators use or used inside.
+CLASHING = ("_gone", "_doc_id", "_print", "_spans", "_mix_copies", "_base_spans", "_secret_spans", "base_spans", "secret_spans", "hit_spans", "near_id", "mix_unit")
+DOCUMENTS = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64()), ("words", pa.int32()), ("hash", pa.string()), ("size", pa.string()), ("rate", pa.string()), ("node", pa.string()), *[(c, pa.string()) for c in CLASHING]])
 PAGES = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string()), ("digest", pa.string()), ("bad", pa.string())])
 BENCHMARK = pa.schema([("item_id", pa.int64()), ("text", pa.string()), ("hash", pa.string()), ("items", pa.string())])
 LABELS = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("toxic", pa.int32()), ("bad", pa.string())])
@@ -39,9 +41,9 @@ def _documents():
     near = list(base)
     near[60] = "changed"
     texts += [" ".join(base), " ".join(base), " ".join(near), " ".join(base[:100] + _words(rng, 20))]
-    rows = [(i, t, "en", rng.choice([None, "a", "b", "é", "A"]), None, 1, "h", "s", "r", "n") for i, t in enumerate(texts)]
+    rows = [(i, t, "en", rng.choice([None, "a", "b", "é", "A"]), None, 1, "h", "s", "r", "n", *CLASHING) for i, t in enumerate(texts)]
     rows += [rows[7], rows[7], (None, texts[8], None, None, 3, None, None, None, None, None), (None, texts[8], None, None, 3, None, None, None, None, None), (None, None, None, "a", 0, None, None, None, None, None), (-5, texts[9], None, "b", 0, None, None, None, None, None)]
-    return rows
+    return [(*r, *[None] * (len(DOCUMENTS) - len(r))) for r in rows]
 
 
 ITEMS = ["Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu", "tiny item", None, "", "...", "été 日本 x", "same same same same same same same same same same same"]

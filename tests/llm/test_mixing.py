@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from assayer.llm import mixing
 from tests.conftest import SMALL
@@ -42,8 +43,8 @@ def check(rows, docs):
         assert 0 <= r.taken <= 3 * r.size and (r.size == 0 or r.taken % r.size == 0)
         taken[r.source] += r.taken
     assert got == count
-    for (_, s, n), k in count.items():
-        largest[s] = max(largest[s], n * k)
+    for _, s, n in count:
+        largest[s] = max(largest[s], n)
     for s in sizes:
         assert abs(taken[s] - want[s]) <= largest[s] + 1e-6, s
     return taken
@@ -86,7 +87,23 @@ def test_mix_keeps_documents(spark, corner_dir):
     docs = spark.read.parquet(f"{corner_dir}/documents.parquet")
     out = mixing.mix(docs)
     assert out.columns == [*docs.columns, "copies"]
-    table = {(r.doc_id, r.source, r.size): r.copies for r in mixing.mix_table(docs).collect()}
-    for r in out.collect():
-        n = len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
-        assert r.copies == table[(r.doc_id, r.source, n)] > 0
+    table = sorted(str((r.doc_id, r.source, r.size, r.copies)) for r in mixing.mix_table(docs).collect() if r.copies)
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    assert sorted(str((r.doc_id, r.source, size(r.text), r.copies)) for r in out.collect()) == table
+
+
+def test_repeated_rows_meet_their_target(spark, monkeypatch):
+    """A source of 50 equal rows, one with equal rows without id, and columns with the names used inside."""
+    monkeypatch.setattr(mixing, "ROWS_PER_GROUP", 4)
+    docs = [(1, "ten words are in here as any reader can count", "a")] * 50 + [(i, "w " * 10, "b") for i in range(70)] + [(None, "x y z", "c")] * 33
+    frame = spark.createDataFrame(docs, SCHEMA)
+    taken = check(mixing.mix_table(frame).collect(), docs)
+    assert 0 < taken["a"] < 500
+    for name in ("_mix_copies", "mix_unit", "mix_row", "mix_each", "unit", "row", "copies"):
+        frame = frame.withColumn(name, F.lit("own"))
+    out = mixing.mix(frame)
+    assert out.columns == [c for c in frame.columns if c != "copies"] + ["copies"]
+    rows = out.collect()
+    assert {r.mix_unit for r in rows} == {"own"} and all(1 <= r.copies <= 3 for r in rows)
+    size = {"a": 10, "b": 10, "c": 3}
+    assert {s: sum(r.copies * size[s] for r in rows if r.source == s) for s in size} == dict(taken)
