@@ -44,6 +44,12 @@ class Catalog:
     def view_specs(self) -> list[ViewSpec]:
         return list({v.id: v for v in self._views.values()}.values())
 
+    def replaced(self, view: ViewSpec, frame: DataFrame) -> Catalog:
+        """A catalog in which the view is the given table, under its id and its name."""
+        names = {view.id, view.view_name}
+        tables = {**self._tables, **dict.fromkeys(names, frame)}
+        return Catalog(self.spark, tables, [v for v in self.view_specs() if v.id != view.id])
+
     def resolve(self, name: str) -> DataFrame:
         """The DataFrame behind a view or table name."""
         if name in self._frames:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from assayer.operators.checks import Verdict, check_type, status_of
 from assayer.plans.catalog import Catalog
+from assayer.plans.shared import shared_views
 from assayer.session import removed, run_dir
 from assayer.sources.sinks import read_results, write_results
 from assayer.specs import CheckSpec, SpecError
@@ -219,7 +220,7 @@ def execute(
     The suite runs as one job. When that breaks on the data (a corrupt file, a cast that raises
     inside custom SQL), the checks are halved until the broken ones are alone, and only those
     turn into ``error`` rows. Errors while writing the results are raised. A repeated run id
-    replaces its rows.
+    replaces its rows. Views that several parts of the suite read are computed once.
     """
     store(specs, catalog, path, run_id, executed_at)
     return read_results(catalog.spark, path, _result_schema(), run_id)
@@ -230,7 +231,8 @@ def store(specs: Iterable[CheckSpec], catalog: Catalog, path: str, run_id: str,
     specs, started = list(specs), time.time()
     stage = run_dir(catalog.spark, "suite")
     try:
-        _stored(specs, catalog, executed_at, stage)
+        with shared_views(specs, catalog, FUSE_LIMIT) as tables:
+            _stored(specs, tables, executed_at, stage)
         rows = catalog.spark.read.schema(_result_schema()).parquet(stage)
         write_results(rows, path, run_id, started)
     finally:

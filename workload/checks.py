@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from assayer.plans.suite import select_checks, suite
 from assayer.operators import distribution, volume
 from assayer.operators.checks import measure
-from assayer.specs import ColumnInfo, Threshold, ViewDefinition, ViewSpec
+from assayer.session import run_dir
+from assayer.specs import ColumnInfo, SelectDef, Threshold, ViewDefinition, ViewSpec
 from workload.base import DOCUMENT_LABELS, catalog, check, query, spec, table
 
 
@@ -437,6 +438,44 @@ def suite_sequential(spark, sf_dir):
     return out
 
 
+SPENDERS = ViewSpec(
+    "spenders",
+    ViewDefinition(
+        base_table="orders o",
+        joins=[{"table": "customer c", "type": "inner", "on_columns": ["o.o_custkey", "c.c_custkey"]}],
+        columns=[SelectDef("o_orderkey"), SelectDef("o_totalprice"), SelectDef("o_orderstatus"), SelectDef("c_nationkey"), SelectDef("c_acctbal"), SelectDef("o_custkey")],
+    ),
+)
+BIG_SPENDERS = ViewSpec("big_spenders", ViewDefinition(base_table="spenders", filters=[{"column": "o_totalprice", "operator": "gt", "value": 200000}]))
+SHARED = [
+    spec("rows", "row_count", "spenders"),
+    spec("prices", "max_value", "spenders", "o_totalprice"),
+    spec("keys", "uniqueness", "spenders", "o_orderkey"),
+    spec("nations", "referential_integrity", "spenders", "c_nationkey", reference_table="nation", reference_column="n_nationkey"),
+    spec("customers", "uniqueness", "big_spenders", "o_custkey"),
+    spec("paid", "custom_sql", custom_sql="SELECT COUNT(*) FROM spenders WHERE o_orderstatus = 'F'"),
+]
+
+
+@query(
+    "suite_shared_view",
+    """
+    WITH s AS (SELECT * FROM orders JOIN customer ON o_custkey = c_custkey)
+    SELECT 'rows' AS check_id, COUNT(*)::DOUBLE AS actual_value, NULL AS actual_text FROM s UNION ALL SELECT 'prices', MAX(o_totalprice), NULL FROM s
+    UNION ALL SELECT 'keys', COUNT(DISTINCT o_orderkey)::DOUBLE / COUNT(*) * 100, NULL FROM s
+    UNION ALL SELECT 'nations', COUNT(n_nationkey)::DOUBLE / COUNT(*) * 100, NULL FROM s LEFT JOIN nation ON c_nationkey = n_nationkey
+    UNION ALL SELECT 'customers', COUNT(DISTINCT o_custkey)::DOUBLE / COUNT(*) * 100, NULL FROM s WHERE o_totalprice > 200000
+    UNION ALL SELECT 'paid', COUNT(*)::DOUBLE, COUNT(*)::VARCHAR FROM s WHERE o_orderstatus = 'F'
+    """,
+)
+def suite_shared_view(spark, sf_dir):
+    """Five parts over one join view: the join runs once."""
+    from assayer.plans.suite import execute
+
+    rows = execute(SHARED, catalog(spark, sf_dir, SPENDERS, BIG_SPENDERS), run_dir(spark, "suite_shared_view"), "run")
+    return rows.select("check_id", "actual_value", "actual_text")
+
+
 @query(
     "suite_empty_table",
     """
