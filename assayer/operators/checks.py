@@ -502,12 +502,12 @@ class Uniqueness(CheckType):
         for name in self.keys(spec):
             _known(target, name)
 
-    def frame(self, spec, target, ctx):
+    def frame(self, spec, target, ctx, by=()):
         names = self.keys(spec)
         parts = [_compact_key(F.col(name), _known(target, name)).alias(f"k{i}") for i, name in enumerate(names)]
-        groups = target.groupBy(*parts).agg(count_rows().alias("n"))
+        groups = target.groupBy(*by, *parts).agg(count_rows().alias("n"))
         complete = all_of([F.col(f"k{i}").isNotNull() for i in range(len(names))])
-        return groups.agg(
+        return groups.groupBy(*by).agg(
             zero_if_null(F.sum("n")).alias("total_count"),
             F.count_if(complete).alias("unique_count"),
             zero_if_null(F.sum(F.when(~complete, F.col("n")))).alias("null_key_count"),
@@ -550,17 +550,23 @@ class ReferentialIntegrity(CheckType):
         if p.count_mode not in ("joined", "child"):
             raise SpecError(f"unknown count_mode {p.count_mode!r}")
 
-    def frame(self, spec, target, ctx):
+    def frame(self, spec, target, ctx, by=()):
         p = spec.parameters
         reference = ctx.resolve(p.reference_table)
         child_type, ref_type = _known(target, spec.column), _known(reference, p.reference_column)
         if isinstance(child_type, T.StringType) != isinstance(ref_type, T.StringType):
             raise SpecError(f"cannot compare {child_type.simpleString()} with {ref_type.simpleString()}")
         one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-        children = target.select(F.col(spec.column).alias("key"))
-        keys = reference.select(F.col(p.reference_column).alias("key")).where(F.col("key").isNotNull())
-        both = children.select("key", one.alias("c"), none.alias("r")).union(keys.select("key", none.alias("c"), one.alias("r")))
-        pairs = both.groupBy("key").agg(F.sum("c").alias("c"), F.sum("r").alias("r"))
+        children = target.select(*by, F.col(spec.column).alias("key"))
+        has_group = all(c in reference.columns for c in by)
+        keys = reference.select(*(by if has_group else ()), F.col(p.reference_column).alias("key")).where(F.col("key").isNotNull())
+        if has_group:
+            both = children.select(*by, "key", one.alias("c"), none.alias("r")).union(keys.select(*by, "key", none.alias("c"), one.alias("r")))
+            pairs = both.groupBy(*by, "key").agg(F.sum("c").alias("c"), F.sum("r").alias("r"))
+        else:  # the reference holds for every group: counted keys of both sides meet once per group
+            counted = children.groupBy(*by, "key").agg(count_rows().alias("c"))
+            known = keys.groupBy("key").agg(count_rows().alias("r"))
+            pairs = counted.join(known, "key", "left").withColumn("r", F.coalesce("r", none))
         wide = lambda name: F.col(name).cast("decimal(19,0)")
         if p.count_mode == "joined":
             total = F.sum(wide("c") * F.greatest(wide("r"), F.lit(1).cast("decimal(19,0)")))
@@ -569,7 +575,7 @@ class ReferentialIntegrity(CheckType):
             total = F.sum(wide("c"))
             matched = F.sum(F.when(F.col("r") > 0, wide("c")).otherwise(none))
         zero = lambda c: F.coalesce(c, F.lit(0)).cast("decimal(38,0)")
-        return pairs.agg(zero(total).alias("total_count"), zero(matched).alias("matched_count"))
+        return pairs.groupBy(*by).agg(zero(total).alias("total_count"), zero(matched).alias("matched_count"))
 
     def report(self, spec, m):
         total, matched = m["total_count"], m["matched_count"]
@@ -595,14 +601,14 @@ class Distribution(CheckType):
         for value in spec.parameters.expected_distribution or {}:
             typed_literal(value, data_type)
 
-    def frame(self, spec, target, ctx):
+    def frame(self, spec, target, ctx, by=()):
         expected = spec.parameters.expected_distribution or {}
         data_type = _known(target, spec.column)
-        groups = target.groupBy(F.col(spec.column).alias("value")).agg(count_rows().alias("n"))
+        groups = target.groupBy(*by, F.col(spec.column).alias("value")).agg(count_rows().alias("n"))
         value, n = F.col("value"), F.col("n")
         metrics = [zero_if_null(F.sum("n")).alias("total_count"), count_rows().alias("value_count")]
         if not expected:
-            return groups.agg(*metrics, F.lit(0.0).alias("max_deviation"))
+            return groups.groupBy(*by).agg(*metrics, F.lit(0.0).alias("max_deviation"))
         literals = [typed_literal(v, data_type) for v in expected]
         other = ~F.coalesce(value.isin(*literals), F.lit(False))
         metrics.append(zero_if_null(F.max(F.when(other, n))).alias("other_max"))
@@ -610,8 +616,8 @@ class Distribution(CheckType):
         total = F.col("total_count").cast("double")
         share = lambda name: F.when(total > 0, F.col(name).cast("double") / total).otherwise(F.lit(0.0))
         gaps = [F.abs(share(f"e{i}") - F.lit(float(s))) for i, s in enumerate(expected.values())]
-        return groups.agg(*metrics).select(
-            "total_count", "value_count", F.greatest(share("other_max"), *gaps).alias("max_deviation")
+        return groups.groupBy(*by).agg(*metrics).select(
+            *by, "total_count", "value_count", F.greatest(share("other_max"), *gaps).alias("max_deviation")
         )
 
     def judge(self, spec, r):

@@ -237,6 +237,11 @@ def replay(log: DataFrame, workflow: Workflow, partitions: int | None = None) ->
     ``log`` has entity, event, ts and event_id. An event that the current state does not
     allow is refused and leaves the state as it is.
     """
+    return followed(stretches(log, workflow, partitions), workflow)
+
+
+def stretches(log: DataFrame, workflow: Workflow, partitions: int | None = None) -> DataFrame:
+    """What the events of an entity do to every state, a row per entity and range partition."""
     missing = {"entity", "event", "ts", "event_id"} - set(log.columns)
     if missing:
         raise SpecError(f"replay needs columns {sorted(missing)}")
@@ -248,16 +253,18 @@ def replay(log: DataFrame, workflow: Workflow, partitions: int | None = None) ->
     )
     order = ["entity", "ts", "event_id"]
     spread = slim.repartitionByRange(partitions, *order) if partitions else slim.repartitionByRange(*order)
-    stretches = spread.sortWithinPartitions(*order).mapInArrow(_fold_partition(workflow), STRETCH)
-    return _chain(stretches, workflow)
+    return spread.sortWithinPartitions(*order).mapInArrow(_fold_partition(workflow), STRETCH)
 
 
 def _chain(stretches: DataFrame, workflow: Workflow) -> DataFrame:
-    """Follow each entity through its stretches: at most one per range partition."""
+    """Follow each entity through its stretches, at most one per range partition: total and end (state, accepted, refused).
+
+    A stretch without times comes before all others.
+    """
     states = workflow.states
-    names = F.array(*[F.lit(s) for s in states])
+    at_front = F.col("first_ts").isNotNull().cast("int").alias("order")
     ordered = F.array_sort(
-        F.collect_list(F.struct("first_ts", "first_id", "next_states", "accepted", "refused"))
+        F.collect_list(F.struct(at_front, "first_ts", "first_id", "next_states", "accepted", "refused"))
     )
     start = F.struct(
         F.lit(states.index(workflow.initial)).alias("state"),
@@ -272,9 +279,13 @@ def _chain(stretches: DataFrame, workflow: Workflow) -> DataFrame:
             F.coalesce(acc["refused"], F.get(piece["refused"], acc["state"])).alias("refused"),
         )
 
-    chained = stretches.groupBy("entity").agg(
-        F.sum("total").alias("total"), F.aggregate(ordered, start, follow).alias("end")
-    )
+    return stretches.groupBy("entity").agg(F.sum("total").alias("total"), F.aggregate(ordered, start, follow).alias("end"))
+
+
+def followed(stretches: DataFrame, workflow: Workflow) -> DataFrame:
+    """Entities with the state their stretches lead to from the initial one."""
+    names = F.array(*[F.lit(s) for s in workflow.states])
+    chained = _chain(stretches, workflow)
     return chained.select(
         "entity",
         F.get(names, F.col("end.state")).alias("state"),
@@ -282,3 +293,36 @@ def _chain(stretches: DataFrame, workflow: Workflow) -> DataFrame:
         (F.col("total") - F.col("end.accepted")).alias("rejected"),
         F.col("end.refused").alias("first_rejected"),
     )
+
+
+# --------------------------------------------------------------------------- replay that goes on
+
+#: What is kept of an entity between replays; the state is its number in the workflow.
+HELD = "entity string, state int, accepted bigint, total bigint"
+
+
+def continued(held: DataFrame, stretches: DataFrame, workflow: Workflow) -> DataFrame:
+    """Rows HELD of the entities that have stretches, after them.
+
+    What was held of an entity is one more stretch in front, which leads from any state to the held
+    one; so held states and new stretches meet in one aggregation.
+    """
+    every = lambda value: F.array(*[value] * len(workflow.states))
+    touched = stretches.select(F.col("entity").alias("_touched")).distinct()
+    before = held.join(touched, F.col("entity").eqNullSafe(F.col("_touched")), "left_semi").select(
+        "entity",
+        F.lit(None).cast("timestamp_ntz").alias("first_ts"),
+        F.lit(None).cast("bigint").alias("first_id"),
+        "total",
+        every(F.col("state")).alias("next_states"),
+        every(F.col("accepted")).alias("accepted"),
+        F.array_repeat(F.lit(None).cast("string"), len(workflow.states)).alias("refused"),
+    )
+    chained = _chain(before.unionByName(stretches), workflow)
+    return chained.select("entity", F.col("end.state").cast("int").alias("state"), F.col("end.accepted").alias("accepted"), "total")
+
+
+def described(held: DataFrame, workflow: Workflow) -> DataFrame:
+    """Rows HELD as (entity, state, accepted, rejected), the state by its name."""
+    names = F.array(*[F.lit(s) for s in workflow.states])
+    return held.select("entity", F.get(names, F.col("state")).alias("state"), "accepted", (F.col("total") - F.col("accepted")).alias("rejected"))

@@ -74,6 +74,16 @@ def removed(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def finished(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders under a folder that a writer has completed; none where there is no folder yet."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(place):
+        return []
+    names = sorted(entry.getPath().getName() for entry in files.listStatus(place) if entry.isDirectory())
+    return [n for n in names if files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+
+
 def run_dir(spark: SparkSession, label: str) -> str:
     """A fresh sub-folder of the shared folder for the output of one run."""
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
