@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assayer.functions.expressions import epoch_micros
-from assayer.session import removed, run_dir
+from assayer.session import finished, removed, run_dir
 
 EVENT_TYPES = ("START", "RUNNING", "COMPLETE", "FAIL", "ABORT")
 TERMINAL_TYPES = ("COMPLETE", "FAIL", "ABORT")
@@ -161,6 +163,132 @@ def upstream(edges: DataFrame, roots: DataFrame, max_depth: int = 0) -> DataFram
     return _reach(edges.select(F.col("target").alias("a"), F.col("source").alias("b")), roots, max_depth)
 
 
+#: Roots of one word of a bit set.
+ROOTS_PER_WORD = 64
+
+
+def reach_counts(edges: DataFrame, roots: DataFrame, max_depth: int = 0) -> DataFrame:
+    """How many nodes every root reaches along (source, target), itself left out: rows (root, reached, depth), depth the greatest.
+
+    A breadth-first search from all roots at once. Roots are numbered, and a node carries the roots that
+    have reached it as words of ROOTS_PER_WORD bits, so a step moves and merges (``bit_or``) 64 roots as
+    one value: rows are (node, word), a 64th of (root, node) pairs where roots share what they reach.
+    Cycles end, because only bits that are new to a node go on. Hops are written like those of
+    ``downstream``.
+    """
+    spark = edges.sparkSession
+    pairs = edges.select(F.col("source").alias("a"), F.col("target").alias("b"))
+    known = _written(pairs.where(F.col("a").isNotNull() & F.col("b").isNotNull()).distinct(), "edges")
+    every = _written(roots.select("node").distinct(), "roots")
+    # Most nodes of a graph are often leaves: only roots with an edge get a number.
+    places = _numbered(every.join(known.select(F.col("a").alias("node")).distinct(), "node", "left_semi"))
+    bit = F.expr(f"shiftleft(1L, cast(number % {ROOTS_PER_WORD} as int))")
+    start = places.select("node", F.floor(F.col("number") / ROOTS_PER_WORD).alias("word"), bit.alias("bits"))
+    frontier = _written(start, "frontier")
+    seen, reached, stages, depth = frontier, None, [known, every, places, frontier], 0
+    while not frontier.isEmpty() and (max_depth <= 0 or depth < max_depth):
+        depth += 1
+        none = F.lit(0).cast("bigint")
+        arriving = frontier.join(known, F.col("node") == F.col("a")).groupBy(F.col("b").alias("node"), "word").agg(F.bit_or("bits").alias("bits"))
+        both = arriving.select("node", "word", F.col("bits").alias("now"), none.alias("before")).unionByName(seen.select("node", "word", none.alias("now"), F.col("bits").alias("before")))
+        met = both.groupBy("node", "word").agg(F.bit_or("now").bitwiseAND(F.bitwise_not(F.bit_or("before"))).alias("bits"))
+        frontier = _written(met.where("bits <> 0"), "frontier")
+        gained = frontier.withColumn("depth", F.lit(depth))
+        reached = gained if reached is None else reached.unionByName(gained)
+        seen = seen.unionByName(frontier)
+        stages.append(frontier)
+        if depth % COMPACT_EVERY == 0:
+            seen = _written(seen.groupBy("node", "word").agg(F.bit_or("bits").alias("bits")), "seen")
+            stages.append(seen)
+    counts = every.join(places, "node", "left").select(F.col("node").alias("root"), "number")
+    if reached is None:
+        counts = counts.withColumns({"reached": F.lit(None).cast("bigint"), "depth": F.lit(None).cast("int")})
+    else:
+        total = _per_root(reached).groupBy("number").agg(F.sum("n").alias("reached"), F.max("depth").alias("depth"))
+        counts = counts.join(total, "number", "left")
+    whole = _written(counts.select("root", F.coalesce("reached", F.lit(0)).alias("reached"), F.coalesce("depth", F.lit(0)).alias("depth")), "reach")
+    _drop(spark, stages)
+    return whole
+
+
+def _per_root(reached: DataFrame) -> DataFrame:
+    """Nodes by root and hop. Bits are counted within tasks before anything is shuffled."""
+    at = [F.sum(F.getbit("bits", F.lit(k)).cast("bigint")).alias(f"b{k}") for k in range(ROOTS_PER_WORD)]
+    wide = reached.groupBy("word", "depth").agg(*at)
+    each = F.posexplode(F.array(*[F.col(f"b{k}") for k in range(ROOTS_PER_WORD)])).alias("k", "n")
+    return wide.select("word", "depth", each).where("n > 0").select((F.col("word") * ROOTS_PER_WORD + F.col("k")).alias("number"), "n", "depth")
+
+
+def _numbered(nodes: DataFrame) -> DataFrame:
+    """Nodes numbered from 0 without gaps: places within partitions, after the counts of the partitions before."""
+    rows = _written(nodes.select("node", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m")), "numbered")
+    sizes = rows.groupBy("p").agg(F.count(F.lit(1)).alias("n"))  # one row a partition
+    before = sizes.select("p", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return _written(rows.join(before, "p").select("node", (F.col("before") + F.col("m").bitwiseAND(F.lit((1 << 33) - 1))).alias("number")), "numbered")
+
+
+def _drop(spark: SparkSession, stages: list[DataFrame]) -> None:
+    for stage in stages:
+        for path in {name.rsplit("/", 1)[0] for name in stage.inputFiles()}:
+            removed(spark, path)
+
+
+class Closure:
+    """Everything that reaches everything, kept as tables while edges are added.
+
+    Rows are (root, node, depth) for all nodes with edges, depth at least 1 and least. New edges extend
+    the stored rows by semi-naive joins: only rows that are new or got shorter take part in the next
+    round, as the left or the right half of a path, so a batch costs what it changes, not the closure.
+    Each batch is a version of its own folder; readers follow the newest complete one.
+    """
+
+    ROWS = "root string, node string, depth int"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _versions(self) -> list[int]:
+        return sorted(int(n.split("-")[1]) for n in finished(self.spark, self.path))
+
+    def rows(self) -> DataFrame:
+        versions = self._versions()
+        if not versions:
+            return self.spark.createDataFrame([], self.ROWS)
+        return self.spark.read.schema(self.ROWS).parquet(f"{self.path}/version-{versions[-1]}")
+
+    def add(self, edges: DataFrame) -> None:
+        """Extend the closure by edges (source, target)."""
+        whole = edges.where(F.col("source").isNotNull() & F.col("target").isNotNull())
+        single = whole.select(F.col("source").alias("root"), F.col("target").alias("node"), F.lit(1).alias("depth")).distinct()
+        known, stages = self.rows(), []
+        fresh = _written(_shorter(single, known), "closure-new")
+        while not fresh.isEmpty():
+            merged = _written(known.unionByName(fresh).groupBy("root", "node").agg(F.min("depth").alias("depth")), "closure")
+            paths = _joined(fresh, merged).unionByName(_joined(merged, fresh))
+            shortest = paths.groupBy("root", "node").agg(F.min("depth").alias("depth"))
+            stages += [fresh, merged]
+            known, fresh = merged, _written(_shorter(shortest, merged), "closure-new")
+        versions = self._versions()
+        number = versions[-1] + 1 if versions else 0
+        known.write.mode("overwrite").parquet(f"{self.path}/version-{number}")
+        _drop(self.spark, [*stages, fresh])
+        for old in versions[:-1]:  # the last one may still be read
+            removed(self.spark, f"{self.path}/version-{old}")
+
+
+def _joined(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Paths of one row of each."""
+    left = first.select("root", F.col("node").alias("via"), F.col("depth").alias("steps"))
+    right = second.select(F.col("root").alias("via"), "node", "depth")
+    return left.join(right, "via").select("root", "node", (F.col("steps") + F.col("depth")).alias("depth"))
+
+
+def _shorter(found: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows of ``found`` that are not known, or only with a greater depth."""
+    old = known.select("root", "node", F.col("depth").alias("_depth"))
+    return found.join(old, ["root", "node"], "left").where(F.col("_depth").isNull() | (F.col("depth") < F.col("_depth"))).drop("_depth")
+
+
 def _written(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage of an iteration by writing it to the shared folder."""
     spark = df.sparkSession
@@ -195,7 +323,5 @@ def _reach(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
             reached = _written(reached, "reached")
             stages.append(reached)
     whole = _written(reached, "reached")
-    for stage in stages:
-        for path in {name.rsplit("/", 1)[0] for name in stage.inputFiles()}:
-            removed(stage.sparkSession, path)
+    _drop(whole.sparkSession, stages)
     return whole

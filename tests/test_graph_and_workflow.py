@@ -203,3 +203,54 @@ def test_retention_and_compliance(spark):
     rules = spark.createDataFrame([("t", "GDPR", True, True, True)], "tenant_id string, framework string, active boolean, audit_required boolean, lineage_tracking boolean")
     gaps = governance.compliance_gaps(datasets, rules, datasets.where("dataset = 'a'"), datasets.where("dataset = 'b'"))
     assert rows(gaps, "dataset", "gap") == [("a", "audit"), ("b", "lineage")]
+
+
+def test_reach_counts_of_many_roots(spark):
+    """More roots than one word has bits, cycles, a root without edges, repeated edges and NULLs."""
+    import random
+
+    from assayer.operators import lineage
+
+    rng = random.Random(3)
+    pairs = [(f"n{rng.randrange(150)}", f"n{rng.randrange(150)}") for _ in range(220)]
+    edges = spark.createDataFrame([*pairs, *pairs[:9], (None, "n1"), ("n2", None)], "source string, target string")
+    names = [f"n{i}" for i in range(150)] + ["alone"]
+    roots = spark.createDataFrame([(n,) for n in [*names, "n1"]], "node string")
+    after = {}
+    for a, b in pairs:
+        after.setdefault(a, set()).add(b)
+    want = {}
+    for root in names:
+        depth, seen, front = 0, {root}, {root}
+        while True:
+            front = {b for a in front for b in after.get(a, ())} - seen
+            if not front:
+                break
+            depth, seen = depth + 1, seen | front
+        want[root] = (len(seen) - 1, depth)
+    assert {r.root: (r.reached, r.depth) for r in lineage.reach_counts(edges, roots).collect()} == want
+    near = {r.root: r.reached for r in lineage.reach_counts(edges, roots, max_depth=1).collect()}
+    assert near == {n: len(after.get(n, set()) - {n}) for n in names}
+
+
+def test_closure_grows_with_its_edges(spark, tmp_path):
+    """Random edges in batches, with cycles, repeats and edges that shorten paths: always the closure from scratch."""
+    import random
+
+    from assayer.operators import lineage
+
+    rng = random.Random(8)
+    closure, edges = lineage.Closure(spark, str(tmp_path / "closure")), set()
+    assert closure.rows().count() == 0
+    for size in (12, 1, 9):
+        batch = [(f"n{rng.randrange(25)}", f"n{rng.randrange(25)}") for _ in range(size)]
+        edges |= set(batch)
+        closure.add(spark.createDataFrame([*batch, (None, "x"), *batch[:2]], "source string, target string"))
+        best = {e: 1 for e in edges}
+        for _ in range(25):
+            for (a, b), d in list(best.items()):
+                for c in (c for s, c in edges if s == b):
+                    best[a, c] = min(best.get((a, c), 99), d + 1)
+        assert {(r.root, r.node): r.depth for r in closure.rows().collect()} == best
+    closure.add(spark.createDataFrame([], "source string, target string"))
+    assert closure.rows().count() == len(best) and len(list((tmp_path / "closure").iterdir())) == 2

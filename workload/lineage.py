@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.operators import lineage
+from assayer.session import run_dir
 from workload.base import query, table
 
 EDGES_SQL = """
@@ -164,6 +165,38 @@ def lineage_upstream(spark, sf_dir):
     return lineage.upstream(lineage.dataset_edges(load_events(spark, sf_dir), distinct=False), roots)
 
 
+REACH_SQL = f"""
+    WITH RECURSIVE edges AS ({EDGES_SQL}),
+    nodes AS (SELECT source AS node FROM edges UNION SELECT target FROM edges),
+    reach(root, node, depth) AS (
+        SELECT source, target, 1 FROM edges UNION ALL SELECT root, target, depth + 1 FROM reach JOIN edges ON node = source
+    )"""
+
+
+@query(
+    "lineage_impact_counts",
+    f"""{REACH_SQL}
+    SELECT nodes.node AS root, COUNT(reach.node) AS reached, COALESCE(MAX(depth), 0) AS depth
+    FROM nodes LEFT JOIN (SELECT DISTINCT * FROM reach) reach ON nodes.node = root GROUP BY 1
+    """,
+)
+def lineage_impact_counts(spark, sf_dir):
+    """How many datasets depend on each dataset, for all of them at once."""
+    edges = lineage.dataset_edges(load_events(spark, sf_dir), distinct=False)
+    nodes = edges.select(F.explode(F.array("source", "target")).alias("node")).where("node is not null")
+    return lineage.reach_counts(edges, nodes)
+
+
+@query("lineage_closure", f"{REACH_SQL} SELECT root, node, MIN(depth) AS depth FROM reach GROUP BY 1, 2")
+def lineage_closure(spark, sf_dir):
+    """The closure after its edges came in three batches, in no order of depth."""
+    edges = lineage.dataset_edges(load_events(spark, sf_dir), distinct=False)
+    closure = lineage.Closure(spark, run_dir(spark, "lineage_closure"))
+    for number in range(3):
+        closure.add(edges.where(F.crc32("target") % 3 == number))
+    return closure.rows()
+
+
 @query(
     "lineage_check_runs",
     """
