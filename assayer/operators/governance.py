@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -112,6 +110,8 @@ def access_decisions(requests: DataFrame, policies: DataFrame, rules: DataFrame
     rules allows. With rules (policy_id, effect, actions, resources, field, operator, value)
     a matching deny wins, then a matching allow, and no match denies. A pattern that does not
     compile matches nothing if it would allow, and everything if it would deny.
+
+    Rules are found by an index: see ``rule_index``.
     """
     known = requests.join(
         policies.select("policy_id", F.col("active").alias("_active")), "policy_id", "left"
@@ -119,13 +119,11 @@ def access_decisions(requests: DataFrame, policies: DataFrame, rules: DataFrame
     if rules is None:
         verdicts = known.withColumn("_rules", F.lit(0)).withColumn("_deny", F.lit(False)).withColumn("_allow", F.lit(False))
     else:
-        rules = _sound(rules)
-        fits = known.select("request_id", "policy_id", "action", "resource", "subject", "context").join(rules, "policy_id")
-        matched = _rule_matches()
-        tally = fits.groupBy("request_id").agg(
-            F.count(F.lit(1)).alias("_rules"),
-            F.bool_or(matched & (F.col("effect") == "deny")).alias("_deny"),
-            F.bool_or(matched & (F.col("effect") == "allow")).alias("_allow"),
+        indexed = rule_index(rules)
+        known = known.join(_looked_up(rules, indexed), "policy_id", "left")
+        tally = fitting_rules(known, indexed).where(_rule_matches()).groupBy("request_id").agg(
+            F.bool_or(F.col("effect") == "deny").alias("_deny"),
+            F.bool_or(F.col("effect") == "allow").alias("_allow"),
         )
         verdicts = known.join(tally, "request_id", "left")
     has_rules = F.coalesce(F.col("_rules"), F.lit(0)) > 0
@@ -142,25 +140,41 @@ def access_decisions(requests: DataFrame, policies: DataFrame, rules: DataFrame
     )
 
 
-def _sound(rules: DataFrame) -> DataFrame:
-    """Rules with ``_sound``: whether their pattern compiles. The distinct patterns are tried on the driver, in the engine's own dialect."""
-    patterns = rules.where("operator = 'matches' and value is not null").select("value").distinct()
-    compiles = rules.sparkSession.sparkContext._jvm.java.util.regex.Pattern.compile
-    broken = []
-    for row in patterns.toLocalIterator():
-        try:
-            compiles(row["value"])
-        except (Py4JJavaError, PySparkException):
-            broken.append(row["value"])
-    bad = F.col("value").isin(broken) if broken else F.lit(False)
-    return rules.withColumn("_sound", ~F.coalesce(bad, F.lit(False)))
+def rule_index(rules: DataFrame) -> DataFrame:
+    """Rules by what a request must have for them to fit: policy, action, and the start of its resource.
+
+    A rule is there once for each of its actions (``*`` for any) and resource patterns, under the text
+    in front of the pattern's first ``*``; a rule without patterns fits every resource, NULL as well. ``_sound`` says whether a condition's pattern compiles; every
+    pattern is tried by the task that has the rule.
+    """
+    starred = (F.size("actions") == 0) | F.array_contains("actions", F.lit("*"))
+    actions = F.when(starred, F.array(F.lit("*"))).otherwise(F.array_distinct("actions"))
+    patterns = F.when(F.size("resources") == 0, F.array(F.lit(None).cast("string"))).otherwise(F.array_distinct("resources"))
+    compiles = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), F.col("value")).isNotNull()
+    sound = rules.withColumn("_sound", F.when(F.col("operator") == "matches", compiles).otherwise(F.lit(True)))
+    each = sound.withColumn("_action", F.explode(actions)).withColumn("_pattern", F.explode(patterns))
+    return each.select("policy_id", "_action", F.coalesce(F.substring_index("_pattern", "*", 1), F.lit("")).alias("_prefix"), "_pattern", "effect", "field", "operator", "value", "_sound")
+
+
+def _looked_up(rules: DataFrame, indexed: DataFrame) -> DataFrame:
+    """Per policy the number of its rules, and which keys its index has: any action or not, and length of the prefix."""
+    shape = F.struct((F.col("_action") == "*").alias("any"), F.length("_prefix").alias("length"))
+    shapes = indexed.groupBy("policy_id").agg(F.collect_set(shape).alias("_shapes"))
+    return rules.groupBy("policy_id").agg(F.count(F.lit(1)).alias("_rules")).join(shapes, "policy_id", "left")
+
+
+def fitting_rules(requests: DataFrame, indexed: DataFrame) -> DataFrame:
+    """Requests with ``_shapes``, each with the rules whose policy, action and prefix fit it."""
+    keys = F.transform(
+        F.filter("_shapes", lambda s: s["length"] <= F.length(F.coalesce("resource", F.lit("")))),
+        lambda s: F.struct(F.when(s["any"], F.lit("*")).otherwise(F.col("action")).alias("_action"), F.substr(F.coalesce("resource", F.lit("")), F.lit(1), s["length"]).alias("_prefix")),
+    )
+    asked = requests.select("request_id", "policy_id", "resource", "subject", "context", F.explode(F.array_distinct(keys)).alias("k"))
+    return asked.select("request_id", "policy_id", "resource", "subject", "context", "k.*").join(indexed, ["policy_id", "_action", "_prefix"])
 
 
 def _rule_matches() -> Column:
-    action_ok = (F.size("actions") == 0) | F.array_contains("actions", F.lit("*")) | F.array_contains(F.col("actions"), F.col("action"))
-    resource_ok = (F.size("resources") == 0) | F.exists(
-        "resources", lambda p: F.like(F.col("resource"), _glob(p))
-    )
+    resource_ok = F.col("_pattern").isNull() | F.like(F.col("resource"), _glob(F.col("_pattern")))
     actual = F.when(F.col("field") == "subject", F.col("subject")).otherwise(F.col("context")[F.col("field")])
     test = (
         F.when(F.col("operator") == "equals", actual == F.col("value"))
@@ -171,7 +185,7 @@ def _rule_matches() -> Column:
     broken_deny = (F.col("operator") == "matches") & ~F.col("_sound") & (F.col("effect") == "deny")
     test = F.when(broken_deny, F.lit(True)).otherwise(test)
     condition_ok = F.col("field").isNull() | F.coalesce(test, F.lit(False))
-    return F.coalesce(action_ok & resource_ok & condition_ok, F.lit(False))
+    return F.coalesce(resource_ok & condition_ok, F.lit(False))
 
 
 def compliance_gaps(datasets: DataFrame, policies: DataFrame, lineage: DataFrame, audits: DataFrame) -> DataFrame:

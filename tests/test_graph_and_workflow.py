@@ -254,3 +254,40 @@ def test_closure_grows_with_its_edges(spark, tmp_path):
         assert {(r.root, r.node): r.depth for r in closure.rows().collect()} == best
     closure.add(spark.createDataFrame([], "source string, target string"))
     assert closure.rows().count() == len(best) and len(list((tmp_path / "closure").iterdir())) == 2
+
+
+def test_requests_meet_only_rules_that_can_fit(spark):
+    """Against every rule tried on every request, with odd patterns, actions and NULLs; and few rows enter the match."""
+    import fnmatch
+    import random
+
+    rng = random.Random(2)
+    patterns = ["data/x*", "data/x/1", "*", "*/9", "d*ta/*", "", "data/%_*", "data/x/1*", "logs/*"]
+    rules = [(f"p{rng.randrange(6)}", rng.choice(["allow", "allow", "deny"]), rng.choice([[], ["*"], ["read"], ["read", "write", "read"], ["*", "write"]]),
+              rng.sample(patterns, rng.randrange(3)), None, None, None) for _ in range(40)]
+    asked = [(i, f"p{rng.randrange(8)}", "ann", rng.choice(["read", "write", "*", "own"]), rng.choice(["data/x/1", "data/x", "data/%_a", "logs/9", "", "dta/", None]), {}) for i in range(300)]
+    frame = spark.createDataFrame(asked, "request_id long, policy_id string, subject string, action string, resource string, context map<string,string>")
+    table = spark.createDataFrame(rules, "policy_id string, effect string, actions array<string>, resources array<string>, field string, operator string, value string")
+    active = spark.createDataFrame([(f"p{i}", True) for i in range(8)], "policy_id string, active boolean")
+    fits = lambda rule, r: (not rule[2] or "*" in rule[2] or r[3] in rule[2]) and (not rule[3] or r[4] is not None and any(fnmatch.fnmatchcase(r[4], p.replace("[", "[[]")) for p in rule[3]))
+    want = {}
+    for r in asked:
+        own = [x for x in rules if x[0] == r[1]]
+        hit = {x[1] for x in own if fits(x, r)}
+        want[r[0]] = "policy evaluation passed" if not own else "denied by rule" if "deny" in hit else "policy evaluation passed" if hit else "no rule matches"
+    assert dict(rows(governance.access_decisions(frame, active, table), "request_id", "reason")) == want
+    tried = frame.join(table, "policy_id").count()
+    indexed = governance.rule_index(table)
+    met = governance.fitting_rules(frame.join(governance._looked_up(table, indexed), "policy_id"), indexed)
+    assert met.where(governance._rule_matches()).count() <= met.count() < tried
+
+
+def test_the_index_keeps_what_enters_the_match_small(spark):
+    """On the registered query's rules: at most twice the rows that match."""
+    from workload.governance import access_rules, requests
+
+    rules, asked = access_rules(spark, "/root/testdata/sf0.01"), requests(spark, "/root/testdata/sf0.01")
+    indexed = governance.rule_index(rules)
+    met = governance.fitting_rules(asked.join(governance._looked_up(rules, indexed), "policy_id"), indexed)
+    matching = met.where(governance._rule_matches()).count()
+    assert 0 < matching and met.count() <= 2 * matching

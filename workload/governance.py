@@ -121,6 +121,26 @@ def access_decisions(spark, sf_dir):
     return governance.access_decisions(requests(spark, sf_dir), policies(spark, sf_dir))
 
 
+def access_rules(spark, sf_dir):
+    key = F.col("s_suppkey")
+    words = lambda *w: F.array(*[F.lit(x) for x in w])
+    none = F.lit(None).cast("string")
+
+    def rule(effect, actions, pattern, field=none, operator=none, value=none):
+        return F.struct(
+            F.lit(effect).alias("effect"), actions.alias("actions"), words(pattern).alias("resources"),
+            field.alias("field"), operator.alias("operator"), value.alias("value"),
+        )
+
+    offered = F.array(
+        F.when(key % 3 < 2, rule("allow", words("click", "view"), "dataset/*")),
+        F.when(key % 2 == 0, rule("deny", words("*"), "dataset/1*")),
+        F.when(key % 5 == 0, rule("allow", words("purchase"), "*", F.lit("day"), F.lit("matches"), F.lit("^2024-01-0"))),
+        F.when(key % 7 == 0, rule("deny", words("error"), "*", F.lit("subject"), F.lit("contains"), F.lit("-1"))),
+    )
+    return table(spark, sf_dir, "supplier").select(key.alias("policy_id"), F.explode(F.array_compact(offered)).alias("r")).select("policy_id", "r.*")
+
+
 @query(
     "access_decisions_with_rules",
     f"""
@@ -147,23 +167,7 @@ def access_decisions(spark, sf_dir):
     """,
 )
 def access_decisions_with_rules(spark, sf_dir):
-    key = F.col("s_suppkey")
-    words = lambda *w: F.array(*[F.lit(x) for x in w])
-    none = F.lit(None).cast("string")
-
-    def rule(effect, actions, pattern, field=none, operator=none, value=none):
-        return F.struct(
-            F.lit(effect).alias("effect"), actions.alias("actions"), words(pattern).alias("resources"),
-            field.alias("field"), operator.alias("operator"), value.alias("value"),
-        )
-
-    offered = F.array(
-        F.when(key % 3 < 2, rule("allow", words("click", "view"), "dataset/*")),
-        F.when(key % 2 == 0, rule("deny", words("*"), "dataset/1*")),
-        F.when(key % 5 == 0, rule("allow", words("purchase"), "*", F.lit("day"), F.lit("matches"), F.lit("^2024-01-0"))),
-        F.when(key % 7 == 0, rule("deny", words("error"), "*", F.lit("subject"), F.lit("contains"), F.lit("-1"))),
-    )
-    rules = table(spark, sf_dir, "supplier").select(key.alias("policy_id"), F.explode(F.array_compact(offered)).alias("r")).select("policy_id", "r.*")
+    rules = access_rules(spark, sf_dir)
     return governance.access_decisions(requests(spark, sf_dir), policies(spark, sf_dir), rules)
 
 
