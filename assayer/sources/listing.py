@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Iterator
 from functools import reduce
+from urllib.parse import quote
 
+import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.orc as orc
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +21,8 @@ from assayer.sources.readers import SPARK_FORMAT, load
 from assayer.specs import SourceSpec
 
 COUNTED_FORMATS = ("parquet", "orc", "csv", "json", "jsonl")
+#: Formats whose files state their rows at their end.
+FOOTED = ("parquet", "orc")
 
 
 def _files(spark: SparkSession, path: str, recursive: bool, pattern: str) -> DataFrame:
@@ -26,10 +35,10 @@ def _files(spark: SparkSession, path: str, recursive: bool, pattern: str) -> Dat
 
 
 def list_files(spark: SparkSession, path: str, recursive: bool = True, pattern: str = "*", checksum: bool = False) -> DataFrame:
-    """Files under a path with name, size, format and modification time.
+    """Files under a path with name, size, format and modification time. Files of no bytes are not listed.
 
-    File contents are not read, unless a checksum is asked for: each file then has to fit
-    into one binary value (2 GB).
+    File contents are not read, unless a checksum is asked for: files are then streamed by the tasks that
+    list them, a piece at a time, whatever their size.
     """
     files = _files(spark, path, recursive, pattern)
     columns = [
@@ -39,9 +48,48 @@ def list_files(spark: SparkSession, path: str, recursive: bool = True, pattern:
         file_format(F.col("path")).alias("format"),
         F.col("modificationTime").alias("last_modified"),
     ]
-    if checksum:
-        columns.append(F.sha2("content", 256).alias("checksum"))
-    return files.select(*columns)
+    listed = files.select(*columns)
+    if not checksum:
+        return listed
+    fields = f"{_ddl(listed)}, checksum string"
+    return listed.mapInArrow(lambda batches: _with_column(batches, _digest, "checksum", pa.string()), fields)
+
+
+#: Bytes of a file that are in memory at once while it is digested.
+PIECE_BYTES = 4 << 20
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def _opened(path: str) -> pa.NativeFile:
+    """A file of any file system that pyarrow knows, by the path Spark gives it."""
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem().open_input_file("/" + path.removeprefix("file:").lstrip("/"))
+    files, inner = pafs.FileSystem.from_uri(quote(path, safe=":/@"))
+    return files.open_input_file(inner)
+
+
+def _digest(path: str, _: str) -> str:
+    digest = hashlib.sha256()
+    with _opened(path) as file:
+        while piece := file.read(PIECE_BYTES):
+            digest.update(piece)
+    return digest.hexdigest()
+
+
+def _footer_rows(path: str, kind: str) -> int:
+    """Rows of a Parquet or ORC file, from its footer."""
+    with _opened(path) as file:
+        return pq.ParquetFile(file).metadata.num_rows if kind == "parquet" else orc.ORCFile(file).nrows
+
+
+def _with_column(batches: Iterator[pa.RecordBatch], of_file: Callable[[str, str], object], name: str, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        paths, formats = batch.column("path").to_pylist(), batch.column("format").to_pylist()
+        values = pa.array([of_file(p, f) for p, f in zip(paths, formats, strict=True)], kind)
+        yield pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, name])
 
 
 def _any_case(extension: str) -> str:
@@ -55,15 +103,22 @@ def row_counts(
     formats: tuple[str, ...] = COUNTED_FORMATS,
     csv_multiline: bool = False,
 ) -> DataFrame:
-    """Rows of every readable file under a path: one job for all files and formats.
+    """Rows of every readable file under a path.
 
-    No data columns are read. Files without rows are reported with 0. CSV files are split
-    by lines over many tasks; ``csv_multiline`` reads each in one task instead, which files
-    with line breaks inside quotes need.
+    The listing is taken once. Parquet and ORC files are not read: the tasks that list them open their
+    footers. Text formats are read without their data columns; files without rows are reported with 0.
+    CSV files are split by lines over many tasks; ``csv_multiline`` reads each in one task instead,
+    which files with line breaks inside quotes need.
     """
+    listing = list_files(spark, path, recursive).where(F.col("format").isin(*formats)).select("path", "name", "format")
+    by_footer = listing.where(F.col("format").isin(*FOOTED)).mapInArrow(
+        lambda batches: _with_column(batches, _footer_rows, "row_count", pa.int64()), f"{_ddl(listing)}, row_count bigint"
+    )
+    texts = listing.where(~F.col("format").isin(*FOOTED))
+    present = {r.format for r in texts.select("format").distinct().collect()}  # a handful of formats at most
     parts = []
     for extension, kind in FILE_FORMATS.items():
-        if kind not in formats or _files(spark, path, recursive, _any_case(extension)).isEmpty():
+        if kind not in present:
             continue
         reader = (
             spark.read.format(SPARK_FORMAT.get(kind, kind))
@@ -79,15 +134,15 @@ def row_counts(
             reader = reader.schema("first string")
         rows = reader.load(path)
         parts.append(rows.groupBy(F.col("_metadata.file_path").alias("path")).agg(count_rows().alias("n")))
-    listing = list_files(spark, path, recursive).where(F.col("format").isin(*formats))
     if not parts:
-        return listing.select("path", "name", "format", F.lit(None).cast("bigint").alias("row_count"))
+        return by_footer
     counts = reduce(DataFrame.union, parts)
-    return (
-        listing.withColumn("_key", _comparable("path"))
+    counted = (
+        texts.withColumn("_key", _comparable("path"))
         .join(counts.select(_comparable("path").alias("_key"), "n"), "_key", "left")
         .select("path", "name", "format", zero_if_null(F.col("n")).alias("row_count"))
     )
+    return by_footer.unionByName(counted)
 
 
 def _comparable(column: str):
@@ -116,3 +171,9 @@ def partition_columns(files: DataFrame) -> DataFrame:
         F.substring_index("p", "=", 1).alias("partition_column"), F.substring_index("p", "=", -1).alias("value")
     )
     return split.distinct().groupBy("partition_column").agg(count_rows().alias("value_count"))
+
+
+def partition_values(files: DataFrame, column: str) -> list[str]:
+    """The values of one partition column of a listing, in order: as many as the column has folders."""
+    value = F.regexp_extract("path", rf"/{column}=([^/]+)/", 1)
+    return [r.v for r in files.select(value.alias("v")).where("v <> ''").distinct().orderBy("v").collect()]

@@ -158,3 +158,33 @@ def test_catalog_queries_can_name_a_schema():
     assert "`d`.INFORMATION_SCHEMA.COLUMNS" in readers.columns_query(SourceSpec("s", "bigquery", database="d"), "t")
     with pytest.raises(SpecError):
         readers.tables_query(SourceSpec("s", "bigquery"))
+
+
+def test_digests_and_footer_counts_of_odd_files(spark, tmp_path):
+    """Files longer than a piece, empty ones, odd names, row counts that need no data."""
+    import hashlib
+
+    import pyarrow as pa
+    import pyarrow.orc as orc
+    import pyarrow.parquet as pq
+
+    from assayer.sources import listing
+
+    bodies = {"long.bin": b"abc" * (listing.PIECE_BYTES // 2), "empty.bin": b"", "a b%41 é.txt": b"x"}
+    for name, body in bodies.items():
+        (tmp_path / name).write_bytes(body)
+    got = {r.name: r.checksum for r in listing.list_files(spark, str(tmp_path), checksum=True).collect()}
+    assert got == {name: hashlib.sha256(body).hexdigest() for name, body in bodies.items() if body}
+
+    data = tmp_path / "data"
+    data.mkdir()
+    table = pa.table({"x": list(range(1000))})
+    pq.write_table(table, data / "p 1%20.parquet", row_group_size=100)
+    pq.write_table(table.slice(0, 0), data / "none.PARQUET")
+    orc.write_table(table.slice(0, 7), data / "o.orc")
+    (data / "c.csv").write_text("x\n1\n2\n")
+    (data / "j.jsonl").write_text('{"a": 1}')
+    counts = listing.row_counts(spark, str(data))
+    assert {r.name: r.row_count for r in counts.collect()} == {"p 1%20.parquet": 1000, "none.PARQUET": 0, "o.orc": 7, "c.csv": 2, "j.jsonl": 1}
+    only = listing.row_counts(spark, str(data), formats=("parquet",))
+    assert only.count() == 2 and "Scan parquet" not in plan_of(only) and "Scan binaryFile" in plan_of(only)

@@ -94,6 +94,31 @@ def file_details(spark, sf_dir):
     return files.select("name", "format", F.length("checksum").alias("checksum_length"), (F.col("size") > 0).alias("has_bytes"))
 
 
+@query(
+    "file_digests",
+    """SELECT c_nationkey AS nation, sha256(string_agg(c_name || chr(10), '' ORDER BY c_custkey)) AS checksum, SUM(length(c_name) + 1)::BIGINT AS size
+       FROM customer GROUP BY 1""",
+)
+def file_digests(spark, sf_dir):
+    """Digests of files whose content is known: the customers of each nation, a line each."""
+    root = run_dir(spark, "file_digests")
+    names = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", "c_name").repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey")
+    names.select("c_nationkey", "c_name").write.partitionBy("c_nationkey").text(root)
+    files = listing.list_files(spark, root, checksum=True).where("name like 'part-%'")
+    return files.select(F.regexp_extract("path", "c_nationkey=([0-9]+)", 1).cast("int").alias("nation"), "checksum", "size")
+
+
+@query("file_orc_counts", "SELECT o_orderstatus AS status, COUNT(*) AS row_count FROM orders GROUP BY 1 UNION ALL SELECT 'csv', COUNT(*) FROM customer")
+def file_orc_counts(spark, sf_dir):
+    """Rows by folder of ORC files, from their footers, and of CSV files beside them."""
+    root = run_dir(spark, "file_orc_counts")
+    table(spark, sf_dir, "orders").write.partitionBy("o_orderstatus").orc(f"{root}/orders")
+    table(spark, sf_dir, "customer").write.option("header", "true").csv(f"{root}/customers")
+    counts = listing.row_counts(spark, root)
+    status = F.when(F.col("format") == "csv", "csv").otherwise(F.regexp_extract("path", "o_orderstatus=([A-Z])", 1))
+    return counts.groupBy(status.alias("status")).agg(F.sum("row_count").alias("row_count"))
+
+
 @query("file_statistics", "SELECT 'parquet' AS format, CAST(SUM(row_count) AS BIGINT) AS row_count, COUNT(*) AS file_count FROM (" + FILES_SQL + ")")
 def file_statistics(spark, sf_dir):
     files, counts = listing.list_files(spark, sf_dir), listing.row_counts(spark, sf_dir)
@@ -153,12 +178,6 @@ _on_listing(
     spec("v", "volume", "files", expected_volume=len(TABLES)),
     "SELECT COUNT(*) AS row_count, 0::DOUBLE AS deviation_percentage, 'passed' AS status FROM (" + FILES_SQL + ")",
 )
-_on_listing(
-    "files_freshness",
-    spec("f", "freshness", "files", timestamp_column="last_modified", max_age_hours=1e7),
-    "SELECT TRUE AS has_time, TRUE AS not_future, 'passed' AS status",
-    lambda: [F.col("latest_timestamp").isNotNull().alias("has_time"), (F.col("age_hours") >= 0).alias("not_future"), "status"],
-)
 _on_listing(
     "files_size_range",
     spec("s", "range", "files", "size", expected_min=1.0, expected_max=1e15),
@@ -167,6 +186,28 @@ _on_listing(
 )
 
 
+@query(
+    "files_freshness",
+    """
+    WITH m AS (SELECT event_type, MAX(ts) AS t FROM events GROUP BY 1),
+    a AS (SELECT event_type, t, CAST(date_diff('microsecond', t, TIMESTAMP '2024-01-31 12:00:00') AS DOUBLE) / 3.6e9 AS h FROM m)
+    SELECT event_type AS folder, t AS latest_timestamp, h AS age_hours, CASE WHEN h > 24 THEN 'failed' ELSE 'passed' END AS status FROM a
+    """,
+)
+def files_freshness(spark, sf_dir):
+    """Age of the newest row of every folder of a file tree at a fixed time, at most a day."""
+    root = run_dir(spark, "files_freshness")
+    table(spark, sf_dir, "events").withColumn("folder", F.col("event_type")).write.partitionBy("folder").parquet(root)
+    fresh = spec("f", "freshness", "files", timestamp_column="ts", as_of="2024-01-31 12:00:00", max_age_hours=24.0)
+    folders = listing.partition_values(listing.list_files(spark, root), "folder")
+    out = None
+    for folder in folders:
+        files = load(spark, SourceSpec("copy", "local", path=root, format="parquet")).where(F.col("folder") == folder)
+        row = measure(fresh, files, Catalog(spark, {"files": files}).context()).withColumn("folder", F.lit(folder))
+        out = row if out is None else out.union(row)
+    return out.select("folder", "latest_timestamp", "age_hours", "status")
+
+
 @query("sink_results", """
     SELECT 'rows' AS check_id, 'passed' AS status, CAST(COUNT(*) AS DOUBLE) AS actual_value, '01' AS run_id FROM orders
     UNION ALL SELECT 'prices', 'passed', MIN(o_totalprice), '01' FROM orders
