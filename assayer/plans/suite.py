@@ -15,7 +15,8 @@ from assayer.operators.checks import Verdict, check_type, status_of
 from assayer.plans.catalog import Catalog
 from assayer.plans.shared import shared_views
 from assayer.session import removed, run_dir
-from assayer.sources.sinks import read_results, write_results
+from assayer.sources import history
+from assayer.sources.sinks import write_results
 from assayer.specs import CheckSpec, SpecError
 
 # Checks per aggregate. Wider ones outgrow what the JVM compiles well: 64 checks over 12 million
@@ -223,7 +224,17 @@ def execute(
     replaces its rows. Views that several parts of the suite read are computed once.
     """
     store(specs, catalog, path, run_id, executed_at)
-    return read_results(catalog.spark, path, _result_schema(), run_id)
+    return results(catalog.spark, path, run_id).drop("run_date")
+
+
+def results(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
+    """The kept results under ``path``, of all runs or one, folded or not; ``run_date`` prunes."""
+    return history.read_history(spark, path, _kept_schema(), run_id)
+
+
+def compact_results(spark: SparkSession, path: str, fold: int = history.FOLD, merge: int = history.MERGE) -> bool:
+    """Fold the small files of runs under ``path`` once there are ``fold`` runs; see ``sources.history``."""
+    return history.compact(spark, path, _kept_schema(), fold, merge)
 
 
 def store(specs: Iterable[CheckSpec], catalog: Catalog, path: str, run_id: str, executed_at: str | None = None) -> None:
@@ -243,6 +254,10 @@ def _result_schema() -> str:
     return ", ".join(f"{n} {t}" for n, t in RESULT_FIELDS.items())
 
 
+def _kept_schema() -> str:
+    return ", ".join(f"{n} {t}" for n, t in RESULT_FIELDS.items() if n != "stored")
+
+
 def _stored(specs: list[CheckSpec], catalog: Catalog, executed_at: str | None, stage: str) -> None:
     """Append the results of the checks to the stage, halving them where the job breaks."""
     part = run_dir(catalog.spark, "part")

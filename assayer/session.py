@@ -74,6 +74,12 @@ def removed(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its file system, the cluster's own one where it names none."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()
+
+
 def finished(spark: SparkSession, path: str) -> list[str]:
     """Names of the folders under a folder that a writer has completed; none where there is no folder yet."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 from functools import reduce
 from urllib.parse import quote
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from assayer.functions.expressions import count_rows, zero_if_null
 from assayer.functions.formats import FILE_FORMATS, file_format
 from assayer.plans.catalog import describe
+from assayer.session import qualified, run_dir
 from assayer.sources.readers import SPARK_FORMAT, load
 from assayer.specs import SourceSpec
 
@@ -55,6 +57,51 @@ def list_files(spark: SparkSession, path: str, recursive: bool = True, pattern:
     return listed.mapInArrow(lambda batches: _with_column(batches, _digest, "checksum", pa.string()), fields)
 
 
+#: Folders one task lists at most, and at least where there are enough of them.
+FOLDERS_PER_TASK = 64
+_WALKED = "path string, folder boolean, size bigint, last_modified timestamp"
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Files and folders that lie directly in the folders of the batches; hidden names are left out."""
+    for batch in batches:
+        for path in batch.column(0).to_pylist():
+            files, inner, prefix = _file_system(path)
+            found = files.get_file_info(pafs.FileSelector(inner, recursive=False))
+            rows = [f for f in found if f.base_name[:1] not in ("_", ".") and (f.type == pafs.FileType.Directory or f.size)]
+            times = pa.array([f.mtime_ns // 1000 if f.mtime_ns else None for f in rows], pa.int64()).cast(pa.timestamp("us", "UTC"))
+            columns = [
+                pa.array([prefix + f.path for f in rows], pa.string()),
+                pa.array([f.type == pafs.FileType.Directory for f in rows], pa.bool_()),
+                pa.array([f.size for f in rows], pa.int64()),
+                times,
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["path", "folder", "size", "last_modified"])
+
+
+def walk_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """``list_files`` of a tree with too many files for the driver: folders are listed by the tasks.
+
+    The tree is walked level by level. The folders of a level are dealt over tasks, what lies in them is
+    written to the shared folder, and those of it that are folders are the next level; the driver only
+    learns how many there are. One folder is one task's work, and a level at a time is in memory nowhere.
+    Hidden names (with ``_`` or ``.`` in front) and files of no bytes are left out, as by ``list_files``. A
+    path that does not exist raises. The walk is kept, so it is as of one time; remove it with the run.
+    """
+    out = run_dir(spark, "walk")
+    level = spark.createDataFrame([(qualified(spark, path),)], "path string")
+    count, depth = 1, 0
+    while count:
+        tasks = -(-count // FOLDERS_PER_TASK)
+        level.repartition(tasks).mapInArrow(_entries, _WALKED).write.parquet(f"{out}/depth={depth}")
+        level = spark.read.schema(_WALKED).parquet(f"{out}/depth={depth}").where("folder").select("path")
+        count, depth = level.count(), depth + 1
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    wanted = "^" + "".join({"*": "[^/]*", "?": "[^/]"}.get(c, re.escape(c)) for c in pattern) + "$"
+    files = spark.read.schema(_WALKED).parquet(out).where("not folder").where(name.rlike(wanted))
+    return files.select("path", name.alias("name"), "size", file_format(F.col("path")).alias("format"), "last_modified")
+
+
 #: Bytes of a file that are in memory at once while it is digested.
 PIECE_BYTES = 4 << 20
 
@@ -63,11 +110,17 @@ def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
+def _file_system(path: str) -> tuple[pafs.FileSystem, str, str]:
+    """The file system of a path as Spark gives it, the path in there, and what stands before it."""
+    if path.startswith("file:") or "://" not in path:
+        return pafs.LocalFileSystem(), "/" + path.removeprefix("file:").strip("/"), "file:"
+    files, inner = pafs.FileSystem.from_uri(quote(path.rstrip("/"), safe=":/@"))
+    return files, inner, path.rstrip("/").removesuffix(inner)
+
+
 def _opened(path: str) -> pa.NativeFile:
     """A file of any file system that pyarrow knows, by the path Spark gives it."""
-    if path.startswith("file:"):
-        return pafs.LocalFileSystem().open_input_file("/" + path.removeprefix("file:").lstrip("/"))
-    files, inner = pafs.FileSystem.from_uri(quote(path, safe=":/@"))
+    files, inner, _ = _file_system(path)
     return files.open_input_file(inner)
 
 
@@ -102,15 +155,16 @@ def row_counts(
     recursive: bool = True,
     formats: tuple[str, ...] = COUNTED_FORMATS,
     csv_multiline: bool = False,
+    files: DataFrame | None = None,
 ) -> DataFrame:
     """Rows of every readable file under a path.
 
-    The listing is taken once. Parquet and ORC files are not read: the tasks that list them open their
+    The listing is taken once, or given as ``files`` (see ``walk_files``). Parquet and ORC files are not read: the tasks that list them open their
     footers. Text formats are read without their data columns; files without rows are reported with 0.
     CSV files are split by lines over many tasks; ``csv_multiline`` reads each in one task instead,
     which files with line breaks inside quotes need.
     """
-    listing = list_files(spark, path, recursive).where(F.col("format").isin(*formats)).select("path", "name", "format")
+    listing = (list_files(spark, path, recursive) if files is None else files).where(F.col("format").isin(*formats)).select("path", "name", "format")
     by_footer = listing.where(F.col("format").isin(*FOOTED)).mapInArrow(
         lambda batches: _with_column(batches, _footer_rows, "row_count", pa.int64()), f"{_ddl(listing)}, row_count bigint"
     )
@@ -133,7 +187,9 @@ def row_counts(
         elif kind == "jsonl":
             reader = reader.schema("first string")
         rows = reader.load(path)
-        parts.append(rows.groupBy(F.col("_metadata.file_path").alias("path")).agg(count_rows().alias("n")))
+        # The metadata gives the path as a URI, in which a plus is a plus.
+        path_of = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+        parts.append(rows.groupBy(path_of.alias("path")).agg(count_rows().alias("n")))
     if not parts:
         return by_footer
     counts = reduce(DataFrame.union, parts)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -23,26 +25,22 @@ def replace_partitions(df: DataFrame, path: str, partition_by: list[str]) -> Non
     )
 
 
+#: What Spark escapes in the values of partition folders.
+_ESCAPED = re.compile(r"""[\x00-\x1f\x7f"#%'*/:=?\\{\[\]^]""")
+
+
+def run_folder(path: str, run_id: str) -> str:
+    return f"{path}/run_id=" + _ESCAPED.sub(lambda m: f"%{ord(m[0]):02X}", run_id)
+
+
 def write_results(results: DataFrame, path: str, run_id: str, started: float) -> None:
     """Write the rows of one run, without skipped checks, in place of an earlier try of the run.
 
-    Results are a handful of rows, so they are written as one file per run.
+    Results are a handful of rows, so they are written as one file per run, which ``history.compact`` folds
+    with those of other runs. The folder is complete once it has its ``_SUCCESS``.
     """
-    table = (
-        results.where("stored")
-        .drop("stored")
-        .withColumn("started_at", F.lit(started).cast("timestamp"))
-        .withColumn("run_id", F.lit(run_id))
-        .coalesce(1)
-    )
-    replace_partitions(table, path, ["run_id"])
-
-
-def read_results(spark: SparkSession, path: str, fields: str, run_id: str | None = None) -> DataFrame:
-    """Stored results with their types stated, so that a run id like 01 stays the text it is."""
-    kept = ", ".join(f for f in fields.split(", ") if not f.startswith("stored "))
-    rows = spark.read.schema(f"{kept}, started_at timestamp, run_id string").parquet(path)
-    return rows if run_id is None else rows.where(F.col("run_id") == run_id)
+    table = results.where("stored").drop("stored").withColumn("started_at", F.lit(started).cast("timestamp"))
+    table.coalesce(1).write.mode("overwrite").parquet(run_folder(path, run_id))
 
 
 def write_dated(df: DataFrame, path: str, time_column: str, tenant_column: str | None = None) -> None:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from assayer.plans.catalog import Catalog
-from assayer.plans.suite import store
+from assayer.plans.suite import compact_results, store
+from assayer.sources.history import FOLD
 from assayer.specs import CheckSpec
 
 
@@ -21,11 +22,13 @@ def run_on_stream(
     checkpoint: str,
     trigger: dict | None = None,
     executed_at: str | None = None,
+    fold: int = FOLD,
 ) -> StreamingQuery:
     """Check each micro-batch as if it were ``table`` and append the results under ``path``.
 
     The batch id is the run id, and a repeated batch replaces its rows, so a restart does
-    not count a batch twice. Reference tables still come from the catalog.
+    not count a batch twice. Reference tables still come from the catalog. After ``fold`` batches their
+    files become one (0: never); ``plans.suite.results`` reads both.
     """
     specs = list(specs)
 
@@ -38,6 +41,8 @@ def run_on_stream(
             store(specs, local, path, f"batch-{batch_id}", executed_at)
         finally:
             batch.unpersist()
+        if fold:
+            compact_results(batch.sparkSession, path, fold)
 
     return (
         stream.writeStream.foreachBatch(check)

@@ -282,3 +282,31 @@ def access_batch_check(spark, sf_dir):
 )
 def access_list_objects(spark, sf_dir):
     return access.list_objects(tuples(spark, sf_dir), "u7", "viewer", "workflow")
+
+
+SETS_SQL = """SELECT "user", object_type, object_id, list_sort(list(relation)) AS relations FROM ({}) GROUP BY 1, 2, 3"""
+
+
+@query(
+    "access_sets_of_users",
+    SETS_SQL.format(f"""SELECT * FROM ({EFFECTIVE_SQL}) WHERE "user" IN (SELECT 'u' || s_suppkey FROM supplier)"""),
+)
+def access_sets_of_users(spark, sf_dir):
+    """What every supplier's user holds, on any object."""
+    users = table(spark, sf_dir, "supplier").select(F.concat(F.lit("u"), "s_suppkey").alias("user"))
+    return access.permission_sets(tuples(spark, sf_dir), users=users)
+
+
+@query(
+    "access_sets_of_objects",
+    SETS_SQL.format(
+        f"""SELECT * FROM ({EFFECTIVE_SQL}) e WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderpriority = '1-URGENT'
+            AND object_id = CAST(o_orderkey AS VARCHAR) AND object_type = ['policy', 'workflow', 'lineage'][o_orderkey % 3 + 1])"""
+    ),
+)
+def access_sets_of_objects(spark, sf_dir):
+    """Who holds what on the objects of urgent orders."""
+    kind = F.get(F.array(F.lit("policy"), F.lit("workflow"), F.lit("lineage")), (F.col("o_orderkey") % 3).cast("int"))
+    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
+    objects = urgent.select(kind.alias("object_type"), F.col("o_orderkey").cast("string").alias("object_id"))
+    return access.permission_sets(tuples(spark, sf_dir), objects=objects)

@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 from assayer.functions.expressions import utc_instant
 from assayer.operators import alerts, executions, results
 from assayer.operators.skew import top_k
+from assayer.session import run_dir
+from assayer.sources import history, sinks
 from workload.base import query, table
 
 # --------------------------------------------------------------------------- derived tables
@@ -419,3 +421,33 @@ def result_history_full(spark, sf_dir):
     rows = check_results(spark, sf_dir).withColumn("details", F.create_map(F.lit("status"), F.col("status")))
     kept = top_k(rows, ["status"], [F.col("executed_at").desc(), F.col("result_id").desc()], 1500)
     return kept.select("check_id", "executed_at", "result_id", F.col("details")["status"].alias("status"))
+
+
+# --------------------------------------------------------------------------- the result table over many runs
+
+
+@query(
+    "result_table_folded",
+    f"""SELECT check_id, status, DATE '1970-01-01' + CAST(date_diff('day', DATE '1970-01-01', executed_at::DATE) // 3 * 3 AS INTEGER) AS run_date,
+               COUNT(*) AS results, MAX(executed_at) AS last_run_at
+        FROM ({RESULTS_SQL}) GROUP BY 1, 2, 3""",
+)
+def result_table_folded(spark, sf_dir):
+    """A run for every three days of results, its small files folded on the way. Every fourth run is first written
+    with other statuses and repeated three runs later, when its first try has been folded."""
+    path, fields = run_dir(spark, "result_table_folded"), "check_id string, status string, executed_at timestamp_ntz"
+    found = check_results(spark, sf_dir).select("check_id", "status", "executed_at", F.lit(True).alias("stored"))
+    part = F.floor(F.unix_date(F.to_date("executed_at")) / 3) * 3
+    first, last = found.agg(F.min(part), F.max(part)).first()
+
+    def write(start, **other):
+        sinks.write_results(found.where(part == start).withColumns(other), path, f"from-{start}", start * 86400.0)
+
+    for number, start in enumerate(range(first, last + 3, 3)):
+        repeated = number % 4 == 0 and start + 9 <= last
+        write(start, **({"status": F.lit("unknown")} if repeated else {}))
+        if number % 4 == 3:
+            write(start - 9)
+        history.compact(spark, path, fields, fold=2, merge=2)
+    kept = history.read_history(spark, path, fields)
+    return kept.groupBy("check_id", "status", "run_date").agg(F.count(F.lit(1)).alias("results"), F.max("executed_at").alias("last_run_at"))

@@ -85,6 +85,24 @@ def file_listing(spark, sf_dir):
     return listing.list_files(spark, sf_dir).select("name", "format", (F.col("size") > 0).alias("has_bytes"))
 
 
+@query(
+    "file_walk",
+    """SELECT 'l_returnflag=' || l_returnflag || '/l_linestatus=' || l_linestatus AS folder, COUNT(*) AS row_count, TRUE AS listed_alike
+       FROM lineitem GROUP BY 1""",
+)
+def file_walk(spark, sf_dir):
+    """A tree of folders listed by the tasks, its rows counted from footers, compared with the driver's listing."""
+    root = run_dir(spark, "file_walk")
+    sinks.replace_partitions(table(spark, sf_dir, "lineitem"), root, ["l_returnflag", "l_linestatus"])
+    walked = listing.walk_files(spark, root, "*.parquet")
+    counts = listing.row_counts(spark, root, files=walked).select("path", "row_count")
+    same = listing.list_files(spark, root).select("path", F.struct("name", "size", "format").alias("other"))
+    joined = walked.select("path", F.struct("name", "size", "format").alias("own")).join(same, "path", "full").join(counts, "path", "left")
+    folder = F.regexp_extract("path", "(l_returnflag=.*)/[^/]+$", 1)
+    alike = F.coalesce(F.bool_and(F.col("own").eqNullSafe(F.col("other"))), F.lit(False))
+    return joined.groupBy(folder.alias("folder")).agg(F.sum("row_count").alias("row_count"), alike.alias("listed_alike"))
+
+
 @query(
     "file_details",
     " UNION ALL ".join(f"SELECT '{t}.parquet' AS name, 'parquet' AS format, 64 AS checksum_length, TRUE AS has_bytes" for t in TABLES),

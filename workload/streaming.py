@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from assayer.functions.expressions import as_instant, utc_instant
 from assayer.operators import workflow
+from assayer.plans import suite
 from assayer.session import run_dir
 from assayer.streaming import microbatch, replay, windows
 from workload.base import Threshold, catalog, query, spec, table
@@ -69,8 +70,8 @@ def stream_suite(spark, sf_dir):
         spec("users", "referential_integrity", "events", "user_id", reference_table="customer", reference_column="c_custkey"),
         spec("ids", "uniqueness", "events", "event_id"),
     ]
-    in_batches(spark, sf_dir, lambda events: microbatch.run_on_stream(events, "events", specs, catalog(spark, sf_dir), out, state))
-    return spark.read.parquet(out).select("check_id", "status", "actual_value")
+    in_batches(spark, sf_dir, lambda events: microbatch.run_on_stream(events, "events", specs, catalog(spark, sf_dir), out, state, fold=2))
+    return suite.results(spark, out).select("check_id", "status", "actual_value")
 
 
 def _windowed(spark, sf_dir, name: str, slide: str | None, lateness: str):
