@@ -72,18 +72,40 @@ def _strength(children: DataFrame, rate: float) -> float:
     return 1 / min(MOST_RHO, max(LEAST_RHO, rho)) - 1
 
 
-def reputations(pages: DataFrame, limit: float = LIMIT, sigmas: float = SIGMAS) -> DataFrame:
-    """Hosts with (n, bad, rate, low, verdict) from pages (host, bad), where bad is NULL if the page has no label."""
+def _placed(hosts: DataFrame, suffixes: DataFrame | None) -> DataFrame:
+    """Hosts with their registered domain and suffix.
+
+    Without a table of suffixes these are the last two labels and the last one. With one (a column ``suffix``,
+    such as co.uk), the suffix is the longest of the table that the host ends in, else the last label, and the
+    domain has one label more; a port is left aside. Every ending of a host is looked up by an equal join.
+    """
+    if suffixes is None:
+        return hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+    names = hosts.select("host", F.regexp_replace("host", ":[0-9]*$", "").alias("name"))
+    endings = names.select("host", "name", F.explode(F.sequence(F.lit(1), F.size(F.split("name", "[.]")))).alias("labels"))
+    known = suffixes.select(F.translate("suffix", UPPER, LOWER).alias("ending")).distinct()
+    found = endings.withColumn("ending", F.expr("substring_index(name, '.', -labels)")).join(known, "ending")
+    longest = found.groupBy("host").agg(F.max("labels").alias("labels"))
+    placed = names.join(longest, "host", "left").withColumn("labels", F.coalesce("labels", F.lit(1)))
+    ending = lambda more: F.expr(f"substring_index(name, '.', -(labels + {more}))")
+    return hosts.join(placed.select("host", ending(1).alias("domain"), ending(0).alias("suffix")), "host")
+
+
+def reputations(pages: DataFrame, limit: float = LIMIT, sigmas: float = SIGMAS, suffixes: DataFrame | None = None) -> DataFrame:
+    """Hosts with (n, bad, rate, low, verdict) from pages (host, bad), where bad is NULL if the page has no label.
+
+    ``suffixes`` is an optional table of public suffixes; see ``_placed``.
+    """
     counted = F.sum(F.when(F.col("bad").isNotNull(), 1).otherwise(0)).alias("n")
     hosts = kept(pages.groupBy("host").agg(counted, F.sum(F.coalesce(F.col("bad").cast("bigint"), F.lit(0))).alias("bad")), "hosts")
-    hosts = hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+    hosts = _placed(hosts, suffixes)
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    tops = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     total = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).first()
     rate = (total["bad"] + 1.0) / (total["n"] + 2.0)
-    ks, kd, kh = (_strength(level, rate) for level in (suffixes, domains, hosts))
-    suffixes = suffixes.select("suffix", ((F.col("bad") + F.lit(ks) * rate) / (F.col("n") + F.lit(ks))).alias("suffix_rate"))
-    domains = domains.join(suffixes, "suffix").select("domain", ((F.col("bad") + F.lit(kd) * F.col("suffix_rate")) / (F.col("n") + F.lit(kd))).alias("domain_rate"))
+    ks, kd, kh = (_strength(level, rate) for level in (tops, domains, hosts))
+    tops = tops.select("suffix", ((F.col("bad") + F.lit(ks) * rate) / (F.col("n") + F.lit(ks))).alias("suffix_rate"))
+    domains = domains.join(tops, "suffix").select("domain", ((F.col("bad") + F.lit(kd) * F.col("suffix_rate")) / (F.col("n") + F.lit(kd))).alias("domain_rate"))
     alpha = F.col("bad") + F.lit(kh) * F.col("domain_rate")
     both = F.col("n") + F.lit(kh)
     mean = alpha / both
@@ -92,11 +114,11 @@ def reputations(pages: DataFrame, limit: float = LIMIT, sigmas: float = SIGMAS)
     return kept(judged.withColumn("verdict", F.when(F.col("low") > limit, "block").otherwise("allow")), "reputations")
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[UrlRule] = RULES, limit: float = LIMIT, sigmas: float = SIGMAS) -> DataFrame:
-    """Pages (page_id, url) with host, path, rule and verdict; outcomes are (page_id, bad)."""
+def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[UrlRule] = RULES, limit: float = LIMIT, sigmas: float = SIGMAS, suffixes: DataFrame | None = None) -> DataFrame:
+    """Pages (page_id, url) with host, path, rule and verdict; outcomes are (page_id, bad); ``suffixes`` as for ``reputations``."""
     parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     known = outcomes.where("page_id is not null").groupBy(F.col("page_id").alias("_page_id")).agg(F.max(F.col("bad").cast("int")).alias("bad"))
-    hosts = reputations(parts.join(known, F.col("page_id") == F.col("_page_id"), "left").select("host", "bad"), limit, sigmas)
+    hosts = reputations(parts.join(known, F.col("page_id") == F.col("_page_id"), "left").select("host", "bad"), limit, sigmas, suffixes)
     rule = F.lit(None).cast("string")
     verdict = F.col("_verdict")
     for r in sorted(rules, key=lambda r: len(r.pattern)):

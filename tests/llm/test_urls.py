@@ -66,3 +66,19 @@ def test_without_labels_nobody_is_blocked(spark):
     pages = spark.createDataFrame([("a.org", None), ("b.org", None), ("", None)], "host string, bad int")
     assert {r.verdict for r in urls.reputations(pages).collect()} == {"allow"}
     assert urls.reputations(pages.limit(0)).collect() == []
+
+
+def test_a_table_of_suffixes_tells_sites_apart(spark):
+    """Below co.uk every site has a domain of its own: the bad one's hosts are blocked, the good one's are not."""
+    labelled = [(f"h{i}.bad.co.uk", 1) for i in range(20)] * 4 + [(f"h{i}.good.co.uk:8080", 0) for i in range(20)] * 4
+    fresh = [("new.bad.co.uk", None), ("new.good.co.uk", None), ("co.uk", None), ("x.org", None), ("", None)]
+    pages = spark.createDataFrame(labelled + fresh, "host string, bad int")
+    table = spark.createDataFrame([("CO.UK",), ("uk",), ("uk",), (None,)], "suffix string")
+    placed = {r.host: (r.domain, r.suffix) for r in urls._placed(pages.select("host").distinct(), table).collect()}
+    assert placed["h1.good.co.uk:8080"] == ("good.co.uk", "co.uk") and placed["co.uk"] == ("co.uk", "co.uk")
+    assert placed["x.org"] == ("x.org", "org") and placed[""] == ("", "") and len(placed) == 45
+    told = {r.host: r for r in urls.reputations(pages, suffixes=table).collect()}
+    plain = {r.host: r for r in urls.reputations(pages).collect()}
+    assert told["new.bad.co.uk"].rate > 0.6 > 0.4 > told["new.good.co.uk"].rate
+    assert plain["new.bad.co.uk"].rate == pytest.approx(plain["new.good.co.uk"].rate)
+    assert urls.reputations(pages, suffixes=table.limit(0)).count() == 45
