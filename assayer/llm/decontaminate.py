@@ -3,14 +3,16 @@
 Texts are lower-cased (A-Z) and cut into words. Every window of ``size`` words of a benchmark item, or
 the whole item if it is shorter, is hashed; the windows of every document are hashed the same way by
 doubling (2 words, 4, 8, ...). A bit array of the test hashes passes the few that may hit on to the
-broadcast table, where they are looked up and verified word by word.
+broadcast table, where they are looked up and verified word by word. The table holds windows only; the
+items they come from are joined afterwards, once per distinct set of windows, however many items share one.
 
 The table of windows is counted before it is broadcast. Above ``block`` windows it is dealt into blocks
 of at most about that many by hash, and the documents are scanned once per block, so the size of what is
 broadcast has a fixed bound whatever the benchmark's size.
 
 NULL and empty texts have no words and no windows. Rows equal in id and text are one document and get
-the same answer each. Ids may be NULL. An empty benchmark hits nothing.
+the same answer each. Ids may be NULL; items without id are hit, but not named. An empty benchmark hits
+nothing. Texts of any length are scanned whole. Other columns of any name stay as they are.
 """
 
 from __future__ import annotations
@@ -50,18 +52,19 @@ def _with_hashes(df: DataFrame, tokens: str, sizes: list[int]) -> DataFrame:
     return reduce(need, sizes, df)
 
 
-def benchmark_windows(benchmark: DataFrame, size: int = WINDOW, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """Distinct windows (len, hash, gram, items)."""
+def benchmark_windows(benchmark: DataFrame, size: int = WINDOW, item_id: str = "item_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Two written tables: the distinct windows (window, len, hash, gram), and the items of each as (window, item)."""
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), normal_words(F.col(text)).alias("w")).where(F.size("w") > 0)
     length = F.least(F.size("w"), F.lit(size))
     starts = F.sequence(F.lit(1), F.size("w") - length + 1)
-    grams = items.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, length))).alias("gram"))
-    lists = grams.groupBy("gram").agg(F.collect_set("item").alias("items"))
-    lists = lists.withColumn("len", F.size("gram"))
+    grams = items.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, length))).alias("words"))
+    distinct = grams.select("words").distinct().withColumn("len", F.size("words")).withColumn("window", F.monotonically_increasing_id())
     sizes = list(range(1, size + 1))
-    hashed = _with_hashes(lists, "gram", sizes)
     own = F.coalesce(*[F.when(F.col("len") == n, F.get(F.col(f"h{n}"), F.lit(0))) for n in sizes])
-    return hashed.select("len", own.alias("hash"), F.array_join("gram", " ").alias("gram"), "items")
+    hashed = _with_hashes(distinct, "words", sizes)
+    windows = kept(hashed.select("window", "len", own.alias("hash"), F.array_join("words", " ").alias("gram")), "benchmark-windows")
+    held = grams.where("item is not null").select("item", F.array_join("words", " ").alias("gram")).distinct()
+    return windows, kept(held.join(windows, "gram").select("window", "item"), "benchmark-items")
 
 
 def _bit_test(hashes: list[int]):
@@ -89,36 +92,44 @@ def _candidates(n: int, likely) -> Column:
     return F.transform(some, lambda x: F.struct(x["hash"].alias("hash"), span(x).alias("span"), gram(x).alias("words")))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """Documents with hits: doc_id, print, spans (ascending array of (start, len) in words) and items."""
-    windows = kept(benchmark_windows(benchmark, size), "benchmark-windows")
+def hits(docs: DataFrame, windows: DataFrame, block: int = BLOCK, size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """Two written tables: every row as (doc_id, print, n_words), and the documents with hits as (doc_id, print, spans, windows).
+
+    Spans are an ascending array of (start, len) in words, windows one of the windows' numbers. A block of windows is one
+    pass over the texts, which writes what may hit; the first one also counts the words.
+    """
     blocks = max(1, -(-windows.count() // block))
-    sizes = sorted(r[0] for r in windows.select("len").distinct().collect())  # at most ``size`` numbers
+    sizes = sorted(r[0] for r in windows.select("len").distinct().collect()) or [size]  # at most ``size`` numbers
     tokens = docs.select("doc_id", fingerprint(F.col("text")).alias("print"), normal_words(F.col("text")).alias("w"))
     hashed = _with_hashes(tokens, "w", sizes)
-    found = []
-    for b in range(blocks if sizes else 0):
+    passes, found = [], []
+    for b in range(blocks):
         table = windows.where(F.pmod("hash", F.lit(blocks)) == b)
         likely = _bit_test([r[0] for r in table.select("hash").distinct().collect()])  # one block: about ``block`` numbers at most
-        grams = [_candidates(n, likely) for n in sizes]
-        scanned = hashed.select("doc_id", "print", F.explode(F.concat(*grams)).alias("x")).select("doc_id", "print", "x.*")
+        grams = F.concat(*[_candidates(n, likely) for n in sizes])
+        passes.append(kept(hashed.select("doc_id", "print", F.size("w").cast("bigint").alias("n_words"), grams.alias("grams")), "benchmark-scan"))
+        scanned = passes[-1].select("doc_id", "print", F.explode("grams").alias("x")).select("doc_id", "print", "x.*")
         same = (F.col("hash") == F.col("_hash")) & (F.col("words") == F.col("gram"))
-        table = F.broadcast(table.select(F.col("hash").alias("_hash"), "gram", "items"))
-        found.append(scanned.join(table, same).select("doc_id", "print", "span", "items"))
-    if not found:
-        nothing = "array<struct<start:bigint,len:bigint>>"
-        return docs.select("doc_id", F.lit(0).cast("bigint").alias("print"), F.array().cast(nothing).alias("spans"), F.array().cast("array<string>").alias("items")).limit(0)
-    every = reduce(DataFrame.unionByName, found)
-    grouped = every.groupBy("doc_id", "print").agg(F.sort_array(F.collect_set("span")).alias("spans"), F.collect_set("items").alias("lists"))
-    return grouped.select("doc_id", "print", "spans", F.sort_array(F.array_distinct(F.flatten("lists"))).alias("items"))
+        table = F.broadcast(table.select(F.col("hash").alias("_hash"), "gram", "window"))
+        found.append(scanned.join(table, same).select("doc_id", "print", "span", "window"))
+    ordered = lambda c: F.sort_array(F.collect_set(c))
+    grouped = reduce(DataFrame.unionByName, found).groupBy("doc_id", "print").agg(ordered("span").alias("spans"), ordered("window").alias("windows"))
+    return passes[0].drop("grams"), kept(grouped, "benchmark-hits")
+
+
+def items_of(found: DataFrame, held: DataFrame) -> DataFrame:
+    """The documents with hits, with the items of their windows; those with the same windows share one look-up."""
+    sets = found.select("windows").distinct()
+    named = sets.withColumn("window", F.explode("windows")).join(held, "window").groupBy("windows").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    return found.join(named, "windows", "left")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """Every document row with n_words, n_hit and the items whose windows occur in it."""
-    docs = docs.select("doc_id", "text")
-    found = hits(docs, benchmark, size, block).select(F.col("doc_id").alias("_doc_id"), F.col("print").alias("_print"), covered(F.col("spans"), "len").alias("n_hit"), "items")
-    light = docs.select("doc_id", fingerprint(F.col("text")).alias("print"), F.size(normal_words(F.col("text"))).cast("bigint").alias("n_words"))
-    joined = light.join(found, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("print") == F.col("_print")), "left")
+    windows, held = benchmark_windows(benchmark, size)
+    rows, found = hits(docs.select("doc_id", "text"), windows, block, size)
+    hit = items_of(found, held).select(F.col("doc_id").alias("_doc_id"), F.col("print").alias("_print"), covered(F.col("spans"), "len").alias("n_hit"), "items")
+    joined = rows.join(hit, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("print") == F.col("_print")), "left")
     return joined.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
@@ -127,7 +138,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", size
 
     The text between kept words stays as it is; the characters after a removed word go with it.
     """
-    found = hits(docs.select("doc_id", "text"), benchmark, size, block)
+    _, found = hits(docs.select("doc_id", "text"), benchmark_windows(benchmark, size)[0], block, size)
     its_id, its_print, its_spans = (free(docs, name) for name in ("hit_doc_id", "hit_print", "hit_spans"))
     mine = F.col("doc_id").eqNullSafe(F.col(its_id)) & (fingerprint(F.col("text")) == F.col(its_print))
     renamed = found.select(F.col("doc_id").alias(its_id), F.col("print").alias(its_print), F.col("spans").alias(its_spans))
