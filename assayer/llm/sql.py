@@ -71,26 +71,44 @@ verdicts AS (SELECT host, CASE WHEN m - {urls.SIGMAS} * sqrt(m * (1 - m) / (both
 SELECT page_id, host, path, {_rule_sql('rule')} AS rule, {_rule_sql('verdict')} AS verdict FROM parts JOIN verdicts USING (host)"""
 
 
-def _spans(rank: int, pattern: str, name: str, keep: str = "TRUE") -> str:
+def _spans(rank: int, pattern: str, name: str, keep: str = "TRUE", source: str = "texts") -> str:
     """Spans of a pattern from the lengths of what stands between its matches."""
     return f"""{name} AS (SELECT rid, {rank} AS rank, hit, extra, start, start + length(hit) AS stop FROM (
     SELECT rid, hit, extra, sum(length(piece) + coalesce(length(before), 0)) OVER (PARTITION BY rid ORDER BY i) AS start FROM (
     SELECT rid, i, pieces[i] AS piece, hits[i] AS hit, extras[i] AS extra, hits[i - 1] AS before FROM (
     SELECT rid, regexp_split_to_array(t, {_text(pattern)}) AS pieces, regexp_extract_all(t, {_text(pattern)}) AS hits,
-        regexp_extract_all(t, {_text(pattern)}, {2 if rank == 0 else 0}) AS extras FROM texts WHERE regexp_matches(t, {_text(pattern)})),
+        regexp_extract_all(t, {_text(pattern)}, {2 if rank == 0 else 0}) AS extras FROM {source} WHERE regexp_matches(t, {_text(pattern)})),
     generate_series(1, len(hits)) g(i))) WHERE {keep})"""
 
 
-_ALLOWED = " OR ".join(f"regexp_matches(hit, {_text(p)})" for p in secrets.ALLOWED)
+def _fits(*patterns: str) -> str:
+    """Whether a pattern fits; possessive ones are written plainly, which fits the same here."""
+    return "(" + " OR ".join(f"regexp_matches(hit, {_text(p.replace('++', '+'))})" for p in patterns) + ")"
+
+
+def _blanked() -> str:
+    out = "hit"
+    for pattern, length in secrets.MARKS.items():
+        out = f"regexp_replace({out}, {_text(pattern)}, '{' ' * length}', 'g')"
+    return out
+
+
+_WHOLE, _BESIDE = secrets.ALLOWED[: secrets.WHOLE], secrets.ALLOWED[secrets.WHOLE :]
 SECRETS = f"""
 WITH texts AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 {_spans(0, secrets.ASSIGN, 'assign', 'length(extra) >= 6')},
 {_spans(1, secrets.ACCESS, 'access_')},
 {_spans(2, secrets.HEX, 'hexes')},
 {_spans(3, secrets.CANDIDATE, 'candidates')},
+blanked AS (SELECT row_number() OVER () AS rid, rid AS doc, start AS origin, {_blanked()} AS t
+    FROM candidates WHERE NOT {_fits(*_WHOLE, secrets.MARKED)} AND {_fits(*_BESIDE)}),
+{_spans(3, secrets.CANDIDATE, 'runs', source='blanked')},
+rests AS (SELECT doc, origin + start + head AS start, substr(hit, head + 1) AS hit
+    FROM (SELECT *, length(regexp_extract(hit, {_text(secrets.HEAD.replace('++', '+'))})) AS head FROM runs JOIN blanked USING (rid))),
 suspects AS (SELECT row_number() OVER () AS sid, *, CASE WHEN regexp_full_match(hit, '[0-9a-fA-F]+') THEN {secrets.LIMITS['hex']}
     WHEN regexp_full_match(hit, '[A-Z0-9]+') THEN {secrets.LIMITS['upper']} ELSE {secrets.LIMITS['mixed']} END::DOUBLE AS bits
-    FROM candidates WHERE NOT ({_ALLOWED})),
+    FROM (SELECT rid, start, hit FROM candidates WHERE NOT {_fits(*secrets.ALLOWED)}
+        UNION ALL SELECT doc, start, hit FROM rests WHERE length(hit) >= {secrets.WINDOW} AND NOT {_fits(*_WHOLE)})),
 slides AS (SELECT sid, i, substr(hit, i + 1, {secrets.WINDOW}) AS part FROM suspects, generate_series(0, length(hit) - {secrets.WINDOW}) g(i)),
 counted AS (SELECT sid, i, ch, count(*) AS c FROM (SELECT sid, i, unnest(string_split(part, '')) AS ch FROM slides) GROUP BY ALL),
 sums AS (SELECT sid, i, sum(c * log2(c)) AS s FROM counted GROUP BY ALL),
