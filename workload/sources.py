@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from assayer.operators.checks import measure
 from assayer.plans.catalog import Catalog, describe
 from assayer.session import run_dir
-from assayer.sources import listing, sinks
+from assayer.sources import listing, readers, sinks
 from assayer.sources.readers import load
 from assayer.specs import SourceSpec
 from workload.base import TABLES, catalog, query, spec, table
@@ -181,6 +181,19 @@ def catalog_row_counts(spark, sf_dir):
     return out
 
 
+@query("catalog_tables", " UNION ALL ".join(f"SELECT '{t}' AS name, 'view' AS type, COUNT(*) AS row_count FROM {t}" for t in TABLES))
+def catalog_tables(spark, sf_dir):
+    """The given tables as the session lists them, with their rows."""
+    prefix = "given_"
+    for name in TABLES:
+        table(spark, sf_dir, name).createOrReplaceTempView(prefix + name)
+    shown = readers.list_session_tables(spark).where(F.col("name").startswith(prefix))
+    listed = shown.select(F.substring("name", len(prefix) + 1, 1000).alias("name"), "type")
+    for name in TABLES:  # the listing is taken
+        spark.catalog.dropTempView(prefix + name)
+    return listed.join(catalog_row_counts(spark, sf_dir), "name")
+
+
 def _on_listing(name: str, one, sql: str | None = None, shown=None):
     """A check over the file listing as if it were a table. ``shown`` picks what does not depend on the clock."""
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from assayer.plans.views import problems
 from assayer.specs import FilterDef, JoinDef, OrderByDef, SelectDef, ViewDefinition, ViewSpec
 from workload.base import catalog, query, view_query
 
@@ -281,3 +282,37 @@ def view_documented_examples(spark, sf_dir):
     )
     rows = catalog(spark, sf_dir, recent).query_view("recent_revenue")
     return rows.withColumn("date", F.col("date").cast("timestamp_ntz"))
+
+#: Drafts of views: the first three can be kept, the others have something wrong.
+DRAFTS = {
+    "open_orders": ViewDefinition(base_table="orders", filters=[FilterDef("o_orderstatus", "eq", "O")]),
+    "labelled": ViewDefinition(base_table="documents d", joins=[JoinDef("labels l", "inner", ("d.doc_id", "l.doc_id"))], columns=[SelectDef("d.doc_id")]),
+    "places": ViewDefinition(union_tables=["region", "region"]),
+    "nothing": ViewDefinition(),
+    "bare_group": ViewDefinition(base_table="orders", group_by=["o_orderstatus"]),
+    "odd_parts": ViewDefinition(
+        base_table="orders",
+        joins=[JoinDef("customer", "sideways", ("o_custkey", "c_custkey")), JoinDef("nation", "inner", ())],
+        filters=[FilterDef("", "eq", 1), FilterDef("o_orderkey", "in"), FilterDef("o_orderkey", "resembles", 2)],
+    ),
+}
+
+
+@query(
+    "view_validation",
+    """SELECT 'open_orders' AS name, 0 AS problem_count, '' AS problems, COUNT(*) AS row_count FROM orders WHERE o_orderstatus = 'O'
+       UNION ALL SELECT 'labelled', 0, '', COUNT(*) FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+       UNION ALL SELECT 'places', 0, '', COUNT(*) FROM (SELECT * FROM region UNION SELECT * FROM region)
+       UNION ALL SELECT 'nothing', 1, 'the view reads nothing: give it sql, base_table or union_tables', NULL
+       UNION ALL SELECT 'bare_group', 1, 'a grouped view must list its columns', NULL
+       UNION ALL SELECT 'odd_parts', 5, 'join 1 cannot be of type ''sideways''; join 2 matches on nothing; only a cross join may; '
+           || 'filter 1 names no column; filter 2 lists no values; filter 3 cannot compare by ''resembles''', NULL""",
+)
+def view_validation(spark, sf_dir):
+    """Every draft with all that is wrong with it; those that can be kept with their rows."""
+    tables = catalog(spark, sf_dir, *[ViewSpec(name, draft) for name, draft in DRAFTS.items()])
+    refused = [(name, len(found), "; ".join(found), None) for name, draft in DRAFTS.items() if (found := problems(draft))]
+    out = spark.createDataFrame(refused, "name string, problem_count int, problems string, row_count bigint")
+    for name in [n for n in DRAFTS if n not in {r[0] for r in refused}]:
+        out = out.union(tables.count_view(name).select(F.lit(name), F.lit(0), F.lit(""), "row_count"))
+    return out
