@@ -7,7 +7,7 @@ from assayer.functions.formats import file_format, format_of
 from assayer.sources import listing, readers, sinks
 from assayer.sources.readers import SOURCE_TYPES, load, read_plan
 from assayer.specs import SourceSpec, SpecError
-from tests.conftest import DATA, plan_of, rows
+from tests.conftest import DATA, SMALL, plan_of, rows
 
 NAMES = [
     ("data.csv", "csv"), ("data.parquet", "parquet"), ("data.avro", "avro"), ("data.json", "json"), ("data.jsonl", "jsonl"),
@@ -188,3 +188,69 @@ def test_digests_and_footer_counts_of_odd_files(spark, tmp_path):
     assert {r.name: r.row_count for r in counts.collect()} == {"p 1%20.parquet": 1000, "none.PARQUET": 0, "o.orc": 7, "c.csv": 2, "j.jsonl": 1}
     only = listing.row_counts(spark, str(data), formats=("parquet",))
     assert only.count() == 2 and "Scan parquet" not in plan_of(only) and "Scan binaryFile" in plan_of(only)
+
+
+@pytest.fixture
+def mixed(spark, tmp_path):
+    """The same kind of table as one file, as a folder of parts, deeper, and partitioned; a file without a table."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    root = tmp_path / "x.parquet"  # the root's own name is not a table's
+    root.mkdir()
+    pq.write_table(pa.table({"x": list(range(5))}), root / "one.parquet")
+    spark.range(7).repartition(3).write.parquet(f"{root}/many.parquet")
+    spark.range(4).withColumn("k", F.col("id") % 2).write.partitionBy("k").parquet(f"{root}/deep/kept.parquet")
+    spark.range(6).repartition(2).write.json(f"{root}/lines.jsonl")
+    spark.range(3).repartition(2).write.option("header", "true").csv(f"{root}/t.csv")
+    (root / "many.parquet" / "notes.txt").write_text("x")
+    return str(root)
+
+
+def test_table_folders_are_listed_like_files(spark, mixed):
+    listed = listing.list_files(spark, mixed, tables=True)
+    want = [("kept.parquet", "parquet"), ("lines.jsonl", "jsonl"), ("many.parquet", "parquet"), ("notes.txt", "unknown"), ("one.parquet", "parquet"), ("t.csv", "csv")]
+    assert rows(listed, "name", "format") == want
+    by_file = listing.list_files(spark, mixed)
+    assert listed.agg(F.sum("size")).first() == by_file.agg(F.sum("size")).first()
+    paths = {r.name: r.path for r in listed.collect()}
+    assert paths["many.parquet"].endswith("x.parquet/many.parquet") and paths["kept.parquet"].endswith("deep/kept.parquet")
+    assert rows(listing.list_files(spark, f"{mixed}/one.parquet", tables=True), "name") == [("one.parquet",)]
+
+
+def _shown_of(name, spark, tmp_path):
+    """A query over the given tables, once as files and once with some of them as folders of parts."""
+    import os
+
+    from workload import QUERIES
+    from workload.base import TABLES
+
+    folders = tmp_path / "data"
+    folders.mkdir()
+    for t in TABLES:
+        if t in ("orders", "documents"):
+            spark.read.parquet(f"{SMALL}/{t}.parquet").repartition(3).write.parquet(f"{folders}/{t}.parquet")
+        else:
+            os.symlink(f"{SMALL}/{t}.parquet", folders / f"{t}.parquet")
+    return rows(QUERIES[name](spark, str(folders))), rows(QUERIES[name](spark, SMALL))
+
+
+@pytest.mark.parametrize("name", ["file_details"])
+def test_file_queries_of_table_folders(name, spark, tmp_path):
+    got, want = _shown_of(name, spark, tmp_path)
+    assert got == want
+
+
+def test_rows_and_digests_of_table_folders(spark, mixed):
+    import hashlib
+    import os
+
+    counts = {r.name: r.row_count for r in listing.row_counts(spark, mixed, tables=True).collect()}
+    assert counts == {"one.parquet": 5, "many.parquet": 7, "kept.parquet": 4, "lines.jsonl": 6, "t.csv": 3}
+    top = listing.list_files(spark, mixed, recursive=False, pattern="*.parquet", checksum=True, tables=True)
+    sums = {r.name: r.checksum for r in top.collect()}
+    digest = lambda path: hashlib.sha256(open(path, "rb").read()).hexdigest()
+    folder = f"{mixed}/many.parquet"
+    parts = "".join(f"{n} {digest(f'{folder}/{n}')}\n" for n in sorted(os.listdir(folder)) if n.startswith("part-"))
+    assert sums == {"one.parquet": digest(f"{mixed}/one.parquet"), "many.parquet": hashlib.sha256(parts.encode()).hexdigest()}
+    assert rows(listing.row_counts(spark, mixed, recursive=False, formats=("csv",), tables=True), "name", "row_count") == [("t.csv", 3)]
