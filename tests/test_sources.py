@@ -235,7 +235,7 @@ def _shown_of(name, spark, tmp_path):
     return rows(QUERIES[name](spark, str(folders))), rows(QUERIES[name](spark, SMALL))
 
 
-@pytest.mark.parametrize("name", ["file_details", "file_listing", "file_row_counts", "file_statistics", "files_size_range"])
+@pytest.mark.parametrize("name", ["file_details", "file_listing", "file_row_counts", "file_statistics", "files_size_range", "files_volume"])
 def test_file_queries_of_table_folders(name, spark, tmp_path):
     got, want = _shown_of(name, spark, tmp_path)
     assert got == want
