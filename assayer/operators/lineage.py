@@ -236,10 +236,11 @@ def _drop(spark: SparkSession, stages: list[DataFrame]) -> None:
 class Closure:
     """Everything that reaches everything, kept as tables while edges are added.
 
-    Rows are (root, node, depth) for all nodes with edges, depth at least 1 and least. New edges extend
-    the stored rows by semi-naive joins: only rows that are new or got shorter take part in the next
-    round, as the left or the right half of a path, so a batch costs what it changes, not the closure.
-    Each batch is a version of its own folder; readers follow the newest complete one.
+    Rows are (root, node, depth) for all nodes with edges, depth at least 1 and least. A path that is new
+    leads to the source of a new edge, over it, and on by stored rows alone. So a batch is closed over the
+    sources of its edges only (semi-naive, path lengths double), which leaves out all leaves, and the stored
+    rows are read a fixed number of times, however many rounds that takes. Each batch is a version of its own
+    folder; readers follow the newest complete one.
     """
 
     ROWS = "root string, node string, depth int"
@@ -260,20 +261,59 @@ class Closure:
         """Extend the closure by edges (source, target)."""
         whole = edges.where(F.col("source").isNotNull() & F.col("target").isNotNull())
         single = whole.select(F.col("source").alias("root"), F.col("target").alias("node"), F.lit(1).alias("depth")).distinct()
-        known, stages = self.rows(), []
-        fresh = _written(_shorter(single, known), "closure-new")
-        while not fresh.isEmpty():
-            merged = _written(known.unionByName(fresh).groupBy("root", "node").agg(F.min("depth").alias("depth")), "closure")
-            paths = _joined(fresh, merged).unionByName(_joined(merged, fresh))
-            shortest = paths.groupBy("root", "node").agg(F.min("depth").alias("depth"))
-            stages += [fresh, merged]
-            known, fresh = merged, _written(_shorter(shortest, merged), "closure-new")
-        versions = self._versions()
-        number = versions[-1] + 1 if versions else 0
-        known.write.mode("overwrite").parquet(f"{self.path}/version-{number}")
-        _drop(self.spark, [*stages, fresh])
-        for old in versions[:-1]:  # the last one may still be read
-            removed(self.spark, f"{self.path}/version-{old}")
+        known, versions = self.rows(), self._versions()
+        fresh = _written(single.join(known.where("depth = 1"), ["root", "node"], "left_anti"), "closure-new")
+        stages = [fresh]
+        if not versions or not fresh.isEmpty():
+            sources = _written(fresh.select(F.col("root").alias("node")).distinct(), "closure-sources")
+            # Stored paths that end at a source, then new edges and what follows them up to the next source.
+            before = _written(known.join(sources, "node", "left_semi").select("root", "node", "depth"), "closure-before")
+            direct = fresh.join(sources, "node", "left_semi").select("root", "node", "depth")
+            hops = _written(_least(direct.unionByName(_joined(fresh, before))), "closure-hops")
+            stages += [sources, before, hops]
+            inner = _closed(hops, stages)
+            start = sources.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth"))
+            to_source = _least(start.unionByName(before).unionByName(inner).unionByName(_joined(before, inner)))
+            over = _least(_joined(to_source, fresh))
+            if versions:
+                stay = fresh.select("node").distinct().select(F.col("node").alias("root"), "node", F.lit(0).alias("depth"))
+                over = _joined(over, known.unionByName(stay))
+            found = _written(over, "closure-found")
+            stages.append(found)
+            every = known.unionByName(found) if versions else found
+            merged = every.repartition(_tasks(every.count()), "root", "node") if versions else every
+            number = versions[-1] + 1 if versions else 0
+            (_least(merged) if versions else merged).write.mode("overwrite").parquet(f"{self.path}/version-{number}")
+            for old in versions[:-1]:  # the last one may still be read
+                removed(self.spark, f"{self.path}/version-{old}")
+        _drop(self.spark, stages)
+
+
+#: Rows one task aggregates at most, unless a key has more.
+ROWS_PER_TASK = 500_000
+
+
+def _tasks(rows: int) -> int:
+    """Partitions for an aggregation of that many rows: what a task holds does not grow with the input."""
+    return max(1, -(-rows // ROWS_PER_TASK))
+
+
+def _least(paths: DataFrame) -> DataFrame:
+    return paths.groupBy("root", "node").agg(F.min("depth").alias("depth"))
+
+
+def _closed(hops: DataFrame, stages: list[DataFrame]) -> DataFrame:
+    """The closure of rows (root, node, depth) under composition. Only rows that are new or got shorter take part in the
+    next round, as the left or the right half of a path."""
+    known = fresh = hops
+    while not fresh.isEmpty():
+        paths = _joined(fresh, known) if fresh is known else _joined(fresh, known).unionByName(_joined(known, fresh))
+        fresh = _written(_shorter(_least(paths), known), "closure-new")
+        stages.append(fresh)
+        if not fresh.isEmpty():
+            known = _written(_least(known.unionByName(fresh)), "closure")
+            stages.append(known)
+    return known
 
 
 def _joined(first: DataFrame, second: DataFrame) -> DataFrame:

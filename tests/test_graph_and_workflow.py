@@ -256,6 +256,19 @@ def test_closure_grows_with_its_edges(spark, tmp_path):
     assert closure.rows().count() == len(best) and len(list((tmp_path / "closure").iterdir())) == 2
 
 
+def test_closure_writes_its_rows_a_fixed_number_of_times(spark, tmp_path, monkeypatch):
+    """A chain with leaves at its end takes several rounds; its leaves take part in none."""
+    from assayer.operators import lineage
+
+    sizes, write = [], lineage._written
+    monkeypatch.setattr(lineage, "_written", lambda df, label: (sizes.append((out := write(df, label)).count()), out)[1])
+    pairs = [(f"n{i}", f"n{i + 1}") for i in range(9)] + [("n9", f"leaf{i}") for i in range(100)]
+    closure = lineage.Closure(spark, str(tmp_path / "closure"))
+    closure.add(spark.createDataFrame(pairs, "source string, target string"))
+    assert closure.rows().count() == 45 + 10 * 100
+    assert sum(sizes) < 1.5 * closure.rows().count()
+
+
 def test_requests_meet_only_rules_that_can_fit(spark):
     """Against every rule tried on every request, with odd patterns, actions and NULLs; and few rows enter the match."""
     import fnmatch
