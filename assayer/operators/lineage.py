@@ -178,35 +178,47 @@ def reach_counts(edges: DataFrame, roots: DataFrame, max_depth: int = 0) -> Data
     """
     spark = edges.sparkSession
     pairs = edges.select(F.col("source").alias("a"), F.col("target").alias("b"))
-    known = _written(pairs.where(F.col("a").isNotNull() & F.col("b").isNotNull()).distinct(), "edges")
+    once = _written(pairs.where(F.col("a").isNotNull() & F.col("b").isNotNull()).distinct(), "edges")
+    degrees = _written(once.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("out")), "degrees")
+    # An edge knows how many edges leave its target: leaves are not joined, and the size of the next hop is known before it runs.
+    known = _written(once.join(degrees, F.col("b") == F.col("node"), "left").select("a", "b", F.coalesce("out", F.lit(0)).alias("out")), "edges")
     every = _written(roots.select("node").distinct(), "roots")
     # Most nodes of a graph are often leaves: only roots with an edge get a number.
-    places = _numbered(every.join(known.select(F.col("a").alias("node")).distinct(), "node", "left_semi"))
+    places = _numbered(every.join(degrees, "node", "left_semi"))
     bit = F.expr(f"shiftleft(1L, cast(number % {ROOTS_PER_WORD} as int))")
-    start = places.select("node", F.floor(F.col("number") / ROOTS_PER_WORD).alias("word"), bit.alias("bits"))
+    start = places.join(degrees, "node").select("node", F.floor(F.col("number") / ROOTS_PER_WORD).alias("word"), bit.alias("bits"), "out")
     frontier = _written(start, "frontier")
-    seen, reached, stages, depth = frontier, None, [known, every, places, frontier], 0
-    while not frontier.isEmpty() and (max_depth <= 0 or depth < max_depth):
-        depth += 1
+    seen, reached, stages, depth, held = frontier, None, [once, degrees, known, every, places, frontier], 0, 0
+    while max_depth <= 0 or depth < max_depth:
+        size = frontier.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("out"), F.lit(0)).alias("next")).first()
+        if not size.next:
+            break
+        depth, held = depth + 1, held + size.rows
         none = F.lit(0).cast("bigint")
-        arriving = frontier.join(known, F.col("node") == F.col("a")).groupBy(F.col("b").alias("node"), "word").agg(F.bit_or("bits").alias("bits"))
-        both = arriving.select("node", "word", F.col("bits").alias("now"), none.alias("before")).unionByName(seen.select("node", "word", none.alias("now"), F.col("bits").alias("before")))
-        met = both.groupBy("node", "word").agg(F.bit_or("now").bitwiseAND(F.bitwise_not(F.bit_or("before"))).alias("bits"))
+        arriving = frontier.where("out > 0").select("node", "word", "bits").join(known, F.col("node") == F.col("a"))
+        arriving = arriving.select(F.col("b").alias("node"), "word", F.col("bits").alias("now"), none.alias("before"), "out")
+        both = arriving.unionByName(seen.select("node", "word", none.alias("now"), F.col("bits").alias("before"), "out"))
+        fresh = F.bit_or("now").bitwiseAND(F.bitwise_not(F.bit_or("before")))
+        met = both.repartition(_tasks(size.next + held), "node", "word").groupBy("node", "word").agg(fresh.alias("bits"), F.max("out").alias("out"))
         frontier = _written(met.where("bits <> 0"), "frontier")
-        gained = frontier.withColumn("depth", F.lit(depth))
+        gained = frontier.select("node", "word", "bits", F.lit(depth).alias("depth"))
         reached = gained if reached is None else reached.unionByName(gained)
         seen = seen.unionByName(frontier)
         stages.append(frontier)
         if depth % COMPACT_EVERY == 0:
-            seen = _written(seen.groupBy("node", "word").agg(F.bit_or("bits").alias("bits")), "seen")
+            spread = seen.repartition(_tasks(held + size.next), "node", "word")
+            seen = _written(spread.groupBy("node", "word").agg(F.bit_or("bits").alias("bits"), F.max("out").alias("out")), "seen")
             stages.append(seen)
-    counts = every.join(places, "node", "left").select(F.col("node").alias("root"), "number")
+    counted = places.select("node", "number")
     if reached is None:
-        counts = counts.withColumns({"reached": F.lit(None).cast("bigint"), "depth": F.lit(None).cast("int")})
+        counted = counted.withColumns({"reached": F.lit(None).cast("bigint"), "depth": F.lit(None).cast("int")})
     else:
         total = _per_root(reached).groupBy("number").agg(F.sum("n").alias("reached"), F.max("depth").alias("depth"))
-        counts = counts.join(total, "number", "left")
-    whole = _written(counts.select("root", F.coalesce("reached", F.lit(0)).alias("reached"), F.coalesce("depth", F.lit(0)).alias("depth")), "reach")
+        counted = counted.join(total, "number", "left")
+    # Roots without an edge, mostly leaves, have no number: joined by it they would meet in one task.
+    zero = every.select("node", F.lit(0).cast("bigint").alias("reached"), F.lit(0).alias("depth"))
+    both = zero.unionByName(counted.select("node", "reached", "depth")).repartition(_tasks(every.count()), "node")
+    whole = _written(both.groupBy(F.col("node").alias("root")).agg(F.max("reached").alias("reached"), F.max("depth").alias("depth")), "reach")
     _drop(spark, stages)
     return whole
 

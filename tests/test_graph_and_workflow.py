@@ -233,6 +233,22 @@ def test_reach_counts_of_many_roots(spark):
     assert near == {n: len(after.get(n, set()) - {n}) for n in names}
 
 
+def test_leaves_of_reach_counts_are_spread_and_not_joined(spark, monkeypatch):
+    """No hop starts from leaves, and the aggregations hold a bounded number of rows a task."""
+    from assayer.operators import lineage
+
+    asked, write = [], lineage._written
+    monkeypatch.setattr(lineage, "ROWS_PER_TASK", 50, raising=False)
+    monkeypatch.setattr(lineage, "_written", lambda df, label: (asked.append(label), write(df, label))[1])
+    edges = spark.createDataFrame([("top", f"mid{i % 20}") for i in range(20)] + [(f"mid{i % 20}", f"leaf{i}") for i in range(400)], "source string, target string")
+    nodes = edges.select(F.explode(F.array("source", "target")).alias("node"))
+    counts = lineage.reach_counts(edges, nodes)
+    assert {r.reached for r in counts.where("root like 'mid%'").collect()} == {20}
+    assert counts.count() == 421 and rows(counts.where("depth = 2")) == [("top", 420, 2)]
+    assert asked.count("frontier") == 3  # the roots and two hops; none from the leaves
+    assert max(r["n"] for r in counts.groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()) < 150
+
+
 def test_closure_grows_with_its_edges(spark, tmp_path):
     """Random edges in batches, with cycles, repeats and edges that shorten paths: always the closure from scratch."""
     import random
