@@ -32,16 +32,6 @@ RELATIONS = ("owner", "admin", "editor", "viewer", "member")
 TENANT_PREFIX = "tenant:"
 
 
-def _lookup(table: dict[str, dict[str, tuple]], object_type: Column, relation: Column) -> Column:
-    expr = F.array().cast("array<string>")
-    for kind, relations in table.items():
-        for name, values in relations.items():
-            expr = F.when(
-                (object_type == kind) & (relation == name), F.array(*[F.lit(v) for v in values])
-            ).otherwise(expr)
-    return expr
-
-
 def _holders_of() -> dict[str, dict[str, tuple]]:
     """For each relation, the relations on the same object that grant it."""
     out: dict[str, dict[str, tuple]] = {}
@@ -58,21 +48,58 @@ def _parents(tuples: DataFrame) -> DataFrame:
     ).distinct()
 
 
+#: Rows one task makes distinct at most.
+ROWS_PER_TASK = 500_000
+#: Tasks of one stage at most; beyond, tasks have more rows.
+MOST_TASKS = 20_000
+
+
 def effective_permissions(tuples: DataFrame) -> DataFrame:
-    """All (user, relation, object_type, object_id) that hold, directly or through the tenant."""
-    direct = tuples.where(F.col("relation") != "parent").select("user", "relation", "object_type", "object_id")
-    members = direct.where(F.col("object_type") == "tenant").select(
-        "user", "relation", F.col("object_id").alias("tenant_id")
-    ).distinct()
-    carried = F.lit(False)
-    for kind, relations in INHERITED.items():
-        carried = carried | ((F.col("object_type") == kind) & F.col("relation").isin(*relations))
-    inherited = (
-        _parents(tuples).join(members, "tenant_id").where(carried).select("user", "relation", "object_type", "object_id")
-    )
-    held = direct.union(inherited)
-    granted = F.explode(_lookup(GRANTS, F.col("object_type"), F.col("relation")))
-    return held.select("user", granted.alias("relation"), "object_type", "object_id").distinct()
+    """All (user, relation, object_type, object_id) that hold, directly or through the tenant.
+
+    What a user holds on an object is one bit set until the end. Members of a tenant and its objects are
+    counted first, so that their product is spread over as many tasks as its size asks for.
+    """
+    facts = tuples.where(F.col("relation") != "parent").select("user", "relation", "object_type", "object_id")
+    kind, relation = F.col("object_type"), F.col("relation")
+    held_here = _mask(kind, relation, GRANTS)
+    direct = facts.select("user", "object_type", "object_id", held_here.alias("held")).where("held <> 0")
+    members = facts.where(kind == "tenant").groupBy("user", F.col("object_id").alias("tenant_id")).agg(F.bit_or(_bit(relation)).alias("bits"))
+    parents = _parents(tuples)
+    pieces = _pieces(tuples)
+    inherited = parents.join(members, "tenant_id").select("user", "object_type", "object_id", _carried(kind, F.col("bits")).alias("held"))
+    every = direct.unionByName(inherited.where("held <> 0"))
+    spread = every.repartition(pieces, "user", "object_type", "object_id")
+    sets = spread.groupBy("user", "object_type", "object_id").agg(F.bit_or("held").alias("held"))
+    return sets.select("user", F.explode(_relations(F.col("held"))).alias("relation"), "object_type", "object_id")
+
+
+def _pieces(tuples: DataFrame) -> int:
+    """Tasks over which all direct and inherited rows are spread."""
+    parent = (F.col("relation") == "parent") & F.col("user").startswith(TENANT_PREFIX)
+    fact = F.col("relation") != "parent"
+    member = fact & (F.col("object_type") == "tenant")
+    tenant = F.when(parent, F.substring("user", len(TENANT_PREFIX) + 1, 2**31 - 1)).when(member, F.col("object_id"))
+    count = lambda c: F.sum(F.when(c, 1.0).otherwise(0.0))
+    per_tenant = tuples.groupBy(tenant.alias("tenant_id")).agg(count(parent).alias("objects"), count(member).alias("members"), count(fact).alias("own"))
+    rows = per_tenant.agg(F.sum(F.col("objects") * F.col("members") + F.col("own")).alias("rows")).first().rows or 0
+    return min(MOST_TASKS, int(rows // ROWS_PER_TASK) + 1)
+
+
+def _carried(kind: Column, bits: Column) -> Column:
+    """What the tenant relations of a bit set grant on an object of the tenant, as a bit set."""
+    carried = F.lit(0)
+    for name, inherited in INHERITED.items():
+        every = F.lit(0)
+        for r in inherited:
+            every = every.bitwiseOR(F.when(bits.bitwiseAND(F.lit(1 << RELATIONS.index(r))) != 0, F.lit(_bits(GRANTS[name][r]))).otherwise(F.lit(0)))
+        carried = F.when(kind == name, every).otherwise(carried)
+    return carried
+
+
+def _relations(held: Column) -> Column:
+    """The relations of a bit set, as an array."""
+    return F.array_compact(F.array(*[F.when(held.bitwiseAND(F.lit(1 << i)) != 0, F.lit(r)) for i, r in enumerate(RELATIONS)]))
 
 
 def _mask(object_type: Column, relation: Column, table: dict[str, dict[str, tuple]]) -> Column:
@@ -117,20 +144,9 @@ def permission_sets(tuples: DataFrame, users: DataFrame | None = None, objects:
     kind, relation = F.col("object_type"), F.col("relation")
     direct = facts.select("user", "object_type", "object_id", _mask(kind, relation, GRANTS).alias("held"))
     held = members.groupBy("user", F.col("object_id").alias("tenant_id")).agg(F.bit_or(_bit(relation)).alias("bits"))
-    carried = F.lit(0)
-    for name, inherited in INHERITED.items():
-        through = [
-            F.when(F.col("bits").bitwiseAND(F.lit(1 << RELATIONS.index(r))) != 0, F.lit(_bits(GRANTS[name][r]))).otherwise(F.lit(0))
-            for r in inherited
-        ]
-        every = through[0]
-        for one in through[1:]:
-            every = every.bitwiseOR(one)
-        carried = F.when(kind == name, every).otherwise(carried)
-    inherited = parents.join(held, "tenant_id").select("user", "object_type", "object_id", carried.alias("held"))
+    inherited = parents.join(held, "tenant_id").select("user", "object_type", "object_id", _carried(kind, F.col("bits")).alias("held"))
     sets = direct.union(inherited).groupBy("user", "object_type", "object_id").agg(F.bit_or("held").alias("held")).where("held <> 0")
-    names = [F.when(F.col("held").bitwiseAND(F.lit(1 << i)) != 0, F.lit(r)) for i, r in enumerate(RELATIONS)]
-    return sets.select("user", "object_type", "object_id", F.sort_array(F.array_compact(F.array(*names))).alias("relations"))
+    return sets.select("user", "object_type", "object_id", F.sort_array(_relations(F.col("held"))).alias("relations"))
 
 
 def batch_check(requests: DataFrame, tuples: DataFrame) -> DataFrame:

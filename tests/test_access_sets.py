@@ -24,6 +24,19 @@ def sets(df):
     return {(u, t, o): set(r) for u, t, o, r in df.select("user", "object_type", "object_id", "relations").collect()}
 
 
+def test_permissions_of_a_large_tenant_are_spread(spark, monkeypatch):
+    """Tasks hold a bounded number of rows, and what is granted twice is there once."""
+    monkeypatch.setattr(access, "ROWS_PER_TASK", 50, raising=False)
+    members = [(f"u{i}", r, "tenant", "1") for i in range(40) for r in ("owner", "editor")]
+    objects = [("tenant:1", "parent", "policy", f"p{i}") for i in range(30)] + [("tenant:2", "parent", "policy", "p0"), ("u1", "viewer", "tenant", "2")]
+    held = access.effective_permissions(spark.createDataFrame([*members, *objects, objects[0]], "user string, relation string, object_type string, object_id string"))
+    want = {(f"u{i}", r, "policy", f"p{j}") for i in range(40) for j in range(30) for r in ("owner", "editor", "viewer")}
+    want |= {(f"u{i}", r, "tenant", "1") for i in range(40) for r in ("owner", "editor", "member")} | {("u1", r, "tenant", "2") for r in ("viewer", "member")}
+    got = [tuple(r) for r in held.collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert max(r["n"] for r in held.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()) < 400
+
+
 def test_sets_are_the_effective_permissions_of_the_asked(spark, tuples):
     every = {}
     for u, r, t, o in access.effective_permissions(tuples).select("user", "relation", "object_type", "object_id").collect():
