@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.text import bound, covered, fingerprint, free, kept, lower_ascii, matches, whole
+from assayer.llm.text import bound, covered, fingerprint, free, kept, lower_ascii, matches, sieved, whole
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
@@ -138,14 +138,17 @@ def report(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block: int
 def clean(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", size: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """Documents without the benchmark: those with hits dropped, or with ``remove="spans"`` only the words that were hit.
 
-    The text between kept words stays as it is; the characters after a removed word go with it.
+    The text between kept words stays as it is; the characters after a removed word go with it. Only documents
+    that may have hits are moved to be looked up, the others stay where they are.
     """
     _, found = hits(docs.select("doc_id", "text"), benchmark_windows(benchmark, size)[0], block, size)
-    its_id, its_print, its_spans = (free(docs, name) for name in ("hit_doc_id", "hit_print", "hit_spans"))
+    its_id, its_print, its_spans, maybe = (free(docs, name) for name in ("hit_doc_id", "hit_print", "hit_spans", "hit_maybe"))
     mine = F.col("doc_id").eqNullSafe(F.col(its_id)) & (fingerprint(F.col("text")) == F.col(its_print))
     renamed = found.select(F.col("doc_id").alias(its_id), F.col("print").alias(its_print), F.col("spans").alias(its_spans))
+    marked = sieved(docs, F.xxhash64("doc_id", fingerprint(F.col("text"))), found.select(F.xxhash64("doc_id", "print")), maybe)
+    unhit, asked = (marked.where(some).select(*docs.columns) for some in (~F.col(maybe), F.col(maybe)))
     if remove == "documents":
-        return docs.join(renamed, mine, "left_anti")
+        return unhit.unionByName(asked.join(renamed, mine, "left_anti"))
     if remove != "spans":
         raise ValueError("remove is documents or spans")
     # Case does not change what is a word, so the words of the text itself stand at the same places.
@@ -154,5 +157,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", size
     hit = lambda i: F.exists(its_spans, lambda s: (s["start"] <= i) & (i < s["start"] + s["len"]))
     parts = bound(gaps, lambda g: F.transform(own, lambda w, i: F.when(hit(i), F.lit("")).otherwise(F.concat(w, F.get(g, i + 1)))))
     rebuilt = F.concat(F.get(gaps, F.lit(0)), F.array_join(parts, ""))
-    joined = docs.join(renamed, mine, "left")
-    return joined.withColumn("text", F.when(F.col(its_spans).isNotNull(), rebuilt).otherwise(F.col("text"))).drop(its_id, its_print, its_spans)
+    joined = asked.join(renamed, mine, "left")
+    return unhit.unionByName(joined.withColumn("text", F.when(F.col(its_spans).isNotNull(), rebuilt).otherwise(F.col("text"))).select(*docs.columns))

@@ -25,7 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayer.llm.text import fingerprint, free, kept, unit_draw, words
+from assayer.llm.text import fingerprint, free, kept, sieved, unit_draw, words
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
@@ -157,19 +157,43 @@ def _numbered(rows: DataFrame, unit: str, row: str, group: str) -> DataFrame:
     return light.withColumn("inside", inside).join(groups, ["u", "g"]).select("r", (F.col("inside") + F.col("before")).alias("number"))
 
 
+def _outcomes(planned: DataFrame, source: str, each: str, extra: str) -> DataFrame:
+    """The two most frequent copies of a row in every source: (_source, most, next), one row per source."""
+    counts = planned.where(F.col(extra) == 0).groupBy(F.col(source).alias("_source"), F.col(each).alias("copies")).agg((-F.count(F.lit(1))).alias("n"))
+    ranked = counts.groupBy("_source").agg(F.sort_array(F.collect_list(F.struct("n", "copies"))).alias("o"))
+    return ranked.select("_source", F.get("o", F.lit(0))["copies"].alias("most"), F.get("o", F.lit(1))["copies"].alias("next"))
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP, seed: int = 0, copies: str = "copies") -> DataFrame:
-    """The mixed corpus: each document with the number of times it is taken, those taken 0 times left out."""
+    """The mixed corpus: each document with the number of times it is taken, those taken 0 times left out.
+
+    Nearly all units of a source are taken one of two numbers of times. A row whose unit is surely not among those
+    taken other than the one, or other than the other, is dealt where it is; the rest is moved and looked up.
+    """
     docs = docs.drop(copies)
-    n = {k: free(docs, f"mix_{k}") for k in ("source", "doc_id", "print", "rows", "each", "extra", "unit", "row", "group", "number")}
-    planned = plan(units_of(docs), weights, cap, seed).where("each > 0 or extra > 0").withColumn("unit", F.monotonically_increasing_id())
+    n = {k: free(docs, f"mix_{k}") for k in ("source", "doc_id", "print", "rows", "each", "extra", "unit", "row", "group", "number", "most", "next", "other", "another")}
+    planned = plan(units_of(docs), weights, cap, seed).withColumn("unit", F.monotonically_increasing_id())
     planned = kept(planned.select(*[F.col(k).alias(n[k]) for k in ("source", "doc_id", "print", "rows", "each", "extra", "unit")]), "mixing-plan")
+    usual = kept(_outcomes(planned, n["source"], n["each"], n["extra"]).toDF("_source", n["most"], n["next"]), "mixing-outcomes")
+    compared = planned.join(F.broadcast(usual), F.col(n["source"]).eqNullSafe(F.col("_source")), "left")
+    besides = lambda o: compared.where(~(F.col(n["each"]).eqNullSafe(F.col(n[o])) & (F.col(n["extra"]) == 0))).select(F.xxhash64(n["source"], n["doc_id"], n["print"]))
+    its_source = free(docs, n["source"] + "_")
+    marked = docs.join(F.broadcast(usual.withColumnRenamed("_source", its_source)), F.col("source").eqNullSafe(F.col(its_source)), "left")
+    key = F.xxhash64("source", F.col("doc_id").cast("bigint"), fingerprint(F.col("text")))
+    marked = sieved(sieved(marked, key, besides("most"), n["other"]), key, besides("next"), n["another"])
+    sure = F.when(~F.col(n["other"]), F.col(n["most"])).when(~F.col(n["another"]), F.col(n["next"]))
+    dealt_here = marked.withColumn(copies, sure).where(F.col(copies) > 0).select(*docs.columns, copies)
+    asked = marked.where(sure.isNull()).select(*docs.columns)
+
     on = F.col("source").eqNullSafe(F.col(n["source"])) & F.col("doc_id").cast("bigint").eqNullSafe(F.col(n["doc_id"])) & (fingerprint(F.col("text")) == F.col(n["print"]))
-    even = docs.join(planned.where(F.col(n["extra"]) == 0), on).withColumn(copies, F.col(n["each"])).select(*docs.columns, copies)
-    uneven = planned.where(F.col(n["extra"]) > 0)
+    taken = planned.where((F.col(n["each"]) > 0) | (F.col(n["extra"]) > 0))
+    even = asked.join(taken.where(F.col(n["extra"]) == 0), on).withColumn(copies, F.col(n["each"])).select(*docs.columns, copies)
+    even = dealt_here.unionByName(even)
+    uneven = taken.where(F.col(n["extra"]) > 0)
     if uneven.isEmpty():
         return even
     # Only rows of units whose copies do not divide by their rows are numbered; they are written, which fixes the numbers.
-    tied = docs.join(uneven, on).withColumn(n["row"], F.monotonically_increasing_id())
+    tied = asked.join(uneven, on).withColumn(n["row"], F.monotonically_increasing_id())
     tied = kept(tied.withColumn(n["group"], F.pmod(F.xxhash64(n["row"]), F.ceil(F.col(n["rows"]) / ROWS_PER_GROUP))), "mixing-tied")
     numbers = _numbered(tied, n["unit"], n["row"], n["group"]).select(F.col("r").alias(n["row"]), F.col("number").alias(n["number"]))
     dealt = F.col(n["each"]) + (F.col(n["number"]) <= F.col(n["extra"])).cast("bigint")

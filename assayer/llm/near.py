@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm.components import components
-from assayer.llm.text import fingerprint, free, kept
+from assayer.llm.text import fingerprint, free, kept, sieved
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 4
@@ -370,9 +370,10 @@ def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
     Rows are told apart by id and text, so an id on two texts loses only the text that is a copy. Of rows
     equal in id and text one stays, the smallest by a hash of its columns. All columns stay, whatever their
-    names. Texts without words are classes of their own and all stay.
+    names. Texts without words are classes of their own and all stay. Only rows that may have to go are moved
+    to be looked up, the others stay where they are.
     """
-    its_id, its_print, its_row = (free(docs, name) for name in ("near_id", "near_print", "near_row"))
+    its_id, its_print, its_row, maybe = (free(docs, name) for name in ("near_id", "near_print", "near_row", "near_maybe"))
     named = _labelled(docs, least).where("label is not null").groupBy("label", "doc_id", "print").agg(F.count(F.lit(1)).alias("n"))
     first = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "print")).alias("first"))
     is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("print") == F.col("first.print"))
@@ -380,9 +381,11 @@ def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(its_id)) & (fingerprint(F.col("text")) == F.col(its_print))
     ties = judged.where("stays and n > 1").select(its_id, its_print)
     gone = judged.where("not stays or n > 1").select(its_id, its_print)
-    single = docs.join(gone, same, "left_anti")
+    marked = sieved(docs, F.xxhash64(F.col("doc_id").cast("bigint"), fingerprint(F.col("text"))), gone.select(F.xxhash64(its_id, its_print)), maybe)
+    asked = marked.where(maybe).select(*docs.columns)
+    single = marked.where(~F.col(maybe)).select(*docs.columns).unionByName(asked.join(gone, same, "left_anti"))
     if ties.isEmpty():
         return single
     row = F.struct(F.xxhash64(*[F.col(c).cast("string") for c in docs.columns]).alias("hash"), F.struct(*docs.columns).alias("row"))
-    one = docs.join(ties, same).groupBy(its_id, its_print).agg(F.min(row).alias(its_row))
+    one = asked.join(ties, same).groupBy(its_id, its_print).agg(F.min(row).alias(its_row))
     return single.unionByName(one.select(f"{its_row}.row.*"))
