@@ -29,6 +29,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -49,6 +50,8 @@ DEEPEST, NAMED = 4, HEAD_CLASSES * WIDTH**2
 #: Tail words a bucket has on average at most.
 BUCKET = 256
 ROUNDS, BATCH, RATE = 2, 16384, 0.5
+#: Tokens whose logits are added at a time.
+STEP = 2048
 #: Blocks learned from by one task of a round at least, for tables of up to TASK_TABLE rows; its weights are sent once.
 BLOCKS_PER_TASK, TASK_TABLE = 16, 1 << 16
 #: Rows of weights sent together.
@@ -68,12 +71,6 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % HELD_OUT_OF == 0
 
 
-class _Ids(dict):
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self)
-        return number
-
-
 @dataclass
 class Tokens:
     numbers: np.ndarray  # of every token, documents one after the other
@@ -86,9 +83,8 @@ class Tokens:
 def tokens_of(doc_ids: list[int | None], texts: list[bytes]) -> Tokens:
     split = [[*t.lower().split(), END] for t in texts]
     lengths = np.array([len(s) for s in split], dtype=np.int64)
-    ids = _Ids()
-    numbers = np.fromiter(map(ids.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(lengths.sum()))
-    vocabulary = list(ids)
+    coded = pa.array(chain.from_iterable(split), pa.large_binary(), size=int(lengths.sum())).dictionary_encode()
+    numbers, vocabulary = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
     digests = np.fromiter(map(xxhash.xxh64_intdigest, vocabulary), dtype=np.uint64, count=len(vocabulary))
     return Tokens(numbers, vocabulary, digests, lengths, np.array([not held_out(d) for d in doc_ids], dtype=bool))
 
@@ -238,7 +234,8 @@ def buckets_of(words: list[bytes], shape: Shape, digests: np.ndarray | None = No
     """The bucket of every word, were it no head."""
     if digests is None:
         digests = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
-    tails = np.fromiter((_tails[w[-2:]] for w in words), dtype=np.int64, count=len(words))
+    endings = pc.binary_slice(pa.array(words, pa.large_binary()), -2).dictionary_encode()
+    tails = np.array([_tails[e] for e in endings.dictionary.to_pylist()], dtype=np.int64)[endings.indices.to_numpy()]
     return _buckets(tails, digests) >> (_BITS * (DEEPEST - shape.tail_depth))
 
 
@@ -280,18 +277,25 @@ def _places(model: Model, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def _logits(bias: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Their greatest is 0."""
-    logits = bias + weights[rows[:, 0]]
-    for k in range(1, rows.shape[1]):
-        logits += weights[rows[:, k]]
-    logits -= logits.max(axis=1, keepdims=True)
-    return logits
+    """A row per branch and a column per token, made in steps that stay in the cache; the greatest of a column is 0."""
+    out = np.empty((weights.shape[1], len(rows)), dtype=np.float32)
+    for begin in range(0, len(rows), STEP):
+        some = slice(begin, begin + STEP)
+        logits = weights.take(rows[some, 0], axis=0)
+        for k in range(1, rows.shape[1]):
+            logits += weights.take(rows[some, k], axis=0)
+        logits += bias if bias.ndim == 1 else bias[some]
+        part = out[:, some]
+        part[:] = logits.T
+        part -= part.max(axis=0)
+    return out
 
 
 def _log_of(bias: np.ndarray, weights: np.ndarray, rows: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Log-probabilities of the targets."""
     logits = _logits(bias, weights, rows)
-    return logits[np.arange(len(target)), target].astype(np.float64) - np.log(np.exp(logits).sum(axis=1))
+    own = logits[target, np.arange(len(target))].astype(np.float64)
+    return own - np.log(np.exp(logits, out=logits).sum(axis=0))
 
 
 def _rows(hashes: np.ndarray, table: int, nodes: np.ndarray | None = None) -> np.ndarray:
@@ -304,16 +308,20 @@ def _learn(bias: np.ndarray, weights: np.ndarray, used: np.ndarray, rows: np.nda
     """One gradient step of a mini-batch, scaled by how often a row is used as its curvature grows with that."""
     slope = _logits(bias, weights, rows)
     np.exp(slope, out=slope)
-    slope /= slope.sum(axis=1, keepdims=True)
-    slope[np.arange(len(target)), target] -= 1
+    slope /= slope.sum(axis=0)
+    slope[target, np.arange(len(target))] -= 1
     flat = rows.T.reshape(-1)
     times = np.bincount(flat, minlength=len(weights))
     touched = np.flatnonzero(times)
     compact = np.empty(len(weights), dtype=np.int64)
     compact[touched] = np.arange(len(touched))
-    at, columns = compact[flat], np.ascontiguousarray(slope.T, dtype=np.float64)
-    moved = np.stack([np.bincount(at, np.tile(column, rows.shape[1]), len(touched)) for column in columns], axis=1)
-    weights[touched] -= (RATE / (0.25 * times[touched] + 1))[:, None] * moved
+    at, moved = compact[flat], np.empty((len(slope), len(touched)))
+    of_each = np.empty((rows.shape[1], len(target)))
+    for branch, own in enumerate(slope):
+        of_each[:] = own
+        moved[branch] = np.bincount(at, of_each.reshape(-1), len(touched))
+    moved *= RATE / (0.25 * times[touched] + 1)
+    weights[touched] -= moved.T
     used[touched] += times[touched]
 
 

@@ -104,3 +104,20 @@ def test_trigrams_and_contexts_of_tail_words_are_learned():
     score = lambda text: lm.log10_of(model, u := lm.tokens_of([1], [text]), counts(u))[2]
     assert score(b"x a " + first) > score(b"y a " + first) + 0.5
     assert score(b"y a " + second) > score(b"x a " + second) + 0.5
+
+
+def test_step_and_scores_against_the_plain_formula():
+    """Steps that stay in the cache, and sums by branch, change nothing: more tokens than a step, rows used many times."""
+    rng = np.random.default_rng(4)
+    n, table = lm.STEP + 77, 64
+    weights, bias = rng.normal(size=(table, lm.WIDTH)).astype(np.float32), rng.normal(size=(n, lm.WIDTH)).astype(np.float32)
+    rows, target, used = rng.integers(0, table // 2, (n, 3)), rng.integers(0, lm.WIDTH, n), np.zeros(table, np.float32)
+    logits = bias + weights.astype(np.float64)[rows].sum(axis=1)
+    share = np.exp(logits) / np.exp(logits).sum(axis=1, keepdims=True)
+    assert np.allclose(lm._log_of(bias, weights, rows, target), np.log(share[np.arange(n), target]), atol=1e-5)
+    slope = share - np.eye(lm.WIDTH)[target]
+    moved, times = np.zeros((table, lm.WIDTH)), np.bincount(rows.reshape(-1), minlength=table)
+    np.add.at(moved, rows.reshape(-1), np.repeat(slope, 3, axis=0))
+    after = weights - (lm.RATE / (0.25 * times + 1))[:, None] * moved
+    lm._learn(bias, weights, used, rows, target)
+    assert np.allclose(weights, after, atol=1e-4) and (used == times).all()
