@@ -6,12 +6,13 @@ holds of the shard's keys, already reduced within the block; a shard answers eve
 of what the block sent; the block applies the answers to its documents. A key that is everywhere so
 costs one entry per block, not one per document. Blocks are written once, so a lost task finds the same
 documents in the same order again. Their texts are one compressed value, which is also what moves when
-answers are brought to the blocks.
+answers are brought to the blocks; a caller may write something else made of the texts and read that back.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +30,26 @@ BLOCK = "block bigint, doc_ids array<bigint>, sizes array<int>, body binary"
 _BLOCK = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("body", pa.binary())])
 
 
-def _packed(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+#: What is written of a block's texts, a size for each and a body, and what is read back from them.
+Write = Callable[[list[bytes]], tuple[list[int], bytes]]
+Read = Callable[[list[int], bytes], Any]
+
+
+def _joined(texts: list[bytes]) -> tuple[list[int], bytes]:
+    return [len(t) for t in texts], zstandard.ZstdCompressor(level=5).compress(b"".join(texts))
+
+
+def _cut(sizes: list[int], body: bytes) -> list[bytes]:
+    whole = zstandard.ZstdDecompressor().decompress(body)
+    ends = np.cumsum(sizes).tolist()
+    return [whole[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def _packed(batches: Iterator[pa.RecordBatch], limit: int, write: Write) -> Iterator[pa.RecordBatch]:
     number, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
-    squeeze = zstandard.ZstdCompressor(level=5)
 
     def row():
-        columns = ([number], [ids], [[len(t) for t in texts]], [squeeze.compress(b"".join(texts))])
+        columns = ([number], [ids], *([x] for x in write(texts)))
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _BLOCK, strict=True)], schema=_BLOCK)
 
     for batch in batches:
@@ -50,17 +65,11 @@ def _packed(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Record
         yield row()
 
 
-def _opened(doc_ids: pa.Scalar, sizes: pa.Scalar, body: pa.Scalar) -> tuple[list[int | None], list[bytes]]:
-    whole = zstandard.ZstdDecompressor().decompress(body.as_py())
-    ends = np.cumsum(sizes.as_py()).tolist()
-    return doc_ids.as_py(), [whole[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-
-
-def pack(docs: DataFrame, limit: int = BLOCK_BYTES) -> DataFrame:
+def pack(docs: DataFrame, limit: int = BLOCK_BYTES, write: Write = _joined) -> DataFrame:
     """The documents (doc_id, text) as a written table of blocks; NULL texts become empty."""
     path = run_dir(docs.sparkSession, "blocks")
     rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text")
-    rows.mapInArrow(lambda batches: _packed(batches, limit), BLOCK).write.parquet(path)
+    rows.mapInArrow(lambda batches: _packed(batches, limit, write), BLOCK).write.parquet(path)
     return docs.sparkSession.read.schema(BLOCK).parquet(path)
 
 
@@ -69,19 +78,19 @@ def shard_count(blocks: DataFrame) -> int:
     return max(LEAST_SHARDS, blocks.count() // BLOCKS_PER_SHARD)
 
 
-def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int | None], list[bytes]]]:
-    """Blocks as (block, doc_ids, texts in UTF-8)."""
-    for batch in batches:
+def blocks_of(rows: Iterable[pa.RecordBatch | pa.Table], read: Read = _cut) -> Iterator[tuple[int, list[int | None], Any]]:
+    """Blocks as (block, doc_ids, texts in UTF-8 or what ``read`` makes of them)."""
+    for batch in rows:
         for i in range(batch.num_rows):
-            yield batch.column(0)[i].as_py(), *_opened(batch.column(1)[i], batch.column(2)[i], batch.column(3)[i])
+            block, doc_ids, sizes, body = (batch.column(name)[i].as_py() for name in _BLOCK.names)
+            yield block, doc_ids, read(sizes, body)
 
 
-def answered(blocks: DataFrame, answers: DataFrame, apply: Callable[[int, list, list, pa.Table], pa.Table], schema: str) -> DataFrame:
+def answered(blocks: DataFrame, answers: DataFrame, apply: Callable[[int, list, Any, pa.Table], pa.Table], schema: str, read: Read = _cut) -> DataFrame:
     """Every block together with the answers to it: ``apply(block, doc_ids, texts, answers)`` makes its rows."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        parts = [apply(left.column("block")[i].as_py(), *_opened(left.column("doc_ids")[i], left.column("sizes")[i], left.column("body")[i]), right) for i in range(left.num_rows)]
-        return pa.concat_tables(parts)
+        return pa.concat_tables([apply(*block, right) for block in blocks_of([left], read)])
 
     cogrouped = blocks.groupBy("block").cogroup(answers.groupBy("block"))
     return cogrouped.applyInArrow(run, schema)

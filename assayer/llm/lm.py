@@ -25,7 +25,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -50,8 +50,10 @@ DEEPEST, NAMED = 4, HEAD_CLASSES * WIDTH**2
 #: Tail words a bucket has on average at most.
 BUCKET = 256
 ROUNDS, BATCH, RATE = 2, 16384, 0.5
-#: Tokens whose logits are added at a time.
-STEP = 2048
+#: Tokens whose logits are added at a time, and the size up to which exp is taken of them as they are.
+STEP, SAFE = 2048, 80.0
+#: Uses from which on a row's slopes are summed on their own.
+OFTEN = 64
 #: Blocks learned from by one task of a round at least, for tables of up to TASK_TABLE rows; its weights are sent once.
 BLOCKS_PER_TASK, TASK_TABLE = 16, 1 << 16
 #: Rows of weights sent together.
@@ -80,28 +82,65 @@ class Tokens:
     training: np.ndarray  # for every document
 
 
-def tokens_of(doc_ids: list[int | None], texts: list[bytes]) -> Tokens:
-    split = [[*t.lower().split(), END] for t in texts]
-    lengths = np.array([len(s) for s in split], dtype=np.int64)
-    coded = pa.array(chain.from_iterable(split), pa.large_binary(), size=int(lengths.sum())).dictionary_encode()
-    numbers, vocabulary = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+def _words(data: np.ndarray, sizes: np.ndarray) -> pa.DictionaryArray:
+    """Words that stand one after the other, numbered."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+
+
+def _listed(words: pa.LargeBinaryArray) -> list[bytes]:
+    _, at, data = words.buffers()
+    ends, whole = np.frombuffer(at, np.int64, len(words) + 1).tolist(), b"" if data is None else data.to_pybytes()
+    return [whole[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def _split(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Tokens of every text, the number of every token, the vocabulary by number."""
+    data = np.frombuffer(b"\n".join([b"", *texts, b""]).lower(), np.uint8)
+    inside = (data - np.uint8(9) > 4) & (data != 32)  # as every text stands between line ends, words begin and end in pairs
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    starts, ends = edges[::2], edges[1::2]
+    words = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))  # up to the end of every text
+    coded = _words(data[inside], np.insert(ends - starts, words, len(END)))
+    return np.diff(words, prepend=0) + 1, coded.indices.to_numpy(), _listed(coded.dictionary)
+
+
+def _tokens(doc_ids: list[int | None], lengths: np.ndarray, numbers: np.ndarray, vocabulary: list[bytes]) -> Tokens:
     digests = np.fromiter(map(xxhash.xxh64_intdigest, vocabulary), dtype=np.uint64, count=len(vocabulary))
-    return Tokens(numbers, vocabulary, digests, lengths, np.array([not held_out(d) for d in doc_ids], dtype=bool))
+    return Tokens(numbers.astype(np.int64), vocabulary, digests, lengths, np.array([not held_out(d) for d in doc_ids], dtype=bool))
+
+
+def tokens_of(doc_ids: list[int | None], texts: list[bytes]) -> Tokens:
+    return _tokens(doc_ids, *_split(texts))
+
+
+def _write(texts: list[bytes]) -> tuple[list[int], bytes]:
+    """A block's tokens, so that its texts are split once: the numbers byte by byte, which packs well, then the vocabulary."""
+    lengths, numbers, vocabulary = _split(texts)
+    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return lengths.tolist(), zstandard.ZstdCompressor(level=3).compress(planes.tobytes() + b"\n".join(vocabulary))
+
+
+def _read(sizes: list[int], body: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    whole, lengths = zstandard.ZstdDecompressor().decompress(body), np.array(sizes, dtype=np.int64)
+    planes = np.frombuffer(whole, np.uint8, 4 * int(lengths.sum())).reshape(4, -1)
+    return lengths, np.ascontiguousarray(planes.T).view("<u4").reshape(-1), whole[planes.size :].split(b"\n")
 
 
 def _by_shard(t: Tokens, shards: int) -> Iterator[tuple[int, np.ndarray]]:
     """The vocabulary by shard, in the order it is sent and answered."""
-    shard = (t.digests % _U(shards)).astype(np.int64)
+    shard = (t.digests % _U(shards)).astype(np.uint16 if shards < 1 << 16 else np.int64)  # short ones sort faster
     order = np.argsort(shard, kind="stable")
-    edges = np.searchsorted(shard[order], np.arange(shards + 1))
-    for s in np.unique(shard):
-        yield int(s), order[edges[s] : edges[s + 1]]
+    edges = np.searchsorted(shard[order], np.arange(shards + 1)).tolist()
+    for s in range(shards):
+        if edges[s] < edges[s + 1]:
+            yield s, order[edges[s] : edges[s + 1]]
 
 
 def _sent(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
     squeeze = zstandard.ZstdCompressor(level=3)
-    for block, doc_ids, texts in blocks_of(batches):
-        t = tokens_of(doc_ids, texts)
+    for block, doc_ids, split in blocks_of(batches, _read):
+        t = _tokens(doc_ids, *split)
         counts = np.bincount(t.numbers[np.repeat(t.training, t.lengths)], minlength=len(t.vocabulary))
         rows: list[list] = [[] for _ in _MESSAGE]
         for shard, words in _by_shard(t, shards):
@@ -161,22 +200,22 @@ def _buckets(tails: np.ndarray, digests: np.ndarray) -> np.ndarray:
 def _summed(table: pa.Table) -> pa.Table:
     """Training counts of a shard's words for every block that sent them; the first answer also has what the model needs."""
     expand = zstandard.ZstdDecompressor()
-    lists = [expand.decompress(x).split(b"\n") for x in table.column("words").to_pylist()]
-    counts = [np.frombuffer(x, np.int32).tolist() for x in table.column("counts").to_pylist()]
-    total: dict[bytes, int] = {}
-    for words, own in zip(lists, counts, strict=True):
-        for w, c in zip(words, own, strict=True):
-            total[w] = total.get(w, 0) + c
-    seen = [(w, c) for w, c in total.items() if c]
-    seen.sort(key=lambda x: (-x[1], x[0]))
+    data = np.frombuffer(b"\n".join([*map(expand.decompress, table.column("words").to_pylist()), b""]), np.uint8)
+    ends = np.flatnonzero(data == 10)
+    coded = _words(data[data != 10], np.diff(ends, prepend=-1) - 1)
+    counts = [np.frombuffer(x, np.int32) for x in table.column("counts").to_pylist()]
+    numbers, words = coded.indices.to_numpy(), coded.dictionary
+    total = np.bincount(numbers, np.concatenate(counts), len(words)).astype(np.int64)  # exact below 2 ** 53
+    seen = np.flatnonzero(total)
+    known, tokens = words.take(pa.array(seen)), total[seen]
     # tokens and types of every bucket, as if no word were a head
-    tails = np.fromiter((tail_class(w) for w, _ in seen), dtype=np.int64, count=len(seen))
-    digests = np.fromiter((xxhash.xxh64_intdigest(w) for w, _ in seen), dtype=np.uint64, count=len(seen))
-    totals = np.stack([_buckets(tails, digests), np.fromiter((c for _, c in seen), dtype=np.int64, count=len(seen))], axis=1).tobytes()
+    totals = np.stack([buckets_of(_listed(known), Shape(tail_depth=DEEPEST)), tokens], axis=1).tobytes()
+    first = pc.sort_indices(pa.table({"word": known, "n": tokens}), [("n", "descending"), ("word", "ascending")])[:NAMED]
+    named = pa.StructArray.from_arrays([known.take(first).cast(pa.binary()), pa.array(tokens).take(first)], fields=list(_HEADS.value_type))
     n = table.num_rows
-    answers = [np.fromiter(map(total.__getitem__, words), dtype=np.int64, count=len(words)).tobytes() for words in lists]
-    heads = [[{"word": w, "n": c} for w, c in seen[:NAMED]], *[None] * (n - 1)]
-    return pa.table([table.column("block"), table.column("shard"), pa.array(answers, pa.binary()), pa.array(heads, _HEADS), pa.array([totals, *[None] * (n - 1)], pa.binary())], schema=_ANSWER)
+    heads = pa.ListArray.from_arrays(pa.array([0, *[None] * (n - 1), len(named)], pa.int32()), named).cast(_HEADS)
+    answers = [total[x].tobytes() for x in np.split(numbers, np.cumsum([len(c) for c in counts])[:-1])]
+    return pa.table([table.column("block"), table.column("shard"), pa.array(answers, pa.binary()), heads, pa.array([totals, *[None] * (n - 1)], pa.binary())], schema=_ANSWER)
 
 
 TOTALS = "bucket bigint, tokens bigint, types bigint"
@@ -214,6 +253,10 @@ class Model:
     class_weights: np.ndarray
     head_weights: np.ndarray  # of all nodes of the trees
 
+    @cached_property
+    def head_digests(self) -> np.ndarray:
+        return np.sort(np.fromiter(map(xxhash.xxh64_intdigest, self.heads), dtype=np.uint64, count=len(self.heads)))
+
     @classmethod
     def of_counts(cls, heads: list[tuple[bytes, int]], sums: list[int], shape: Shape = Shape()) -> Model:  # noqa: B008
         tokens, types = (np.array(x, dtype=np.float64) for x in np.array(sums).reshape(2, -1))
@@ -243,9 +286,12 @@ _MARKS = [_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
+    x = x ^ (x >> _U(30))
+    x *= _U(0xBF58476D1CE4E5B9)
+    x ^= x >> _U(27)
+    x *= _U(0x94D049BB133111EB)
+    x ^= x >> _U(31)
+    return x
 
 
 def features(t: Tokens) -> np.ndarray:
@@ -263,7 +309,9 @@ def features(t: Tokens) -> np.ndarray:
 def _places(model: Model, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of every word of the vocabulary: its class, the nodes below it and the branches taken there (-1 below its depth), its bucket (-1 for heads)."""
     shape = model.shape
-    heads = np.fromiter((model.heads.get(w, -1) for w in t.vocabulary), dtype=np.int64, count=len(t.vocabulary))
+    heads, known = np.full(len(t.vocabulary), -1, dtype=np.int64), model.head_digests
+    may = np.flatnonzero(known.take(np.searchsorted(known, t.digests), mode="clip") == t.digests) if len(known) else []
+    heads[may] = [model.heads.get(t.vocabulary[i], -1) for i in may]
     buckets, head = buckets_of(t.vocabulary, shape, t.digests), heads >= 0
     nodes = np.full((max(shape.head_depth, shape.tail_depth), len(heads)), -1, dtype=np.int64)
     branches, before = nodes.copy(), 0
@@ -276,53 +324,99 @@ def _places(model: Model, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return classes, nodes, branches, np.where(head, -1, buckets)
 
 
-def _logits(bias: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """A row per branch and a column per token, made in steps that stay in the cache; the greatest of a column is 0."""
-    out = np.empty((weights.shape[1], len(rows)), dtype=np.float32)
+def _inner(nodes: np.ndarray, branches: np.ndarray, numbers: np.ndarray) -> Iterator[tuple]:
+    """Level by level the tokens that go on there, their nodes and branches."""
+    for level, branch in zip(nodes, branches, strict=True):
+        node = level.take(numbers)
+        if node.min() >= 0:
+            yield slice(None), node, branch.take(numbers)
+        elif node.max() >= 0:
+            inner = np.flatnonzero(node >= 0)
+            yield inner, node[inner], branch.take(numbers[inner])
+
+
+def _logits(bias: np.ndarray, node: np.ndarray | None, own: list[np.ndarray], some: slice) -> np.ndarray:
+    """A row per token of a step, a column per branch; a row's greatest is taken off where sums of exp could leave float32's range.
+
+    ``bias`` is one for all, or one per token, or one per node."""
+    if bias.ndim > 1:
+        bias = bias[some] if node is None else bias.take(node[some], axis=0)
+    logits = own[0] + bias
+    for weights in own[1:]:
+        logits += weights
+    if max(logits.max(), -logits.min()) > SAFE:
+        logits -= logits.max(axis=1, keepdims=True)
+    return logits
+
+
+def _log_of(bias: np.ndarray, weights: np.ndarray, rows: np.ndarray, target: np.ndarray, node: np.ndarray | None = None) -> np.ndarray:
+    """Log-probabilities of the targets, made in steps that stay in the cache."""
+    out, ones = np.empty(len(rows)), np.ones(weights.shape[1], dtype=np.float32)
     for begin in range(0, len(rows), STEP):
         some = slice(begin, begin + STEP)
-        logits = weights.take(rows[some, 0], axis=0)
-        for k in range(1, rows.shape[1]):
-            logits += weights.take(rows[some, k], axis=0)
-        logits += bias if bias.ndim == 1 else bias[some]
-        part = out[:, some]
-        part[:] = logits.T
-        part -= part.max(axis=0)
+        logits = _logits(bias, node, [weights.take(r, axis=0) for r in rows[some].T], some)
+        own = logits[np.arange(len(logits)), target[some]].astype(np.float64)
+        out[some] = own - np.log(np.exp(logits, out=logits) @ ones)
     return out
 
 
-def _log_of(bias: np.ndarray, weights: np.ndarray, rows: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Log-probabilities of the targets."""
-    logits = _logits(bias, weights, rows)
-    own = logits[target, np.arange(len(target))].astype(np.float64)
-    return own - np.log(np.exp(logits, out=logits).sum(axis=0))
-
-
 def _rows(hashes: np.ndarray, table: int, nodes: np.ndarray | None = None) -> np.ndarray:
     if nodes is not None:
         hashes = _mixed(hashes ^ _mixed(nodes.astype(np.uint64) + _U(77))[:, None])
     return (hashes & _U(table - 1)).astype(np.int64)
 
 
-def _learn(bias: np.ndarray, weights: np.ndarray, used: np.ndarray, rows: np.ndarray, target: np.ndarray) -> None:
+def _grouped(rows: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows in use, how often each is, and where its tokens start; all tokens, row by row; for every token and kind whether it has the row alone."""
+    n, kinds = rows.shape
+    bits, kind_bits = n.bit_length(), kinds.bit_length()
+    use = (np.arange(kinds)[:, None] << bits) | np.arange(n)
+    keys = ((rows.T << (bits + kind_bits)) | use).reshape(-1)
+    keys.sort()
+    row, use = keys >> (bits + kind_bits), keys & ((1 << (bits + kind_bits)) - 1)
+    starts = np.concatenate([[0], np.flatnonzero(row[1:] != row[:-1]) + 1])
+    times = np.diff(starts, append=rows.size)
+    alone = np.zeros((kinds, 1 << bits), dtype=bool)
+    alone.reshape(-1)[use[starts[times == 1]]] = True
+    return row[starts], times, starts, use & ((1 << bits) - 1), alone
+
+
+def _learn(bias: np.ndarray, weights: np.ndarray, used: np.ndarray, rows: np.ndarray, target: np.ndarray, node: np.ndarray | None = None) -> None:
     """One gradient step of a mini-batch, scaled by how often a row is used as its curvature grows with that."""
-    slope = _logits(bias, weights, rows)
-    np.exp(slope, out=slope)
-    slope /= slope.sum(axis=0)
-    slope[target, np.arange(len(target))] -= 1
-    flat = rows.T.reshape(-1)
-    times = np.bincount(flat, minlength=len(weights))
-    touched = np.flatnonzero(times)
-    compact = np.empty(len(weights), dtype=np.int64)
-    compact[touched] = np.arange(len(touched))
-    at, moved = compact[flat], np.empty((len(slope), len(touched)))
-    of_each = np.empty((rows.shape[1], len(target)))
-    for branch, own in enumerate(slope):
-        of_each[:] = own
-        moved[branch] = np.bincount(at, of_each.reshape(-1), len(touched))
-    moved *= RATE / (0.25 * times[touched] + 1)
-    weights[touched] -= moved.T
-    used[touched] += times[touched]
+    rate = lambda n: np.float32(RATE / (0.25 * n + 1))
+    touched, times, starts, tokens, alone = _grouped(rows)
+    used[touched] += times
+    width = weights.shape[1]
+    slope, ones = np.empty((len(rows), width), dtype=np.float32), np.ones(width, dtype=np.float32)
+    for begin in range(0, len(rows), STEP):
+        some = slice(begin, begin + STEP)
+        own = [weights.take(r, axis=0) for r in rows[some].T]
+        logits = _logits(bias, node, own, some)
+        np.exp(logits, out=logits)
+        part = np.divide(logits, (logits @ ones)[:, None], out=slope[some])
+        part.reshape(-1)[np.arange(0, part.size, width) + target[some]] -= 1
+        for r, before, one in zip(rows[some].T, own, alone[:, some], strict=True):  # no other token has these rows
+            one = np.flatnonzero(one[: len(r)])
+            moved = part.take(one, axis=0)
+            moved *= rate(1)
+            weights[r[one]] = np.subtract(before.take(one, axis=0), moved, out=moved)
+    # all other rows, the most used first: the first use of each, then the second of those used twice, and so on
+    shared = np.flatnonzero(times > 1)
+    rarity = (OFTEN - np.minimum(times[shared], OFTEN)).astype(np.uint8)
+    order = np.argsort(rarity, kind="stable")
+    touched, times, starts = (x[shared[order]] for x in (touched, times, starts))
+    moved = slope.take(tokens[starts], axis=0)
+    beyond = np.searchsorted(rarity[order], np.arange(OFTEN, 0, -1, dtype=np.uint8)).tolist()  # rows used more often than this
+    many = beyond[-1]
+    for i, (start, n) in enumerate(zip(starts[:many].tolist(), times[:many].tolist(), strict=True)):  # summed whole
+        moved[i] = slope.take(tokens[start : start + n], axis=0).sum(axis=0, dtype=np.float64) * rate(n)
+    for use in range(1, OFTEN):
+        moved[beyond[use] : beyond[use - 1]] *= rate(use)
+        some = slice(many, beyond[use])
+        if some.start == some.stop:
+            break
+        moved[some] += slope.take(tokens[starts[some] + use], axis=0)
+    weights[touched] = np.subtract(weights.take(touched, axis=0), moved, out=moved)
 
 
 def _trained(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
@@ -330,22 +424,17 @@ def _trained(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Rec
     tables = [model.class_weights.copy(), model.head_weights.copy()]
     size = model.shape.table
     used = [np.zeros(size, dtype=np.float32), np.zeros(size, dtype=np.float32)]
-    for _, doc_ids, texts in blocks_of(batches):
-        t = tokens_of(doc_ids, texts)
+    for _, doc_ids, split in blocks_of(batches, _read):
+        t = _tokens(doc_ids, *split)
         classes, nodes, branches, _ = _places(model, t)
         own = np.flatnonzero(np.repeat(t.training, t.lengths))
-        hashes, numbers = features(t)[own], t.numbers[own]
         parts = max(1, len(own) // BATCH)
-        for part in range(parts):  # every part takes tokens from all over the block
-            h, n = hashes[part::parts], numbers[part::parts]
-            if not len(n):
-                continue
+        hashes = features(t)
+        for part in range(parts if len(own) else 0):  # every part takes tokens from all over the block
+            h, n = hashes.take(own[part::parts], axis=0), t.numbers.take(own[part::parts])
             _learn(model.class_bias, tables[0], used[0], _rows(h, size), classes[n])
-            for level, branch in zip(nodes, branches, strict=True):
-                inner = np.flatnonzero(level[n] >= 0)
-                if len(inner):
-                    node = level[n[inner]]
-                    _learn(model.inner_bias[node], tables[1], used[1], _rows(h[inner], size, node), branch[n[inner]])
+            for inner, node, branch in _inner(nodes, branches, n):
+                _learn(model.inner_bias, tables[1], used[1], _rows(h[inner], size, node), branch, node)
     if not any(u.any() for u in used):
         return
     for number, (before, after, uses) in enumerate(zip([model.class_weights, model.head_weights], tables, used, strict=True)):
@@ -397,18 +486,15 @@ def log10_of(model: Model, t: Tokens, counts: np.ndarray) -> np.ndarray:
         part = slice(begin, begin + BATCH)
         n, h = t.numbers[part], hashes[part]
         score = _log_of(model.class_bias, model.class_weights, _rows(h, size), classes[n]) + share[n]
-        for level, branch in zip(nodes, branches, strict=True):
-            inner = np.flatnonzero(level[n] >= 0)
-            if len(inner):
-                node = level[n[inner]]
-                score[inner] += _log_of(model.inner_bias[node], model.head_weights, _rows(h[inner], size, node), branch[n[inner]])
+        for inner, node, branch in _inner(nodes, branches, n):
+            score[inner] += _log_of(model.inner_bias, model.head_weights, _rows(h[inner], size, node), branch, node)
         out[part] = score / np.log(10)
     return out
 
 
 def _scored(model, shards: int):
-    def apply(block: int, doc_ids: list, texts: list, answers: pa.Table) -> pa.Table:
-        own, t = model.value, tokens_of(doc_ids, texts)
+    def apply(block: int, doc_ids: list, split: tuple, answers: pa.Table) -> pa.Table:
+        own, t = model.value, _tokens(doc_ids, *split)
         told = dict(zip(answers.column("shard").to_pylist(), answers.column("counts").to_pylist(), strict=True))
         counts = np.zeros(len(t.vocabulary), dtype=np.int64)
         for shard, words in _by_shard(t, shards):
@@ -424,7 +510,7 @@ def _scored(model, shards: int):
 
 def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """One row per document row with its token counts, its unigram score and the model's score."""
-    blocks = pack(docs.select("doc_id", "text"))
+    blocks = pack(docs.select("doc_id", "text"), write=_write)
     shards = shard_count(blocks)
     sent = blocks.mapInArrow(lambda batches: _sent(batches, shards), MESSAGE)
     answers = kept(sent.groupBy("shard").applyInArrow(_summed, ANSWER), "lm-counts")
@@ -436,4 +522,4 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         heads = [*heads[: shape.heads - 1], *[(END, r["n"]) for r in end]]
     model = fit(blocks, Model.of_counts(heads, totals_of(answers, shape.tail_depth), shape), rounds)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return answered(blocks, answers.select("block", "shard", "counts"), _scored(shared, shards), RESULT)
+    return answered(blocks, answers.select("block", "shard", "counts"), _scored(shared, shards), RESULT, _read)

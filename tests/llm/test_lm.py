@@ -3,11 +3,16 @@
 import math
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
+import zstandard
 
 from assayer.llm import lm
+from assayer.llm.blocks import _BLOCK, blocks_of
 from tests.conftest import SMALL
 
 SCHEMA = "doc_id bigint, text string"
@@ -121,3 +126,59 @@ def test_step_and_scores_against_the_plain_formula():
     after = weights - (lm.RATE / (0.25 * times + 1))[:, None] * moved
     lm._learn(bias, weights, used, rows, target)
     assert np.allclose(weights, after, atol=1e-4) and (used == times).all()
+
+
+def test_texts_are_split_once_per_block(monkeypatch):
+    """Counting, learning and scoring read the tokens written with the block."""
+    texts, ids = [b"A b\x0bc  a", b"", b"\xc3\x84 x\x00y b\n", b" b a b"], [1, 2, None, 4]
+    whole = lm.tokens_of(ids, texts)
+    block = pa.record_batch([pa.array(c, f.type) for c, f in zip(([7], [ids], *([x] for x in lm._write(texts))), _BLOCK, strict=True)], schema=_BLOCK)
+    model = lm.Model.of_counts([(b"b", 4), (b"a", 3), (b"", 4)], np.ones(2 * lm.TAIL_CLASSES) * 9)
+
+    def again(*_):
+        raise AssertionError("split again")
+
+    monkeypatch.setattr(lm, "_split", again)
+    monkeypatch.setattr(lm, "tokens_of", again)
+    sent = pa.Table.from_batches(list(lm._sent(iter([block]), 2)))
+    answers = pa.concat_tables([lm._summed(sent.filter(pc.equal(sent.column("shard"), s))) for s in (0, 1)])
+    assert sum(np.frombuffer(x, np.int64).sum() for x in answers.column("counts").to_pylist()) == whole.lengths[whole.training].sum()
+    assert sum(b.num_rows for b in lm._trained(iter([block]), model)) > 0
+    ((_, _, split),) = blocks_of([block], lm._read)
+    scored = lm._scored(SimpleNamespace(value=model), 2)(7, ids, split, answers)
+    assert scored.column("n_tokens").to_pylist() == whole.lengths.tolist()
+
+
+@pytest.mark.parametrize("spread", [1, 40])
+def test_step_with_rows_used_once_several_times_and_often(spread):
+    """All three ways to sum give the plain formula, also where exp of the logits would overflow."""
+    rng = np.random.default_rng(5)
+    n, table = lm.STEP * 2 + 5, 1 << 14
+    uses = [300, *range(2, 2 * lm.OFTEN)]
+    uses += [1] * (3 * n - sum(uses))
+    rows = rng.permutation(np.repeat(rng.permutation(table)[: len(uses)], uses)).reshape(n, 3)
+    times = np.bincount(rows.reshape(-1), minlength=table)
+    weights, bias = (spread * rng.normal(size=(table, lm.WIDTH))).astype(np.float32), rng.normal(size=lm.WIDTH).astype(np.float32)
+    target, used = rng.integers(0, lm.WIDTH, n), np.ones(table, np.float32)
+    logits = bias + weights.astype(np.float64)[rows].sum(axis=1)
+    assert (np.abs(logits).max() > lm.SAFE) == (spread > 1)
+    logits -= logits.max(axis=1, keepdims=True)
+    share = np.exp(logits) / np.exp(logits).sum(axis=1, keepdims=True)
+    assert np.allclose(lm._log_of(bias, weights, rows, target), logits[np.arange(n), target] - np.log(np.exp(logits).sum(axis=1)), atol=1e-5 * spread)
+    moved = np.zeros((table, lm.WIDTH))
+    np.add.at(moved, rows.reshape(-1), np.repeat(share - np.eye(lm.WIDTH)[target], 3, axis=0))
+    after = weights - (lm.RATE / (0.25 * times + 1))[:, None] * moved
+    lm._learn(bias, weights, used, rows, target)
+    assert np.allclose(weights, after, atol=1e-4) and (used == times + 1).all()
+
+
+def test_sums_of_a_shard(monkeypatch):
+    """Counts for every block, the most frequent words by count, then by bytes; words of no training count are no heads."""
+    monkeypatch.setattr(lm, "NAMED", 3)
+    messages = [([b"b", b"", b"\xff"], [2, 5, 0]), ([b"\xfe", b"b", b"a"], [2, 1, 2])]
+    pack = lambda words: zstandard.ZstdCompressor().compress(b"\n".join(words))
+    columns = ([9, 9], [1, 2], [pack(w) for w, _ in messages], [np.array(c, np.int32).tobytes() for _, c in messages])
+    got = lm._summed(pa.table([pa.array(c, f.type) for c, f in zip(columns, lm._MESSAGE, strict=True)], schema=lm._MESSAGE)).to_pylist()
+    assert [np.frombuffer(r["counts"], np.int64).tolist() for r in got] == [[3, 5, 0], [2, 3, 2]]
+    assert [(h["word"], h["n"]) for h in got[0]["heads"]] == [(b"", 5), (b"b", 3), (b"a", 2)] and got[1]["heads"] is None
+    assert np.frombuffer(got[0]["totals"], np.int64).reshape(-1, 2)[:, 1].sum() == 12
